@@ -180,8 +180,8 @@ def encode_target(t: Tables):
 SELECT c_custkey, CAST(dense_rank() OVER (ORDER BY c_name) - 1 AS BIGINT) AS label FROM customer""")
 def encode_target_many(t: Tables):
     rows = t.customer.select("c_custkey", "c_name")
-    classes, labels = encode.class_table(rows, "c_name", small=100)
-    return encode.encode_target(rows, "c_name", classes=classes, labels=labels).drop("c_name")
+    classes, _ = encode.class_table(rows, "c_name", small=100)
+    return encode.encode_target(rows, "c_name", classes=classes).drop("c_name")
 
 
 _SCALED = ["l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]

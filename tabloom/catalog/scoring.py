@@ -76,7 +76,7 @@ def class_probabilities(t: Tables):
 
     rows = vector_table(t).withColumn("class_name", F.concat(F.lit("class "), F.col("label").cast("string")))
     classes, labels = encode.class_table(rows, "class_name")
-    rows = encode.encode_target(rows.drop("label"), "class_name", "label", classes, labels)
+    rows = encode.encode_target(rows.drop("label"), "class_name", "label", classes)
     train = rows.where(F.col("split") == TRAIN).select(F.col("vec_id").alias("nid"), "label", "vec")
     asked = rows.where(F.col("split") == TEST).select("vec_id", array_to_vector("vec").alias("features"))
     shares = Fitted("knn", KnnModel(train, len(labels), "vec_id")).class_shares(asked, "vec_id")

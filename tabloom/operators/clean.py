@@ -31,6 +31,10 @@ def distinct_rows(df: DataFrame, key: list[str] | None = None) -> DataFrame:
     key = list(key or [])
     content = [n for n in df.columns if n not in key]
     copies = F.count(F.lit(1)).alias(COPIES)
+    if len(key) == 1:
+        # A number as key keeps the aggregate hash-based.
+        grouped = df.groupBy(*[c(n) for n in content]).agg(copies, F.min(c(key[0])).alias("__first"))
+        return grouped.select(*[c(n) for n in content], COPIES, F.col("__first").cast("string").alias(ROW_KEY))
     if key:
         smallest = F.min(F.struct(*[c(n) for n in key]))
         grouped = df.groupBy(*[c(n) for n in content]).agg(copies, smallest.alias("__first"))

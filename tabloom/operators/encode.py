@@ -7,13 +7,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabloom.functions.columns import c, case_sensitive, text_columns, unique_names
-from tabloom.session import durable
+from tabloom.session import BROADCAST_ROWS, broadcast_if_small, durable
 
 # Most levels that are one-hot encoded, most that are label-encoded.
 MAX_LEVELS = 15
 BINARY_LEVELS = 2
-# Class tables up to this many rows are collected, sorted and broadcast.
-SMALL_CLASS_TABLE = 10_000
 
 
 @dataclass
@@ -100,7 +98,7 @@ def apply_levels(df: DataFrame, levels: Levels, tail: list[str] | None = None) -
     return df.select(*out, *[c(n) for n in tail])
 
 
-def class_table(df: DataFrame, target: str, small: int = SMALL_CLASS_TABLE) -> tuple[DataFrame, list | None]:
+def class_table(df: DataFrame, target: str, small: int = BROADCAST_ROWS) -> tuple[DataFrame, list | None]:
     """``(class_index, class_label)`` in sorted order, and the labels if few.
 
     Few classes are collected and sorted here. Many are range-partitioned and
@@ -126,18 +124,15 @@ def class_table(df: DataFrame, target: str, small: int = SMALL_CLASS_TABLE) -> t
 
 
 def encode_target(df: DataFrame, target: str, output: str = "label",
-                  classes: DataFrame | None = None, labels: list | None = None) -> DataFrame:
-    """Add the class index. The class table is broadcast only when small."""
+                  classes: DataFrame | None = None) -> DataFrame:
+    """Add the class index from the class table."""
     if classes is None:
-        classes, labels = class_table(df, target)
+        classes, _ = class_table(df, target)
     side = classes.select(F.col("class_label").alias("__class"), F.col("class_index").alias(output))
-    if labels is not None and len(labels) <= SMALL_CLASS_TABLE:
-        side = F.broadcast(side)
-    return df.join(side, c(target) == F.col("__class"), "left").drop("__class")
+    return df.join(broadcast_if_small(side), c(target) == F.col("__class"), "left").drop("__class")
 
 
-def decode_labels(df: DataFrame, classes: DataFrame, index: str, output: str, small: bool = True) -> DataFrame:
+def decode_labels(df: DataFrame, classes: DataFrame, index: str, output: str) -> DataFrame:
     """Class label for a predicted index, by the table and not by position."""
     side = classes.select(F.col("class_index").alias("__index"), F.col("class_label").alias(output))
-    side = F.broadcast(side) if small else side
-    return df.join(side, F.col(index).cast("long") == F.col("__index"), "left").drop("__index")
+    return df.join(broadcast_if_small(side), F.col(index).cast("long") == F.col("__index"), "left").drop("__index")

@@ -56,14 +56,21 @@ def missing_ranked(df: DataFrame) -> DataFrame:
     return missing(df).where("n_missing > 0").orderBy(F.desc("n_missing"), "column")
 
 
-def numeric_statistics(df: DataFrame, columns: list[str] | None = None, digits: int = 4) -> DataFrame:
+def numeric_statistics(df: DataFrame, columns: list[str] | None = None, digits: int = 4,
+                       exact_distinct: bool = True) -> DataFrame:
+    """Statistics of all numeric columns in one aggregate.
+
+    Exact distinct counts exchange every column's values; with
+    ``exact_distinct=False`` a sketch leaves one row per task to exchange.
+    """
     names = columns if columns is not None else numeric_columns(df)
+    distinct = F.count_distinct if exact_distinct else F.approx_count_distinct
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, n in enumerate(names):
         v = c(n)
         aggs += [
             F.count(v).alias(f"filled_{i}"),
-            F.count_distinct(v).alias(f"distinct_{i}"),
+            distinct(v).alias(f"distinct_{i}"),
             F.avg(v).alias(f"mean_{i}"),
             F.stddev_samp(v).alias(f"std_{i}"),
             F.min(v).cast("double").alias(f"min_{i}"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabloom.functions.columns import c
 from tabloom.functions.numbers import BLANKS, parse_number
+from tabloom.session import broadcast_if_small
 
 # Reasons for turning a row away.
 MISSING, NOT_NUMERIC = "missing", "not numeric"
@@ -45,6 +46,6 @@ def rejected(checked: DataFrame) -> DataFrame:
 
 def class_percentages(shares: DataFrame, classes: DataFrame, key: str) -> DataFrame:
     """Class probabilities in percent, 1 decimal, greatest first per row."""
-    named = shares.join(F.broadcast(classes), "class_index")
+    named = shares.join(broadcast_if_small(classes), "class_index")
     return named.select(c(key), "class_label", F.bround(F.col("share") * 100, 1).alias("percentage")).orderBy(
         c(key), F.desc("percentage"), "class_label")

@@ -47,9 +47,14 @@ class FourierMap:
 
 def scale_gamma(df: DataFrame, n_inputs: int, inputs: str = "features") -> float:
     """1 / (inputs x variance of all cells), from one aggregate."""
-    cell = F.explode(vector_to_array(inputs)).alias("x")
-    variance = df.select(cell).agg(F.var_pop("x")).first()[0]
-    return 1.0 / (n_inputs * variance) if variance else 1.0
+    cells = vector_to_array(inputs)
+    zero = F.lit(0.0)
+    row = df.agg(
+        F.avg(F.aggregate(cells, zero, lambda acc, x: acc + x)).alias("total"),
+        F.avg(F.aggregate(cells, zero, lambda acc, x: acc + x * x)).alias("squares"),
+    ).first()
+    variance = row["squares"] / n_inputs - (row["total"] / n_inputs) ** 2
+    return 1.0 / (n_inputs * variance) if variance > 0 else 1.0
 
 
 class KernelSvm:
@@ -66,7 +71,8 @@ class KernelSvm:
         data = mapping.transform(df.select("features", "label")).select("fourier", "label").persist()
         try:
             if n_classes > 2:
-                return KernelSvmModel(mapping, OneVsRest(classifier=svc, featuresCol="fourier", labelCol="label").fit(data))
+                many = OneVsRest(classifier=svc, featuresCol="fourier", labelCol="label", parallelism=min(n_classes, 4))
+                return KernelSvmModel(mapping, many.fit(data))
             return KernelSvmModel(mapping, svc.fit(data))
         finally:
             data.unpersist()

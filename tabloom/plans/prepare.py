@@ -178,7 +178,7 @@ def prepare(df: DataFrame, config: PrepConfig) -> PrepResult:
     classes = labels = None
     if problem == "classification":
         classes, labels = class_table(complete, target)
-        data = encode_target(data, target, "label", classes, labels)
+        data = encode_target(data, target, "label", classes)
         n_classes = len(labels) if labels is not None else classes.count()
         listed = ",".join(map(str, labels)) if labels is not None else None
         steps.append(("encode", target, "label (target)", n_classes, listed))

@@ -23,8 +23,9 @@ from tabloom.operators.models import (
 from tabloom.operators.split import TEST, TRAIN
 from tabloom.plans.prepare import PrepResult
 from tabloom.plans.state import PrepState
-from tabloom.session import durable
+from tabloom.session import durable, ensure_checkpoint_dir
 
+SMALL_TABLE = 1_000_000
 SCORES = {"classification": ["accuracy", "precision", "recall", "f1"], "regression": ["mae", "mse", "rmse", "r2"]}
 
 
@@ -57,6 +58,7 @@ def train_models(rows: DataFrame, features: list[str], problem_type: str, n_trai
                  depth: int = TREE_DEPTH) -> TrainResult:
     """Train on ``rows``, evaluate on ``test`` or, without one, on ``rows``."""
     spark = rows.sparkSession
+    ensure_checkpoint_dir(spark)
     names = names or (REGRESSION_SUITE if problem_type == "regression" else CLASSIFICATION_SUITE)
     train = assemble(rows, features)
     held_out = train if test is None else assemble(test, features)
@@ -75,9 +77,12 @@ def train_models(rows: DataFrame, features: list[str], problem_type: str, n_trai
 
 def train_suite(prep: PrepResult, names: list[str] | None = None, depth: int = TREE_DEPTH) -> TrainResult:
     """The prepared rows are written once; every model reads them from there."""
-    rows = durable(
-        prep.data.select(ROW_KEY, *[c(n) for n in prep.state.features], F.col("label").cast("double").alias("label"),
-                         "split"), "prepared")
+    rows = prep.data.select(ROW_KEY, *[c(n) for n in prep.state.features], F.col("label").cast("double").alias("label"),
+                            "split")
+    if prep.cut.n_rows <= SMALL_TABLE:
+        # A small table comes in one or two files; training is worth all cores.
+        rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, ROW_KEY)
+    rows = durable(rows, "prepared")
     if prep.class_labels is not None:
         n_classes = len(prep.class_labels)
     else:
@@ -132,8 +137,7 @@ def score_table(raw: DataFrame, state: PrepState, fitted: Fitted, classes: DataF
     good = checked.where("reason IS NULL")
     scored = fitted.score(assemble(good, state.features)).select(ROW_KEY, "prediction", "confidence")
     if classes is not None:
-        small = classes.limit(10_001).count() <= 10_000
-        scored = decode_labels(scored, classes, "prediction", "label", small)
+        scored = decode_labels(scored, classes, "prediction", "label")
     else:
         scored = scored.withColumn("label", F.col("prediction"))
     scored = scored.select(ROW_KEY, "prediction", F.col("label").cast("string").alias("label"), "confidence",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(app: str = "tabloom", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -58,3 +58,18 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Iterative training cuts its lineage in the shared folder too."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(f"{shared_dir(spark)}/checkpoints")
+
+
+# Most rows a lookup table may have to be broadcast.
+BROADCAST_ROWS = 10_000
+
+
+def broadcast_if_small(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint only after counting; a larger table joins by shuffle."""
+    return F.broadcast(table) if table.limit(limit + 1).count() <= limit else table
