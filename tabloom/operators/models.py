@@ -36,6 +36,12 @@ TREE_BINS = 128
 # More nodes per pass and remembered node ids mean fewer passes over the rows.
 TREE_MEMORY_MB = 1024
 
+# Up to SMALL_TABLE rows, models of many short iterations run on few partitions
+# and the others on all cores. Larger tables keep the partitions of their files.
+SMALL_TABLE = 1_000_000
+SHORT_ITERATION_ROWS = 50_000
+SHORT_ITERATIONS = ["linear_regression", "gradient_boosting_regressor", "logistic_regression", "svm"]
+
 REGRESSION_SUITE = ["linear_regression", "decision_tree_regressor", "random_forest_regressor",
                     "gradient_boosting_regressor"]
 CLASSIFICATION_SUITE = ["logistic_regression", "decision_tree", "random_forest", "knn", "svm"]
@@ -171,6 +177,8 @@ def fit_model(name: str, train: DataFrame, n_rows: int, n_inputs: int, n_classes
             raise ValueError("knn needs the name of a row key column")
         rows = train.select(c(key).alias("nid"), "label", vector_to_array("features").alias("vec"))
         return Fitted(name, KnnModel(rows, n_classes, key))
+    if name in SHORT_ITERATIONS and n_rows <= SMALL_TABLE:
+        train = train.coalesce(max(1, n_rows // SHORT_ITERATION_ROWS))
     if name == "svm":
         return Fitted(name, KernelSvm(seed=SEED).fit(train, n_classes, n_rows, n_inputs))
     return Fitted(name, estimator(name, n_rows, depth).fit(train))

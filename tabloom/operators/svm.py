@@ -18,6 +18,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
+# Fixed value: relative change at which training stops.
+TOLERANCE = 1e-3
+
+
 @dataclass(frozen=True)
 class FourierMap:
     """Random frequencies follow from these numbers alone."""
@@ -67,7 +71,7 @@ class KernelSvm:
         gamma = scale_gamma(df, n_inputs)
         mapping = FourierMap(n_inputs, self.n_features, gamma, self.seed)
         svc = LinearSVC(featuresCol="fourier", labelCol="label", maxIter=self.max_iter, standardization=False,
-                        regParam=1.0 / (self.penalty * n_rows))
+                        tol=TOLERANCE, regParam=1.0 / (self.penalty * n_rows))
         data = mapping.transform(df.select("features", "label")).select("fourier", "label").persist()
         try:
             if n_classes > 2:

@@ -14,6 +14,7 @@ from tabloom.operators.encode import decode_labels
 from tabloom.operators.models import (
     CLASSIFICATION_SUITE,
     REGRESSION_SUITE,
+    SMALL_TABLE,
     TREE_DEPTH,
     Fitted,
     assemble,
@@ -25,7 +26,6 @@ from tabloom.plans.prepare import PrepResult
 from tabloom.plans.state import PrepState
 from tabloom.session import durable, ensure_checkpoint_dir
 
-SMALL_TABLE = 1_000_000
 SCORES = {"classification": ["accuracy", "precision", "recall", "f1"], "regression": ["mae", "mse", "rmse", "r2"]}
 
 
@@ -80,7 +80,7 @@ def train_suite(prep: PrepResult, names: list[str] | None = None, depth: int = T
     rows = prep.data.select(ROW_KEY, *[c(n) for n in prep.state.features], F.col("label").cast("double").alias("label"),
                             "split")
     if prep.cut.n_rows <= SMALL_TABLE:
-        # A small table comes in one or two files; training is worth all cores.
+        # A small table comes in one or two files; forests are worth all cores.
         rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, ROW_KEY)
     rows = durable(rows, "prepared")
     if prep.class_labels is not None:
