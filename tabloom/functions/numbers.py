@@ -4,35 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Characters removed from formatted numbers, blanks trimmed.
-FORMAT_CHARACTERS = "$%,"
-BLANKS = " \t\n\r\f\x0b"
-INFINITY_WORDS = ["inf", "+inf", "-inf", "infinity", "+infinity", "-infinity"]
+# Characters removed from formatted numbers, and what a number
+# looks like. ``\s`` is space, tab, line breaks, form feed and vertical tab.
+FORMAT_CHARACTERS = ["$", "%", ","]
+NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+INTEGER = r"^\s*[+-]?[0-9]+\s*$"
+INFINITE = r"(?i)^\s*[+-]?inf(inity)?\s*$"
+NOT_A_NUMBER = r"(?i)^\s*[+-]?nan\s*$"
 
 
 def strip_number_format(col: Column) -> Column:
-    """``$1,200`` -> ``1200``, ``12 %`` -> ``12``."""
-    return F.btrim(F.translate(col, FORMAT_CHARACTERS, ""), F.lit(BLANKS))
+    """``$1,200`` -> ``1200``, ``12 %`` -> ``12 ``; the parsers skip blanks."""
+    for character in FORMAT_CHARACTERS:
+        col = F.replace(col, F.lit(character))
+    return col
 
 
 def parse_number(col: Column) -> Column:
     """Decimal or scientific notation, or an infinity; everything else NULL.
 
-    The character test comes first because a plain cast also accepts ``1d``,
-    ``1.5f`` and ``NaN``. It is a translate and a cast, so it stays in
-    generated code with no regular expression.
+    The pattern comes first because a plain cast also accepts ``1d``, ``1.5f``
+    and ``NaN``, and because a failing cast costs an exception per cell.
     """
-    text = F.btrim(col, F.lit(BLANKS))
-    plain = F.translate(text, "0123456789+-.eE", "") == ""
-    value = text.try_cast("double")
+    value = col.try_cast("double")
     finite = F.when(F.abs(value) < F.lit(float("inf")), value)
-    infinite = F.when(text.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
-    return F.when(plain, finite).when(F.lower(text).isin(INFINITY_WORDS), infinite)
+    infinite = F.when(col.contains("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
+    return F.when(col.rlike(NUMBER), finite).when(col.rlike(INFINITE), infinite)
 
 
 def parse_integer(col: Column) -> Column:
-    text = F.btrim(col, F.lit(BLANKS))
-    return F.when(F.translate(text, "0123456789+-", "") == "", text.try_cast("long"))
+    return F.when(col.rlike(INTEGER), col.try_cast("long"))
+
+
+def parse_typed_number(col: Column) -> Column:
+    """A number as a person may type it: ``_`` may group digits, NaN counts."""
+    text = col.cast("string")
+    grouped = F.when(text.contains("_"), F.regexp_replace(text, "(?<=[0-9])_(?=[0-9])", "")).otherwise(text)
+    return F.when(text.rlike(NOT_A_NUMBER), F.lit(float("nan"))).otherwise(parse_number(grouped))
 
 
 def percent(part: Column, whole: Column, digits: int = 1) -> Column:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from dataclasses import dataclass
+from itertools import combinations_with_replacement
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
@@ -17,53 +18,98 @@ HISTOGRAM_BINS = 20
 PAIR_LIMIT = 300
 
 
-def safe_corr(a: Column, b: Column) -> Column:
-    """Pearson correlation over complete pairs; NULL for a constant column."""
-    both = a.isNotNull() & b.isNotNull()
-    x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
-    spread = F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y))
-    return F.try_divide(F.covar_pop(x, y), spread)
+@dataclass(frozen=True)
+class _Column:
+    """What one aggregate pass tells about a column."""
+
+    name: str
+    complete: bool
+    constant: bool
+    mean: float
+    std: float
+
+    def z(self) -> Column:
+        return (c(self.name).cast("double") - F.lit(self.mean)) / F.lit(self.std)
+
+
+def _column_facts(df: DataFrame, names: list[str]) -> dict[str, _Column]:
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for i, n in enumerate(names):
+        v = c(n).cast("double")
+        aggs += [F.count(v).alias(f"n_{i}"), F.min(v).alias(f"lo_{i}"), F.max(v).alias(f"hi_{i}"),
+                 F.avg(v).alias(f"m_{i}"), F.stddev_pop(v).alias(f"s_{i}")]
+    r = df.agg(*aggs).first()
+    return {
+        n: _Column(n, r[f"n_{i}"] == r["rows"], r[f"n_{i}"] == 0 or r[f"lo_{i}"] == r[f"hi_{i}"], r[f"m_{i}"], r[f"s_{i}"])
+        for i, n in enumerate(names)
+    }
+
+
+def _pair_aggregate(x: Column, y: Column, complete: bool) -> Column:
+    """Correlation of two standardised columns over complete pairs.
+
+    Without gaps it is the mean product. With gaps the pair's own moments
+    enter; a column constant over the pair gives NULL.
+    """
+    if complete:
+        return F.avg(x * y)
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    n = F.count(x * y).cast("double")
+    sxy = F.sum(x * y) - F.try_divide(F.sum(a) * F.sum(b), n)
+    sxx = F.sum(a * a) - F.try_divide(F.sum(a) * F.sum(a), n)
+    syy = F.sum(b * b) - F.try_divide(F.sum(b) * F.sum(b), n)
+    varied = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
+    return F.when(varied, F.try_divide(sxy, F.sqrt(sxx) * F.sqrt(syy)))
+
+
+def pair_correlations(df: DataFrame, pairs: list[tuple[str, str]], facts: dict[str, _Column] | None = None) -> DataFrame:
+    """``(a, b, r)`` per pair: column facts first, then one more pass.
+
+    The second pass sums products of standardised values, which stays in
+    generated code; NULL where a column is constant, as no correlation exists.
+    """
+    facts = facts or _column_facts(df, list(dict.fromkeys(n for p in pairs for n in p)))
+    used = [f for f in facts.values() if not f.constant]
+    position = {f.name: i for i, f in enumerate(used)}
+    z = df.select([f.z().alias(f"z{i}") for i, f in enumerate(used)])
+    aggs, lines = [F.count(F.lit(1)).alias("rows")], []
+    for k, (a, b) in enumerate(pairs):
+        if a not in position or b not in position:
+            r = F.lit(None).cast("double")
+        elif a == b:
+            r = F.lit(1.0)
+        else:
+            x, y = F.col(f"z{position[a]}"), F.col(f"z{position[b]}")
+            aggs.append(_pair_aggregate(x, y, facts[a].complete and facts[b].complete).alias(f"r_{k}"))
+            r = F.col(f"r_{k}")
+            r = F.when(r.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)))
+        lines.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r")))
+    return z.agg(*aggs).select(F.inline(F.array(*lines)))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Full matrix as ``(a, b, r)`` rows."""
     names = columns if columns is not None else numeric_columns(df)
-    pairs = list(combinations(range(len(names)), 2))
-    if len(pairs) <= PAIR_LIMIT:
-        return _by_pairs(df, names, pairs)
-    complete = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c(n)).alias(f"f_{i}") for i, n in enumerate(names)]).first()
-    if all(complete[f"f_{i}"] == complete["rows"] for i in range(len(names))):
-        return _by_gramian(df, names)
-    parts = [_by_pairs(df, names, pairs[k:k + PAIR_LIMIT], diagonal=k == 0) for k in range(0, len(pairs), PAIR_LIMIT)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _by_pairs(df: DataFrame, names: list[str], pairs: list[tuple[int, int]], diagonal: bool = True) -> DataFrame:
-    aggs = [safe_corr(c(names[i]), c(names[j])).alias(f"r_{i}_{j}") for i, j in pairs]
-    lines = []
-    if diagonal:
-        aggs += [F.var_pop(c(n).cast("double")).alias(f"v_{i}") for i, n in enumerate(names)]
-        lines += [(n, n, F.when(F.col(f"v_{i}") > 0, F.lit(1.0))) for i, n in enumerate(names)]
-    for i, j in pairs:
-        lines += [(names[i], names[j], F.col(f"r_{i}_{j}")), (names[j], names[i], F.col(f"r_{i}_{j}"))]
-    structs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r")) for a, b, r in lines]
-    return df.agg(*aggs).select(F.inline(F.array(*structs)))
-
-
-def _by_gramian(df: DataFrame, names: list[str]) -> DataFrame:
-    plain = df.select([c(n).cast("double").alias(f"x{i}") for i, n in enumerate(names)])
+    facts = _column_facts(df, names)
+    if len(names) * (len(names) - 1) // 2 > PAIR_LIMIT and all(f.complete for f in facts.values()):
+        return _by_gramian(df, names, facts)
+    pairs = list(combinations_with_replacement(names, 2))
+    out = None
+    for k in range(0, len(pairs), PAIR_LIMIT):
+        part = pair_correlations(df, pairs[k:k + PAIR_LIMIT], facts)
+        out = part if out is None else out.unionByName(part)
+    both = F.array(F.struct("a", "b", "r"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "r"))
+    once = F.array(F.struct("a", "b", "r"))
+    return out.select(F.inline(F.when(F.col("a") == F.col("b"), once).otherwise(both)))
+
+
+def _by_gramian(df: DataFrame, names: list[str], facts: dict[str, _Column]) -> DataFrame:
+    varied = [n for n in names if not facts[n].constant]
+    plain = df.select([c(n).cast("double").alias(f"x{i}") for i, n in enumerate(varied)])
     vectors = VectorAssembler(inputCols=plain.columns, outputCol="v").transform(plain).select("v")
     matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-    rows = [
-        (a, b, None if matrix[i, j] != matrix[i, j] else (1.0 if i == j else float(matrix[i, j])))
-        for i, a in enumerate(names) for j, b in enumerate(names)
-    ]
-    constant = {a for a, b, r in rows if a != b and r is None} if len(names) > 1 else set()
-    still = {a for a in constant if all(r is None for x, y, r in rows if x == a and y != a)}
-    rows = [(a, b, None if a == b and a in still else r) for a, b, r in rows]
+    at = {n: i for i, n in enumerate(varied)}
+    rows = [(a, b, float(matrix[at[a], at[b]]) if a in at and b in at else None) for a in names for b in names]
     return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 
@@ -100,9 +146,9 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 def correlation_importance(df: DataFrame, target: str, features: list[str] | None = None) -> DataFrame:
     """|correlation| with the target: an importance that needs no model."""
     names = [n for n in (features or numeric_columns(df)) if n != target]
-    row = df.agg(*[F.abs(safe_corr(c(n), c(target))).alias(f"r_{i}") for i, n in enumerate(names)])
-    lines = [F.struct(F.lit(n).alias("feature"), F.col(f"r_{i}").alias("importance")) for i, n in enumerate(names)]
-    return row.select(F.inline(F.array(*lines))).orderBy(F.desc_nulls_last("importance"), "feature")
+    found = pair_correlations(df, [(n, target) for n in names])
+    return found.select(F.col("a").alias("feature"), F.abs("r").alias("importance")).orderBy(
+        F.desc_nulls_last("importance"), "feature")
 
 
-__all__ = ["correlation_importance", "correlation_matrix", "histogram", "missing_ranked", "safe_corr", "value_counts"]
+__all__ = ["correlation_importance", "correlation_matrix", "histogram", "missing_ranked", "pair_correlations", "value_counts"]

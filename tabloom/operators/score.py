@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tabloom.functions.columns import c
-from tabloom.functions.numbers import BLANKS, parse_number
+from tabloom.functions.numbers import parse_typed_number
 from tabloom.session import broadcast_if_small
 
 # Reasons for turning a row away.
 MISSING, NOT_NUMERIC = "missing", "not numeric"
 
 
-def _readable(col: Column) -> Column:
-    """A number as a person may type it: digits may be grouped by ``_``, NaN counts."""
-    text = F.btrim(col.cast("string"), F.lit(BLANKS))
-    grouped = F.regexp_replace(text, "(?<=[0-9])_(?=[0-9])", "")
-    nan = F.lower(text).isin("nan", "+nan", "-nan")
-    return F.when(nan, F.lit(float("nan"))).otherwise(parse_number(grouped))
-
-
 def validate_inputs(df: DataFrame, features: list[str]) -> DataFrame:
     """Cast the features to numbers; ``reason`` names the first bad one, else NULL."""
     absent = [n for n in features if n not in df.columns]
@@ -27,13 +19,13 @@ def validate_inputs(df: DataFrame, features: list[str]) -> DataFrame:
         raise ValueError(f"the input lacks feature column(s) {absent}")
     reasons = []
     for n in features:
-        text = F.btrim(c(n).cast("string"), F.lit(BLANKS))
-        reasons.append(
-            F.when(text.isNull() | (text == ""), F.lit(f"{n}: {MISSING}"))
-            .when(_readable(c(n)).isNull(), F.lit(f"{n}: {NOT_NUMERIC}")))
+        blank = c(n).isNull() | c(n).cast("string").rlike(r"^\s*$")
+        reasons.append(F.when(c(f"__{n}").isNull(), F.when(blank, F.lit(f"{n}: {MISSING}")).otherwise(
+            F.lit(f"{n}: {NOT_NUMERIC}"))))
     others = [c(n) for n in df.columns if n not in features]
-    return df.select(*others, *[_readable(c(n)).alias(n) for n in features],
-                     F.coalesce(*reasons).alias("reason") if reasons else F.lit(None).cast("string").alias("reason"))
+    parsed = df.withColumns({f"__{n}": parse_typed_number(c(n)) for n in features})
+    return parsed.select(*others, *[c(f"__{n}").alias(n) for n in features],
+                         F.coalesce(*reasons, F.lit(None).cast("string")).alias("reason"))
 
 
 def accepted(checked: DataFrame) -> DataFrame:

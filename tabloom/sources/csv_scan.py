@@ -21,8 +21,9 @@ _EXTRA = "__extra_field"
 
 def has_multi_line_cells(spark: SparkSession, path: str | list[str]) -> bool:
     """A record spans lines exactly when some line holds an odd number of quotes."""
-    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
-    return spark.read.text(path).where(quotes % 2 == 1).limit(1).count() > 0
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    quoted = spark.read.text(path).where(F.col("value").contains('"'))
+    return quoted.where(quotes % 2 == 1).limit(1).count() > 0
 
 
 def _reader(spark: SparkSession, multi_line: bool):

@@ -37,7 +37,7 @@ def test_correlation_forms_agree(spark):
     rows = [(float(i), float(i * i % 17), float(-i), 4.0) for i in range(50)]
     df = spark.createDataFrame(rows, "a double, b double, c double, same double")
     by_pairs = {(r["a"], r["b"]): r["r"] for r in charts.correlation_matrix(df).collect()}
-    by_gramian = {(r["a"], r["b"]): r["r"] for r in charts._by_gramian(df, df.columns).collect()}
+    by_gramian = {(r["a"], r["b"]): r["r"] for r in charts._by_gramian(df, df.columns, charts._column_facts(df, df.columns)).collect()}
     assert by_pairs[("a", "c")] == pytest.approx(-1)
     for pair, r in by_pairs.items():
         assert (r is None) == (by_gramian[pair] is None)
@@ -52,6 +52,20 @@ def test_correlation_uses_complete_pairs(spark):
         assert r == pytest.approx(want.loc[a, b])
 
 
+def test_column_constant_over_the_pair_has_no_correlation(spark):
+    df = spark.createDataFrame([(1.0, 5.0), (1.0, 7.0), (2.0, None)], "a double, b double")
+    assert {(r["a"], r["b"]): r["r"] for r in charts.correlation_matrix(df).collect()} == {
+        ("a", "a"): 1.0, ("b", "b"): 1.0, ("a", "b"): None, ("b", "a"): None}
+
+
+def test_wide_matrix_in_parts(spark, monkeypatch):
+    df = spark.createDataFrame([(float(i), float(i * i % 11), None if i == 3 else float(i % 5)) for i in range(30)],
+                               "a double, b double, c double")
+    whole = sorted((r["a"], r["b"], round(r["r"], 9)) for r in charts.correlation_matrix(df).collect())
+    monkeypatch.setattr(charts, "PAIR_LIMIT", 2)
+    assert sorted((r["a"], r["b"], round(r["r"], 9)) for r in charts.correlation_matrix(df).collect()) == whole
+
+
 def test_histogram_of_a_constant(spark):
     rows = charts.histogram(spark.createDataFrame([(5.0,)] * 3, "x double"), "x").collect()
     assert len(rows) == 20 and [r["n"] for r in rows if r["n"]] == [3] and rows[10]["n"] == 3
