@@ -140,7 +140,7 @@ class KnnModel:
         self.train, self.n_classes, self.key, self.k = train, n_classes, key, k
 
     def _neighbours(self, df: DataFrame, key: str) -> DataFrame:
-        asked = df.select(c(key).alias("qid"), vector_to_array("features").alias("vec"))
+        asked = df.select(c(key).alias("qid"), vector_to_array("features").alias("vec")).dropDuplicates(["qid"])
         return knn_join(self.train, asked, self.k)
 
     def transform(self, df: DataFrame) -> DataFrame:

@@ -120,8 +120,8 @@ def score_table(raw: DataFrame, state: PrepState, fitted: Fitted, classes: DataF
     """Score raw rows with the stored state and a trained model.
 
     Rows with a feature that is missing or unreadable after the stored fills
-    and encodings come back with a ``reason`` and no prediction. ``key`` must
-    identify rows; without it identical rows are scored as one key.
+    and encodings come back with a ``reason`` and no prediction. Without
+    ``key`` a digest of the row names it; identical rows then share a name.
     """
     absent = [n for n in state.inputs if n not in raw.columns]
     if absent:
@@ -129,8 +129,6 @@ def score_table(raw: DataFrame, state: PrepState, fitted: Fitted, classes: DataF
     rows = normalise(raw)
     row_key = F.concat_ws("|", *[c(n).cast("string") for n in key]) if key else row_digest(rows.columns)
     typed = rows.select(row_key.alias(ROW_KEY), *[c(n).try_cast(t).alias(n) for n, t in state.inputs.items()])
-    if not key:
-        typed = typed.dropDuplicates([ROW_KEY])
     features = state.apply(typed, keep=[ROW_KEY])
     bad = F.coalesce(*[F.when(c(n).isNull(), F.lit(f"{n}: missing")) for n in state.features])
     checked = features.withColumn("reason", bad)

@@ -42,12 +42,6 @@ def test_ranks_are_limited_before_the_exchange(spark, sf, name):
     assert "WindowGroupLimit" in plan(driver.queries()[name](spark, sf))
 
 
-@pytest.mark.parametrize("name", sorted(set(driver.oracle_sql())))
-def test_no_cross_joins(spark, sf, name):
-    text = plan(driver.queries()[name](spark, sf))
-    assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
-
-
 def test_scans_read_only_what_is_needed(spark, sf):
     text = plan(driver.queries()["target_counts"](spark, sf))
     assert "ReadSchema: struct<l_returnflag:string>" in text and "PushedFilters: [IsNotNull(l_returnflag)]" in text
