@@ -9,6 +9,11 @@ from tabloom.functions.columns import c, is_integer, is_numeric
 # Fixed value: most distinct whole numbers still read as class codes.
 MAX_CLASS_CODES = 10
 
+# A coarse sketch: 128 registers, a small aggregation buffer. Values fill at most
+# as many registers as there are values, so n of them (n well below 128) give an
+# estimate of at most 128 ln(128 / (128 - n)), 16 for n = 15: below 2n for sure.
+SKETCH_ERROR = 0.1
+
 CLASSIFICATION, REGRESSION = "classification", "regression"
 
 
@@ -32,10 +37,9 @@ def problem_type_rule(dtype: T.DataType, rows: int, filled: int, distinct: int)
 def bounded_distinct(df: DataFrame, name: str, limit: int) -> int:
     """Exact distinct count when at most ``limit``, else ``limit + 1``.
 
-    The sketch settles wide columns without a shuffle of their values: with at
-    most ``limit`` distinct values it cannot exceed twice that number.
+    The sketch settles wide columns without a shuffle of their values.
     """
-    if df.agg(F.approx_count_distinct(c(name), 0.02)).first()[0] > 2 * limit:
+    if df.agg(F.approx_count_distinct(c(name), SKETCH_ERROR)).first()[0] > 2 * limit:
         return limit + 1
     return df.select(c(name)).where(c(name).isNotNull()).distinct().limit(limit + 1).count()
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabloom.functions.columns import c, case_sensitive, text_columns, unique_names
+from tabloom.operators.detect import SKETCH_ERROR
 from tabloom.session import BROADCAST_ROWS, broadcast_if_small, durable
 
 # Most levels that are one-hot encoded, most that are label-encoded.
@@ -28,16 +29,11 @@ class Levels:
 
 
 def distinct_estimates(columns: list[str]) -> list[Column]:
-    return [F.approx_count_distinct(c(n), 0.02) for n in columns]
+    return [F.approx_count_distinct(c(n), SKETCH_ERROR) for n in columns]
 
 
 def surely_above(estimate: int, limit: int) -> bool:
-    """True only if more than ``limit`` values are certain.
-
-    So few values fill at most ``limit`` of the sketch's thousands of
-    registers, and the estimate grows with the filled registers alone; twice
-    the limit is out of reach.
-    """
+    """True only if more than ``limit`` values are certain (see SKETCH_ERROR)."""
     return estimate > 2 * limit
 
 

@@ -28,8 +28,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Fixed value: neighbours that vote.
 NEIGHBOURS = 3
 
-TRAIN_BLOCK = 4096
-QUERY_BLOCK = 1024
+# Most rows, and most bytes of training vectors, in one block. Large blocks are
+# copied to fewer partners; inside a block the distances are made tile by tile.
+TRAIN_BLOCK = 32_768
+QUERY_BLOCK = 8_192
+BLOCK_BYTES = 16 * 1024 * 1024
+QUERY_TILE, TRAIN_TILE = 256, 4096
 MAX_PIVOTS = 2048
 MAX_PIVOT_BYTES = 32 * 1024 * 1024
 
@@ -51,13 +55,40 @@ def _stack(series: pd.Series) -> np.ndarray:
     return np.stack(series.to_numpy()) if len(series) else np.zeros((0, 0))
 
 
+def _nearest(q: np.ndarray, t: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and squared distance of the k nearest of ``t`` per row of ``q``.
+
+    Equal distances keep the order of ``t``: every tile passes on all that ties
+    with its k-th distance, and the final order is by distance, then column.
+    """
+    parts = []
+    for at in range(0, len(q), QUERY_TILE):
+        tile = q[at:at + QUERY_TILE]
+        rows, cols, dist = [], [], []
+        for start in range(0, len(t), TRAIN_TILE):
+            far = _squared(tile, t[start:start + TRAIN_TILE])
+            last = min(k, far.shape[1]) - 1
+            edge = np.partition(far, last, axis=1)[:, last]
+            r, c = np.nonzero(far <= edge[:, None])
+            rows.append(r)
+            cols.append(c + start)
+            dist.append(far[r, c])
+        r, c, d = np.concatenate(rows), np.concatenate(cols), np.concatenate(dist)
+        order = np.lexsort((c, d, r))
+        r, c, d = r[order], c[order], d[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        keep = place < k
+        parts.append((r[keep] + at, c[keep], d[keep]))
+    return tuple(np.concatenate(columns) for columns in zip(*parts))
+
+
 def _assign(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Add the nearest pivot and the distance to it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for start in range(0, len(batch), QUERY_BLOCK):
-                part = batch.iloc[start:start + QUERY_BLOCK]
+            for start in range(0, len(batch), QUERY_TILE):
+                part = batch.iloc[start:start + QUERY_TILE]
                 far = _squared(_stack(part["vec"]), pivots)
                 cell = far.argmin(axis=1)
                 yield part.assign(cell=cell.astype("int64"), radius=np.sqrt(far[np.arange(len(part)), cell]))
@@ -80,8 +111,8 @@ def _cells_to_visit(queries: DataFrame, pivots: np.ndarray, cells: pd.DataFrame,
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for start in range(0, len(batch), QUERY_BLOCK):
-                part = batch.iloc[start:start + QUERY_BLOCK]
+            for start in range(0, len(batch), QUERY_TILE):
+                part = batch.iloc[start:start + QUERY_TILE]
                 far = np.sqrt(_squared(_stack(part["vec"]), centres))
                 own = part["cell"].to_numpy()
                 near = part["radius"].to_numpy()[:, None]
@@ -126,17 +157,12 @@ def _meet(queries: DataFrame, train: DataFrame, sizes: DataFrame, k: int) -> Dat
         if q.empty or t.empty:
             return empty
         t = t.sort_values("nid", kind="stable")
-        far = _squared(_stack(q["vec"]), _stack(t["vec"]))
-        kk = min(k, len(t))
-        # Stable: equal distances keep the order of the neighbour ids.
-        pick = np.argsort(far, axis=1, kind="stable")[:, :kk]
-        rows = np.repeat(np.arange(len(q)), kk)
-        cols = pick.ravel()
+        rows, cols, far = _nearest(_stack(q["vec"]), _stack(t["vec"]), k)
         return pd.DataFrame({
             "qid": q["qid"].to_numpy()[rows],
             "nid": t["nid"].to_numpy()[cols],
             "label": t["label"].to_numpy()[cols],
-            "distance2": far[rows, cols],
+            "distance2": far,
         })
 
     # One row per cell, so at most MAX_PIVOTS rows are broadcast.
@@ -160,11 +186,12 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _blocks(queries: DataFrame, train_cells: DataFrame) -> DataFrame:
+def _blocks(queries: DataFrame, train_cells: DataFrame, width: int) -> DataFrame:
+    per_block = min(TRAIN_BLOCK, max(256, BLOCK_BYTES // (8 * max(1, width))))
     q = queries.groupBy("cell").agg(F.count("*").alias("nq"))
     return train_cells.join(q, "cell").select(
         "cell",
-        F.ceil(F.col("n") / TRAIN_BLOCK).alias("t_blocks"),
+        F.ceil(F.col("n") / per_block).alias("t_blocks"),
         F.ceil(F.col("nq") / QUERY_BLOCK).alias("q_blocks"),
     )
 
@@ -199,12 +226,12 @@ def knn_join(train: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataF
     train_cells = train.groupBy("cell").agg(F.count("*").alias("n"), F.max("radius").alias("radius"))
     cells = train_cells.orderBy("cell").toPandas()
 
-    own = durable(_meet(distinct, train, _blocks(distinct, train_cells), k), "knn-own")
+    own = durable(_meet(distinct, train, _blocks(distinct, train_cells, pivots.shape[1]), k), "knn-own")
     reached = own.groupBy("qid").agg(F.count("*").alias("found"), F.max("distance2").alias("kth"))
     bounded = distinct.join(reached, "qid", "left").withColumn(
         "bound", F.when(F.col("found") >= k, F.sqrt("kth")).otherwise(F.lit(float("inf")))).drop("found", "kth")
     others = durable(_cells_to_visit(bounded, pivots, cells, k), "knn-visits")
-    rest = _meet(others, train, _blocks(others, train_cells), k)
+    rest = _meet(others, train, _blocks(others, train_cells, pivots.shape[1]), k)
     answers = _best(own.drop("rank").unionByName(rest.drop("rank")), k)
     rep = distinct.select("vec", F.col("qid").alias("rep"))
     return (

@@ -17,7 +17,7 @@ from tabloom.operators.clean import (
     drop_excluded,
     numeric_text_types,
 )
-from tabloom.operators.detect import MAX_CLASS_CODES, bounded_distinct, problem_type_rule
+from tabloom.operators.detect import MAX_CLASS_CODES, SKETCH_ERROR, bounded_distinct, problem_type_rule
 from tabloom.operators.encode import class_table, distinct_estimates, encode_target, fit_levels
 from tabloom.operators.impute import apply_fills, drop_incomplete_rows, fit_fills
 from tabloom.operators.scale import fit_scaler
@@ -81,7 +81,7 @@ def _facts(base: DataFrame, names: list[str], target: str) -> _Facts:
     for i, n in enumerate(text):
         cell = strip_number_format(c(n))
         aggs += [F.count(parse_number(cell)).alias(f"number_{i}"), F.count(parse_integer(cell)).alias(f"integer_{i}")]
-    aggs += [F.approx_count_distinct(F.when(c(target).isNotNull(), c(n)), 0.02).alias(f"sketch_{i}")
+    aggs += [F.approx_count_distinct(F.when(c(target).isNotNull(), c(n)), SKETCH_ERROR).alias(f"sketch_{i}")
              for i, n in enumerate(sketched)]
     row = base.agg(*aggs).first()
     filled = {n: row[f"filled_{i}"] for i, n in enumerate(names)}

@@ -56,6 +56,17 @@ def test_vote_ties_go_to_the_smallest_class(spark):
     assert knn.knn_votes(near).agg(F.sum("share")).first()[0] == pytest.approx(2)
 
 
+def test_tiles_agree_with_one_sort(monkeypatch):
+    monkeypatch.setattr(knn, "QUERY_TILE", 3)
+    monkeypatch.setattr(knn, "TRAIN_TILE", 4)
+    rng = np.random.default_rng(5)
+    q, t = rng.integers(0, 3, (10, 2)).astype(float), rng.integers(0, 3, (23, 2)).astype(float)
+    rows, cols, far = knn._nearest(q, t, 3)
+    want = np.argsort(knn._squared(q, t), axis=1, kind="stable")[:, :3]
+    assert cols.reshape(10, 3).tolist() == want.tolist() and rows.tolist() == np.repeat(np.arange(10), 3).tolist()
+    assert far.tolist() == knn._squared(q, t)[rows, cols].tolist()
+
+
 def test_squared_distances():
     a, b = np.array([[0.0, 0.0], [1.0, 2.0]]), np.array([[3.0, 4.0]])
     assert knn._squared(a, b).tolist() == [[25.0], [8.0]]
