@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from tabloom.catalog.registry import Tables, query
 from tabloom.operators import knn, models
-from tabloom.operators.clean import ROW_KEY
 from tabloom.operators.split import TEST, TRAIN, split_exact
 from tabloom.plans import PrepConfig, prepare, train_suite
 
@@ -131,5 +130,3 @@ def train_suite_classification(t: Tables):
 def train_suite_regression(t: Tables):
     return train_suite(part_prices(t)).leaderboard()
 
-
-__all__ = ["ROW_KEY", "document_quality", "neighbours", "part_prices", "vector_table"]

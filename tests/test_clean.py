@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import normalise
-from tabloom.functions.numbers import parse_number
+from tabloom.functions.numbers import parse_number, strip_number_format
 from tabloom.functions.records import human_size
 from tabloom.operators import clean, detect, encode, impute, quantiles, scale, split
 from tabloom.operators.clean import COPIES, ROW_KEY
@@ -19,6 +19,15 @@ def test_parse_number_agrees_with_pandas(spark):
     assert [None if np.isnan(w) else w for w in want] == got
 
 
+def test_formatted_number_agrees_with_pandas(spark):
+    cells = ["$1,200", " $ 30 ", "%5", "1,2,3", "5 %", "-$4", "$-4", "inf%", "abc", "$", "", "I", "12abc", "1e3$", ",,7"]
+    df = spark.createDataFrame(list(enumerate(cells)), "i long, s string")
+    got = [r[0] for r in df.orderBy("i").select(parse_number(strip_number_format(F.col("s")))).collect()]
+    bare = pd.Series(cells).str.replace("[$%,]", "", regex=True).str.strip()
+    want = pd.to_numeric(bare, errors="coerce").astype(float)
+    assert [None if np.isnan(w) else w for w in want] == got
+
+
 def test_human_size_rounds_half_even(spark):
     sizes = [0, 1023, 1024, 1280, 1331, 1048575, 1048576, 1310720, 5 * 1024**3]
     df = spark.createDataFrame(list(enumerate(sizes)), "i long, n long")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tabloom.functions.columns import c
 from tabloom.operators import score
 from tabloom.operators.clean import ROW_KEY
-from tabloom.operators.models import Fitted
+from tabloom.operators.models import Fitted, assemble
 from tabloom.plans import PrepConfig, PrepState, prepare, score_table, train_suite
 from tabloom.plans.train import summary_json, train_models
 
@@ -156,8 +156,7 @@ def test_scoring_sorts_out_bad_rows(spark, table):
     got = {r[ROW_KEY]: (r["label"], r["reason"]) for r in score_table(rows, prep.state, trained.best, prep.classes, ["id"]).collect()}
     assert got["1"][1] is None and got["2"][1] is None
     assert got["3"] == (None, "sex: missing") and got["4"] == (None, "price: missing")
-    shares = trained.best.class_shares(
-        __import__("tabloom.operators.models", fromlist=["assemble"]).assemble(prep.test(), prep.state.features), ROW_KEY)
+    shares = trained.best.class_shares(assemble(prep.test(), prep.state.features), ROW_KEY)
     pct = score.class_percentages(shares, prep.classes, ROW_KEY)
     assert pct.groupBy(ROW_KEY).agg(F.sum("percentage").alias("s")).where("abs(s - 100) > 0.11").count() == 0
 
