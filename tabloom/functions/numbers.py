@@ -7,7 +7,6 @@ from pyspark.sql import Column, functions as F
 # Characters removed from formatted numbers, and what a number
 # looks like. ``\s`` is space, tab, line breaks, form feed and vertical tab.
 FORMAT_CHARACTERS = ["$", "%", ","]
-NUMBER_START = r"^[\s$%,]*[-+.0-9iI]"
 NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 INTEGER = r"^\s*[+-]?[0-9]+\s*$"
 INFINITE = r"(?i)^\s*[+-]?inf(inity)?\s*$"
@@ -15,15 +14,10 @@ NOT_A_NUMBER = r"(?i)^\s*[+-]?nan\s*$"
 
 
 def strip_number_format(col: Column) -> Column:
-    """``$1,200`` -> ``1200``, ``12 %`` -> ``12 ``; the parsers skip blanks.
-
-    Text that does not begin like a number becomes NULL at its first
-    character, so long prose is not searched through.
-    """
-    bare = col
+    """``$1,200`` -> ``1200``, ``12 %`` -> ``12 ``; the parsers skip blanks."""
     for character in FORMAT_CHARACTERS:
-        bare = F.replace(bare, F.lit(character))
-    return F.when(col.rlike(NUMBER_START), bare)
+        col = F.replace(col, F.lit(character))
+    return col
 
 
 def parse_number(col: Column) -> Column:
