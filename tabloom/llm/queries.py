@@ -8,26 +8,46 @@ from pyspark.sql import DataFrame, SparkSession
 from tabloom.llm import sql
 from tabloom.llm.compression_bands import compression_bands
 from tabloom.llm.decontaminate import decontaminate
+from tabloom.llm.licences import scan_licences
 from tabloom.llm.mixing import assign
+from tabloom.llm.personal_data import find_personal_data
+from tabloom.llm.quality_qda import score_quality
 from tabloom.llm.registry import QUERIES, SQL, query, table
+from tabloom.llm.secrets_grammar import find_secrets
 from tabloom.llm.simhash_dedup import near_duplicates
 from tabloom.llm.token_files import encode_and_read_back
+from tabloom.llm.toxicity import score_toxicity
 
 __all__ = ["QUERIES", "SQL", "TOKENIZER"]
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+@query("op1_licence_rules")
+def _licences(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licences(table(spark, folder, "documents"))
+
+
 @query("op2_compression_bands")
 def _bands(spark: SparkSession, folder: str) -> DataFrame:
     return compression_bands(table(spark, folder, "documents"))
 
 
+@query("op3_personal_data")
+def _personal(spark: SparkSession, folder: str) -> DataFrame:
+    return find_personal_data(table(spark, folder, "documents")).drop("terms")
+
+
 @query("op4_mix_sources", sql.MIX_SOURCES)
 def _mix(spark: SparkSession, folder: str) -> DataFrame:
     return assign(table(spark, folder, "documents"))
 
 
+@query("op5_toxicity")
+def _toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"), threshold=0.3)
+
+
 @query("op6_decontaminate", sql.DECONTAMINATE)
 def _decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -38,6 +58,16 @@ def _simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), shingle=4, distance=4)
 
 
+@query("op8_quality")
+def _quality(spark: SparkSession, folder: str) -> DataFrame:
+    return score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"), threshold=0.7)
+
+
 @query("op9_token_files")
 def _tokens(spark: SparkSession, folder: str) -> DataFrame:
     return encode_and_read_back(table(spark, folder, "documents"), TOKENIZER)
+
+
+@query("op10_secrets")
+def _secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return find_secrets(table(spark, folder, "documents"))
