@@ -53,7 +53,7 @@ class Grammar:
     sample: int = 400
     alpha: float = 0.05
     longest: int = 64
-    threshold: float = 0.35
+    threshold: float = 0.25
     floor: float = 1e-4
 
 

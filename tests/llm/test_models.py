@@ -56,7 +56,7 @@ def test_automaton_generalises_a_format():
     assert len(automaton.edges) < 60 < sum(len(set(w[:k] for w in words)) for k in range(27))
     formats = Formats({"x": automaton}, {}, {})
     seen, other = shape("AKZZ0123456789ABCDEF-123456"), shape("hello-there/this=is+prose")
-    assert formats.score(seen, 1e-4) > 0.35 > formats.score(other, 1e-4)
+    assert formats.score(seen, 1e-4) > 0.25 > formats.score(other, 1e-4)
 
 
 def test_formats_found_in_texts(spark):
