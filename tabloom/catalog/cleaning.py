@@ -31,7 +31,7 @@ SELECT p_name, p_brand, p_type, count(*) AS copies, CAST(min(p_partkey) AS VARCH
 FROM part GROUP BY ALL""")
 def dedup_after_drop(t: Tables):
     kept = clean.drop_excluded(t.part, ["p_size", "p_retailprice", "no_such_column"], "p_type")
-    return clean.distinct_rows(kept, ["p_partkey"]).withColumnsRenamed(
+    return clean.distinct_rows(kept, ["p_partkey"], ignored=["p_partkey"]).withColumnsRenamed(
         {clean.COPIES: "copies", clean.ROW_KEY: "first_key"})
 
 
@@ -62,15 +62,13 @@ def clean_detect_rate(t: Tables):
 
 
 @query("detect_problem_type", """
-SELECT 'l_returnflag' AS "column", count(DISTINCT l_returnflag) AS n_distinct, 'classification' AS problem_type FROM lineitem
-UNION ALL SELECT 'l_linenumber', count(DISTINCT l_linenumber),
-  CASE WHEN count(DISTINCT l_linenumber) <= 10 THEN 'classification' ELSE 'regression' END FROM lineitem
-UNION ALL SELECT 'line_or_null', count(DISTINCT nullif(l_linenumber, 3)), 'regression' FROM lineitem
-UNION ALL SELECT 'l_suppkey', count(DISTINCT l_suppkey),
-  CASE WHEN count(DISTINCT l_suppkey) <= 10 THEN 'classification' ELSE 'regression' END FROM lineitem
-UNION ALL SELECT 'l_quantity', count(DISTINCT l_quantity), 'regression' FROM lineitem
-UNION ALL SELECT 'is_open', count(DISTINCT l_linestatus = 'O'), 'regression' FROM lineitem
-UNION ALL SELECT 'nothing', 0, 'classification'""")
+SELECT 'l_returnflag' AS "column", 'classification' AS problem_type
+UNION ALL SELECT 'l_linenumber', CASE WHEN count(DISTINCT l_linenumber) <= 10 THEN 'classification' ELSE 'regression' END FROM lineitem
+UNION ALL SELECT 'line_or_null', 'regression'
+UNION ALL SELECT 'l_suppkey', CASE WHEN count(DISTINCT l_suppkey) <= 10 THEN 'classification' ELSE 'regression' END FROM lineitem
+UNION ALL SELECT 'l_quantity', 'regression'
+UNION ALL SELECT 'is_open', CASE WHEN count(l_linestatus) = count(*) THEN 'regression' ELSE 'classification' END FROM lineitem
+UNION ALL SELECT 'nothing', 'classification'""")
 def detect_problem_type(t: Tables):
     rows = t.lineitem.select(
         "l_returnflag", "l_linenumber", F.expr("nullif(l_linenumber, 3)").alias("line_or_null"), "l_suppkey", "l_quantity",
@@ -82,15 +80,27 @@ def _fill(df, columns, strategy="auto"):
     return impute.apply_fills(df, impute.fit_fills(df, columns, strategy))
 
 
-@query("missing_drop_cols", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+@query("missing_drop_cols", """
+WITH d AS (SELECT * FROM documents LEFT JOIN labels USING (doc_id)),
+gone AS (SELECT round(100.0 * (count(*) - count(quality)) / count(*), 1) > 50 AS quality,
+                round(100.0 * (count(*) - count(toxic)) / count(*), 1) > 50 AS toxic FROM d)
+SELECT doc_id, text, lang, source, n_chars,
+       (SELECT concat_ws(',', CASE WHEN NOT quality THEN 'quality' END, CASE WHEN NOT toxic THEN 'toxic' END) FROM gone) AS kept
+FROM d""")
 def missing_drop_cols(t: Tables):
-    return _fill(labelled_documents(t), ["text", "lang", "quality", "toxic"])
+    filled = _fill(labelled_documents(t), ["text", "lang", "quality", "toxic"])
+    kept = [n for n in ("quality", "toxic") if n in filled.columns]
+    return filled.select("doc_id", "text", "lang", "source", "n_chars", F.lit(",".join(kept)).alias("kept"))
 
 
-@query("missing_drop_cols_any", "SELECT o_orderkey, o_orderpriority FROM orders")
+@query("missing_drop_cols_any", """
+SELECT o_orderkey, o_orderpriority,
+       (SELECT CASE WHEN count(nullif(o_custkey, 1)) = count(*) THEN 'o_custkey' ELSE '' END FROM orders) AS kept FROM orders""")
 def missing_drop_cols_any(t: Tables):
     rows = t.orders.select("o_orderkey", "o_orderpriority", F.expr("nullif(o_custkey, 1)").alias("o_custkey"))
-    return _fill(rows, ["o_orderpriority", "o_custkey"], "drop")
+    filled = _fill(rows, ["o_orderpriority", "o_custkey"], "drop")
+    return filled.select("o_orderkey", "o_orderpriority",
+                         F.lit("o_custkey" if "o_custkey" in filled.columns else "").alias("kept"))
 
 
 @query("missing_drop_rows", "SELECT doc_id, lang, n_chars, quality, toxic FROM documents JOIN labels USING (doc_id)")
@@ -110,13 +120,15 @@ def impute_median(t: Tables):
     return _fill(rows, ["l_extendedprice", "l_discount", "l_quantity"])
 
 
-_MEDIANS = ["l_extendedprice", "l_discount", "l_quantity", "l_tax", "l_partkey", "l_suppkey"]
+_MEDIANS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "zeros"]
+_ZEROS = "CASE WHEN l_orderkey % 2 = 0 THEN 0 ELSE l_extendedprice END"
 
 
 @query("median_distributed", " UNION ALL ".join(
-    f"""SELECT '{n}' AS "column", round_even(median({n}), 4) AS median FROM lineitem""" for n in _MEDIANS))
+    f"""SELECT '{n}' AS "column", round_even(median({n}), 4) AS median
+    FROM (SELECT *, {_ZEROS} AS zeros FROM lineitem)""" for n in _MEDIANS))
 def median_distributed(t: Tables):
-    found = quantiles.exact_medians(t.lineitem, _MEDIANS, direct_limit=1000)
+    found = quantiles.exact_medians(t.lineitem.withColumn("zeros", F.expr(_ZEROS)), _MEDIANS)
     rows = t.spark.createDataFrame(list(found.items()), "column string, median double")
     return rows.withColumn("median", F.bround("median", 4))
 
@@ -142,10 +154,15 @@ def drop_null_target(t: Tables):
 
 
 @query("high_card_drop", """
-SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders""")
+SELECT o_orderkey, o_custkey, o_totalprice,
+       (SELECT concat_ws(',', CASE WHEN count(DISTINCT o_orderdate) <= 15 THEN 'o_orderdate' END,
+                              CASE WHEN count(DISTINCT o_orderpriority) <= 15 THEN 'o_orderpriority' END) FROM orders) AS kept
+FROM orders""")
 def high_card_drop(t: Tables):
     rows = normalise(t.orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority"))
-    return rows.drop(*encode.fit_levels(rows).dropped)
+    left = rows.drop(*encode.fit_levels(rows).dropped)
+    kept = [n for n in ("o_orderdate", "o_orderpriority") if n in left.columns]
+    return left.select("o_orderkey", "o_custkey", "o_totalprice", F.lit(",".join(kept)).alias("kept"))
 
 
 @query("encode_binary", """

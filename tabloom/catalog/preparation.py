@@ -90,3 +90,36 @@ UNION ALL {" UNION ALL ".join([
     *[_line("scale", n, "standard", "NULL") for n in _ENCODED + [f"{c}_{v}" for c, v in _DUMMIES]]])}""")
 def prep_summary(t: Tables):
     return prepared(t).summary(t.spark).select("step", "column", "action", "n_affected")
+
+
+def copied_orders(t: Tables):
+    """Orders by three narrow columns, every third one twice: copies, and rows that differ in the key only."""
+    rows = t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority", (F.col("o_custkey") % 40).alias("group_no"))
+    return rows.unionByName(rows.where("o_orderkey % 3 = 0"))
+
+
+_COPIED = """
+src AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, o_custkey % 40 AS group_no FROM orders),
+twice AS (SELECT * FROM src UNION ALL SELECT * FROM src WHERE o_orderkey % 3 = 0)"""
+_LABELLED = """
+SELECT CAST(o_orderkey AS VARCHAR) AS row_key, o_orderstatus,
+       CASE WHEN row_number() OVER (ORDER BY md5('42|' || o_orderkey)) <= ceil(count(*) OVER () * 0.2)
+            THEN 'test' ELSE 'train' END AS split, (SELECT count(*) FROM twice) - count(*) OVER () AS n_copies
+FROM once"""
+
+
+def _kept_rows(t: Tables, excluded: tuple[str, ...]):
+    prep = prepare(copied_orders(t), PrepConfig(target="o_orderstatus", key=("o_orderkey",), excluded=excluded))
+    return prep.data.select(F.col(ROW_KEY).alias("row_key"), "o_orderstatus", "split",
+                            F.lit(prep.facts["n_copies"]).cast("long").alias("n_copies"))
+
+
+@query("prepare_with_duplicates", f"WITH {_COPIED}, once AS (SELECT DISTINCT * FROM twice) {_LABELLED}")
+def prepare_with_duplicates(t: Tables):
+    return _kept_rows(t, ())
+
+
+@query("prepare_key_excluded", f"""WITH {_COPIED}, once AS (
+SELECT min(o_orderkey) AS o_orderkey, o_orderstatus, o_orderpriority, group_no FROM twice GROUP BY 2, 3, 4) {_LABELLED}""")
+def prepare_key_excluded(t: Tables):
+    return _kept_rows(t, ("o_orderkey",))

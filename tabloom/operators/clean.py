@@ -20,29 +20,36 @@ def drop_excluded(df: DataFrame, excluded: list[str], target: str | None = None)
     return df.select([c(n) for n in df.columns if n not in gone])
 
 
-def distinct_rows(df: DataFrame, key: list[str] | None = None) -> DataFrame:
+def distinct_rows(df: DataFrame, key: list[str] | None = None, ignored: list[str] | None = None) -> DataFrame:
     """One row per distinct content, with its number of copies and a row key.
 
-    Copies are summed inside each task first, so a row that fills a third of
-    the table reaches the exchange once per task. The key is the smallest
-    value of the ``key`` columns (as text) among the copies, or without such
-    columns a digest of the row, which is unique after this step.
+    Key columns are compared like any other unless they are ``ignored``; of
+    rows that differ in ignored columns only, the smallest ignored values
+    stay. Copies are summed inside each task first, so a row that fills a
+    third of the table reaches the exchange once per task. The row key is the
+    key columns as text, or without such columns a digest of the row, which is
+    unique after this step.
     """
     key = list(key or [])
+    unseen = [n for n in key if n in (ignored or [])]
     content = [n for n in df.columns if n not in key]
+    compared = [n for n in df.columns if n not in unseen]
     copies = F.count(F.lit(1)).alias(COPIES)
-    if len(key) == 1:
+    if not key:
+        return df.groupBy(*[c(n) for n in content]).agg(copies).select("*", row_digest(content).alias(ROW_KEY))
+    if not unseen:
+        grouped, first = df.groupBy(*[c(n) for n in compared]).agg(copies), {}
+    elif len(unseen) == 1:
         # A number as key keeps the aggregate hash-based.
-        grouped = df.groupBy(*[c(n) for n in content]).agg(copies, F.min(c(key[0])).alias("__first"))
-        return grouped.select(*[c(n) for n in content], COPIES, F.col("__first").cast("string").alias(ROW_KEY))
-    if key:
-        smallest = F.min(F.struct(*[c(n) for n in key]))
-        grouped = df.groupBy(*[c(n) for n in content]).agg(copies, smallest.alias("__first"))
-        fields = [F.col("__first")[n].cast("string") for n in key]
-        return grouped.select(
-            *[c(n) for n in content], COPIES, F.concat_ws("|", *fields).alias(ROW_KEY))
-    grouped = df.groupBy(*[c(n) for n in content]).agg(copies)
-    return grouped.select("*", row_digest(content).alias(ROW_KEY))
+        grouped = df.groupBy(*[c(n) for n in compared]).agg(copies, F.min(c(unseen[0])).alias("__first"))
+        first = {unseen[0]: F.col("__first")}
+    else:
+        smallest = F.min(F.struct(*[c(n) for n in unseen]))
+        grouped = df.groupBy(*[c(n) for n in compared]).agg(copies, smallest.alias("__first"))
+        first = {n: F.col("__first")[n] for n in unseen}
+    parts = [first.get(n, c(n)).cast("string") for n in key]
+    named = parts[0] if len(parts) == 1 else F.concat_ws("|", *parts)
+    return grouped.select(*[c(n) for n in content], COPIES, named.alias(ROW_KEY))
 
 
 def row_digest(columns: list[str]):

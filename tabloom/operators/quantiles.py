@@ -2,46 +2,87 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tabloom.functions.columns import c
 
-# Up to this many cells per column the built-in median's value map is small.
-DIRECT_LIMIT = 1_000_000
-# Rank error of the percentile sketch is at most cells / ACCURACY.
+# Rank error of the percentile sketch is at most cells / ACCURACY; up to ACCURACY cells it is exact.
 ACCURACY = 10_000
 
 
-class _Bracket:
-    """Interval known to hold both middle ranks of one column."""
+class _Search:
+    """The open interval that holds both middle ranks of one column, and how many cells lie below it."""
 
     def __init__(self, name: str, cells: int):
-        self.name, self.cells = name, cells
-        self.low_rank, self.high_rank = (cells - 1) // 2, cells // 2
+        self.name = name
+        self.ranks = ((cells - 1) // 2, cells // 2)
         self.low = self.high = None
         self.below, self.inside = 0, cells
 
-    def mask(self):
+    def inner(self) -> Column:
         v = c(self.name)
-        return v.isNotNull() if self.low is None else v.between(self.low, self.high)
+        mask = v.isNotNull()
+        if self.low is not None:
+            mask = mask & (v > self.low)
+        if self.high is not None:
+            mask = mask & (v < self.high)
+        return F.when(mask, v)
 
     def shares(self) -> list[float]:
-        slack = 2.0 / ACCURACY
+        slack = 0.0 if self.inside <= ACCURACY else 2.0 / ACCURACY
+        first, last = (r - self.below + 1 for r in self.ranks)
+        return [max(0.0, first / self.inside - slack), min(1.0, last / self.inside + slack)]
+
+    def aggregates(self, i: int, low, high) -> list[Column]:
+        """Cells by where they lie, and the values next to the two edges."""
+        v = self.inner()
         return [
-            max(0.0, (self.low_rank - self.below) / self.inside - slack),
-            min(1.0, (self.high_rank - self.below + 1) / self.inside + slack),
+            F.count(F.when(v < low, 1)).alias(f"under_{i}"), F.count(F.when(v == low, 1)).alias(f"low_{i}"),
+            F.count(F.when((v > low) & (v < high), 1)).alias(f"between_{i}"),
+            F.count(F.when(v == high, 1)).alias(f"high_{i}"),
+            F.max(F.when(v < low, v)).alias(f"before_{i}"), F.min(F.when(v > low, v)).alias(f"next_{i}"),
+            F.max(F.when(v < high, v)).alias(f"previous_{i}"), F.min(F.when(v > high, v)).alias(f"after_{i}"),
         ]
 
-
-def exact_medians(df: DataFrame, columns: list[str], counts: dict[str, int] | None = None,
-                  direct_limit: int = DIRECT_LIMIT) -> dict[str, float | None]:
+    def narrow(self, i: int, low, high, row) -> list | None:
+        """The two middle values, or None after the interval became smaller."""
+        parts = [("under", row[f"under_{i}"], row[f"before_{i}"], None), ("low", row[f"low_{i}"], low, low)]
+        if low != high:
+            parts += [("between", row[f"between_{i}"], row[f"previous_{i}"], row[f"next_{i}"]),
+                      ("high", row[f"high_{i}"], high, high)]
+        over = self.inside - sum(p[1] for p in parts)
+        parts.append(("over", over, None, row[f"after_{i}"]))
+        at, places = self.below, []
+        for rank in self.ranks:
+            start = at
+            for name, n, last, first in parts:
+                if rank < start + n:
+                    places.append((name, start, n, last, first))
+                    break
+                start += n
+        (name, start, n, last, first), (name2, _, _, _, first2) = places
+        if name != name2:
+            # Adjacent ranks in two parts: the greatest of one and the smallest of the other.
+            return [last, first2]
+        if name in ("low", "high"):
+            return [first, first]
+        bounds = {"under": (self.low, low), "between": (low, high), "over": (high, self.high)}[name]
+        if (bounds, n) == ((self.low, self.high), self.inside):
+            raise RuntimeError(f"the median of {self.name!r} cannot be narrowed down")
+        (self.low, self.high), self.below, self.inside = bounds, start, n
+        return None
+
+
+def exact_medians(df: DataFrame, columns: list[str], counts: dict[str, int] | None = None) -> dict[str, float | None]:
     """Median per column, the mean of the two middle values, missing ignored.
 
-    The built-in exact median holds every distinct value of a column in one
-    buffer. Past ``direct_limit`` cells the middle ranks are bracketed instead:
-    a percentile sketch with a proven rank error gives an interval, one count
-    pass checks it, and this repeats until few values lie strictly inside. The
-    rest is a frequency table over that interval. All columns share each pass.
+    A percentile sketch names two values around the middle ranks, and one
+    pass counts the cells below, at, between and above them. Middle ranks that
+    fall on a value, or on the border of two parts, are found; otherwise the
+    part that holds them is searched in the same way. An edge is a value of
+    the column and never part of the next interval, so every round is over
+    fewer values, ties included. All columns share each pass, and values keep
+    their own type.
     """
     if not columns:
         return {}
@@ -49,55 +90,17 @@ def exact_medians(df: DataFrame, columns: list[str], counts: dict[str, int] | No
         row = df.agg(*[F.count(c(n)).alias(f"n_{i}") for i, n in enumerate(columns)]).first()
         counts = {n: row[f"n_{i}"] for i, n in enumerate(columns)}
     medians: dict[str, float | None] = {n: None for n in columns if counts[n] == 0}
-    direct = [n for n in columns if 0 < counts[n] <= direct_limit]
-    if direct:
-        row = df.agg(*[F.median(c(n)).alias(f"m_{i}") for i, n in enumerate(direct)]).first()
-        medians.update({n: row[f"m_{i}"] for i, n in enumerate(direct)})
-    brackets = [_Bracket(n, counts[n]) for n in columns if counts[n] > direct_limit]
-    medians.update(_bracketed(df, brackets, direct_limit))
-    return medians
-
-
-def _bracketed(df: DataFrame, brackets: list[_Bracket], direct_limit: int) -> dict[str, float]:
-    open_, closed = list(brackets), []
+    open_ = [_Search(n, counts[n]) for n in columns if counts[n]]
     while open_:
-        row = df.agg(*[
-            F.percentile_approx(F.when(b.mask(), c(b.name)), b.shares(), ACCURACY).alias(f"p_{i}")
-            for i, b in enumerate(open_)
-        ]).first()
-        for i, b in enumerate(open_):
-            b.low, b.high = row[f"p_{i}"]
-        aggs = []
-        for i, b in enumerate(open_):
-            v = c(b.name)
-            aggs += [
-                F.count(F.when(v < b.low, 1)).alias(f"below_{i}"),
-                F.count(F.when(b.mask(), 1)).alias(f"inside_{i}"),
-                F.count(F.when((v > b.low) & (v < b.high), 1)).alias(f"between_{i}"),
-            ]
-        row, still = df.agg(*aggs).first(), []
-        for i, b in enumerate(open_):
-            b.below, b.inside = row[f"below_{i}"], row[f"inside_{i}"]
-            if not b.below <= b.low_rank <= b.high_rank < b.below + b.inside:
-                raise RuntimeError(f"the median of {b.name!r} left its bracket")
-            (closed if row[f"between_{i}"] <= direct_limit else still).append(b)
+        edges = df.agg(*[F.percentile_approx(s.inner(), s.shares(), ACCURACY).alias(f"p_{i}")
+                         for i, s in enumerate(open_)]).first()
+        row = df.agg(*[a for i, s in enumerate(open_) for a in s.aggregates(i, *edges[f"p_{i}"])]).first()
+        still = []
+        for i, s in enumerate(open_):
+            found = s.narrow(i, *edges[f"p_{i}"], row)
+            if found is None:
+                still.append(s)
+            else:
+                medians[s.name] = (found[0] + found[1]) / 2
         open_ = still
-    if not closed:
-        return {}
-    cells = F.array(*[
-        F.struct(F.lit(i).alias("id"), F.when(b.mask(), c(b.name)).cast("double").alias("value"))
-        for i, b in enumerate(closed)
-    ])
-    values = df.select(F.inline(cells)).where("value IS NOT NULL").groupBy("id", "value").agg(F.count("*").alias("n"))
-    running = Window.partitionBy("id").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = values.withColumn("upto", F.sum("n").over(running))
-    spec = {i: b for i, b in enumerate(closed)}
-
-    def at(rank_of):
-        hit = F.lit(False)
-        for i, b in spec.items():
-            hit = hit | ((F.col("id") == i) & (F.col("upto") > rank_of(b) - b.below))
-        return F.min(F.when(hit, F.col("value")))
-
-    rows = upto.groupBy("id").agg(at(lambda b: b.low_rank).alias("lo"), at(lambda b: b.high_rank).alias("hi")).collect()
-    return {spec[r["id"]].name: (r["lo"] + r["hi"]) / 2 for r in rows}
+    return medians

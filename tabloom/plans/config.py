@@ -12,6 +12,8 @@ PROBLEM_TYPES = ["auto", "classification", "regression"]
 
 @dataclass(frozen=True)
 class PrepConfig:
+    """``key`` names the rows and is compared when copies are looked for, unless it is ``excluded`` too."""
+
     target: str
     excluded: tuple[str, ...] = ()
     key: tuple[str, ...] = ()

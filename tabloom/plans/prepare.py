@@ -24,7 +24,7 @@ from tabloom.operators.scale import fit_scaler
 from tabloom.operators.split import TEST, TRAIN, Cut, apply_cut, fit_cut
 from tabloom.plans.config import PrepConfig
 from tabloom.plans.state import PrepState
-from tabloom.session import durable
+from tabloom.session import collecting, durable, remove
 
 STEP_SCHEMA = "position long, step string, column string, action string, n_affected long, detail string"
 
@@ -40,6 +40,12 @@ class PrepResult:
     classes: DataFrame | None
     class_labels: list | None
     steps: list[tuple] = field(default_factory=list)
+    facts: dict[str, int] = field(default_factory=dict)
+    tables: list[str] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Remove the intermediate tables; ``data`` and ``classes`` cannot be read any more."""
+        remove(self.data.sparkSession, self.tables)
 
     def train(self) -> DataFrame:
         return self.data.where(F.col("split") == TRAIN)
@@ -97,6 +103,17 @@ def _facts(base: DataFrame, names: list[str], target: str) -> _Facts:
 def prepare(df: DataFrame, config: PrepConfig) -> PrepResult:
     """Clean, fill, encode, scale and split a table.
 
+    The result's ``release`` removes the intermediate tables.
+    """
+    with collecting() as tables:
+        prep = _prepare(df, config)
+    prep.tables = tables
+    return prep
+
+
+def _prepare(df: DataFrame, config: PrepConfig) -> PrepResult:
+    """The steps in order.
+
     One exchange removes duplicates and its result is written once; all that
     follows is a handful of column-pruned aggregates over that table and, at
     the end, a single projection.
@@ -111,7 +128,7 @@ def prepare(df: DataFrame, config: PrepConfig) -> PrepResult:
         if n not in kept.columns:
             steps.append(("exclude", n, "dropped", None, None))
 
-    base = durable(distinct_rows(kept, key), "rows")
+    base = durable(distinct_rows(kept, key, [n for n in key if n in config.excluded]), "rows")
     names = [n for n in kept.columns if n not in key]
     facts = _facts(base, names, target)
     steps.insert(0, ("load", None, "read", facts.copies, f"{len(raw.columns)} columns"))
@@ -138,7 +155,7 @@ def prepare(df: DataFrame, config: PrepConfig) -> PrepResult:
     complete = cleaned
     if config.missing_strategy == "drop_rows":
         complete = drop_incomplete_rows(cleaned, inputs)
-        steps.append(("missing", None, "rows dropped", None, None))
+        steps.append(("missing", None, "rows dropped", facts.rows - complete.count(), None))
     n_unlabelled = facts.rows - filled[target]
     if n_unlabelled:
         complete = complete.where(c(target).isNotNull())
@@ -186,7 +203,8 @@ def prepare(df: DataFrame, config: PrepConfig) -> PrepResult:
         data = data.withColumn("label", _as_number(c(target), complete.schema[target].dataType))
     data = apply_cut(data, F.col(ROW_KEY), cut, config.seed)
     steps.append(("split", None, "train/test", cut.n_rows, f"{cut.n_rows - cut.n_test}/{cut.n_test}"))
-    return PrepResult(data, state, config, cut, classes, labels, steps)
+    counted = {"n_read": facts.copies, "n_columns": len(raw.columns), "n_copies": facts.copies - facts.rows}
+    return PrepResult(data, state, config, cut, classes, labels, steps, counted)
 
 
 def _as_number(col, dtype):

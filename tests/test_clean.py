@@ -33,10 +33,7 @@ def test_human_size_rounds_half_even(spark):
     df = spark.createDataFrame(list(enumerate(sizes)), "i long, n long")
     got = [r[0] for r in df.orderBy("i").select(human_size(F.col("n"))).collect()]
 
-    def words(n):
-        return f"{n} B" if n < 1024 else f"{n / 1024:.1f} KB" if n < 1024**2 else f"{n / 1024**2:.1f} MB"
-
-    assert got == [words(n) for n in sizes]
+    assert got == ["0 B", "1023 B", "1.0 KB", "1.2 KB", "1.3 KB", "1024.0 KB", "1.0 MB", "1.2 MB", "5120.0 MB"]
 
 
 def test_normalise_makes_nan_null(spark):
@@ -57,9 +54,16 @@ def test_duplicates_count_nulls_as_equal(spark):
 
 def test_key_is_the_smallest_among_copies(spark):
     df = spark.createDataFrame([(10, 1, "a"), (9, 2, "a"), (3, 1, "b")], "k long, j long, s string")
-    one = {r["s"]: r[ROW_KEY] for r in clean.distinct_rows(df.drop("j"), ["k"]).collect()}
-    two = {r["s"]: r[ROW_KEY] for r in clean.distinct_rows(df, ["k", "j"]).collect()}
+    one = {r["s"]: r[ROW_KEY] for r in clean.distinct_rows(df.drop("j"), ["k"], ["k"]).collect()}
+    two = {r["s"]: r[ROW_KEY] for r in clean.distinct_rows(df, ["k", "j"], ["k", "j"]).collect()}
     assert one == {"a": "9", "b": "3"} and two == {"a": "9|2", "b": "3|1"}
+    part = {r["s"]: r[ROW_KEY] for r in clean.distinct_rows(df.withColumn("j", F.lit(7)), ["k", "j"], ["k"]).collect()}
+    assert part == {"a": "9|7", "b": "3|7"}
+
+
+def test_key_is_compared_unless_ignored(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (2, "a")], "k long, s string")
+    assert sorted((r[ROW_KEY], r[COPIES]) for r in clean.distinct_rows(df, ["k"]).collect()) == [("1", 1), ("2", 2)]
 
 
 def test_number_formats(spark):
@@ -74,8 +78,8 @@ def test_number_formats(spark):
 
 
 @pytest.mark.parametrize("schema, values, want", [
-    ("y string", ["yes", "no", "yes", "maybe"], "classification"),
-    ("y double", [1.2, 3.4, 2.7, 5.8], "regression"),
+    ("y string", ["red", "green", "red", "blue"], "classification"),
+    ("y double", [0.5, 9.25, -4.75, 2.125], "regression"),
     ("y long", [0, 1, 1, 0], "classification"),
     ("y long", [0, 1, None, 0], "regression"),
     ("y long", list(range(11)), "regression"),
@@ -102,11 +106,20 @@ def test_bracketed_median_is_exact(spark, n, hot):
     b = rng.integers(-5, 6, n).astype(float)
     pdf = pd.DataFrame({"a": a, "b": b, "c": np.where(rng.random(n) < 0.3, np.nan, a)})
     df = normalise(spark.createDataFrame(pdf).repartition(5))
-    got = quantiles.exact_medians(df, ["a", "b", "c"], direct_limit=10)
+    got = quantiles.exact_medians(df, ["a", "b", "c"])
     for name in pdf:
         assert got[name] == pytest.approx(pdf[name].median(), rel=1e-12)
 
 
+def test_median_of_a_heavy_tie_ends(spark):
+    zeros = spark.range(40_003).select(F.lit(0.0).alias("x"))
+    rest = spark.range(39_997).select((F.col("id") + 1.5).alias("x"))
+    assert quantiles.exact_medians(zeros.unionByName(rest), ["x"]) == {"x": 0.0}
+    even = spark.range(40_000).select(F.lit(0).cast("long").alias("x")).unionByName(
+        spark.range(40_000).select((F.col("id") + (1 << 60)).alias("x")))
+    assert quantiles.exact_medians(even, ["x"]) == {"x": (1 << 60) / 2}
+
+
 def test_fills_agree_with_pandas(spark):
     pdf = pd.DataFrame({
         "n": [1.0, None, 4.0, 10.0, 2.0], "s": ["b", "a", None, "a", "b"], "wide": [None, None, None, 1.0, 2.0],
