@@ -1,6 +1,5 @@
 """The model families, each trained on a prepared table."""
 
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from tabloom.catalog.registry import Tables, query
@@ -35,12 +34,71 @@ SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope,
        round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept FROM lineitem""")
 def linreg_coef(t: Tables):
     rows = models.assemble(t.lineitem.select("l_quantity", F.col("l_extendedprice").alias("label")), ["l_quantity"])
-    fitted = LinearRegression(regParam=0.0, solver="normal").fit(rows)
+    fitted = models.fit_model("linear_regression", rows, rows.count(), 1).model
     return t.spark.createDataFrame(
         [(float(fitted.coefficients[0]), float(fitted.intercept))], "slope double, intercept double"
     ).select(F.round("slope", 4).alias("slope"), F.round("intercept", 2).alias("intercept"))
 
 
+# With the levels of one column as features, the best a model can do is known: the mean, or the majority, of each level.
+_TYPE = "CASE WHEN o_orderpriority < '3' THEN 'high' WHEN o_orderpriority < '4' THEN 'middle' ELSE 'low' END"
+_PRICE = f"(o_totalprice + CASE {_TYPE} WHEN 'high' THEN 100000 WHEN 'middle' THEN 400000 ELSE 0 END)"
+_LATE = f"(CASE WHEN o_orderkey % 10 < CASE {_TYPE} WHEN 'high' THEN 8 WHEN 'middle' THEN 1 ELSE 6 END THEN 1 ELSE 0 END)"
+
+
+def levels_table(t: Tables, target: str):
+    """Two indicator columns for three levels, and the target, split by key."""
+    rows = t.orders.select("o_orderkey", F.expr(_TYPE).alias("level"), F.expr(target).cast("double").alias("label"))
+    rows = rows.withColumns({n: (F.col("level") == n).cast("double") for n in ("high", "middle")})
+    return split_exact(rows, F.col("o_orderkey").cast("string"))
+
+
+def level_predictions(t: Tables, name: str, target: str, n_classes: int = 0):
+    """What the model says about the rows it has not seen, per level."""
+    rows = models.assemble(levels_table(t, target), ["high", "middle"])
+    train = rows.where(F.col("split") == TRAIN)
+    fitted = models.fit_model(name, train, train.count(), 2, n_classes, trees=20)
+    return fitted.transform(rows.where(F.col("split") == TEST)).groupBy("level").agg(
+        F.min("prediction").alias("least"), F.max("prediction").alias("most"), F.count("*").alias("n_rows"))
+
+
+_LEVELS_SQL = """
+WITH r AS (SELECT {level} AS level, CAST({target} AS DOUBLE) AS label,
+             row_number() OVER (ORDER BY md5('42|' || o_orderkey)) <= ceil(count(*) OVER () * 0.2) AS is_test FROM orders),
+best AS (SELECT level, {best} AS prediction FROM r WHERE NOT is_test GROUP BY level)
+SELECT level, prediction AS least, prediction AS most, count(*) AS n_rows
+FROM r JOIN best USING (level) WHERE is_test GROUP BY level, prediction"""
+_MEANS = _LEVELS_SQL.format(level=_TYPE, target=_PRICE, best="round(avg(label), 2)")
+_MAJORITIES = _LEVELS_SQL.format(level=_TYPE, target=_LATE, best="round(avg(label))")
+
+
+def _register_levels(model: str, target: str, sql: str, n_classes: int):
+    @query(f"levels_{model}", sql)
+    def build(t: Tables):
+        return level_predictions(t, model, target, n_classes).withColumns(
+            {n: F.round(n, 2) for n in ("least", "most")})
+
+
+for _model in ("linear_regression", "decision_tree_regressor", "gradient_boosting_regressor"):
+    _register_levels(_model, _PRICE, _MEANS, 0)
+for _model in ("logistic_regression", "decision_tree", "random_forest", "svm"):
+    _register_levels(_model, _LATE, _MAJORITIES, 2)
+
+
+@query("levels_random_forest_regressor", f"""
+WITH r AS (SELECT {_TYPE} AS level, CAST({_PRICE} AS DOUBLE) AS label,
+             row_number() OVER (ORDER BY md5('42|' || o_orderkey)) <= ceil(count(*) OVER () * 0.2) AS is_test FROM orders),
+best AS (SELECT level, avg(label) AS mean, stddev_pop(label) / sqrt(count(*)) AS error FROM r WHERE NOT is_test GROUP BY level)
+SELECT level, count(*) AS n_rows, max(error) < 0.2 * max(mean) AS near_mean FROM r JOIN best USING (level) WHERE is_test GROUP BY level""")
+def levels_random_forest_regressor(t: Tables):
+    """Bootstrapped trees come near the mean of a level, by its standard error."""
+    found = level_predictions(t, "random_forest_regressor", _PRICE)
+    means = levels_table(t, _PRICE).where(F.col("split") == TRAIN).groupBy("level").agg(
+        F.avg("label").alias("mean"), (F.stddev_pop("label") / F.sqrt(F.count("*"))).alias("error"))
+    off = F.greatest(F.abs(F.col("least") - F.col("mean")), F.abs(F.col("most") - F.col("mean")))
+    return found.join(means, "level").select("level", "n_rows", (off <= F.col("error")).alias("near_mean"))
+
+
 @query("linreg")
 def linreg(t: Tables):
     return _scores(part_prices(t), "linear_regression")

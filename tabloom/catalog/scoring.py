@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tabloom.catalog.modelling import NEIGHBOURS_SQL, document_quality, neighbours, vector_table
 from tabloom.catalog.registry import Tables, query
 from tabloom.operators import encode, knn, score
+from tabloom.operators.clean import ROW_KEY
 from tabloom.operators.models import Fitted, KnnModel
 from tabloom.operators.scale import apply_scaler, fit_scaler
 from tabloom.operators.split import TEST, TRAIN, split_exact
@@ -43,12 +44,27 @@ def score_scale(t: Tables):
         "o_orderkey", *[F.bround(n, 4).alias(n) for n in ("o_totalprice", "o_custkey")])
 
 
-@query("score_batch")
+@query("score_batch", """
+SELECT CAST(d.doc_id AS VARCHAR) AS row_key,
+  CASE WHEN doc_id % 7 = 1 THEN 'n_chars: not numeric' WHEN doc_id % 11 = 3 THEN 'toxic: not numeric'
+       WHEN doc_id % 7 = 2 THEN 'n_chars: missing' WHEN toxic IS NULL THEN 'toxic: missing' END AS reason,
+  reason IS NULL AS has_prediction, reason IS NULL AS sums_to_100
+FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def score_batch(t: Tables):
+    """Every document, with unreadable and missing cells put in; the unlabelled ones have no ``toxic``."""
     prep = document_quality(t)
     trained = train_suite(prep, ["logistic_regression"])
-    rows = t.documents.select("doc_id", "lang", "n_chars").withColumn("toxic", F.lit(0).cast("long"))
-    return score_table(rows, prep.state, trained.best, prep.classes, key=["doc_id"])
+    rows = t.documents.join(t.labels.select("doc_id", "toxic"), "doc_id", "left").select(
+        "doc_id", "lang",
+        F.expr("CASE doc_id % 7 WHEN 1 THEN 'many' WHEN 2 THEN ' ' ELSE cast(n_chars AS STRING) END").alias("n_chars"),
+        F.expr("CASE WHEN doc_id % 11 = 3 THEN 'no' ELSE cast(toxic AS STRING) END").alias("toxic"))
+    scored = score_table(rows, prep.state, trained.best, prep.classes, key=["doc_id"])
+    total = F.aggregate("percentages", F.lit(0.0), lambda a, x: a + x)
+    return scored.select(
+        F.col(ROW_KEY).alias("row_key"), "reason",
+        (F.col("label").isin("0", "1") & F.col("prediction").isNotNull()).alias("has_prediction"),
+        (F.coalesce(F.abs(total - 100) <= 0.1, F.lit(False)) & F.col("confidence").between(0.5, 1)).alias("sums_to_100")
+    ).withColumns({n: F.coalesce(n, F.lit(False)) for n in ("has_prediction", "sums_to_100")})
 
 
 @query("score_confidence", f"WITH {NEIGHBOURS_SQL} SELECT qid AS vec_id, prediction, round(votes / 3, 6) AS confidence FROM best")
@@ -77,5 +93,5 @@ def class_probabilities(t: Tables):
     rows = encode.encode_target(rows.drop("label"), "class_name", "label", classes)
     train = rows.where(F.col("split") == TRAIN).select(F.col("vec_id").alias("nid"), "label", "vec")
     asked = rows.where(F.col("split") == TEST).select("vec_id", array_to_vector("vec").alias("features"))
-    shares = Fitted("knn", KnnModel(train, len(labels), "vec_id")).class_shares(asked, "vec_id")
+    shares = Fitted("knn", KnnModel(train, len(labels))).class_shares(asked, "vec_id")
     return score.class_percentages(shares, classes, "vec_id")

@@ -21,36 +21,27 @@ from pyspark.ml.regression import (
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabloom.functions.columns import c
-from tabloom.operators.knn import NEIGHBOURS, knn_join, knn_predict, knn_votes
+from tabloom.operators.knn import NEIGHBOURS, knn_join, knn_votes
 from tabloom.operators.svm import KernelSvm, KernelSvmModel
+from tabloom.session import durable
 
-# Seed, ensemble sizes and the row count between them, iterations.
+# Seed, default ensemble size, iterations.
 SEED = 42
-TREES, TREES_LARGE, LARGE_ROWS = 100, 50, 20_000
+TREES = 100
 LOGISTIC_ITERATIONS = 1000
 BOOST_DEPTH, BOOST_RATE = 3, 0.1
 
-# Trees that would grow until pure are stopped here.
-TREE_DEPTH = 15
+# Default depth, the deepest that MLlib's trees can grow.
+TREE_DEPTH = 30
 TREE_BINS = 128
 # More nodes per pass and remembered node ids mean fewer passes over the rows.
 TREE_MEMORY_MB = 1024
 
-# Up to SMALL_TABLE rows, models of many short iterations run on few partitions
-# and the others on all cores. Larger tables keep the partitions of their files.
-SMALL_TABLE = 1_000_000
-SHORT_ITERATION_ROWS = 50_000
-SHORT_ITERATIONS = ["linear_regression", "gradient_boosting_regressor", "logistic_regression", "svm"]
-
 REGRESSION_SUITE = ["linear_regression", "decision_tree_regressor", "random_forest_regressor",
                     "gradient_boosting_regressor"]
 CLASSIFICATION_SUITE = ["logistic_regression", "decision_tree", "random_forest", "knn", "svm"]
 
 
-def n_trees(n_rows: int) -> int:
-    return TREES_LARGE if n_rows > LARGE_ROWS else TREES
-
-
 def assemble(df: DataFrame, features: list[str]) -> DataFrame:
     """Add the vector; booleans become 0 and 1."""
     plain = df.select("*", *[c(n).cast("double").alias(f"__x{i}") for i, n in enumerate(features)])
@@ -58,18 +49,18 @@ def assemble(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="features").transform(plain).drop(*names)
 
 
-def estimator(name: str, n_rows: int, depth: int = TREE_DEPTH):
+def estimator(name: str, n_rows: int, depth: int = TREE_DEPTH, trees: int = TREES):
     common = {"featuresCol": "features", "labelCol": "label"}
-    trees = {"maxDepth": depth, "maxBins": TREE_BINS, "seed": SEED, "maxMemoryInMB": TREE_MEMORY_MB}
-    deep = {**trees, "cacheNodeIds": True}
+    grown = {"maxDepth": depth, "maxBins": TREE_BINS, "seed": SEED, "maxMemoryInMB": TREE_MEMORY_MB}
+    deep = {**grown, "cacheNodeIds": True}
     if name == "linear_regression":
         return LinearRegression(regParam=0.0, **common)
     if name == "decision_tree_regressor":
         return DecisionTreeRegressor(**deep, **common)
     if name == "random_forest_regressor":
-        return RandomForestRegressor(numTrees=n_trees(n_rows), featureSubsetStrategy="all", **deep, **common)
+        return RandomForestRegressor(numTrees=trees, featureSubsetStrategy="all", **deep, **common)
     if name == "gradient_boosting_regressor":
-        return GBTRegressor(maxIter=n_trees(n_rows), stepSize=BOOST_RATE, **{**trees, "maxDepth": BOOST_DEPTH}, **common)
+        return GBTRegressor(maxIter=trees, stepSize=BOOST_RATE, **{**grown, "maxDepth": BOOST_DEPTH}, **common)
     if name == "logistic_regression":
         # An L2 penalty of weight 1 on the summed loss is 1/n on the mean loss.
         return LogisticRegression(family="auto", maxIter=LOGISTIC_ITERATIONS, standardization=False,
@@ -77,7 +68,7 @@ def estimator(name: str, n_rows: int, depth: int = TREE_DEPTH):
     if name == "decision_tree":
         return DecisionTreeClassifier(**deep, **common)
     if name == "random_forest":
-        return RandomForestClassifier(numTrees=n_trees(n_rows), featureSubsetStrategy="sqrt", **deep, **common)
+        return RandomForestClassifier(numTrees=trees, featureSubsetStrategy="sqrt", **deep, **common)
     raise ValueError(f"no model named {name!r}")
 
 
@@ -85,8 +76,9 @@ def estimator(name: str, n_rows: int, depth: int = TREE_DEPTH):
 class Fitted:
     """A trained model with one way to score.
 
-    ``score`` adds ``prediction`` and ``confidence``: the greatest class
-    probability, NULL for models that have none.
+    ``score`` adds ``prediction``, ``shares`` (the probability of every class,
+    by class index) and ``confidence``, the greatest of them; both are NULL
+    for models that have none.
     """
 
     name: str
@@ -97,24 +89,22 @@ class Fitted:
 
     def score(self, df: DataFrame) -> DataFrame:
         out = self.transform(df)
-        if "confidence" in out.columns:
-            return out
-        if "probability" in out.columns:
-            confidence = F.array_max(vector_to_array("probability"))
-        else:
-            confidence = F.lit(None).cast("double")
-        return out.withColumn("confidence", confidence)
+        if "shares" not in out.columns:
+            shares = vector_to_array("probability") if "probability" in out.columns else F.lit(None).cast("array<double>")
+            out = out.withColumn("shares", shares)
+        return out.withColumn("confidence", F.array_max("shares"))
 
     def class_shares(self, df: DataFrame, key: str) -> DataFrame:
         """``(key, class_index, share)`` for every class the model gives a probability."""
-        if isinstance(self.model, KnnModel):
-            return self.model.class_shares(df, key)
-        out = self.transform(df)
-        if "probability" not in out.columns:
+        out = self.score(df)
+        if not self.gives_shares():
             raise ValueError(f"{self.name} gives no class probabilities")
-        return out.select(c(key), F.posexplode(vector_to_array("probability")).alias("class_index", "share")).withColumn(
+        return out.select(c(key), F.posexplode("shares").alias("class_index", "share")).withColumn(
             "class_index", F.col("class_index").cast("long"))
 
+    def gives_shares(self) -> bool:
+        return isinstance(self.model, KnnModel) or hasattr(self.model, "getProbabilityCol")
+
     def save(self, path: str) -> None:
         if isinstance(self.model, (KnnModel, KernelSvmModel)):
             self.model.save(path)
@@ -131,57 +121,53 @@ class Fitted:
 
 
 class KnnModel:
-    """The training rows themselves, asked by a neighbour join.
-
-    Needs a row key, since a join answers a whole table at once.
-    """
-
-    def __init__(self, train: DataFrame, n_classes: int, key: str, k: int = NEIGHBOURS):
-        self.train, self.n_classes, self.key, self.k = train, n_classes, key, k
+    """The training rows themselves, asked by a neighbour join."""
 
-    def _neighbours(self, df: DataFrame, key: str) -> DataFrame:
-        asked = df.select(c(key).alias("qid"), vector_to_array("features").alias("vec")).dropDuplicates(["qid"])
-        return knn_join(self.train, asked, self.k)
+    def __init__(self, train: DataFrame, n_classes: int, k: int = NEIGHBOURS):
+        self.train, self.n_classes, self.k = train, n_classes, k
 
     def transform(self, df: DataFrame) -> DataFrame:
-        answers = knn_predict(self._neighbours(df, self.key)).select(
-            "qid", F.col("prediction").cast("double").alias("prediction"), "confidence")
-        return df.join(answers.withColumnRenamed("qid", self.key), self.key)
-
-    def class_shares(self, df: DataFrame, key: str) -> DataFrame:
-        """Vote shares, with zero for classes that got no vote."""
-        votes = knn_votes(self._neighbours(df, key))
-        indices = F.array(*[F.lit(i).cast("double") for i in range(self.n_classes)])
-        by_label = F.map_from_entries(F.collect_list(F.struct(F.col("label").cast("double"), "share")))
-        return votes.groupBy(F.col("qid").alias(key)).agg(by_label.alias("m")).select(
-            c(key), "m", F.explode(indices).alias("i")).select(
-            c(key), F.col("i").cast("long").alias("class_index"), F.coalesce(F.col("m")[F.col("i")], F.lit(0.0)).alias("share"))
+        """Vote shares of every row, classes without a vote included; rows are asked under numbers of their own."""
+        rows = durable(df.withColumn("__asked", F.monotonically_increasing_id()), "knn-asked")
+        asked = rows.select(F.col("__asked").alias("qid"), vector_to_array("features").alias("vec"))
+        votes = knn_votes(knn_join(self.train, asked, self.k))
+        by_class = F.map_from_entries(F.collect_list(F.struct(F.col("label").cast("int"), "share")))
+        every = F.sequence(F.lit(0), F.lit(self.n_classes - 1))
+        shares = votes.groupBy(F.col("qid").alias("__asked")).agg(by_class.alias("m")).select(
+            "__asked", F.transform(every, lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("shares"))
+        first = (F.array_position("shares", F.array_max("shares")) - 1).cast("double")
+        return rows.join(shares, "__asked").drop("__asked").withColumn("prediction", first)
 
     def save(self, path: str) -> None:
         self.train.write.mode("overwrite").parquet(f"{path}/train")
-        row = [(self.n_classes, self.key, self.k)]
-        self.train.sparkSession.createDataFrame(row, "n_classes long, key string, k long").coalesce(
+        row = [(self.n_classes, self.k)]
+        self.train.sparkSession.createDataFrame(row, "n_classes long, k long").coalesce(
             1).write.mode("overwrite").parquet(f"{path}/facts")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> KnnModel:
         row = spark.read.parquet(f"{path}/facts").first()
-        return cls(spark.read.parquet(f"{path}/train"), row["n_classes"], row["key"], row["k"])
+        return cls(spark.read.parquet(f"{path}/train"), row["n_classes"], row["k"])
 
 
 def fit_model(name: str, train: DataFrame, n_rows: int, n_inputs: int, n_classes: int = 0,
-              key: str | None = None, depth: int = TREE_DEPTH) -> Fitted:
+              key: str | None = None, depth: int = TREE_DEPTH, trees: int = TREES) -> Fitted:
     """Train one model on a table with ``features`` and ``label``."""
     if name == "knn":
         if key is None:
             raise ValueError("knn needs the name of a row key column")
         rows = train.select(c(key).alias("nid"), "label", vector_to_array("features").alias("vec"))
-        return Fitted(name, KnnModel(rows, n_classes, key))
-    if name in SHORT_ITERATIONS and n_rows <= SMALL_TABLE:
-        train = train.coalesce(max(1, n_rows // SHORT_ITERATION_ROWS))
+        return Fitted(name, KnnModel(rows, n_classes))
     if name == "svm":
         return Fitted(name, KernelSvm(seed=SEED).fit(train, n_classes, n_rows, n_inputs))
-    return Fitted(name, estimator(name, n_rows, depth).fit(train))
+    return Fitted(name, estimator(name, n_rows, depth, trees).fit(train))
+
+
+def reaches_depth(fitted: Fitted, depth: int) -> bool:
+    """Whether a tree grew to the depth it was given, and so may not be pure."""
+    m = fitted.model
+    grown = getattr(m, "trees", [m] if hasattr(m, "depth") else [])
+    return any(t.depth >= depth for t in grown)
 
 
 def importances(fitted: Fitted, features: list[str]) -> list[tuple[str, float]]:
@@ -199,4 +185,4 @@ def importances(fitted: Fitted, features: list[str]) -> list[tuple[str, float]]:
 
 
 __all__ = ["CLASSIFICATION_SUITE", "Fitted", "KnnModel", "REGRESSION_SUITE", "assemble", "estimator", "fit_model",
-           "importances", "n_trees"]
+           "importances", "reaches_depth"]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
 # Fixed value: relative change at which training stops.
-TOLERANCE = 1e-3
+TOLERANCE = 1e-5
 
 
 @dataclass(frozen=True)

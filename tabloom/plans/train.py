@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -14,17 +14,19 @@ from tabloom.operators.encode import decode_labels
 from tabloom.operators.models import (
     CLASSIFICATION_SUITE,
     REGRESSION_SUITE,
-    SMALL_TABLE,
     TREE_DEPTH,
+    TREES,
     Fitted,
     assemble,
     fit_model,
     importances,
+    reaches_depth,
 )
+from tabloom.operators.score import MISSING, UNKNOWN_LEVEL, typed_inputs
 from tabloom.operators.split import TEST, TRAIN
 from tabloom.plans.prepare import PrepResult
 from tabloom.plans.state import PrepState
-from tabloom.session import durable, ensure_checkpoint_dir
+from tabloom.session import collecting, durable, ensure_checkpoint_dir, remove
 
 SCORES = {"classification": ["accuracy", "precision", "recall", "f1"], "regression": ["mae", "mse", "rmse", "r2"]}
 
@@ -36,6 +38,12 @@ class TrainResult:
     metrics: DataFrame
     best_name: str
     features: list[str]
+    capped: list[str] = field(default_factory=list)
+    tables: list[str] = field(default_factory=list)
+
+    def release(self, spark: SparkSession) -> None:
+        """Remove the intermediate tables; a neighbour model must have been saved before."""
+        remove(spark, self.tables)
 
     @property
     def best(self) -> Fitted:
@@ -55,8 +63,12 @@ class TrainResult:
 
 def train_models(rows: DataFrame, features: list[str], problem_type: str, n_train: int, n_classes: int = 0,
                  test: DataFrame | None = None, names: list[str] | None = None, key: str = ROW_KEY,
-                 depth: int = TREE_DEPTH) -> TrainResult:
-    """Train on ``rows``, evaluate on ``test`` or, without one, on ``rows``."""
+                 depth: int = TREE_DEPTH, trees: int = TREES) -> TrainResult:
+    """Train on ``rows``, evaluate on ``test`` or, without one, on ``rows``.
+
+    ``depth`` and ``trees`` hold for all tree models; the result names those
+    of which a tree reached the depth.
+    """
     spark = rows.sparkSession
     ensure_checkpoint_dir(spark)
     names = names or (REGRESSION_SUITE if problem_type == "regression" else CLASSIFICATION_SUITE)
@@ -64,7 +76,7 @@ def train_models(rows: DataFrame, features: list[str], problem_type: str, n_trai
     held_out = train if test is None else assemble(test, features)
     fitted, lines = {}, []
     for order, name in enumerate(names):
-        fitted[name] = fit_model(name, train, n_train, len(features), n_classes, key, depth)
+        fitted[name] = fit_model(name, train, n_train, len(features), n_classes, key, depth, trees)
         predictions = fitted[name].transform(held_out).select("label", "prediction")
         measure = evaluate.regression_metrics if problem_type == "regression" else evaluate.classification_metrics
         row = measure(predictions).first()
@@ -72,24 +84,29 @@ def train_models(rows: DataFrame, features: list[str], problem_type: str, n_trai
     schema = "model string, model_order long, " + ", ".join(f"{s} double" for s in SCORES[problem_type])
     metrics = spark.createDataFrame(lines, schema)
     best = evaluate.select_best(metrics, problem_type).first()["model"]
-    return TrainResult(problem_type, fitted, metrics, best, features)
+    capped = [n for n in names if "tree" in n or "forest" in n]
+    return TrainResult(problem_type, fitted, metrics, best, features, [n for n in capped if reaches_depth(fitted[n], depth)])
 
 
-def train_suite(prep: PrepResult, names: list[str] | None = None, depth: int = TREE_DEPTH) -> TrainResult:
+def train_suite(prep: PrepResult, names: list[str] | None = None, depth: int = TREE_DEPTH,
+                trees: int = TREES) -> TrainResult:
     """The prepared rows are written once; every model reads them from there."""
     rows = prep.data.select(ROW_KEY, *[c(n) for n in prep.state.features], F.col("label").cast("double").alias("label"),
                             "split")
-    if prep.cut.n_rows <= SMALL_TABLE:
-        # A small table comes in one or two files; forests are worth all cores.
-        rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, ROW_KEY)
-    rows = durable(rows, "prepared")
+    with collecting() as tables:
+        trained = _train_written(prep, durable(rows, "prepared"), names, depth, trees)
+    trained.tables = tables
+    return trained
+
+
+def _train_written(prep: PrepResult, rows: DataFrame, names: list[str] | None, depth: int, trees: int) -> TrainResult:
     if prep.class_labels is not None:
         n_classes = len(prep.class_labels)
     else:
         n_classes = prep.classes.count() if prep.classes is not None else 0
     return train_models(
         rows.where(F.col("split") == TRAIN), prep.state.features, prep.state.problem_type,
-        prep.cut.n_rows - prep.cut.n_test, n_classes, rows.where(F.col("split") == TEST), names, depth=depth)
+        prep.cut.n_rows - prep.cut.n_test, n_classes, rows.where(F.col("split") == TEST), names, depth=depth, trees=trees)
 
 
 def summary_json(prep: PrepResult, trained: TrainResult | None = None) -> str:
@@ -101,6 +118,11 @@ def summary_json(prep: PrepResult, trained: TrainResult | None = None) -> str:
         "scaled_columns": list(prep.state.scaler),
         "scale_method": prep.config.scale_method,
         "test_size": prep.config.test_size,
+        "original_shape": [prep.facts["n_read"], prep.facts["n_columns"]],
+        "final_shape": [prep.cut.n_rows, len(prep.state.features)],
+        "duplicates_removed": prep.facts["n_copies"],
+        "missing_handled": {s[1]: s[2] for s in prep.steps if s[0] == "missing" and s[1] is not None},
+        "encoded_columns": {s[1]: s[2] for s in prep.steps if s[0] == "encode"},
         "train_samples": prep.cut.n_rows - prep.cut.n_test,
         "test_samples": prep.cut.n_test,
         "steps": [dict(zip(("step", "column", "action", "n_affected", "detail"), s)) for s in prep.steps],
@@ -108,6 +130,7 @@ def summary_json(prep: PrepResult, trained: TrainResult | None = None) -> str:
     if trained is not None:
         rows = [r.asDict() for r in trained.metrics.collect()]
         score = "r2" if trained.problem_type == "regression" else "accuracy"
+        out["at_depth_limit"] = trained.capped
         out["model_scores"] = {r["model"]: r[score] for r in rows}
         best = next(r for r in rows if r["model"] == trained.best_name)
         out["best_model"] = {"name": trained.best_name,
@@ -119,28 +142,44 @@ def score_table(raw: DataFrame, state: PrepState, fitted: Fitted, classes: DataF
                 key: list[str] | None = None) -> DataFrame:
     """Score raw rows with the stored state and a trained model.
 
-    Rows with a feature that is missing or unreadable after the stored fills
-    and encodings come back with a ``reason`` and no prediction. Without
-    ``key`` a digest of the row names it; identical rows then share a name.
+    A row with a cell that is no number where one is needed, that is missing
+    without a stored fill, or whose category the encoding has never seen,
+    comes back with a ``reason`` and no prediction. ``percentages`` has every
+    class's probability by class index. A ``key`` that names two rows alike
+    is refused; without one a digest of the row names it, and identical rows
+    share a name.
     """
     absent = [n for n in state.inputs if n not in raw.columns]
     if absent:
         raise ValueError(f"the input lacks column(s) {absent}")
     rows = normalise(raw)
     row_key = F.concat_ws("|", *[c(n).cast("string") for n in key]) if key else row_digest(rows.columns)
-    typed = rows.select(row_key.alias(ROW_KEY), *[c(n).try_cast(t).alias(n) for n, t in state.inputs.items()])
-    features = state.apply(typed, keep=[ROW_KEY])
-    bad = F.coalesce(*[F.when(c(n).isNull(), F.lit(f"{n}: missing")) for n in state.features])
-    checked = features.withColumn("reason", bad)
+    named = rows.select(row_key.alias(ROW_KEY), *[c(n) for n in state.inputs])
+    if key:
+        repeated = named.groupBy(ROW_KEY).count().where("count > 1").first()
+        if repeated is not None:
+            raise ValueError(f"the key {list(key)} names {repeated['count']} rows {repeated[ROW_KEY]!r}")
+    given = {n: f"__given_{i}" for i, n in enumerate(n for n in state.inputs if n in state.levels.binary())}
+    typed = typed_inputs(named, state.inputs, state.number_types, [ROW_KEY], "__reason",
+                         {*state.fills.dropped, *state.levels.dropped}).withColumns(
+        {g: c(n) for n, g in given.items()})
+    features = state.apply(typed, keep=[ROW_KEY, "__reason", *given.values()])
+    missing = [
+        F.when(c(n).isNull(), F.when(c(given[n]).isNotNull(), F.lit(f"{n}: {UNKNOWN_LEVEL}")).otherwise(F.lit(f"{n}: {MISSING}"))
+               if n in given else F.lit(f"{n}: {MISSING}"))
+        for n in state.features]
+    checked = features.withColumn("reason", F.coalesce("__reason", *missing))
     good = checked.where("reason IS NULL")
-    scored = fitted.score(assemble(good, state.features)).select(ROW_KEY, "prediction", "confidence")
+    scored = fitted.score(assemble(good, state.features)).select(ROW_KEY, "prediction", "confidence", "shares")
     if classes is not None:
         scored = decode_labels(scored, classes, "prediction", "label")
     else:
         scored = scored.withColumn("label", F.col("prediction"))
-    scored = scored.select(ROW_KEY, "prediction", F.col("label").cast("string").alias("label"), "confidence",
-                           F.lit(None).cast("string").alias("reason"))
+    nothing = F.lit(None)
+    scored = scored.select(
+        ROW_KEY, "prediction", F.col("label").cast("string").alias("label"), "confidence",
+        F.transform("shares", lambda x: F.bround(x * 100, 1)).alias("percentages"), nothing.cast("string").alias("reason"))
     turned_away = checked.where("reason IS NOT NULL").select(
-        ROW_KEY, F.lit(None).cast("double").alias("prediction"), F.lit(None).cast("string").alias("label"),
-        F.lit(None).cast("double").alias("confidence"), "reason")
+        ROW_KEY, nothing.cast("double").alias("prediction"), nothing.cast("string").alias("label"),
+        nothing.cast("double").alias("confidence"), nothing.cast("array<double>").alias("percentages"), "reason")
     return scored.unionByName(turned_away)

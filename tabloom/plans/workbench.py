@@ -7,8 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabloom.functions.columns import c, numeric_columns, text_columns
-from tabloom.functions.records import DEFAULT_LIMIT_MB
+from tabloom.functions.columns import c, text_columns
 from tabloom.operators import detect, profile, rollup
 from tabloom.operators.clean import ROW_KEY
 from tabloom.operators.models import Fitted
@@ -34,11 +33,11 @@ class Workbench:
         self.spark, self.root = spark, root.rstrip("/")
         self.store = MetadataStore(spark, f"{self.root}/metadata")
 
-    def upload(self, user_id: int, path: str, limit_mb: float | None = DEFAULT_LIMIT_MB) -> int:
+    def upload(self, user_id: int, path: str, limit_mb: float | None = None) -> int:
         """Admit, read, validate and register a CSV file or a folder of them.
 
         The table is kept as Parquet, so the text is parsed once.
-        ``limit_mb=None`` lifts the size limit.
+        Files may be of any size unless ``limit_mb`` is given.
         """
         report = admission_report(list_files(self.spark, path), limit_mb=limit_mb)
         verdict = report.agg(F.count("*").alias("n"), F.sum("file_size").alias("size"), F.first("reason", True).alias("reason")).first()
@@ -61,14 +60,16 @@ class Workbench:
     def table(self, dataset_id: int, user_id: int) -> DataFrame:
         return self.spark.read.parquet(self._record(dataset_id, user_id)["file_path"])
 
-    def preview(self, dataset_id: int, user_id: int, n: int = 10) -> DataFrame:
-        return self.table(dataset_id, user_id).limit(n)
+    def preview(self, dataset_id: int, user_id: int, n: int = 10, order_by: list[str] | None = None) -> DataFrame:
+        """The first rows by ``order_by``, or by all columns from the left."""
+        df = self.table(dataset_id, user_id)
+        return profile.preview(df, [c(n) for n in order_by or df.columns], n)
 
     def column_report(self, dataset_id: int, user_id: int, search: str = "") -> DataFrame:
         """Type, missing cells and statistics of every column."""
         df = self.table(dataset_id, user_id)
         out = profile.column_types(df).join(profile.missing(df), "column")
-        numbers, texts = numeric_columns(df), text_columns(df)
+        numbers, texts = profile.measured_columns(df), text_columns(df)
         if numbers:
             stats = profile.numeric_statistics(df, numbers).drop("n_missing", "missing_pct")
             out = out.join(stats, "column", "left")
@@ -120,6 +121,10 @@ class Workbench:
             dataset_id, user_id, summary_json(prep, trained), x_train_path=f"{folder}/rows/split=train",
             x_test_path=f"{folder}/rows/split=test", scaler_path=f"{folder}/state", encoder_path=f"{folder}/state",
             training_result_path=f"{folder}/model/{trained.best_name}")
+        trained.release(self.spark)
+        prep.release()
+        if trained.best_name == "knn":
+            trained.fitted["knn"] = Fitted.load(self.spark, "knn", f"{folder}/model/knn")
         return trained
 
     def predict(self, dataset_id: int, user_id: int, rows: DataFrame, user_name: str = "",

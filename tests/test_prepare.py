@@ -45,12 +45,12 @@ def table(spark):
     return spark.createDataFrame(people(), SCHEMA)
 
 
-CONFIG = PrepConfig(target="target", key=("id",), excluded=("note", "unknown", "target"))
+CONFIG = PrepConfig(target="target", key=("id",), excluded=("id", "note", "unknown", "target"))
 
 
 def test_steps_match_pandas(spark, table):
     want = expected(people())
-    got = prepare(table, PrepConfig(target="target", key=("id",), excluded=("note",), scale_method="none"))
+    got = prepare(table, PrepConfig(target="target", key=("id",), excluded=("id", "note"), scale_method="none"))
     assert got.state.features == [n for n in want.columns if n != "target"]
     pdf = got.data.toPandas()
     pdf.index = pdf[ROW_KEY].astype(int)
@@ -86,13 +86,13 @@ def test_row_without_key_gets_a_digest(spark, table):
 
 
 def test_problem_type_override_and_strategies(spark, table):
-    got = prepare(table, PrepConfig(target="a.b c", key=("id",), excluded=("note",), problem_type="regression"))
+    got = prepare(table, PrepConfig(target="a.b c", key=("id",), excluded=("id", "note"), problem_type="regression"))
     assert got.state.problem_type == "regression" and got.classes is None
-    dropped = prepare(table, PrepConfig(target="target", key=("id",), excluded=("note",), missing_strategy="drop"))
+    dropped = prepare(table, PrepConfig(target="target", key=("id",), excluded=("id", "note"), missing_strategy="drop"))
     assert set(dropped.state.fills.dropped) == {"city", "age", "mostly"}
-    whole = prepare(table, PrepConfig(target="target", key=("id",), excluded=("note", "mostly"), missing_strategy="drop_rows"))
+    whole = prepare(table, PrepConfig(target="target", key=("id",), excluded=("id", "note", "mostly"), missing_strategy="drop_rows"))
     assert whole.cut.n_rows == len(pd.DataFrame(people()[:240]).drop(columns=[0, 5]).dropna().drop_duplicates())
-    trained_on = prepare(table, PrepConfig(target="target", key=("id",), excluded=("note",), scale_on="train"))
+    trained_on = prepare(table, PrepConfig(target="target", key=("id",), excluded=("id", "note"), scale_on="train"))
     means = trained_on.train().agg(F.avg("price")).first()[0]
     assert abs(means) < 1e-9
 
@@ -155,7 +155,12 @@ def test_scoring_sorts_out_bad_rows(spark, table):
         (4, "abc", "A", "m", 30.0, None, "n", 2, True, None)], SCHEMA).drop("target")
     got = {r[ROW_KEY]: (r["label"], r["reason"]) for r in score_table(rows, prep.state, trained.best, prep.classes, ["id"]).collect()}
     assert got["1"][1] is None and got["2"][1] is None
-    assert got["3"] == (None, "sex: missing") and got["4"] == (None, "price: missing")
+    assert got["3"] == (None, "sex: unknown level") and got["4"] == (None, "price: not numeric")
+    with pytest.raises(ValueError, match="names 2 rows"):
+        score_table(rows.unionByName(rows.where("id = 1")), prep.state, trained.best, prep.classes, ["id"])
+    scored = score_table(rows, prep.state, trained.best, prep.classes, ["id"]).where("reason IS NULL").collect()
+    assert all(abs(sum(r["percentages"]) - 100) <= 0.1 and r["confidence"] == pytest.approx(max(r["percentages"]) / 100, abs=1e-3)
+               for r in scored)
     shares = trained.best.class_shares(assemble(prep.test(), prep.state.features), ROW_KEY)
     pct = score.class_percentages(shares, prep.classes, ROW_KEY)
     assert pct.groupBy(ROW_KEY).agg(F.sum("percentage").alias("s")).where("abs(s - 100) > 0.11").count() == 0
@@ -172,10 +177,26 @@ def test_input_check(spark):
         score.validate_inputs(rows, ["zzz"])
 
 
+def test_intermediate_tables_are_removed(spark, table, tmp_path):
+    from pathlib import Path
+
+    from tabloom.session import shared_dir
+
+    folder = Path(shared_dir(spark)) / spark.sparkContext.applicationId
+    before = set(folder.glob("*"))
+    prep = prepare(table, CONFIG)
+    trained = train_suite(prep, ["decision_tree"], depth=1)
+    assert set(folder.glob("*")) > before and trained.capped == ["decision_tree"]
+    prep.save(str(tmp_path / "dataset_3"))
+    trained.release(spark)
+    prep.release()
+    assert set(folder.glob("*")) <= before
+
+
 def test_tiny_classifier_trains_without_a_test_part(spark):
-    rows = [(str(i), 0.1 * (i + 1), 1.0 + 0.1 * i, float(i > 2)) for i in range(6)]
+    rows = [(str(i), 7.0 - 2 * i, 0.5 * i * i, float(i >= 4)) for i in range(9)]
     df = spark.createDataFrame(rows, f"{ROW_KEY} string, feature_1 double, feature_2 double, label double")
-    got = train_models(df, ["feature_1", "feature_2"], "classification", 6, 2, depth=4)
+    got = train_models(df, ["feature_1", "feature_2"], "classification", 9, 2, depth=4)
     assert {r["model"] for r in got.metrics.collect()} == {"logistic_regression", "decision_tree", "random_forest", "knn", "svm"}
     assert got.metrics.where("accuracy < 0").count() == 0
 

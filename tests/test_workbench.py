@@ -36,7 +36,7 @@ def test_from_file_to_report(spark, tmp_path):
                                  "id long, price string, region string, stock long")
     scored = {r["row_key"]: r for r in bench.predict(dataset, user, rows, "A", key=["id"]).collect()}
     assert scored["1"]["label"] == "high" and scored["2"]["label"] == "low"
-    assert scored["3"]["reason"] == "price: missing" and scored["3"]["label"] is None
+    assert scored["3"]["reason"] == "price: not numeric" and scored["3"]["label"] is None
     assert [r["selected_model"] for r in bench.history(user).collect()] == [trained.best_name] * 2
     row = bench.dashboard(user).first()
     assert row["is_configured"] and row["is_preprocessed"] and row["target_column"] == "grade"
