@@ -6,7 +6,7 @@ from tabloom.catalog.registry import Tables, query
 from tabloom.operators.split import split_exact
 from tabloom.session import scratch_path
 from tabloom.sources.admission import admission_report, list_files
-from tabloom.sources.csv_scan import read_csv
+from tabloom.sources.csv_scan import overlong_rows, read_csv, scan_text
 from tabloom.sources.store import (
     dataset_record,
     delete_children,
@@ -44,6 +44,29 @@ def csv_scan_quoted(t: Tables):
     return _as_csv(t.documents.select("doc_id", "text", "lang", "source", "n_chars"), "documents-csv")
 
 
+@query("csv_scan_mixed_headers", """
+SELECT o_orderkey, o_totalprice, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate FROM orders""")
+def csv_scan_mixed_headers(t: Tables):
+    """Two files with the same columns in another order."""
+    path = scratch_path(t.spark, "orders-mixed")
+    rows = t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus", F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"))
+    status = F.col("o_orderstatus") == "O"
+    rows.where(status).write.option("header", True).csv(path)
+    rows.where(~status).select(*reversed(rows.columns)).write.mode("append").option("header", True).csv(path)
+    return read_csv(t.spark, path).select(*rows.columns)
+
+
+@query("csv_scan_overlong", """
+SELECT count(*) FILTER (o_orderstatus = 'P') AS n_overlong, count(*) AS n_rows FROM orders""")
+def csv_scan_overlong(t: Tables):
+    """Rows with more fields than the header are counted, not cut."""
+    path = scratch_path(t.spark, "orders-overlong")
+    line = F.concat_ws(",", "o_orderkey", "o_orderstatus", F.when(F.col("o_orderstatus") == "P", F.lit("lost")))
+    t.orders.select(line.alias("o_orderkey,o_orderstatus")).write.option("header", True).option("sep", "\x01").csv(path)
+    text = scan_text(t.spark, path)
+    return text.agg(F.lit(overlong_rows(text)).cast("long").alias("n_overlong"), F.count("*").alias("n_rows"))
+
+
 @query("file_admission", """
 SELECT doc_id, source || '_' || doc_id || '.' || upper(lang) AS file_name, n_chars AS file_size, lang AS extension,
        (lang IN ('en', 'fr') AND n_chars <= 2097) AS admitted,

@@ -23,9 +23,9 @@ SCHEMAS = {
     "model_configs": "id long, dataset_id long, user_id long, target_column string, problem_type string, "
     "excluded_columns string, configured_at timestamp",
     "preprocessing_results": "id long, dataset_id long, user_id long, summary_json string, x_train_path string, "
-    "x_test_path string, y_train_path string, y_test_path string, scaler_path string, encoder_path string, "
+    "x_test_path string, scaler_path string, encoder_path string, "
     "training_result_path string, preprocessed_at timestamp",
-    "prediction_history": "id long, user_id long, dataset_id long, dataset_name string, user_name string, "
+    "prediction_history": "batch long, id long, user_id long, dataset_id long, dataset_name string, user_name string, "
     "selected_model string, prediction_result string, confidence_score double, created_at timestamp",
     "deletions": "entity string, id long, user_id long, deleted_at timestamp",
 }
@@ -182,11 +182,10 @@ class MetadataStore:
                          summary_json=summary_json, **paths)
 
     def log_predictions(self, rows: DataFrame) -> None:
-        """Append scored rows (see ``prediction_rows``); ids come from the row text and the batch."""
-        batch = F.lit(new_id())
+        """Append scored rows (see ``prediction_rows``); a row is named by its batch and its number in the batch."""
         names = rows.columns
         self._append("prediction_history", rows.select(
-            F.xxhash64(batch, F.monotonically_increasing_id(), *names).alias("id"), *names,
+            F.lit(new_id()).alias("batch"), F.monotonically_increasing_id().alias("id"), *names,
             F.lit(datetime.now(timezone.utc)).cast("timestamp").alias("created_at")))
 
     def _delete(self, entity: str, key: int, user_id: int) -> None:

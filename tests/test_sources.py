@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabloom.sources.admission import admission_report, list_files
-from tabloom.sources.csv_scan import has_multi_line_cells, read_csv
+from tabloom.sources.csv_scan import file_facts, read_csv, records
 from tabloom.sources.validation import input_features, require_config, require_valid, validation_rules
 
 
@@ -39,7 +39,7 @@ def test_suffixes_are_not_numbers(spark, tmp_path):
 
 def test_quoted_line_breaks_and_headers(spark, tmp_path):
     path = write(tmp_path, 'a,a,,"x.y z"\n1,"say ""hi""","two\nlines",4\n2,plain,one,5\n')
-    assert has_multi_line_cells(spark, path)
+    assert [f.multi_line for f in file_facts(spark, path)] == [True]
     df = read_csv(spark, path)
     assert df.columns == ["a", "a.1", "Unnamed: 2", "x.y z"]
     row = df.orderBy("a").first()
@@ -47,7 +47,38 @@ def test_quoted_line_breaks_and_headers(spark, tmp_path):
 
 
 def test_plain_files_stay_splittable(spark, tmp_path):
-    assert not has_multi_line_cells(spark, write(tmp_path, 'a,b\n"1",x\n2,"y, z"\n'))
+    assert [f.multi_line for f in file_facts(spark, write(tmp_path, 'a,b\n"1",x\n2,"y, z"\n'))] == [False]
+
+
+def test_records_over_many_splits(spark, tmp_path):
+    rows = [(i, "line\n" * (i % 5) + 'say "hi", ' + "x" * (i % 37) + ("\n\n\"" if i % 11 == 0 else "")) for i in range(3000)]
+    text = "id,cell\r\n" + "".join('{},"{}"\r\n'.format(i, c.replace('"', '""')) for i, c in rows)
+    path = write(tmp_path, text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3001")
+    try:
+        assert records(spark, [path]).where("value LIKE '%say%'").rdd.getNumPartitions() > 1
+        assert spark.read.text(path).rdd.getNumPartitions() > 20
+        got = sorted(tuple(r) for r in read_csv(spark, path).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == rows
+
+
+def test_files_may_order_their_columns_differently(spark, tmp_path):
+    write(tmp_path, "a,b\n1,x\n2,y\n", "one.csv")
+    write(tmp_path, "b,a\nq,7\n", "two.csv")
+    df = read_csv(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in df.select("a", "b").collect()) == [(1, "x"), (2, "y"), (7, "q")]
+    write(tmp_path, "a,c\n1,x\n", "three.csv")
+    with pytest.raises(ValueError, match="three.csv|one.csv|two.csv"):
+        read_csv(spark, str(tmp_path))
+
+
+def test_overlong_rows_are_refused_with_a_schema(spark, tmp_path):
+    schema = spark.createDataFrame([], "a double, b string").schema
+    with pytest.raises(ValueError, match="1 row"):
+        read_csv(spark, write(tmp_path, "a,b\n1,x\n2,y,LOST\n"), schema)
 
 
 def test_short_rows_are_filled_and_long_rows_refused(spark, tmp_path):

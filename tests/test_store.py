@@ -15,11 +15,11 @@ def test_admin_statistics(spark, tmp_path):
     store = MetadataStore(spark, str(tmp_path))
     user = store.create_user(" A@B.com ", "hash", "A B")
     dataset = store.save_dataset(user, "f.csv", "f.csv", "/f.csv", 10, 3, 1000)
-    log(store, spark, user, dataset, [("RandomForest", "yes", 0.91), ("RandomForest", "no", 0.85),
-                                      ("LogisticRegression", "yes", 0.79)])
+    log(store, spark, user, dataset, [("knn", "a", 0.5), ("svm", "b", None), ("knn", "c", 0.75), ("knn", "a", 0.25),
+                                      ("decision_tree", "b", 1.0)])
     got = rollup.admin_statistics(store.users(), store.datasets(), store.predictions())
-    assert got == {"total_users": 1, "total_datasets": 1, "total_predictions": 3,
-                   "most_used_algorithm": "RandomForest", "best_average_accuracy": 0.88}
+    assert got == {"total_users": 1, "total_datasets": 1, "total_predictions": 5,
+                   "most_used_algorithm": "knn", "best_average_accuracy": 1.0}
 
 
 def test_empty_store(spark, tmp_path):
