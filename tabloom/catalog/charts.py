@@ -6,7 +6,7 @@ from tabloom.catalog.profiles import _DOC_COLUMNS, _DOCS, _missing_sql, labelled
 from tabloom.catalog.registry import Tables, query
 from tabloom.operators import charts
 
-_COLUMNS = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "discount", "l_tax", "same"]
+_COLUMNS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "discount", "l_tax", "same"]
 _SOURCE = "(SELECT *, nullif(l_discount, 0) AS discount, 1.0::DOUBLE AS same FROM lineitem)"
 
 
@@ -46,7 +46,7 @@ def target_counts(t: Tables):
     return charts.value_counts(t.lineitem, "l_returnflag")
 
 
-_FEATURES = ["l_partkey", "l_suppkey", "l_quantity", "discount", "l_tax", "same"]
+_FEATURES = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "discount", "l_tax", "same"]
 
 
 @query("feature_importance", " UNION ALL ".join(

@@ -29,21 +29,26 @@ def profile_shape(t: Tables):
     return profile.shape(t.lineitem)
 
 
-@query("preview_top10", "SELECT * EXCLUDE (o_orderdate) FROM orders ORDER BY o_orderkey LIMIT 10")
+@query("preview_top10", """
+SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate) FROM orders ORDER BY o_orderkey LIMIT 10""")
 def preview_top10(t: Tables):
-    return profile.preview(t.orders.drop("o_orderdate"), ["o_orderkey"])
+    return profile.preview(t.orders, ["o_orderkey"]).withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
 
 
 _TYPES = """
 SELECT column_name AS "column",
        CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
-            WHEN 'VARCHAR' THEN 'string' ELSE 'timestamp' END AS dtype,
-       column_type IN ('BIGINT', 'INTEGER', 'DOUBLE') AS is_numeric
-FROM (DESCRIBE SELECT * FROM lineitem)"""
+            WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'timestamp' END AS dtype,
+       column_type IN ('BIGINT', 'INTEGER', 'DOUBLE', 'BOOLEAN') AS is_numeric
+FROM (DESCRIBE SELECT *, l_linestatus = 'O' AS is_open FROM lineitem)"""
+
+
+def _with_boolean(lines):
+    return lines.withColumn("is_open", F.col("l_linestatus") == "O")
 
 
 def _types(t: Tables):
-    return profile.column_types(t.lineitem).withColumn(
+    return profile.column_types(_with_boolean(t.lineitem)).withColumn(
         "dtype", F.when(F.col("dtype").startswith("timestamp"), "timestamp").otherwise(F.col("dtype")))
 
 
@@ -71,7 +76,8 @@ def missing_total(t: Tables):
     return profile.missing_total(labelled_documents(t))
 
 
-_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "is_open"]
+_VALUES = {"l_discount": "nullif(l_discount, 0)", "is_open": "(l_linestatus = 'O')::INTEGER"}
 
 
 @query("profile_numeric", " UNION ALL ".join(f"""
@@ -79,9 +85,9 @@ SELECT '{n}' AS "column", count(*) - count(v) AS n_missing,
        round_even((count(*) - count(v)) * 100.0 / count(*), 1) AS missing_pct, count(DISTINCT v) AS n_distinct,
        round_even(avg(v), 4) AS mean, round_even(stddev_samp(v), 4) AS std,
        round_even(min(v)::DOUBLE, 4) AS min, round_even(max(v)::DOUBLE, 4) AS max
-FROM (SELECT {'nullif(l_discount, 0)' if n == 'l_discount' else n} AS v FROM lineitem)""" for n in _NUMERIC))
+FROM (SELECT {_VALUES.get(n, n)} AS v FROM lineitem)""" for n in _NUMERIC))
 def profile_numeric(t: Tables):
-    return profile.numeric_statistics(t.lineitem.withColumn("l_discount", F.expr("nullif(l_discount, 0)")))
+    return profile.numeric_statistics(_with_boolean(t.lineitem).withColumn("l_discount", F.expr("nullif(l_discount, 0)")))
 
 
 _TEXT = ["text", "lang", "source"]

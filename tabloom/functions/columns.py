@@ -24,6 +24,10 @@ def is_numeric(dtype: T.DataType) -> bool:
     return isinstance(dtype, NUMERIC_TYPES)
 
 
+def is_boolean(dtype: T.DataType) -> bool:
+    return isinstance(dtype, T.BooleanType)
+
+
 def is_text(dtype: T.DataType) -> bool:
     return isinstance(dtype, TEXT_TYPES)
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations_with_replacement
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabloom.functions.columns import c, numeric_columns
@@ -14,8 +14,10 @@ from tabloom.operators.profile import missing_ranked
 
 # Fixed value: bars of the target histogram.
 HISTOGRAM_BINS = 20
-# Pairs computed as plain aggregates; wider tables use one Gramian instead.
-PAIR_LIMIT = 300
+# Columns of a block; a task holds six sums for every pair of two blocks.
+BLOCK_COLUMNS = 512
+# Variance of standardised values below which a column counts as constant.
+VARIES = 1e-12
 
 
 @dataclass(frozen=True)
@@ -87,30 +89,69 @@ def pair_correlations(df: DataFrame, pairs: list[tuple[str, str]], facts: dict[s
     return z.agg(*aggs).select(F.inline(F.array(*lines)))
 
 
+def _pair_sums(n_left: int):
+    """Partial sums over complete pairs of left and right columns, one row per pair and task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            z = np.column_stack([col.to_numpy(zero_copy_only=False).astype(float) for col in batch.columns])
+            filled = ~np.isnan(z)
+            z = np.where(filled, z, 0.0)
+            left, right = z[:, :n_left], z[:, n_left:]
+            has_left, has_right = filled[:, :n_left].astype(float), filled[:, n_left:].astype(float)
+            part = np.stack([has_left.T @ has_right, left.T @ right, left.T @ has_right, has_left.T @ right,
+                             (left * left).T @ has_right, has_left.T @ (right * right)])
+            total = part if total is None else total + part
+        if total is not None:
+            i, j = np.indices(total.shape[1:])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(i.ravel()), pa.array(j.ravel()), *[pa.array(s.ravel()) for s in total]], names=["i", "j", *_SUMS])
+
+    return run
+
+
+_SUMS = ["n", "xy", "x", "y", "xx", "yy"]
+
+
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Full matrix as ``(a, b, r)`` rows."""
+    """Full matrix as ``(a, b, r)`` rows, over the complete rows of each pair.
+
+    Every task sums up products of standardised values for whole blocks of
+    columns, so one pass serves up to ``BLOCK_COLUMNS`` squared pairs, gaps or
+    not. NULL where a column does not vary over the pair.
+    """
     names = columns if columns is not None else numeric_columns(df)
     facts = _column_facts(df, names)
-    if len(names) * (len(names) - 1) // 2 > PAIR_LIMIT and all(f.complete for f in facts.values()):
-        return _by_gramian(df, names, facts)
-    pairs = list(combinations_with_replacement(names, 2))
+    used = [n for n in names if not facts[n].constant]
+    blocks = [used[k:k + BLOCK_COLUMNS] for k in range(0, len(used), BLOCK_COLUMNS)]
+    spark = df.sparkSession
     out = None
-    for k in range(0, len(pairs), PAIR_LIMIT):
-        part = pair_correlations(df, pairs[k:k + PAIR_LIMIT], facts)
-        out = part if out is None else out.unionByName(part)
-    both = F.array(F.struct("a", "b", "r"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "r"))
-    once = F.array(F.struct("a", "b", "r"))
-    return out.select(F.inline(F.when(F.col("a") == F.col("b"), once).otherwise(both)))
-
-
-def _by_gramian(df: DataFrame, names: list[str], facts: dict[str, _Column]) -> DataFrame:
-    varied = [n for n in names if not facts[n].constant]
-    plain = df.select([c(n).cast("double").alias(f"x{i}") for i, n in enumerate(varied)])
-    vectors = VectorAssembler(inputCols=plain.columns, outputCol="v").transform(plain).select("v")
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-    at = {n: i for i, n in enumerate(varied)}
-    rows = [(a, b, float(matrix[at[a], at[b]]) if a in at and b in at else None) for a in names for b in names]
-    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
+    for a in range(len(blocks)):
+        for b in range(a, len(blocks)):
+            part = _block_correlations(df, facts, blocks[a], blocks[b], a != b)
+            out = part if out is None else out.unionByName(part)
+    fixed = [(a, b, None) for a in names for b in names if facts[a].constant or facts[b].constant]
+    rest = spark.createDataFrame(fixed, "a string, b string, r double")
+    return rest if out is None else out.unionByName(rest)
+
+
+def _block_correlations(df: DataFrame, facts: dict[str, _Column], left: list[str], right: list[str], mirror: bool) -> DataFrame:
+    z = df.select(*[facts[n].z().alias(f"l{i}") for i, n in enumerate(left)], *[facts[n].z().alias(f"r{i}") for i, n in enumerate(right)])
+    sums = z.mapInArrow(_pair_sums(len(left)), "i long, j long, " + ", ".join(f"{s} double" for s in _SUMS))
+    total = sums.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in _SUMS])
+    sxx = F.col("xx") - F.try_divide(F.col("x") * F.col("x"), F.col("n"))
+    syy = F.col("yy") - F.try_divide(F.col("y") * F.col("y"), F.col("n"))
+    r = F.try_divide(F.col("xy") - F.try_divide(F.col("x") * F.col("y"), F.col("n")), F.sqrt(sxx) * F.sqrt(syy))
+    # Standardised values: what is left of a constant is rounding.
+    varied = (sxx > VARIES * F.col("n")) & (syy > VARIES * F.col("n"))
+    r = F.when(varied, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)))
+    a = F.element_at(F.array(*map(F.lit, left)), (F.col("i") + 1).cast("int"))
+    b = F.element_at(F.array(*map(F.lit, right)), (F.col("j") + 1).cast("int"))
+    pairs = total.select(a.alias("a"), b.alias("b"), r.alias("r")).withColumn("r", F.when((F.col("a") == F.col("b")) & F.col("r").isNotNull(), F.lit(1.0)).otherwise(F.col("r")))
+    if not mirror:
+        return pairs
+    return pairs.select(F.inline(F.array(F.struct("a", "b", "r"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "r"))))
 
 
 def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFrame:

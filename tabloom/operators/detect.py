@@ -58,22 +58,21 @@ def detect_problem_type(df: DataFrame, target: str | None) -> str:
 
 
 def problem_types(df: DataFrame, targets: list[str]) -> DataFrame:
-    """Verdict for several candidate targets in one aggregate."""
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for i, n in enumerate(targets):
-        aggs += [F.count(c(n)).alias(f"filled_{i}"), F.count_distinct(c(n)).alias(f"distinct_{i}")]
-    lines = []
-    for i, n in enumerate(targets):
-        dtype, filled, rows = df.schema[n].dataType, F.col(f"filled_{i}"), F.col("rows")
-        if isinstance(dtype, T.BooleanType):
-            regression = filled == rows
-        elif not is_numeric(dtype):
-            regression = F.lit(False)
-        elif is_integer(dtype):
-            regression = ~((filled == rows) & (F.col(f"distinct_{i}") <= MAX_CLASS_CODES))
-        else:
-            regression = F.lit(True)
-        verdict = F.when((filled > 0) & regression, F.lit(REGRESSION)).otherwise(F.lit(CLASSIFICATION))
-        lines.append(F.struct(
-            F.lit(n).alias("column"), F.col(f"distinct_{i}").alias("n_distinct"), verdict.alias("problem_type")))
-    return df.agg(*aggs).select(F.inline(F.array(*lines)))
+    """``(column, problem_type)`` for several candidate targets.
+
+    One pass counts cells and sketches the whole-number columns; a second one
+    lists the values of those that are complete and may be class codes, so no
+    column's values are ever exchanged.
+    """
+    whole = [n for n in targets if is_integer(df.schema[n].dataType)]
+    aggs = [F.count(F.lit(1)).alias("rows")] + [F.count(c(n)).alias(f"filled_{i}") for i, n in enumerate(targets)]
+    aggs += [F.approx_count_distinct(c(n), SKETCH_ERROR).alias(f"sketch_{n}") for n in whole]
+    row = df.agg(*aggs).first()
+    rows, filled = row["rows"], {n: row[f"filled_{i}"] for i, n in enumerate(targets)}
+    distinct = {n: MAX_CLASS_CODES + 1 for n in whole}
+    narrow = [n for n in whole if filled[n] == rows > 0 and row[f"sketch_{n}"] <= 2 * MAX_CLASS_CODES]
+    if narrow:
+        sets = df.agg(*[F.size(F.collect_set(c(n))).alias(f"n_{i}") for i, n in enumerate(narrow)]).first()
+        distinct |= {n: sets[f"n_{i}"] for i, n in enumerate(narrow)}
+    lines = [(n, problem_type_rule(df.schema[n].dataType, rows, filled[n], distinct.get(n, 0))) for n in targets]
+    return df.sparkSession.createDataFrame(lines, "column string, problem_type string")

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tabloom.functions.columns import c, is_numeric
-from tabloom.operators.profile import value_frequencies
+from tabloom.operators.profile import top_values
 from tabloom.operators.quantiles import exact_medians
 
 # Strategies, the share (in %) above which a column goes, and
@@ -42,15 +42,10 @@ def columns_to_drop(rows: int, n_missing: dict[str, int], strategy: str) -> dict
 
 
 def modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
-    """Most frequent value per column, ties to the smallest.
-
-    Taken from the frequency table, so no single buffer holds all values.
-    """
+    """Most frequent value per column, ties to the smallest."""
     if not columns:
         return {}
-    best = value_frequencies(df, columns).groupBy("column").agg(
-        F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("value"))
-    return {r["column"]: r["value"] for r in best.collect()}
+    return {r["column"]: r["value"] for r in top_values(df, columns, 1).collect()}
 
 
 def fit_fills(df: DataFrame, columns: list[str], strategy: str = "auto",

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tabloom.functions.columns import c, is_integer, is_numeric, numeric_columns, text_columns
+from tabloom.functions.columns import c, is_boolean, is_integer, is_numeric, text_columns
 from tabloom.functions.numbers import percent
+from tabloom.session import broadcast_if_small, durable
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -18,10 +19,19 @@ def preview(df: DataFrame, order_by: list, n: int = 10) -> DataFrame:
 
 
 def column_types(df: DataFrame) -> DataFrame:
-    rows = [(i, f.name, f.dataType.simpleString(), is_numeric(f.dataType)) for i, f in enumerate(df.schema)]
+    rows = [(i, f.name, f.dataType.simpleString(), is_numeric(f.dataType) or is_boolean(f.dataType)) for i, f in enumerate(df.schema)]
     return df.sparkSession.createDataFrame(rows, "position long, column string, dtype string, is_numeric boolean")
 
 
+def measured_columns(df: DataFrame) -> list[str]:
+    """Columns with a mean: numbers, and booleans as 0 and 1."""
+    return [f.name for f in df.schema if is_numeric(f.dataType) or is_boolean(f.dataType)]
+
+
+def _measured(df: DataFrame, name: str):
+    return c(name).cast("int") if is_boolean(df.schema[name].dataType) else c(name)
+
+
 def type_summary(types: DataFrame) -> DataFrame:
     numeric = F.col("is_numeric").cast("long")
     return types.agg(
@@ -57,7 +67,7 @@ def missing_ranked(df: DataFrame) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Exact ``(column, n_distinct)`` of numeric columns.
+    """Exact ``(column, n_distinct)`` of numeric and boolean columns.
 
     Cells are counted once per (column, value) inside each task before the
     exchange. Whole numbers and doubles are kept apart so no digit is lost.
@@ -67,7 +77,7 @@ def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     for names, kind in ((whole, "long"), ([n for n in columns if n not in whole], "double")):
         if not names:
             continue
-        cells = df.select([c(n).cast(kind).alias(n) for n in names]).unpivot([], [c(n) for n in names], "column", "value")
+        cells = df.select([_measured(df, n).cast(kind).alias(n) for n in names]).unpivot([], [c(n) for n in names], "column", "value")
         one = cells.where("value IS NOT NULL").groupBy("column", "value").agg(F.lit(1)).groupBy("column").agg(
             F.count("*").alias("n_distinct"))
         out = one if out is None else out.unionByName(one)
@@ -81,10 +91,10 @@ def numeric_statistics(df: DataFrame, columns: list[str] | None = None, digits:
     Exact distinct counts exchange every column's values; with
     ``exact_distinct=False`` a sketch leaves one row per task to exchange.
     """
-    names = columns if columns is not None else numeric_columns(df)
+    names = columns if columns is not None else measured_columns(df)
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, n in enumerate(names):
-        v = c(n)
+        v = _measured(df, n)
         aggs += [
             F.count(v).alias(f"filled_{i}"),
             (F.lit(0) if exact_distinct else F.approx_count_distinct(v)).cast("long").alias(f"distinct_{i}"),
@@ -111,27 +121,38 @@ def numeric_statistics(df: DataFrame, columns: list[str] | None = None, digits:
     return out.join(exact, "column", "left").withColumn("n_distinct", F.coalesce("__exact", F.lit(0))).drop("__exact")
 
 
-def value_frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``(column, value, n)`` for all text columns in one shuffle."""
+# Characters of a value that travel with its digest, to order ties.
+PREFIX = 32
+
+
+def _text_cells(df: DataFrame, columns: list[str] | None) -> DataFrame:
+    """``(column, value, digest)`` of all filled text cells."""
     names = columns if columns is not None else text_columns(df)
-    cells = df.select([c(n).cast("string").alias(n) for n in names])
-    return (
-        cells.unpivot([], [c(n) for n in names], "column", "value")
-        .where(F.col("value").isNotNull())
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    cells = df.select([c(n).cast("string").alias(n) for n in names]).unpivot([], [c(n) for n in names], "column", "value")
+    return cells.where(F.col("value").isNotNull()).withColumn("digest", F.unhex(F.md5("value")))
+
+
+def value_frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """``(column, digest, prefix, n)`` for all text columns in one shuffle, which no whole value goes through."""
+    return _text_cells(df, columns).groupBy("column", "digest").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.substring("value", 1, PREFIX)).alias("prefix"))
 
 
 def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 3) -> DataFrame:
-    """Most frequent values per column; ties by value.
+    """``(column, value, n, rank)``: most frequent values per column; ties by value.
 
-    The rank test lets Spark keep k rows per column in each task before the
+    Digests are counted and ranked; values that tie in count and prefix stay
+    together. Only then are the texts of those few looked up and put in order.
+    The rank test lets Spark keep k places per column in each task before the
     exchange, so a column of unique texts does not meet in one task.
     """
-    order = Window.partitionBy("column").orderBy(F.desc("n"), "value")
-    ranked = value_frequencies(df, columns).withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
+    order = Window.partitionBy("column").orderBy(F.desc("n"), "prefix")
+    places = value_frequencies(df, columns).withColumn("place", F.rank().over(order)).where(F.col("place") <= k)
+    named = _text_cells(df, columns).join(broadcast_if_small(durable(places, "top-digests")), ["column", "digest"])
+    values = named.groupBy("column", "digest", "n").agg(F.first("value").alias("value"))
+    exact = Window.partitionBy("column").orderBy(F.desc("n"), "value")
+    ranked = values.withColumn("rank", F.row_number().over(exact)).where(F.col("rank") <= k)
+    return ranked.select("column", "value", "n", F.col("rank").cast("long").alias("rank"))
 
 
 def text_statistics(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -91,21 +91,24 @@ def latest_with_result(datasets: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def report_records(datasets: DataFrame, results: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Per user: latest analysed dataset, its best model and the last predictions."""
+    """Per user: latest analysed dataset, its best model and the last predictions.
+
+    Only the summary of that dataset is parsed.
+    """
     latest = latest_with_result(datasets, results)
     field = lambda path: F.get_json_object("summary_json", path)
-    summaries = results.select(
-        F.col("dataset_id").alias("id"),
-        field("$.target_column").alias("target_column"),
-        F.coalesce(field("$.best_model.name"), F.lit(NO_ALGORITHM)).alias("best_model_name"),
-        F.from_json(field("$.model_scores"), "map<string,double>").alias("metrics"),
-    )
+    summaries = results.select(F.col("dataset_id").alias("id"), "summary_json")
     entry = F.struct("rank", "prediction_result", "selected_model", "created_at")
     recent = recent_per_owner(predictions, "created_at", "id").groupBy("user_id").agg(
         F.array_sort(F.collect_list(entry)).alias("history"))
     return (
         latest.select("user_id", "id", F.col("original_name").alias("dataset_name"), "num_rows", "num_cols")
         .join(summaries, "id").drop("id")
+        .withColumns({
+            "target_column": field("$.target_column"),
+            "best_model_name": F.coalesce(field("$.best_model.name"), F.lit(NO_ALGORITHM)),
+            "metrics": F.from_json(field("$.model_scores"), "map<string,double>"),
+        }).drop("summary_json")
         .join(recent, "user_id", "left")
     )
 

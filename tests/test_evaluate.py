@@ -36,12 +36,13 @@ def test_best_model_ties_go_to_the_first_trained(spark):
 def test_correlation_forms_agree(spark):
     rows = [(float(i), float(i * i % 17), float(-i), 4.0) for i in range(50)]
     df = spark.createDataFrame(rows, "a double, b double, c double, same double")
-    by_pairs = {(r["a"], r["b"]): r["r"] for r in charts.correlation_matrix(df).collect()}
-    by_gramian = {(r["a"], r["b"]): r["r"] for r in charts._by_gramian(df, df.columns, charts._column_facts(df, df.columns)).collect()}
+    by_blocks = {(r["a"], r["b"]): r["r"] for r in charts.correlation_matrix(df).collect()}
+    every = [(a, b) for a in df.columns for b in df.columns]
+    by_pairs = {(r["a"], r["b"]): r["r"] for r in charts.pair_correlations(df, every).collect()}
     assert by_pairs[("a", "c")] == pytest.approx(-1)
     for pair, r in by_pairs.items():
-        assert (r is None) == (by_gramian[pair] is None)
-        assert r is None or r == pytest.approx(by_gramian[pair])
+        assert (r is None) == (by_blocks[pair] is None)
+        assert r is None or r == pytest.approx(by_blocks[pair])
 
 
 def test_correlation_uses_complete_pairs(spark):
@@ -62,7 +63,7 @@ def test_wide_matrix_in_parts(spark, monkeypatch):
     df = spark.createDataFrame([(float(i), float(i * i % 11), None if i == 3 else float(i % 5)) for i in range(30)],
                                "a double, b double, c double")
     whole = sorted((r["a"], r["b"], round(r["r"], 9)) for r in charts.correlation_matrix(df).collect())
-    monkeypatch.setattr(charts, "PAIR_LIMIT", 2)
+    monkeypatch.setattr(charts, "BLOCK_COLUMNS", 2)
     assert sorted((r["a"], r["b"], round(r["r"], 9)) for r in charts.correlation_matrix(df).collect()) == whole
 
 
