@@ -1,7 +1,7 @@
 """Quality by regularised quadratic discriminant analysis of document statistics.
 
 Each text becomes a short vector of transformed statistics (logarithms of
-counts, log-odds of shares). Per class, one aggregate over all labelled rows
+counts and of shares). Per class, one aggregate over all labelled rows
 gives count, sums and sums of products, hence mean and covariance; nothing is
 sampled and no row reaches the driver. A class covariance is drawn towards
 the pooled one and towards a multiple of the identity, then factorised once
@@ -32,7 +32,7 @@ from tabloom.llm.labelled import held_out, training_labels
 from tabloom.session import durable
 
 STATISTICS = ["length", "word_length", "signs", "marks", "capitals", "digits", "line_repeats", "window_repeats",
-              "variety", "top_word", "line_length"]
+              "word_repeats", "top_word", "line_length"]
 
 _SIGNS = b"#*$%&|<>{}[]\\^~=_@+/"
 _MARKS = b".,;:!?'\"()-"
@@ -42,12 +42,16 @@ _MARKS = b".,;:!?'\"()-"
 class Shrink:
     """Share of the pooled covariance in each class's, and of the identity in the result."""
 
-    pooled: float = 0.2
+    pooled: float = 0.5
     identity: float = 0.05
 
 
-def _odds(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    return np.log((part + 0.5) / (whole - part + 0.5 + 0.02 * whole))
+# Shares below this make no difference, so that short texts without any are like long ones.
+FLOOR = 0.1
+
+
+def _share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    return np.log(part / np.maximum(whole, 1) + FLOOR)
 
 
 def statistics(column: pa.Array) -> np.ndarray:
@@ -75,9 +79,9 @@ def statistics(column: pa.Array) -> np.ndarray:
     repeated = np.array([duplicate_lines(t) for t in batch], dtype=float)
     n = words.astype(float)
     return np.column_stack([
-        np.log1p(n), np.log((chars + 1) / (n + 1)), _odds(signs, np.maximum(chars, signs)),
-        _odds(marks, np.maximum(chars, marks)), _odds(np.minimum(capitals, n), n), _odds(digits, np.maximum(chars, digits)),
-        _odds(repeated, lines), _odds(repeats, n), _odds(variety, n), _odds(top, n), np.log((chars + 1) / lines)])
+        np.log1p(n), np.log((chars + 1) / (n + 1)), _share(signs, chars), _share(marks, chars),
+        _share(np.minimum(capitals, n), n), _share(digits, chars), _share(repeated, lines), _share(repeats, n),
+        _share(n - variety, n), _share(np.maximum(top - 1, 0), n), np.log((chars + 1) / lines)])
 
 
 @dataclass(frozen=True)
