@@ -46,45 +46,56 @@ _PRICE = f"(o_totalprice + CASE {_TYPE} WHEN 'high' THEN 100000 WHEN 'middle' TH
 _LATE = f"(CASE WHEN o_orderkey % 10 < CASE {_TYPE} WHEN 'high' THEN 8 WHEN 'middle' THEN 1 ELSE 6 END THEN 1 ELSE 0 END)"
 
 
-def levels_table(t: Tables, target: str):
+def levels_table(table, key: str, level: str, target: str):
     """Two indicator columns for three levels, and the target, split by key."""
-    rows = t.orders.select("o_orderkey", F.expr(_TYPE).alias("level"), F.expr(target).cast("double").alias("label"))
+    rows = table.select(key, F.expr(level).alias("level"), F.expr(target).cast("double").alias("label"))
     rows = rows.withColumns({n: (F.col("level") == n).cast("double") for n in ("high", "middle")})
-    return split_exact(rows, F.col("o_orderkey").cast("string"))
+    return split_exact(rows, F.col(key).cast("string"))
 
 
-def level_predictions(t: Tables, name: str, target: str, n_classes: int = 0):
+def level_predictions(levels, name: str, n_classes: int = 0):
     """What the model says about the rows it has not seen, per level."""
-    rows = models.assemble(levels_table(t, target), ["high", "middle"])
+    rows = models.assemble(levels, ["high", "middle"])
     train = rows.where(F.col("split") == TRAIN)
     fitted = models.fit_model(name, train, train.count(), 2, n_classes, trees=20)
     return fitted.transform(rows.where(F.col("split") == TEST)).groupBy("level").agg(
         F.min("prediction").alias("least"), F.max("prediction").alias("most"), F.count("*").alias("n_rows"))
 
 
+# The kernel model's training takes many passes: a smaller table, of parts.
+_PART_LEVEL = "CASE WHEN p_size % 3 = 0 THEN 'high' WHEN p_size % 3 = 1 THEN 'middle' ELSE 'low' END"
+_PART_GOOD = f"(CASE WHEN p_partkey % 10 < CASE {_PART_LEVEL} WHEN 'high' THEN 8 WHEN 'middle' THEN 1 ELSE 6 END THEN 1 ELSE 0 END)"
+
 _LEVELS_SQL = """
 WITH r AS (SELECT {level} AS level, CAST({target} AS DOUBLE) AS label,
-             row_number() OVER (ORDER BY md5('42|' || o_orderkey)) <= ceil(count(*) OVER () * 0.2) AS is_test FROM orders),
+             row_number() OVER (ORDER BY md5('42|' || {key})) <= ceil(count(*) OVER () * 0.2) AS is_test FROM {table}),
 best AS (SELECT level, {best} AS prediction FROM r WHERE NOT is_test GROUP BY level)
 SELECT level, prediction AS least, prediction AS most, count(*) AS n_rows
 FROM r JOIN best USING (level) WHERE is_test GROUP BY level, prediction"""
-_MEANS = _LEVELS_SQL.format(level=_TYPE, target=_PRICE, best="round(avg(label), 2)")
-_MAJORITIES = _LEVELS_SQL.format(level=_TYPE, target=_LATE, best="round(avg(label))")
+_ORDERS = {"key": "o_orderkey", "table": "orders", "level": _TYPE}
+_MEANS = _LEVELS_SQL.format(target=_PRICE, best="round(avg(label), 2)", **_ORDERS)
+_MAJORITIES = _LEVELS_SQL.format(target=_LATE, best="round(avg(label))", **_ORDERS)
 
 
 def _register_levels(model: str, target: str, sql: str, n_classes: int):
     @query(f"levels_{model}", sql)
     def build(t: Tables):
-        return level_predictions(t, model, target, n_classes).withColumns(
+        return level_predictions(levels_table(t.orders, "o_orderkey", _TYPE, target), model, n_classes).withColumns(
             {n: F.round(n, 2) for n in ("least", "most")})
 
 
 for _model in ("linear_regression", "decision_tree_regressor", "gradient_boosting_regressor"):
     _register_levels(_model, _PRICE, _MEANS, 0)
-for _model in ("logistic_regression", "decision_tree", "random_forest", "svm"):
+for _model in ("logistic_regression", "decision_tree", "random_forest"):
     _register_levels(_model, _LATE, _MAJORITIES, 2)
 
 
+@query("levels_svm", _LEVELS_SQL.format(
+    target=_PART_GOOD, best="round(avg(label))", key="p_partkey", table="part", level=_PART_LEVEL))
+def levels_svm(t: Tables):
+    return level_predictions(levels_table(t.part, "p_partkey", _PART_LEVEL, _PART_GOOD), "svm", 2)
+
+
 @query("levels_random_forest_regressor", f"""
 WITH r AS (SELECT {_TYPE} AS level, CAST({_PRICE} AS DOUBLE) AS label,
              row_number() OVER (ORDER BY md5('42|' || o_orderkey)) <= ceil(count(*) OVER () * 0.2) AS is_test FROM orders),
@@ -92,8 +103,9 @@ best AS (SELECT level, avg(label) AS mean, stddev_pop(label) / sqrt(count(*)) AS
 SELECT level, count(*) AS n_rows, max(error) < 0.2 * max(mean) AS near_mean FROM r JOIN best USING (level) WHERE is_test GROUP BY level""")
 def levels_random_forest_regressor(t: Tables):
     """Bootstrapped trees come near the mean of a level, by its standard error."""
-    found = level_predictions(t, "random_forest_regressor", _PRICE)
-    means = levels_table(t, _PRICE).where(F.col("split") == TRAIN).groupBy("level").agg(
+    levels = levels_table(t.orders, "o_orderkey", _TYPE, _PRICE)
+    found = level_predictions(levels, "random_forest_regressor")
+    means = levels.where(F.col("split") == TRAIN).groupBy("level").agg(
         F.avg("label").alias("mean"), (F.stddev_pop("label") / F.sqrt(F.count("*"))).alias("error"))
     off = F.greatest(F.abs(F.col("least") - F.col("mean")), F.abs(F.col("most") - F.col("mean")))
     return found.join(means, "level").select("level", "n_rows", (off <= F.col("error")).alias("near_mean"))

@@ -15,7 +15,7 @@ from tabloom.sources.store import (
     prediction_rows,
     upsert_latest,
 )
-from tabloom.sources.validation import validation_rules
+from tabloom.sources.validation import config_reasons, input_feature_table, validation_rules
 
 
 def _as_csv(df, label):
@@ -81,7 +81,7 @@ def file_admission(t: Tables):
 
 @query("file_admission_scan")
 def file_admission_scan(t: Tables):
-    return admission_report(list_files(t.spark, t.folder), limit_mb=50)
+    return admission_report(list_files(t.spark, t.folder), limit_mb=1, extensions=["csv", "parquet"])
 
 
 @query("validate_dataset", """
@@ -130,6 +130,49 @@ def insert_absent(t: Tables):
     return insert_if_absent(t.customer.select(F.col("c_name").alias("email")), batch, "email", ["event_id"])
 
 
+_TARGETS = ["o_orderstatus", "o_totalprice", "o_clerk", "", None, "o_orderpriority", "o_custkey"]
+_CONFIGS_SQL = """
+configs AS (
+  SELECT o_orderkey AS dataset_id,
+         [{targets}][o_orderkey % 7 + 1] AS target_column,
+         CASE o_custkey % 3 WHEN 0 THEN ['o_orderkey', 'o_orderstatus'] WHEN 1 THEN ['o_custkey', 'o_orderdate', 'nothing'] ELSE [] END
+           AS excluded_columns FROM orders)""".format(targets=", ".join("NULL" if n is None else f"'{n}'" for n in _TARGETS))
+_ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+
+def stored_configs(t: Tables):
+    """One configuration of the orders table per order, sound and unsound ones."""
+    targets = F.array(*[F.lit(n).cast("string") for n in _TARGETS])
+    excluded = F.when(F.col("o_custkey") % 3 == 0, F.array(F.lit("o_orderkey"), F.lit("o_orderstatus"))).when(
+        F.col("o_custkey") % 3 == 1, F.array(F.lit("o_custkey"), F.lit("o_orderdate"), F.lit("nothing"))).otherwise(
+        F.array().cast("array<string>"))
+    return t.orders.select(F.col("o_orderkey").alias("dataset_id"),
+                           F.element_at(targets, (F.col("o_orderkey") % 7 + 1).cast("int")).alias("target_column"),
+                           excluded.alias("excluded_columns"))
+
+
+@query("config_check", f"""
+WITH {_CONFIGS_SQL}, c AS (SELECT column_name FROM (DESCRIBE SELECT * FROM orders))
+SELECT dataset_id, target_column,
+       CASE WHEN target_column IS NULL OR target_column = '' THEN 'no target'
+            WHEN target_column NOT IN (SELECT column_name FROM c) THEN 'unknown target'
+            WHEN list_contains(excluded_columns, target_column) THEN 'target excluded' END AS reason
+FROM configs""")
+def config_check(t: Tables):
+    return config_reasons(stored_configs(t), t.orders.columns).drop("excluded_columns")
+
+
+@query("input_features", f"""
+WITH {_CONFIGS_SQL},
+left_over AS (
+  SELECT dataset_id, list_filter({_ORDER_COLUMNS}, lambda n: n IS DISTINCT FROM target_column AND NOT list_contains(excluded_columns, n)) AS names
+  FROM configs)
+SELECT dataset_id, CAST(len(names) AS BIGINT) AS n_inputs, array_to_string(names[1:3], ',') AS first_inputs,
+       CAST(greatest(len(names) - 3, 0) AS BIGINT) AS n_more FROM left_over""")
+def input_features(t: Tables):
+    return input_feature_table(stored_configs(t), t.orders.columns, 3).drop("target_column", "excluded_columns")
+
+
 _GONE = """
 WITH requests AS (SELECT DISTINCT l_orderkey AS id, l_suppkey AS user_id FROM lineitem),
 gone AS (SELECT o_orderkey AS id FROM orders JOIN requests ON o_orderkey = id AND o_custkey = user_id)

@@ -4,9 +4,12 @@ Both sides are assigned to their nearest of a few pivots (Lu et al., "Efficient
 Processing of k Nearest Neighbor Joins using MapReduce", VLDB 2012). A query
 first meets its own cell, which bounds its k-th distance; by the triangle
 inequality only cells that can hold something nearer are visited after that.
-Cells are cut into blocks of bounded size, a block pair is one numpy distance
-matrix, and only k rows per query leave it. Nothing is capped: every cell the
-bound cannot rule out is visited.
+Training rows lie in blocks of bounded size, a block being part of a large cell
+or several small ones. A query is sent once to each block it has to visit, a
+block pair is one numpy distance matrix, and only k rows per query leave it.
+Nothing is capped: every cell the bound cannot rule out is visited. In many
+dimensions that is most cells, and the work comes near that of comparing all;
+``knn_join`` can report the share.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tabloom.session import durable
+from tabloom.session import broadcast_if_small, durable
 
 # Task functions travel whole, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -132,21 +135,38 @@ def _cells_to_visit(queries: DataFrame, pivots: np.ndarray, cells: pd.DataFrame,
                 slack = 1e-9 * (1.0 + far)
                 visit = (least - slack <= bound[:, None]) & (cell_ids[None, :] != own[:, None])
                 row, hit = np.nonzero(visit)
-                yield pd.DataFrame({
-                    "qid": part["qid"].to_numpy()[row],
-                    "vec": part["vec"].to_numpy()[row],
-                    "cell": cell_ids[hit],
-                })
+                yield pd.DataFrame({"qid": part["qid"].to_numpy()[row], "cell": cell_ids[hit]})
 
     types = {f.name: f.dataType.simpleString() for f in queries.schema}
-    return queries.mapInPandas(run, f"qid {types['qid']}, vec array<double>, cell long")
+    return queries.mapInPandas(run, f"qid {types['qid']}, cell long")
 
 
-def _meet(queries: DataFrame, train: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
-    """k nearest per query among the cells it is paired with.
+def _pack(cells: pd.DataFrame, width: int) -> list[tuple[int, int, int]]:
+    """``(cell, first block, blocks)``: small cells share a block, large ones have several."""
+    per_block = min(TRAIN_BLOCK, max(256, BLOCK_BYTES // (8 * max(1, width))))
+    out, block, filled = [], 0, 0
+    for cell, n in zip(cells["cell"].tolist(), cells["n"].tolist()):
+        if filled and filled + n > per_block:
+            block, filled = block + 1, 0
+        parts = -(-n // per_block)
+        out.append((cell, block, parts))
+        block, filled = (block, filled + n) if parts == 1 else (block + parts, 0)
+    return out
+
+
+def _blocks_of(visits: DataFrame, packing: DataFrame) -> DataFrame:
+    """``(qid, block)`` of the cells to visit, each once."""
+    last = F.col("first") + F.col("parts") - 1
+    return visits.join(F.broadcast(packing), "cell").select(
+        "qid", F.explode(F.sequence("first", last)).alias("block")).distinct()
+
+
+def _meet(visits: DataFrame, queries: DataFrame, train: DataFrame, width: int, k: int) -> DataFrame:
+    """k nearest per query among the blocks it visits.
 
-    ``sizes`` holds train and query blocks per cell. Each block pair is one
-    group of bounded size, whatever share of the rows a cell has.
+    ``visits`` has ``(qid, block)``. The queries of a block are cut into parts
+    of bounded size, so a block pair never holds more, whatever share of the
+    rows a cell has.
     """
     types = {f.name: f.dataType.simpleString() for f in train.schema}
     qtype = {f.name: f.dataType.simpleString() for f in queries.schema}["qid"]
@@ -165,14 +185,14 @@ def _meet(queries: DataFrame, train: DataFrame, sizes: DataFrame, k: int) -> Dat
             "distance2": far,
         })
 
-    # One row per cell, so at most MAX_PIVOTS rows are broadcast.
-    q = queries.join(F.broadcast(sizes), "cell")
-    t = train.join(F.broadcast(sizes), "cell")
-    q = q.withColumn("qb", F.pmod(F.xxhash64("qid"), "q_blocks")).withColumn(
-        "tb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("t_blocks") - 1)))
-    t = t.withColumn("tb", F.pmod(F.xxhash64("nid"), "t_blocks")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_blocks") - 1)))
-    by = ["cell", "tb", "qb"]
+    most = min(QUERY_BLOCK, max(256, BLOCK_BYTES // (8 * max(1, width))))
+    counted = visits.groupBy("block").agg(F.ceil(F.count("*") / most).alias("q_parts"))
+    parts = broadcast_if_small(durable(counted, "knn-parts"))
+    q = visits.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("qid"), "q_parts"))
+    q = q.select("block", "part", "qid").join(queries.select("qid", "vec"), "qid")
+    t = train.join(parts, "block").withColumn(
+        "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_parts") - 1)))
+    by = ["block", "part"]
     found = (
         q.select(*by, "qid", "vec").groupBy(*by)
         .cogroup(t.select(*by, "nid", "label", "vec").groupBy(*by))
@@ -186,16 +206,6 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _blocks(queries: DataFrame, train_cells: DataFrame, width: int) -> DataFrame:
-    per_block = min(TRAIN_BLOCK, max(256, BLOCK_BYTES // (8 * max(1, width))))
-    q = queries.groupBy("cell").agg(F.count("*").alias("nq"))
-    return train_cells.join(q, "cell").select(
-        "cell",
-        F.ceil(F.col("n") / per_block).alias("t_blocks"),
-        F.ceil(F.col("nq") / QUERY_BLOCK).alias("q_blocks"),
-    )
-
-
 def _pivots(train: DataFrame, n_train: int) -> np.ndarray:
     """Up to about sqrt(n) training vectors, picked by hash order."""
     width = train.select(F.size("vec")).first()[0]
@@ -204,12 +214,14 @@ def _pivots(train: DataFrame, n_train: int) -> np.ndarray:
     return np.array([r["vec"] for r in rows], dtype="float64")
 
 
-def knn_join(train: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
+def knn_join(train: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, report: dict | None = None) -> DataFrame:
     """Exact neighbours ``(qid, nid, label, distance2, rank)``.
 
     ``train`` has ``(nid, label, vec)``, ``queries`` ``(qid, vec)``. Equal
     distances go to the smaller ``nid``. Identical training vectors count up to
     k times each, identical query vectors are answered once and joined back.
+    ``report`` is told how many cells there are and which share of them the
+    queries had to visit.
     """
     same = Window.partitionBy("vec").orderBy("nid")
     train = durable(
@@ -223,15 +235,24 @@ def knn_join(train: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataF
     asked = queries.select("qid", "vec")
     distinct = durable(
         _assign(asked.groupBy("vec").agg(F.min("qid").alias("qid")).select("qid", "vec"), pivots), "knn-queries")
-    train_cells = train.groupBy("cell").agg(F.count("*").alias("n"), F.max("radius").alias("radius"))
-    cells = train_cells.orderBy("cell").toPandas()
-
-    own = durable(_meet(distinct, train, _blocks(distinct, train_cells, pivots.shape[1]), k), "knn-own")
+    # One row per pivot.
+    cells = train.groupBy("cell").agg(F.count("*").alias("n"), F.max("radius").alias("radius")).orderBy("cell").toPandas()
+    packing = train.sparkSession.createDataFrame(_pack(cells, pivots.shape[1]), "cell long, first long, parts long")
+    blocks = train.join(F.broadcast(packing), "cell").withColumn(
+        "block", F.col("first") + F.pmod(F.xxhash64("nid"), "parts")).select("block", "nid", "label", "vec")
+
+    met = durable(_blocks_of(distinct.select("qid", "cell"), packing), "knn-own-blocks")
+    own = durable(_meet(met, distinct, blocks, pivots.shape[1], k), "knn-own")
     reached = own.groupBy("qid").agg(F.count("*").alias("found"), F.max("distance2").alias("kth"))
     bounded = distinct.join(reached, "qid", "left").withColumn(
         "bound", F.when(F.col("found") >= k, F.sqrt("kth")).otherwise(F.lit(float("inf")))).drop("found", "kth")
     others = durable(_cells_to_visit(bounded, pivots, cells, k), "knn-visits")
-    rest = _meet(others, train, _blocks(others, train_cells, pivots.shape[1]), k)
+    if report is not None:
+        n_queries = distinct.count()
+        report.update(queries=n_queries, cells=len(cells),
+                      visited_share=1 / len(cells) + others.count() / (max(1, n_queries) * len(cells)))
+    left = durable(_blocks_of(others, packing).join(met, ["qid", "block"], "left_anti"), "knn-other-blocks")
+    rest = _meet(left, distinct, blocks, pivots.shape[1], k)
     answers = _best(own.drop("rank").unionByName(rest.drop("rank")), k)
     rep = distinct.select("vec", F.col("qid").alias("rep"))
     return (

@@ -57,6 +57,28 @@ def require_config(columns: list[str], target: str | None, excluded: list[str])
         raise ValueError(f"the target {target!r} cannot be excluded")
 
 
+# Reasons for refusing a configuration.
+NO_TARGET, UNKNOWN_TARGET, EXCLUDED_TARGET = "no target", "unknown target", "target excluded"
+
+
+def config_reasons(configs: DataFrame, columns: list[str], target: str = "target_column",
+                   excluded: str = "excluded_columns") -> DataFrame:
+    """Stored configurations of one table with the ``reason`` each is refused for, NULL if it holds."""
+    name = F.col(target)
+    return configs.withColumn("reason", F.when(name.isNull() | (name == ""), F.lit(NO_TARGET))
+                              .when(~name.isin(columns), F.lit(UNKNOWN_TARGET))
+                              .when(F.array_contains(excluded, name), F.lit(EXCLUDED_TARGET)))
+
+
+def input_feature_table(configs: DataFrame, columns: list[str], show: int = 6, target: str = "target_column",
+                        excluded: str = "excluded_columns") -> DataFrame:
+    """Per stored configuration the columns left as inputs: their count, the first few, how many more."""
+    left = F.filter(F.array(*map(F.lit, columns)), lambda n: ~(n.eqNullSafe(F.col(target)) | F.array_contains(excluded, n)))
+    return configs.withColumn("left", left).select(
+        "*", F.size("left").cast("long").alias("n_inputs"), F.array_join(F.slice("left", 1, show), ",").alias("first_inputs"),
+        F.greatest(F.size("left") - show, F.lit(0)).cast("long").alias("n_more")).drop("left")
+
+
 def input_features(columns: list[str], target: str, excluded: list[str], show: int = 6) -> dict:
     """Columns left as inputs: their count, the first few, how many more."""
     left = [n for n in columns if n != target and n not in set(excluded)]
