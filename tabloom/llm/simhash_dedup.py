@@ -29,13 +29,15 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tabloom.llm.batches import map_texts, named
 from tabloom.llm.graph import components
-from tabloom.session import durable
+from tabloom.session import broadcast_if_small, durable
 
 BITS = 64
 SEED = 42
 # Shingles whose bits are unpacked at a time, and members of a variant compared pair by pair.
 UNPACKED = 1 << 15
 SMALL_GROUP = 16
+# Fingerprints of a variant that one task holds at a time.
+MOST_TOGETHER = 1_000_000
 
 
 def fingerprint(text: str, shingle: int = 4) -> int:
@@ -131,34 +133,92 @@ def _links(bit: np.ndarray, rest: np.ndarray, fp: np.ndarray, distance: int) ->
     return np.concatenate(left or [fp[:0]]), np.concatenate(right or [fp[:0]])
 
 
-def _find_links(distance: int):
+_FOUND = "a long, b long, bit long, rest long, size long"
+
+
+def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
+    none = pa.nulls(len(pairs), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none, none, none],
+                                      names=["a", "b", "bit", "rest", "size"])
+
+
+def _mark(bit: int, rest: int, size: int) -> pa.RecordBatch:
+    none = pa.nulls(1, pa.int64())
+    return pa.RecordBatch.from_arrays([none, none, *[pa.array([v], pa.int64()) for v in (bit, rest, size)]],
+                                      names=["a", "b", "bit", "rest", "size"])
+
+
+def _find_links(distance: int, most: int | None):
+    """Links of groups that come sorted; of a group of more than ``most`` members only its size."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, dtype=np.int64)] * 3
+        large: list[int] | None = None
         for batch in batches:
-            held = [np.concatenate((h, batch.column(i).to_numpy(zero_copy_only=False))) for i, h in enumerate(held)]
+            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            if large is not None:
+                same = (new[0] == large[0]) & (new[1] == large[1])
+                large[2] += int(same.sum())
+                new = [x[~same] for x in new]
+                if not len(new[0]):
+                    continue
+                yield _mark(*large)
+                large = None
+            held = [np.concatenate((h, x)) for h, x in zip(held, new)]
             if not len(held[0]):
                 continue
             # The last group may go on in the next batch.
             open_ = (held[0] == held[0][-1]) & (held[1] == held[1][-1])
             cut = int(np.argmax(open_))
             if cut:
-                yield _edges(*_links(*[h[:cut] for h in held], distance))
+                yield from whole_groups([h[:cut] for h in held])
                 held = [h[cut:] for h in held]
+            if most is not None and len(held[0]) > most:
+                large = [int(held[0][0]), int(held[1][0]), len(held[0])]
+                held = [h[:0] for h in held]
+        if large is not None:
+            yield _mark(*large)
         if len(held[0]):
-            yield _edges(*_links(*held, distance))
-
-    def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            yield from whole_groups(held)
+
+    def whole_groups(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if most is not None:
+            new = np.ones(len(rows[0]), dtype=bool)
+            new[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
+            group = np.cumsum(new) - 1
+            sizes = np.bincount(group)
+            for k in np.nonzero(sizes > most)[0]:
+                at = int(np.argmax(group == k))
+                yield _mark(int(rows[0][at]), int(rows[1][at]), int(sizes[k]))
+            rows = [x[sizes[group] <= most] for x in rows]
+        if len(rows[0]):
+            yield _edges(*_links(*rows, distance))
 
     return run
 
 
-def link_fingerprints(fps: DataFrame, distance: int = 4) -> DataFrame:
-    """``(a, b)``: links between distinct fingerprints whose components are those of all pairs within ``distance``."""
+def link_fingerprints(fps: DataFrame, distance: int = 4, most: int = MOST_TOGETHER) -> DataFrame:
+    """``(a, b)``: links between distinct fingerprints whose components are those of all pairs within ``distance``.
+
+    A variant of more than ``most`` fingerprints is cut into parts, and every
+    two parts of it meet in a group of their own.
+    """
     index = variants(fps, distance).withColumn("bit", F.col("bit").cast("long"))
     sorted_ = index.repartition("bit", "rest").sortWithinPartitions("bit", "rest")
-    return sorted_.select("bit", "rest", "fp").mapInArrow(_find_links(distance), "a long, b long").distinct()
+    found = durable(sorted_.select("bit", "rest", "fp").mapInArrow(_find_links(distance, most), _FOUND), "links")
+    links = found.where("a IS NOT NULL").select("a", "b")
+    large = found.where("a IS NULL").select("bit", "rest", F.ceil(F.col("size") * 4 / most).alias("parts"))
+    if large.limit(1).count():
+        members = index.join(broadcast_if_small(large), ["bit", "rest"])
+        own = members.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts"))).withColumn(
+            "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        # One number for the variant and the two parts; groups that share a number by chance do no harm.
+        group = F.xxhash64("bit", "rest", F.least("own", "other"), F.greatest("own", "other"))
+        met = own.select(F.lit(-1).cast("long").alias("bit"), group.alias("rest"), "fp")
+        again = met.repartition("rest").sortWithinPartitions("rest").mapInArrow(_find_links(distance, None), _FOUND)
+        links = links.unionByName(again.select("a", "b"))
+    return links.distinct()
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 4,

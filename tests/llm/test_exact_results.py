@@ -91,8 +91,8 @@ def test_simhash_components(spark, sf, rows):
     assert {i: r.component_id for i, r in got.items()} == classes(prints)
 
 
-@pytest.mark.parametrize("distance", [1, 4, 6])
-def test_links_hold_every_component_together(spark, distance):
+@pytest.mark.parametrize("distance, most", [(1, 10 ** 6), (4, 10 ** 6), (4, 5), (6, 10 ** 6)])
+def test_links_hold_every_component_together(spark, distance, most):
     from tabloom.llm.graph import components
     from tabloom.llm.simhash_dedup import link_fingerprints
 
@@ -103,7 +103,7 @@ def test_links_hold_every_component_together(spark, distance):
             prints.add(base ^ int(sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 9), replace=False))))
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     table = spark.createDataFrame([(p,) for p in signed], "fp long")
-    found = {r.node: r.root for r in components(link_fingerprints(table, distance)).collect()}
+    found = {r.node: r.root for r in components(link_fingerprints(table, distance, most)).collect()}
     want = classes({p: p % (1 << 64) for p in signed}, distance)
     groups = collections.defaultdict(set)
     for p in signed:
