@@ -7,8 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabloom.functions.columns import c, text_columns
-from tabloom.operators import detect, profile, rollup
+from tabloom.functions.columns import c, normalise, numeric_columns, text_columns
+from tabloom.operators import charts, detect, profile, rollup
 from tabloom.operators.clean import ROW_KEY
 from tabloom.operators.models import Fitted
 from tabloom.plans.config import PrepConfig
@@ -127,6 +127,22 @@ class Workbench:
             trained.fitted["knn"] = Fitted.load(self.spark, "knn", f"{folder}/model/knn")
         return trained
 
+    def charts(self, dataset_id: int, user_id: int) -> dict[str, DataFrame]:
+        """The numbers behind the charts of a configured dataset, by name."""
+        config = self.store.config_of(dataset_id).first()
+        if config is None:
+            raise ValueError("choose a target column first")
+        target = config["target_column"]
+        df = normalise(self.table(dataset_id, user_id)).drop(*json.loads(config["excluded_columns"]))
+        numbers = numeric_columns(df)
+        out = {"missing": charts.missing_ranked(df), "correlations": charts.correlation_matrix(df, numbers)}
+        if target in numbers:
+            out["target"] = charts.histogram(df, target)
+            out["importance"] = charts.correlation_importance(df, target)
+        else:
+            out["target"] = charts.value_counts(df, target)
+        return out
+
     def predict(self, dataset_id: int, user_id: int, rows: DataFrame, user_name: str = "",
                 key: list[str] | None = None) -> DataFrame:
         """Score raw rows with the best model and log every prediction."""

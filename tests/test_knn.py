@@ -71,3 +71,29 @@ def test_squared_distances():
     a, b = np.array([[0.0, 0.0], [1.0, 2.0]]), np.array([[3.0, 4.0]])
     assert knn._squared(a, b).tolist() == [[25.0], [8.0]]
     assert knn._stack(pd.Series([], dtype=object)).shape == (0, 0)
+
+
+def test_buckets_find_most_neighbours(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(0, 1, (40, 24))
+    points = lambda n: (centres[rng.integers(0, 40, n)] + rng.normal(0, 0.15, (n, 24))).round(4)
+    train = [(i, i % 3, v.tolist()) for i, v in enumerate(points(2000))]
+    queries = [(9000 + i, v.tolist()) for i, v in enumerate(points(100))]
+    t = spark.createDataFrame(train, "nid long, label long, vec array<double>")
+    q = spark.createDataFrame(queries, "qid long, vec array<double>")
+    got = {}
+    for r in knn.knn_join_lsh(t, q).collect():
+        got.setdefault(r["qid"], {})[r["nid"]] = r["rank"]
+    want = brute(train, queries, 3)
+    found = sum(len(set(want[i]) & got.get(i, {}).keys()) for i in want)
+    assert found / (3 * len(want)) > 0.9
+    assert all(sorted(ranks.values()) == list(range(1, len(ranks) + 1)) for ranks in got.values())
+
+
+def test_report_of_the_visited_share(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, 0, [float(i // 100) * 50 + x, x]) for i, x in enumerate(rng.random(400).tolist())]
+    report = {}
+    t = spark.createDataFrame(rows, "nid long, label long, vec array<double>")
+    knn.knn_join(t, t.select(F.col("nid").alias("qid"), "vec").limit(50), 3, report=report).count()
+    assert report["queries"] == 50 and 0 < report["visited_share"] < 0.7

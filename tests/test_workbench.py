@@ -29,6 +29,9 @@ def test_from_file_to_report(spark, tmp_path):
     with pytest.raises(ValueError):
         bench.preprocess(dataset, user)
     assert bench.configure(dataset, user, "grade", excluded=["id"]) == "classification"
+    drawn = bench.charts(dataset, user)
+    assert drawn["target"].count() == 2 and "importance" not in drawn
+    assert drawn["missing"].first()["column"] == "region" and drawn["correlations"].count() == 1
     trained = bench.preprocess(dataset, user, ["logistic_regression", "decision_tree"], test_size=0.25)
     best = trained.metrics.where(F.col("model") == trained.best_name).first()
     assert best["accuracy"] > 0.9
