@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tabloom.llm.batches import named, numbered_words, slices
 from tabloom.llm.labelled import held_out, training_labels
+from tabloom.session import durable
 
 # A-Z become a-z; what is neither an ASCII letter nor part of a character beyond ASCII becomes a blank.
 _LETTERS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
@@ -43,7 +44,12 @@ BEGINNINGS = (5, 6, 7)
 
 @dataclass(frozen=True)
 class Fit:
-    """``sample`` is the most labelled texts of each class that are learned from."""
+    """``sample`` is the most labelled texts of each class that are learned from.
+
+    A term is learned if at least ``least_texts`` of them have it and its share
+    differs between the classes by ``least_errors`` standard errors, or if a
+    share of ``frequent`` of all has it, as it may matter in pairs.
+    """
 
     sample: int = 6000
     features: int = 1 << 18
@@ -106,18 +112,11 @@ def term_features(column: pa.Array, features: int, active: np.ndarray | None = N
     return pairs % features, np.bincount(pairs // features, minlength=len(sizes)).astype(np.int64)
 
 
-def _worth_learning(flat: np.ndarray, labels: np.ndarray, n: int, ones: float, fit: Fit) -> np.ndarray:
-    """Terms whose share differs between the classes by so many standard errors, and those frequent enough to matter in pairs."""
-    seen = np.bincount(flat, minlength=fit.features)
-    with_one = np.bincount(flat, weights=labels, minlength=fit.features)
-    share = seen / n
-    error = np.sqrt(share * (1 - share) * (1 / ones + 1 / (n - ones))) + 1e-12
-    apart = np.abs(with_one / ones - (seen - with_one) / (n - ones)) / error
-    return np.nonzero((seen >= fit.least_texts) & ((apart >= fit.least_errors) | (share >= fit.frequent)))[0]
-
-
 def fit_machine(rows: list[tuple[np.ndarray, int]], fit: Fit = Fit()) -> Machine:
-    """Logistic loss over all rows at once, by steps scaled per parameter (Adam)."""
+    """Logistic loss over all rows at once, by steps scaled per parameter (Adam).
+
+    ``rows`` has the distinct terms and the label of each text.
+    """
     y = np.array([label for _, label in rows], dtype=float)
     share = float(y.mean()) if len(y) else 0.0
     nothing = Machine(0.0, np.zeros(fit.features), np.zeros((fit.factors, fit.features)))
@@ -125,11 +124,10 @@ def fit_machine(rows: list[tuple[np.ndarray, int]], fit: Fit = Fit()) -> Machine
         return Machine(-1e9 if share == 0 else 1e9, nothing.weights, nothing.vectors)
     sizes = np.array([len(f) for f, _ in rows])
     flat = np.concatenate([f for f, _ in rows]).astype(np.int64)
-    kept = _worth_learning(flat, np.repeat(y, sizes), len(y), y.sum(), fit)
+    kept = np.unique(flat)
     place = np.full(fit.features, -1)
     place[kept] = np.arange(len(kept))
-    doc = np.repeat(np.arange(len(y)), sizes)[place[flat] >= 0]
-    at = place[flat][place[flat] >= 0]
+    doc, at = np.repeat(np.arange(len(y)), sizes), place[flat]
     k, n = len(kept), len(y)
     rng = np.random.default_rng(fit.seed)
     weights, vectors = np.zeros(k), rng.normal(0, 0.03, (fit.factors, k))
@@ -159,8 +157,29 @@ def fit_machine(rows: list[tuple[np.ndarray, int]], fit: Fit = Fit()) -> Machine
     return Machine(constant, all_weights, all_vectors)
 
 
+def _kept_terms(kept: Broadcast):
+    """Rows with only the terms worth learning."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = kept.value
+        for batch in batches:
+            terms = batch.column(3)
+            flat, sizes = terms.flatten().to_numpy(zero_copy_only=False), terms.value_lengths().to_numpy(zero_copy_only=False)
+            hit = wanted[flat]
+            doc = np.repeat(np.arange(len(sizes)), sizes)[hit]
+            ends = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(sizes)))))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[hit]))],
+                names=batch.schema.names)
+
+    return run
+
+
+_SAMPLE = "label int, order string, tie long, terms array<int>"
+
+
 def training_sample(df: DataFrame, labels: DataFrame, label: str, id_column: str, text: str, fit: Fit) -> list:
-    """At most ``2 * fit.sample`` rows of term features, drawn by the digest of the id, then of the text."""
+    """At most ``2 * fit.sample`` rows of terms worth learning, drawn by the digest of the id, then of the text."""
     known = training_labels(labels, label, id_column)
     digest = F.md5(F.col("id").cast("string"))
     ids = None
@@ -179,9 +198,23 @@ def training_sample(df: DataFrame, labels: DataFrame, label: str, id_column: str
             terms = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*part.columns[:3], terms], names=["label", "order", "tie", "terms"])
 
-    rows = chosen.mapInArrow(run, "label int, order string, tie long, terms array<int>")
-    kept = rows.orderBy("order", "tie").limit(2 * fit.sample).toPandas()
-    return [(np.asarray(t, dtype=np.int64), int(y)) for t, y in zip(kept["terms"], kept["label"])]
+    rows = durable(chosen.mapInArrow(run, _SAMPLE), "sampled-terms")
+    n, ones = rows.agg(F.count("*"), F.sum("label")).first()
+    kept = np.zeros(fit.features, dtype=bool)
+    if n and 0 < ones < n:
+        seen, with_one = F.count("*"), F.sum("label")
+        counted = rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(
+            seen.alias("seen"), with_one.alias("with_one")).where(F.col("seen") >= fit.least_texts)
+        share = F.col("seen") / n
+        error = F.sqrt(share * (1 - share) * (1 / ones + 1 / (n - ones))) + 1e-12
+        apart = F.abs(F.col("with_one") / ones - (F.col("seen") - F.col("with_one")) / (n - ones)) / error
+        # At most one row per feature.
+        worth = counted.where((apart >= fit.least_errors) | (share >= fit.frequent)).select("term").toPandas()
+        kept[worth["term"].to_numpy(dtype=np.int64)] = True
+    shared = df.sparkSession.sparkContext.broadcast(kept)
+    narrow = rows.mapInArrow(_kept_terms(shared), _SAMPLE)
+    found = narrow.orderBy("order", "tie").limit(2 * fit.sample).toPandas()
+    return [(np.asarray(t, dtype=np.int64), int(y)) for t, y in zip(found["terms"], found["label"])]
 
 
 def _scorer(shared: Broadcast, features: int):
