@@ -28,7 +28,6 @@ empty benchmark gives rows without hits. Other columns play no part.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field

@@ -177,7 +177,7 @@ def _in_bitmap(words: list[str], bits: np.ndarray) -> np.ndarray:
     return out
 
 
-def _marked(column: pa.Array, bits: np.ndarray, rules: Disclosure) -> tuple[list[str], np.ndarray, np.ndarray]:
+def _marked(column: pa.Array, bits: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Words of the column that the bitmap has; the number of such a word and its text, wherever one occurs."""
     plain = pa.array([(t or "").encode().translate(_LETTERS) for t in column.to_pylist()], pa.binary()).cast(pa.string())
     words, codes, sizes = numbered_words(plain)
@@ -187,14 +187,14 @@ def _marked(column: pa.Array, bits: np.ndarray, rules: Disclosure) -> tuple[list
     return words, codes[at], np.repeat(np.arange(len(sizes)), sizes)[at]
 
 
-def texts_with(df: DataFrame, text: str, marks: bytes, rules: Disclosure) -> DataFrame:
+def texts_with(df: DataFrame, text: str, marks: bytes) -> DataFrame:
     """``(term, n)``: texts that have a word of the bitmap, summed up in each slice first."""
     shared = df.sparkSession.sparkContext.broadcast(marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, dtype=np.int64)
         for part in slices(batches, 0):
-            words, codes, doc = _marked(part.column(0), bits, rules)
+            words, codes, doc = _marked(part.column(0), bits)
             once = np.unique(codes * max(1, part.num_rows) + doc) // max(1, part.num_rows)
             found, n = np.unique(once, return_counts=True)
             yield pa.RecordBatch.from_arrays(
@@ -212,7 +212,7 @@ def disclosing_terms(df: DataFrame, text: str = "text", rules: Disclosure = Disc
     pairs = found.select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(
         F.count("*").alias("n_both")).where(F.col("n_both") >= rules.contexts)
     candidates = durable(pairs.join(entities, "entity"), "candidates")
-    counted = texts_with(df, text, bitmap(candidates.select("term")), rules)
+    counted = texts_with(df, text, bitmap(candidates.select("term")))
     content = -F.log(F.least(F.col("n_entity") / F.lit(max(total, 1.0)), F.lit(1.0)))
     surprise = F.log((F.col("n_both") / F.col("n_entity")) / (F.col("n_term") / F.lit(max(total, 1.0))))
     rated = candidates.join(counted, "term").withColumn(
@@ -228,10 +228,10 @@ RESULT = T.StructType(
            T.StructField("term", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
 
 
-def _spans(marks: bytes, rules: Disclosure):
+def _spans(marks: bytes):
     def compute(batch: list[str]) -> list:
         bits = np.frombuffer(marks, dtype=np.int64)
-        words, codes, doc = _marked(pa.array(batch, pa.large_string()), bits, rules)
+        words, codes, doc = _marked(pa.array(batch, pa.large_string()), bits)
         wanted: dict[int, set[str]] = {}
         for w, d in set(zip(codes.tolist(), doc.tolist())):
             wanted.setdefault(d, set()).add(words[w])
@@ -264,7 +264,7 @@ def find_personal_data(df: DataFrame, carried: tuple[str, ...] = ("doc_id",), te
                        rules: Disclosure = Disclosure()) -> DataFrame:
     """``carried`` columns, counts of the fixed kinds and their digest, ``spans`` of all kinds, and ``terms`` with their disclosure."""
     terms = durable(disclosing_terms(df, text, rules), "disclosing-terms")
-    rows = map_texts(df, carried, text, RESULT, _spans(bitmap(terms), rules))
+    rows = map_texts(df, carried, text, RESULT, _spans(bitmap(terms)))
     numbered = durable(rows.toDF(*[f"c{i}" for i in range(len(carried))], *RESULT.names).withColumn(
         "row", F.monotonically_increasing_id()), "spans")
     marked = numbered.where(F.size("marked") > 0).select("row", F.explode("marked").alias("m")).select("row", "m.*")
