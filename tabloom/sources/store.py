@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tabloom.functions.records import list_to_json, login_key
 
+# Names and fields of the stored records.
 SCHEMAS = {
     "users": "id long, email string, password_hash string, full_name string, created_at timestamp",
     "datasets": "id long, user_id long, filename string, original_name string, file_path string, "

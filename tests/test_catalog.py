@@ -4,6 +4,7 @@ import pytest
 import __spark_entry__ as driver
 from tools.check import TABLES, compare
 
+# The levels_* queries train every one of these model families on fewer trees, against SQL.
 SLOW = {"rf_reg", "gbt_reg", "train_suite_regression", "train_suite_classification", "svm_rff", "rf_cls"}
 
 
