@@ -6,6 +6,8 @@ from tabloom.catalog.cleaning import _PRICE_TEXT, _PRIORITIES, _SEGMENTS, _duck,
 from tabloom.catalog.registry import Tables, query
 from tabloom.operators.clean import ROW_KEY
 from tabloom.plans import PrepConfig, prepare
+from tabloom.plans.state import PrepState
+from tabloom.session import scratch_path
 
 CONFIG = PrepConfig(target="o_orderstatus", key=("o_orderkey",), excluded=("c_name",))
 
@@ -92,6 +94,33 @@ def prep_summary(t: Tables):
     return prepared(t).summary(t.spark).select("step", "column", "action", "n_affected")
 
 
+@query("state_roundtrip", f"""
+WITH {_SOURCE}, {_FILLED}
+SELECT 'class' AS kind, o_orderstatus AS name, CAST(dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS DOUBLE) AS value
+FROM (SELECT DISTINCT o_orderstatus FROM filled)
+UNION ALL {" UNION ALL ".join(f"SELECT 'mean', '{n}', round(avg({n}), 4) FROM filled" for n in _ENCODED)}
+UNION ALL SELECT 'fill', 'priority',
+  (SELECT count(*) FROM src WHERE priority = (SELECT priority FROM src WHERE priority IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1))
+UNION ALL SELECT 'split', split, count(*) FROM (
+  SELECT CASE WHEN row_number() OVER (ORDER BY md5('42|' || o_orderkey)) <= ceil(count(*) OVER () * 0.2)
+              THEN 'test' ELSE 'train' END AS split FROM filled) GROUP BY 1, 2""")
+def state_roundtrip(t: Tables):
+    """What was learned, after it was saved and loaded again: classes, means, a fill (by how often it occurs), and the splits."""
+    path = scratch_path(t.spark, "prepared")
+    prepared(t).save(path)
+    state = PrepState.load(t.spark, f"{path}/state")
+    classes = t.spark.read.parquet(f"{path}/classes").select(
+        F.lit("class").alias("kind"), F.col("class_label").alias("name"), F.col("class_index").cast("double").alias("value"))
+    means = t.spark.createDataFrame(
+        [("mean", n, float(state.scaler[n][0])) for n in _ENCODED], "kind string, name string, value double")
+    fill = order_dataset(t).where(F.col("priority") == state.fills.values["priority"]).agg(
+        F.lit("fill").alias("kind"), F.lit("priority").alias("name"), F.count("*").cast("double").alias("value"))
+    splits = t.spark.read.parquet(f"{path}/rows").groupBy("split").agg(F.count("*").cast("double").alias("value")).select(
+        F.lit("split").alias("kind"), F.col("split").alias("name"), "value")
+    out = classes.unionByName(means.withColumn("value", F.round("value", 4))).unionByName(fill)
+    return out.unionByName(splits)
+
+
 def copied_orders(t: Tables):
     """Orders by three narrow columns, every third one twice: copies, and rows that differ in the key only."""
     rows = t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority", (F.col("o_custkey") % 40).alias("group_no"))
