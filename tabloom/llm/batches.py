@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 # Bytes of text that one slice holds, if a single text is not longer.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 SPACE = b" \t\n\x0b\x0c\r"
 

@@ -40,7 +40,9 @@ from tabloom.session import durable, scratch_path
 VERSION = 1
 # Words that a worker remembers; the frequent ones come first, and a full memory takes no more.
 REMEMBERED = 800_000
-# Documents, and ids, that are read back at a time.
+# Bytes of text encoded at a time; a word is looked up once in each such part.
+ENCODED_BYTES = 8 << 20
+# Documents that are read back at a time.
 READ_DOCUMENTS = 4096
 
 # Letters of one case pair each that no normalisation joins or splits, then ASCII signs without the apostrophe and digits:
@@ -178,7 +180,7 @@ def _writer(path: str, end_id: int, folder: str):
         sizes, ids, nulls = [], [], 0
         name = f"{folder}/{uuid.uuid4().hex}"
         out, store = None, None
-        for part in slices(batches, 1):
+        for part in slices(batches, 1, ENCODED_BYTES):
             if out is None:
                 store, at = pafs.FileSystem.from_uri(name)
                 store.create_dir(at.rsplit("/", 1)[0], recursive=True)
