@@ -9,14 +9,17 @@ the probability of a word is the share of texts that have it. A word at 1
 occurs with the entity only. Words above the lower threshold are generalised
 and those above the upper one removed, wherever in the corpus they stand.
 
-A context counts once however often it is copied, and a word needs several
-contexts of an entity, so that copies of one passage reveal nothing.
+All numbers are of different texts: a text counts once however often it is
+copied, for the word, the entity, both and the corpus. A word needs several
+different contexts of an entity, so that copies of one passage inside other
+texts reveal nothing.
 
 Steps: (1) entities and their contexts, from every text; (2) counts per
-(word, entity), a join-free aggregate; (3) the number of texts with each
-candidate word, where a bitmap of fixed size tells tasks which words to
-count; (4) the disclosing words as a table; (5) spans in every text, found
-by the bitmap of those words and settled by a join with their table.
+(word, entity), a join-free aggregate; (3) the number of different texts with
+each candidate word, where a bitmap of fixed size tells tasks which words to
+count and another which texts may have copies; only those leave their task
+one by one; (4) the disclosing words as a table; (5) spans in every text,
+found by the bitmap of those words and settled by a join with their table.
 
 Defined results: a null or empty text has no spans. Repeated rows give
 repeated results, an empty table an empty one. Null ids are carried. Other
@@ -137,17 +140,29 @@ def contexts(text: str, rules: Disclosure) -> list[tuple[str, list[str]]]:
     return out
 
 
+def _digest(text: str) -> Column:
+    """Names a text among all different ones; null and empty are the same."""
+    return F.md5(F.coalesce(named(text).cast("string"), F.lit("")))
+
+
 def entity_contexts(df: DataFrame, text: str, rules: Disclosure) -> DataFrame:
-    """``(entity, words)``, each different context once."""
+    """``(text, entity, contexts)``, one row for every entity of a text, each different text once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 0):
-            found = [c for t in texts(part, 0) for c in contexts(t, rules)]
+        for part in slices(batches, 1):
+            names, entities, around = [], [], []
+            for name, t in zip(part.column(0).to_pylist(), texts(part, 1)):
+                of: dict[str, set[tuple[str, ...]]] = {}
+                for entity, words in contexts(t, rules):
+                    of.setdefault(entity, set()).add(tuple(words))
+                names += [name] * len(of)
+                entities += of
+                around += [sorted(c) for c in of.values()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([e for e, _ in found], pa.string()), pa.array([w for _, w in found], pa.list_(pa.string()))],
-                names=["entity", "words"])
+                [pa.array(names, pa.string()), pa.array(entities, pa.string()), pa.array(around, pa.list_(pa.list_(pa.string())))],
+                names=["text", "entity", "contexts"])
 
-    rows = df.select(named(text).cast("string").alias("t"))
-    return rows.mapInArrow(run, "entity string, words array<string>").distinct()
+    rows = df.select(_digest(text).alias("d"), named(text).cast("string").alias("t"))
+    return rows.mapInArrow(run, "text string, entity string, contexts array<array<string>>").distinct()
 
 
 def _places(term: Column) -> Column:
@@ -187,33 +202,59 @@ def _marked(column: pa.Array, bits: np.ndarray) -> tuple[list[str], np.ndarray,
     return words, codes[at], np.repeat(np.arange(len(sizes)), sizes)[at]
 
 
-def texts_with(df: DataFrame, text: str, marks: bytes) -> DataFrame:
-    """``(term, n)``: texts that have a word of the bitmap, summed up in each slice first."""
-    shared = df.sparkSession.sparkContext.broadcast(marks)
+def texts_with(df: DataFrame, text: str, marks: bytes, copies: bytes) -> DataFrame:
+    """``(term, n_term)``: different texts that have a word of the bitmap.
+
+    Texts outside ``copies``, the bitmap of digests that occur more than once,
+    are summed up in each slice; the others are compared by digest.
+    """
+    shared = df.sparkSession.sparkContext.broadcast((marks, copies))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, dtype=np.int64)
-        for part in slices(batches, 0):
-            words, codes, doc = _marked(part.column(0), bits)
-            once = np.unique(codes * max(1, part.num_rows) + doc) // max(1, part.num_rows)
-            found, n = np.unique(once, return_counts=True)
+        bits, copied = (np.frombuffer(b, dtype=np.int64) for b in shared.value)
+        for part in slices(batches, 1):
+            names, rows = part.column(0).to_pylist(), max(1, part.num_rows)
+            words, codes, doc = _marked(part.column(1), bits)
+            maybe = _in_bitmap(names, copied)
+            once = np.unique(doc * max(1, len(words)) + codes)
+            doc, codes = once // max(1, len(words)), once % max(1, len(words))
+            found, n = np.unique(codes[~maybe[doc]], return_counts=True)
+            out_names, terms, counts = [None], [[words[i] for i in found.tolist()]], [n.astype(np.int64).tolist()]
+            ends = np.searchsorted(doc, np.arange(rows + 1))
+            for i in {names[i]: i for i in np.nonzero(maybe)[0].tolist()}.values():
+                out_names.append(names[i])
+                terms.append(sorted(words[c] for c in codes[ends[i]:ends[i + 1]].tolist()))
+                counts.append(None)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([words[i] for i in found.tolist()], pa.string()), pa.array(n.astype(np.int64))], names=["term", "n"])
+                [pa.array(out_names, pa.string()), pa.array(terms, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))],
+                names=["text", "terms", "counts"])
 
-    rows = df.select(named(text).cast("string").alias("t"))
-    return rows.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    rows = df.select(_digest(text).alias("d"), named(text).cast("string").alias("t"))
+    found = durable(rows.mapInArrow(run, "text string, terms array<string>, counts array<long>"), "marked-words")
+    summed = found.where("text IS NULL").select(F.explode(F.arrays_zip("terms", "counts")).alias("c")).select(
+        F.col("c.terms").alias("term"), F.col("c.counts").alias("n"))
+    compared = found.where("text IS NOT NULL").select("text", "terms").distinct().select(
+        F.explode("terms").alias("term"), F.lit(1).cast("long").alias("n"))
+    return summed.unionByName(compared).groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
 def disclosing_terms(df: DataFrame, text: str = "text", rules: Disclosure = Disclosure()) -> DataFrame:
     """``(term, disclosure)``: the most that a word discloses about any entity, if over the lower threshold."""
     found = durable(entity_contexts(df, text, rules), "contexts")
-    total = float(df.count())
-    entities = found.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= rules.contexts)
-    pairs = found.select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(
-        F.count("*").alias("n_both")).where(F.col("n_both") >= rules.contexts)
+    digests = durable(df.select(_digest(text).alias("term")).groupBy("term").agg(F.count("*").alias("n")), "digests")
+    total = float(digests.count())
+    entities = found.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    in_texts = found.select("entity", F.explode(F.array_distinct(F.flatten("contexts"))).alias("term")).select(
+        "entity", "term", one.alias("n_both"), none.alias("n_contexts"))
+    different = found.select("entity", F.explode("contexts").alias("words")).distinct()
+    in_contexts = different.select("entity", F.explode("words").alias("term")).select(
+        "entity", "term", none.alias("n_both"), one.alias("n_contexts"))
+    pairs = in_texts.unionByName(in_contexts).groupBy("entity", "term").agg(
+        F.sum("n_both").alias("n_both"), F.sum("n_contexts").alias("n_contexts")).where(F.col("n_contexts") >= rules.contexts)
     candidates = durable(pairs.join(entities, "entity"), "candidates")
-    counted = texts_with(df, text, bitmap(candidates.select("term")))
-    content = -F.log(F.least(F.col("n_entity") / F.lit(max(total, 1.0)), F.lit(1.0)))
+    counted = texts_with(df, text, bitmap(candidates.select("term")), bitmap(digests.where("n > 1").select("term")))
+    content = -F.log(F.col("n_entity") / F.lit(max(total, 1.0)))
     surprise = F.log((F.col("n_both") / F.col("n_entity")) / (F.col("n_term") / F.lit(max(total, 1.0))))
     rated = candidates.join(counted, "term").withColumn(
         "disclosure", F.when(content > 0, surprise / content).otherwise(F.lit(0.0)))
