@@ -10,7 +10,8 @@ is half of ``(sum v_i)^2 - sum v_i^2``, factor by factor.
 
 The machine is fitted to a bounded sample of labelled texts (``Fit.sample``
 of each class, those with the smallest digests), which is all that the driver
-ever holds. Every text is scored in its own partition, whole, without a
+ever holds. A row of the sample weighs as many labelled ids of its class as it
+stands for, so scores mean the same whether or not the bound is reached. Every text is scored in its own partition, whole, without a
 shuffle.
 
 Defined results: a null or empty text has no terms and gets the score of the
@@ -112,13 +113,15 @@ def term_features(column: pa.Array, features: int, active: np.ndarray | None = N
     return pairs % features, np.bincount(pairs // features, minlength=len(sizes)).astype(np.int64)
 
 
-def fit_machine(rows: list[tuple[np.ndarray, int]], fit: Fit = Fit()) -> Machine:
+def fit_machine(rows: list[tuple[np.ndarray, int]], fit: Fit = Fit(), rates: tuple[float, float] = (1.0, 1.0)) -> Machine:
     """Logistic loss over all rows at once, by steps scaled per parameter (Adam).
 
-    ``rows`` has the distinct terms and the label of each text.
+    ``rows`` has the distinct terms and the label of each text; ``rates`` says
+    how many labelled ids a row of label 0 and one of label 1 stand for.
     """
     y = np.array([label for _, label in rows], dtype=float)
-    share = float(y.mean()) if len(y) else 0.0
+    of_row = np.where(y == 1, rates[1], rates[0])
+    share = float((of_row * y).sum() / of_row.sum()) if len(y) else 0.0
     nothing = Machine(0.0, np.zeros(fit.features), np.zeros((fit.factors, fit.features)))
     if share in (0.0, 1.0):
         return Machine(-1e9 if share == 0 else 1e9, nothing.weights, nothing.vectors)
@@ -128,7 +131,7 @@ def fit_machine(rows: list[tuple[np.ndarray, int]], fit: Fit = Fit()) -> Machine
     place = np.full(fit.features, -1)
     place[kept] = np.arange(len(kept))
     doc, at = np.repeat(np.arange(len(y)), sizes), place[flat]
-    k, n = len(kept), len(y)
+    k, n, of_row = len(kept), len(y), of_row / of_row.sum()
     rng = np.random.default_rng(fit.seed)
     weights, vectors = np.zeros(k), rng.normal(0, 0.03, (fit.factors, k))
     constant = float(np.log(share / (1 - share)))
@@ -137,7 +140,7 @@ def fit_machine(rows: list[tuple[np.ndarray, int]], fit: Fit = Fit()) -> Machine
     c1 = c2 = 0.0
     for step in range(1, fit.rounds + 1):
         margins, sums = _margins(constant, params[0], params[1:], at, doc, n)
-        error = (_logistic(margins) - y) / n
+        error = (_logistic(margins) - y) * of_row
         of_term = error[doc]
         gradients = [np.bincount(at, weights=of_term, minlength=k) + fit.penalty * params[0]]
         for v, total in zip(params[1:], sums):
@@ -178,9 +181,15 @@ def _kept_terms(kept: Broadcast):
 _SAMPLE = "label int, order string, tie long, terms array<int>"
 
 
-def training_sample(df: DataFrame, labels: DataFrame, label: str, id_column: str, text: str, fit: Fit) -> list:
-    """At most ``2 * fit.sample`` rows of terms worth learning, drawn by the digest of the id, then of the text."""
+def training_sample(df: DataFrame, labels: DataFrame, label: str, id_column: str, text: str,
+                    fit: Fit) -> tuple[list[tuple[np.ndarray, int]], tuple[float, float]]:
+    """At most ``2 * fit.sample`` rows of terms worth learning, drawn by the digest of the id, then of the text.
+
+    With them, how many labelled ids one that was drawn stands for, by label.
+    """
     known = training_labels(labels, label, id_column)
+    there = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    rates = tuple(max(1.0, there.get(value, 0) / fit.sample) for value in (0, 1))
     digest = F.md5(F.col("id").cast("string"))
     ids = None
     for value in (0, 1):
@@ -214,7 +223,7 @@ def training_sample(df: DataFrame, labels: DataFrame, label: str, id_column: str
     shared = df.sparkSession.sparkContext.broadcast(kept)
     narrow = rows.mapInArrow(_kept_terms(shared), _SAMPLE)
     found = narrow.orderBy("order", "tie").limit(2 * fit.sample).toPandas()
-    return [(np.asarray(t, dtype=np.int64), int(y)) for t, y in zip(found["terms"], found["label"])]
+    return [(np.asarray(t, dtype=np.int64), int(y)) for t, y in zip(found["terms"], found["label"])], rates
 
 
 def _scorer(shared: Broadcast, features: int):
@@ -233,11 +242,12 @@ def _scorer(shared: Broadcast, features: int):
 def score_toxicity(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text",
                    label: str = "toxic", threshold: float = 0.3, fit: Fit = Fit()) -> DataFrame:
     """``(id, held_out, score, predicted)`` of every row."""
-    machine = fit_machine(training_sample(df, labels, label, id_column, text, fit), fit)
+    rows, rates = training_sample(df, labels, label, id_column, text, fit)
+    machine = fit_machine(rows, fit, rates)
     shared = df.sparkSession.sparkContext.broadcast(machine)
-    rows = df.select(named(id_column).alias("id"), held_out(named(id_column)).alias("held_out"),
-                     named(text).cast("string").alias("t"))
-    schema = T.StructType([rows.schema["id"], rows.schema["held_out"], T.StructField("score", T.DoubleType())])
-    scored = rows.mapInArrow(_scorer(shared, fit.features), schema)
+    inner = df.select(named(id_column).alias("id"), held_out(named(id_column)).alias("held_out"),
+                      named(text).cast("string").alias("t"))
+    schema = T.StructType([inner.schema["id"], inner.schema["held_out"], T.StructField("score", T.DoubleType())])
+    scored = inner.mapInArrow(_scorer(shared, fit.features), schema)
     return scored.select(F.col("id").alias(id_column), "held_out", "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"))

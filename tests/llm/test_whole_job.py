@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tabloom.llm.personal_data import disclosing_terms
+from tabloom.llm.toxicity import Fit, score_toxicity
 
 
 def test_copies_hide_no_revealing_word(spark):
@@ -24,3 +25,13 @@ def test_copies_hide_no_revealing_word(spark):
     single = {i: r for i, r in dict(rows).items() if not 1000 <= i < 2000} | {1000 + i: t for i, t in enumerate(some)}
     once = spark.createDataFrame(list(single.items()), "doc_id long, text string")
     assert {r.term: r.disclosure for r in disclosing_terms(once).collect()} == pytest.approx(found)
+
+
+def test_scores_do_not_change_where_the_sample_is_capped(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{'abcdefghij'[a]}{'abcdefghij'[b]}{'abcdefghij'[c]}" for a, b, c in rng.integers(0, 10, (8, 3)))) for i in range(1600)]
+    docs = spark.createDataFrame([*rows, (5000, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(1600)], "doc_id long, toxic int")
+    for sample in (40, 6000):
+        got = {r.doc_id: r.score for r in score_toxicity(docs, labels, fit=Fit(sample=sample, rounds=50)).collect()}
+        assert 0.05 < got[5000] < 0.16
