@@ -15,32 +15,42 @@ one. Null ids are carried. Other columns play no part.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, types as T
 
 from tabloom.llm.batches import map_texts
 
+# What a short form may begin with: "This project is", "The software in this folder is", "It is".
+_SUBJECT = r"(?:(?:(?:this|these|the|all|our)(?: [^ .]+){1,6}?|it) (?:is|are) )?"
+_FREE = (r"(?:this program|this file|.* ) ?is free software:?;? you can redistribute it and/or modify it under the terms of the gnu %s"
+         r"general public license as published by the free software foundation[,;] either version (?P<value>%s)(?: of the license)?,? or "
+         r"(?:\(at your option\) )?any later version")
+
 # Identifiers of licence sentences, and the normalised sentences they stand for.
 SENTENCES: tuple[tuple[str, str], ...] = (
     ("copyright", r"(?:copyright )?(?:c|copyright|©) (?:\d{4}(?: \d{4})*)?.*|all rights reserved"),
-    ("spdx", r"spdx license identifier (?P<value>[a-z0-9 .+]+)"),
-    ("gpl-short", r"(?:this work|this file|this program|this software|it) is licensed under the(?: terms of the)? gnu general public license,? (?:v|version )(?P<value>[123])(?: or(?: \(?at your option\)?)? any later version)?"),
+    ("spdx", r"(?:.* )?spdx license identifier:? ?(?P<value>[a-z0-9(][a-z0-9 .+:()]*)"),
+    ("gpl-short", _SUBJECT + r"licensed under the(?: terms of the)? gnu general public license,? (?:v|version )(?P<value>[123])(?:\.0)?(?: or(?: \(?at your option\)?)? any later version)?"),
     ("lgpl-short", r".*licensed under the(?: terms of the)? gnu (?:lesser|library) general public license,? (?:v|version )(?P<value>2\.1|2|3)"),
     ("agpl-short", r".*licensed under the(?: terms of the)? gnu affero general public license,? (?:v|version )(?P<value>3)"),
-    ("cc-short", r"(?:this (?:work|file|text) is )?licensed under (?:a |the )?(?:cc|creative commons) (?P<value>by(?: nc)?(?: nd| sa)?|zero|0) ?(?P<version>[1-4]\.0)?(?: international| unported)?(?: license)?"),
-    ("mit-short", r"(?:released|licensed|distributed|available) under the(?: terms of the)? mit licen[sc]e"),
-    ("apache-short", r"(?:this (?:work|file) is )?licensed under the apache license,? version (?P<value>2\.0)(?: \(?the license\)?)?"),
-    ("bsd-short", r"(?:released|licensed|distributed) under the(?: terms of the)? (?P<value>[234]) clause bsd licen[sc]e"),
+    ("cc-short", _SUBJECT + r"licensed under (?:a |the )?(?:cc|creative commons) (?P<value>by(?: nc)?(?: nd| sa)?|zero|0) ?(?P<version>[1-4]\.0)?(?: international| unported)?(?: license)?"),
+    ("mit-short", _SUBJECT + r"(?:released|licensed|distributed|available) under the(?: terms of the)? mit licen[sc]e"),
+    ("apache-short", _SUBJECT + r"licensed under the apache license,? version (?P<value>2\.0)(?: \(?the license\)?)?"),
+    ("bsd-short", _SUBJECT + r"(?:released|licensed|distributed) under the(?: terms of the)? (?P<value>[234]) clause bsd licen[sc]e"),
     ("mpl-short", r"this source code form is subject to the terms of the mozilla public license,? (?:v|version )\.? ?(?P<value>[12]\.[01])"),
     ("apache-use", r"you may not use this file except in compliance with the license"),
     ("apache-obtain", r"you may obtain a copy of the license at.*"),
     ("apache-asis", r"unless required by applicable law or agreed to in writing,? software distributed under the license is distributed on an as is basis.*"),
     ("apache-see", r"see the license for the specific language governing permissions and limitations under the license"),
-    ("gpl-free", r"(?:this program|this file|.* ) ?is free software:?;? you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation[,;] either version (?P<value>[23])(?: of the license)?,? or (?:\(at your option\) )?any later version"),
+    ("gpl-free", _FREE % ("", "[23]")),
+    ("lgpl21-free", _FREE % ("lesser ", r"2\.1")),
+    ("lgpl-free", _FREE % ("(?:lesser|library) ", "[23]")),
+    ("agpl-free", _FREE % ("affero ", "3")),
     ("gpl-warranty", r"(?:this program|.* ) ?is distributed in the hope that it will be useful,? but without any warranty;? ?without even the implied warranty of merchantability or fitness for a particular purpose"),
-    ("gpl-see", r"see the gnu general public license for more details"),
-    ("gpl-received", r"you should have received a copy of the gnu general public license along with this program.*"),
+    ("gpl-see", r"see the gnu (?:lesser |library |affero )?general public license for more details"),
+    ("gpl-received", r"you should have received a copy of the gnu (?:lesser |library |affero )?general public license along with this (?:program|library|file|software).*"),
     ("mit-grant", r"permission is hereby granted,? free of charge,? to any person obtaining a copy of this software.*"),
     ("mit-notice", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("mit-asis", r"the software is provided as is,? without warranty of any kind,? express or implied.*"),
@@ -58,6 +68,9 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("SPDX:{}", ("spdx",)),
     ("Apache-2.0", ("apache-short", "apache-use", "apache-obtain?", "apache-asis", "apache-see?")),
     ("GPL-{}.0-or-later", ("gpl-free", "gpl-warranty?", "gpl-see?", "gpl-received?")),
+    ("LGPL-2.1-or-later", ("lgpl21-free", "gpl-warranty?", "gpl-see?", "gpl-received?")),
+    ("LGPL-{}.0-or-later", ("lgpl-free", "gpl-warranty?", "gpl-see?", "gpl-received?")),
+    ("AGPL-{}.0-or-later", ("agpl-free", "gpl-warranty?", "gpl-see?", "gpl-received?")),
     ("MIT", ("mit-grant", "mit-notice", "mit-asis", "mit-liability?")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names", "bsd-asis?")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-asis?")),
@@ -75,6 +88,8 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 
 # Sentences end at a sign before a blank and a capital, at a sign that ends its line, or at an empty line.
 _BREAK = re.compile(r"(?<=[.!?;:])\s+(?=[A-Z(\"'])|(?<=[.!?])[ \t]*\n\s*|\n\s*\n")
+# A line with an SPDX tag is a sentence of its own, and its colon ends none.
+_TAG = re.compile(r"(?im)^.*spdx-license-identifier:.*$")
 _COMMENT = re.compile(r"^[\s/*#;%<>!|-]+|[\s*/>|-]+$", re.M)
 _QUOTES = re.compile(r"[\"'`“”‘’]|\(c\)(?! )")
 _BLANKS = re.compile(r"[\s_-]+")
@@ -106,23 +121,37 @@ def identify(text: str) -> list[tuple[int, str, str]]:
     """``(number of the sentence, identifier, value)`` of every known sentence, in order.
 
     A sentence may go over several lines; one that is unknown as a whole may
-    still have a line that is a licence sentence of its own.
+    still have a part between semicolons or a line that is a licence sentence
+    of its own.
     """
     if not _HINT.search(text):
         return []
     out = []
-    for number, sentence in enumerate(s for s in _BREAK.split(text) if s.strip()):
+    for number, sentence in enumerate(s for s in _sentences(text) if s.strip()):
         if not _HINT.search(sentence):
             continue
         found = _match(normalise(sentence))
         if found:
             out.append((number, *found))
-        elif "\n" in sentence:
-            out += [(number, *m) for line in sentence.split("\n")
-                    if _HINT.search(line) and (m := _match(normalise(line)))]
+            continue
+        for part in sentence.split(";"):
+            if ";" in sentence and (found := _match(normalise(part))):
+                out.append((number, *found))
+            elif "\n" in part:
+                out += [(number, *m) for line in part.split("\n")
+                        if _HINT.search(line) and (m := _match(normalise(line)))]
     return out
 
 
+def _sentences(text: str) -> Iterator[str]:
+    at = 0
+    for tag in _TAG.finditer(text):
+        yield from _BREAK.split(text[at:tag.start()])
+        yield tag[0]
+        at = tag.end()
+    yield from _BREAK.split(text[at:])
+
+
 def _match(sentence: str) -> tuple[str, str] | None:
     for name, pattern in _KNOWN:
         m = pattern.fullmatch(sentence)

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from tabloom.llm import licences
 from tabloom.llm.personal_data import disclosing_terms
 from tabloom.llm.toxicity import Fit, score_toxicity
 
@@ -35,3 +36,27 @@ def test_scores_do_not_change_where_the_sample_is_capped(spark):
     for sample in (40, 6000):
         got = {r.doc_id: r.score for r in score_toxicity(docs, labels, fit=Fit(sample=sample, rounds=50)).collect()}
         assert 0.05 < got[5000] < 0.16
+
+
+APACHE = ('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.\n'
+          "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS.")
+FREE = ("This {what} is free software{sign} you can redistribute it and/or modify it under the terms of the GNU {kind} General Public License "
+        "as published by the Free Software Foundation{mark} either version {v} of the License, or (at your option) any later version.\n\n"
+        "This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} General Public License for more details.")
+
+
+@pytest.mark.parametrize("text,want", [
+    ("SPDX-License-Identifier: MIT", "SPDX:MIT"),
+    ("# Some prose.\n# SPDX-License-Identifier: Apache-2.0\nimport os", "SPDX:APACHE-2.0"),
+    ("/* SPDX-License-Identifier: gpl-2.0-only */\nint a;", "SPDX:GPL-2.0-ONLY"),
+    ("This project is licensed under the MIT License.", "MIT"),
+    ("Licensed under the GNU General Public License v3", "GPL-3.0"),
+    (FREE.format(what="library", sign=";", kind="Lesser", mark=";", v="2.1"), "LGPL-2.1-or-later"),
+    (FREE.format(what="library", sign=":", kind="Lesser", mark=",", v="3"), "LGPL-3.0-or-later"),
+    (FREE.format(what="program", sign=":", kind="Affero", mark=",", v="3"), "AGPL-3.0-or-later"),
+    (APACHE, "Apache-2.0"),
+    (APACHE.replace("(the ", "(the\n# "), "Apache-2.0"),
+])
+def test_licence_wordings(text, want):
+    assert ",".join(f.licence for f in licences.match_rules(licences.identify(text))) == want
