@@ -160,7 +160,7 @@ def mix(df: DataFrame, id_column: str = "doc_id", source: str = "source", text:
         *[named(n).alias(f"c{i}") for i, n in enumerate(names)], named(source).alias("source"),
         _order(id_column, F.xxhash64(*[named(n) for n in names])).alias("order"))
     t = f"c{names.index(text)}"
-    rows = durable(inner.select("source", "order", word_count(F.col(t)).alias("size")).where("size > 0"), "sizes")
+    rows = durable(inner.select("source", "order", word_count(F.col(t)).alias("size")), "sizes")
     others, at_cut = _taken(inner, cuts(rows, **options))
     times = F.col("epochs") + F.col("again").cast("long")
     columns = [f"c{i}" for i in range(len(names))]

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tabloom.llm import licences
+from tabloom.llm.mixing import assign, mix
 from tabloom.llm.personal_data import disclosing_terms
 from tabloom.llm.toxicity import Fit, score_toxicity
 
@@ -60,3 +61,12 @@ FREE = ("This {what} is free software{sign} you can redistribute it and/or modif
 ])
 def test_licence_wordings(text, want):
     assert ",".join(f.licence for f in licences.match_rules(licences.identify(text))) == want
+
+
+def test_empty_source_keeps_the_weights_of_the_others(spark):
+    rows = [(i, t, s) for i, (s, t) in enumerate([("a", None), ("a", ""), ("a", " ")] + [(s, "w " * 10) for s in "b" * 30 + "c" * 30 + "d" * 5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    words = lambda rows: {s: sum(n for t, n in rows if t == s) for s in "abcd"}
+    source = {i: s for i, _, s in rows}
+    mixed = words([(r.source, len(r.text.split())) for r in mix(docs).collect()])
+    assert mixed == words([(source[r.doc_id], r.taken) for r in assign(docs).collect()]) and mixed["a"] == 0
