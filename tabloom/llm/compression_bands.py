@@ -2,9 +2,10 @@
 
 The zstandard ratio (compressed bytes by UTF-8 bytes) of prose falls with the
 length, so every band is given per length. Whole documents meet the band of
-their length; documents of at least two chunks also need most of their chunks
-inside the chunk band, which catches a repeated or random stretch inside a
-long text that is otherwise sound.
+their length; documents longer than a chunk also need all of their pieces inside
+their bands, or nearly all if there are very many, which catches a repeated or
+random stretch inside a long text that is otherwise sound. The pieces are the
+chunks and what remains behind the last, which meets the band of its length.
 
 Defined results: a null or empty text has no words, fails the base rules and
 is not kept. Repeated rows give repeated results, an empty table gives an
@@ -46,8 +47,10 @@ class Bands:
     chunk_bytes: int = 4096
     chunk_low: float = 0.25
     chunk_high: float = 0.70
-    # Share of chunks outside their band that is still accepted, by the number of chunks.
-    chunk_share: tuple[tuple[int, float], ...] = ((0, 1.0), (2, 0.5), (8, 0.34), (32, 0.25))
+    # Share of pieces outside their band that is still accepted, by the number of pieces.
+    chunk_share: tuple[tuple[int, float], ...] = ((0, 0.0), (64, 0.02), (512, 0.005))
+    # Shorter remains are judged with the bytes before them, as the frame alone decides their ratio.
+    tail_bytes: int = 64
     level: int = 3
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -56,8 +59,11 @@ class Bands:
         row = self.document[bisect_right([b for b, _, _ in self.document], size) - 1]
         return row[1], row[2]
 
-    def share(self, chunks: int) -> float:
-        return self.chunk_share[bisect_right([n for n, _ in self.chunk_share], chunks) - 1][1]
+    def pieces(self, size: int) -> int:
+        return -(-size // self.chunk_bytes)
+
+    def share(self, pieces: int) -> float:
+        return self.chunk_share[bisect_right([n for n, _ in self.chunk_share], pieces) - 1][1]
 
 
 def word_statistics(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -98,18 +104,22 @@ def duplicate_lines(text: str) -> int:
 
 
 def ratios(raw: bytes, bands: Bands, press: zstandard.ZstdCompressor) -> tuple[float, float]:
-    """Ratio of the whole text, and the share of its fixed chunks outside the chunk band."""
+    """Ratio of the whole text, and the share of its fixed pieces outside their band; a single piece is the whole."""
     if not raw:
         return 0.0, 0.0
     whole = len(press.compress(raw)) / len(raw)
-    chunks = len(raw) // bands.chunk_bytes
-    if chunks < 2:
+    pieces = bands.pieces(len(raw))
+    if pieces < 2:
         return whole, 0.0
     outside = 0
-    for i in range(chunks):
-        piece = raw[i * bands.chunk_bytes:(i + 1) * bands.chunk_bytes]
-        outside += not bands.chunk_low <= len(press.compress(piece)) / len(piece) <= bands.chunk_high
-    return whole, outside / chunks
+    for start in range(0, len(raw), bands.chunk_bytes):
+        piece = raw[start:start + bands.chunk_bytes]
+        low, high = bands.chunk_low, bands.chunk_high
+        if len(piece) < bands.chunk_bytes:
+            piece = piece if len(piece) >= bands.tail_bytes else raw[-bands.tail_bytes:]
+            low, high = bands.limits(len(piece))
+        outside += not low <= len(press.compress(piece)) / len(piece) <= high
+    return whole, outside / pieces
 
 
 def judge(batch: list[str], bands: Bands) -> list:
@@ -126,7 +136,7 @@ def judge(batch: list[str], bands: Bands) -> list:
         low, high = bands.limits(len(raw))
         whole.append(r)
         outside.append(o)
-        kept.append(bool(not bad and low <= r <= high and o <= bands.share(len(raw) // bands.chunk_bytes)))
+        kept.append(bool(not bad and low <= r <= high and o <= bands.share(bands.pieces(len(raw)))))
     return [words, chars, symbols, lines, repeat, failed, kept, whole, outside]
 
 

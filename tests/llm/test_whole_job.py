@@ -1,9 +1,11 @@
 """Cases in which an operator once did less than its whole job."""
 
+import base64
+
 import numpy as np
 import pytest
 
-from tabloom.llm import licences
+from tabloom.llm import compression_bands as bands, licences
 from tabloom.llm.mixing import assign, mix
 from tabloom.llm.personal_data import disclosing_terms
 from tabloom.llm.toxicity import Fit, score_toxicity
@@ -70,3 +72,15 @@ def test_empty_source_keeps_the_weights_of_the_others(spark):
     source = {i: s for i, _, s in rows}
     mixed = words([(r.source, len(r.text.split())) for r in mix(docs).collect()])
     assert mixed == words([(source[r.doc_id], r.taken) for r in assign(docs).collect()]) and mixed["a"] == 0
+
+
+def test_bands_see_stretches_and_remains():
+    rng = np.random.default_rng(1)
+    words = [f"w{k:x}{k * 7919 % 9973:x}" for k in range(3000)]
+    prose = lambda size: " ".join(rng.choice(words, size // 5))[:size]
+    noise = lambda size: " ".join(base64.b64encode(rng.bytes(60)).decode() for _ in range(size // 80 + 1))[:size]
+    kept = lambda text: bands.judge([text], bands.Bands())[6][0]
+    clean = [prose(n) for n in (4096, 4097, 6000, 12289, 16384, 400_000)]
+    assert [kept(t) for t in clean] == [True] * len(clean)
+    mixed = [prose(8192) + noise(8192), prose(3 * 4096) + noise(4000), prose(4096) + noise(3900), prose(300_000) + noise(100_000)]
+    assert [kept(t) for t in mixed] == [False] * len(mixed)
