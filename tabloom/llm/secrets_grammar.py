@@ -9,7 +9,8 @@ Hoeffding bound, and so do those of all states behind them (ALERGIA); the
 result is a probabilistic automaton that accepts formats, of any length, that
 the sample supports.
 
-Every run of credential characters in every text is then a candidate. Its
+Every run of at least 6 credential characters in every text is then a
+candidate, without the full stops that end it. Its
 score is the mean log-likelihood per character under the best automaton less
 that under a background of class pairs, counted over all candidates outside
 the fixed kinds in the whole corpus. Candidates over the threshold that
@@ -43,7 +44,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _NAMES = (b"passw", b"secret", b"token", b"api")
 
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+# In the shape of a text: runs of the characters of an assigned credential, of its least length, less full stops at the end.
+_CANDIDATE = re.compile(r"(?<![dhlHU+/_.=-])[dhlHU+/_.=-]{5,}[dhlHU+/_=-]")
 
 
 @dataclass(frozen=True)
@@ -80,10 +82,11 @@ def shape(text: str) -> str:
     return text.translate(_TABLE)
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Runs that have a digit and a letter."""
-    return [m.span() for m in _CANDIDATE.finditer(text)
-            if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])]
+def candidates(shaped: str, taken: list[tuple[int, int]]) -> list[str]:
+    """Shapes of all runs in a shape of a text that overlap nothing ``taken``."""
+    if not taken:
+        return _CANDIDATE.findall(shaped)
+    return [m[0] for m in _CANDIDATE.finditer(shaped) if not any(s < m.end() and m.start() < e for s, e in taken)]
 
 
 @dataclass
@@ -221,14 +224,16 @@ def labelled_shapes(df: DataFrame, text: str, grammar: Grammar) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 0):
             found: Counter = Counter()
+            words: Counter = Counter()
             for t in texts(part, 0):
                 spans = base_spans(t)
                 for _, _, kind, credential in spans:
                     found[KINDS[kind], shape(credential)[:grammar.longest]] += 1
-                for a, b in candidates(t):
-                    if not any(s < b and a < e for s, e, _, _ in spans):
-                        word = "^" + shape(t[a:b]) + "$"
-                        found.update(("pair", word[i:i + 2]) for i in range(len(word) - 1))
+                words.update(candidates(shape(t), [(a, b) for a, b, _, _ in spans]))
+            for word, n in words.items():
+                word = f"^{word}$"
+                for i in range(len(word) - 1):
+                    found["pair", word[i:i + 2]] += n
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k for k, _ in found], pa.string()), pa.array([w for _, w in found], pa.string()),
                  pa.array(list(found.values()), pa.int64())], names=["kind", "word", "n"])
@@ -272,11 +277,16 @@ def find_secrets(df: DataFrame, carried: tuple[str, ...] = ("doc_id",), text: st
     def compute(batch: list[str]) -> list:
         known = shared.value
         counts, digests, spans, added = [[] for _ in KINDS], [], [], []
+        rated: dict[str, bool] = {}
         for t in batch:
             base = [(a, b, k) for a, b, k, _ in base_spans(t)]
-            more = [(a, b, len(KINDS)) for a, b in candidates(t)
-                    if not any(s < b and a < e for s, e, _ in base)
-                    and known.score(shape(t[a:b]), grammar.floor) >= grammar.threshold] if known.automata else []
+            more = []
+            if known.automata:
+                shaped = shape(t)
+                new = set(_CANDIDATE.findall(shaped)) - rated.keys()
+                rated.update((w, known.score(w, grammar.floor) >= grammar.threshold) for w in new)
+                more = [(m.start(), m.end(), len(KINDS)) for m in _CANDIDATE.finditer(shaped)
+                        if rated[m[0]] and not any(s < m.end() and m.start() < e for s, e, _ in base)]
             for k, out in enumerate(counts):
                 out.append(sum(kind == k for _, _, kind in base))
             digests.append(hashlib.sha256(_joined(base).encode()).hexdigest())

@@ -8,6 +8,7 @@ import pytest
 from tabloom.llm import compression_bands as bands, licences
 from tabloom.llm.mixing import assign, mix
 from tabloom.llm.personal_data import disclosing_terms
+from tabloom.llm.secrets_grammar import find_secrets
 from tabloom.llm.toxicity import Fit, score_toxicity
 
 
@@ -84,3 +85,17 @@ def test_bands_see_stretches_and_remains():
     assert [kept(t) for t in clean] == [True] * len(clean)
     mixed = [prose(8192) + noise(8192), prose(3 * 4096) + noise(4000), prose(4096) + noise(3900), prose(300_000) + noise(100_000)]
     assert [kept(t) for t in mixed] == [False] * len(mixed)
+
+
+def test_short_lettered_and_dotted_credentials_are_candidates(spark):
+    rng = np.random.default_rng(4)
+    draw = lambda signs, n: "".join(rng.choice(list(signs), n))
+    upper = "ABCDEFGHJKLMNPQRSTUVWXYZ"
+    kinds = [lambda: draw(upper + "23456789", 10), lambda: draw(upper, 20), lambda: ".".join(draw(upper + "23456789", 9) for _ in range(3))]
+    prose = "some prose with version-2-of-this-long-name in it, for example www.page.example/of-words. Nothing, really..."
+    rows = [(i, f'token = "{kinds[i % 3]()}" and {prose}') for i in range(600)]
+    rows += [(1000 + i, f"the value {kinds[i % 3]()}" + [" stands alone", "."][i % 2]) for i in range(60)]
+    found = {r.doc_id: r.spans for r in find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    ends = {i: 10 + (10, 20, 29)[i % 3] for i in range(60)}
+    assert [found[1000 + i] for i in range(60)] == [f"format:10:{ends[i]}" for i in range(60)]
+    assert not any("format" in found[i] for i in range(600))
