@@ -54,7 +54,6 @@ class Grammar:
 
     sample: int = 400
     alpha: float = 0.05
-    longest: int = 64
     threshold: float = 0.25
     floor: float = 1e-4
 
@@ -131,7 +130,7 @@ def prefix_tree(shapes: list[str]) -> tuple[list[dict[str, int]], list[int], lis
 
 def infer(shapes: list[str], grammar: Grammar = Grammar()) -> Automaton:
     """Merge compatible states of the prefix tree, red states fixed and blue ones next, in breadth-first order."""
-    children, _, ends = prefix_tree([s[:grammar.longest] for s in shapes])
+    children, _, ends = prefix_tree(shapes)
     # Edge counts, kept apart from the targets as merging changes both.
     edge: list[dict[str, list[int]]] = [{} for _ in children]
     weight = [0] * len(children)
@@ -228,7 +227,7 @@ def labelled_shapes(df: DataFrame, text: str, grammar: Grammar) -> DataFrame:
             for t in texts(part, 0):
                 spans = base_spans(t)
                 for _, _, kind, credential in spans:
-                    found[KINDS[kind], shape(credential)[:grammar.longest]] += 1
+                    found[KINDS[kind], shape(credential)] += 1
                 words.update(candidates(shape(t), [(a, b) for a, b, _, _ in spans]))
             for word, n in words.items():
                 word = f"^{word}$"

@@ -8,7 +8,7 @@ import pytest
 from tabloom.llm import compression_bands as bands, licences
 from tabloom.llm.mixing import assign, mix
 from tabloom.llm.personal_data import disclosing_terms
-from tabloom.llm.secrets_grammar import find_secrets
+from tabloom.llm.secrets_grammar import Grammar, find_secrets, infer, shape
 from tabloom.llm.toxicity import Fit, score_toxicity
 
 
@@ -99,3 +99,11 @@ def test_short_lettered_and_dotted_credentials_are_candidates(spark):
     ends = {i: 10 + (10, 20, 29)[i % 3] for i in range(60)}
     assert [found[1000 + i] for i in range(60)] == [f"format:10:{ends[i]}" for i in range(60)]
     assert not any("format" in found[i] for i in range(600))
+
+
+def test_long_credentials_are_learned_whole():
+    rng = np.random.default_rng(5)
+    words = [shape("-".join("".join(rng.choice(list("0123456789"), 40)) for _ in range(2)) + "/END") for _ in range(200)]
+    automaton = infer(words, Grammar())
+    cut = words[0][:64]
+    assert automaton.likelihood(words[0], 1e-4) / (len(words[0]) + 1) > automaton.likelihood(cut, 1e-4) / (len(cut) + 1)
