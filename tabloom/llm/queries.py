@@ -17,6 +17,7 @@ from tabloom.llm.secrets_grammar import find_secrets
 from tabloom.llm.simhash_dedup import near_duplicates
 from tabloom.llm.token_files import encode_and_read_back
 from tabloom.llm.toxicity import score_toxicity
+from tabloom.llm.warc_store import archive_pages, read_records
 
 __all__ = ["QUERIES", "SQL", "TOKENIZER"]
 
@@ -71,3 +72,8 @@ def _tokens(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_secrets")
 def _secrets(spark: SparkSession, folder: str) -> DataFrame:
     return find_secrets(table(spark, folder, "documents"))
+
+
+@query("op12_warc_store", sql.ARCHIVE_PAGES)
+def _warc(spark: SparkSession, folder: str) -> DataFrame:
+    return read_records(archive_pages(table(spark, folder, "pages")))
