@@ -11,6 +11,7 @@ from tabloom.llm.decontaminate import decontaminate
 from tabloom.llm.licences import scan_licences
 from tabloom.llm.mixing import assign
 from tabloom.llm.personal_data import find_personal_data
+from tabloom.llm.prefix_trie import prefix_trie
 from tabloom.llm.quality_qda import score_quality
 from tabloom.llm.registry import QUERIES, SQL, query, table
 from tabloom.llm.secrets_grammar import find_secrets
@@ -77,3 +78,8 @@ def _secrets(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_warc_store", sql.ARCHIVE_PAGES)
 def _warc(spark: SparkSession, folder: str) -> DataFrame:
     return read_records(archive_pages(table(spark, folder, "pages")))
+
+
+@query("op13_prefix_trie", sql.PREFIX_TRIE)
+def _trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie(table(spark, folder, "conversations"))

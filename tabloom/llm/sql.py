@@ -76,3 +76,43 @@ SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes,
        CASE WHEN place > 1 THEN first_id END AS refers_to
 FROM page
 """
+
+# The unsigned crc32 of a text of ASCII characters, bit by bit.
+_CRC32 = """xor(list_reduce(list_transform(string_split({text}, ''), lambda s: CAST(ascii(s) AS BIGINT)),
+      lambda crc, byte: list_reduce(range(8), lambda r, bit: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, xor(crc, byte)),
+      4294967295), 4294967295)"""
+
+PREFIX_TRIE = f"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+           PARTITION BY conv_id
+           ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+conv AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS head, {_CRC32.format(text='CAST(conv_id AS VARCHAR)')} % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)),
+sequence AS (
+  SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY own, i) AS turns
+  FROM (SELECT c.conv_id, 0 AS own, i, role, text FROM conv c JOIN turns t ON t.conv_id = c.head AND t.i <= c.h
+        UNION ALL SELECT c.conv_id, 1, i, role, text FROM conv c JOIN turns t ON t.conv_id = c.conv_id AND t.i > c.h)
+  GROUP BY conv_id),
+rebuilt AS (SELECT conv_id, coalesce(turns, []) AS turns FROM conv LEFT JOIN sequence USING (conv_id)),
+member AS (
+  SELECT conv_id, d, turns[1:d] AS prefix, len(turns) = d AS ends
+  FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)),
+node AS (
+  SELECT d, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * coalesce(length(prefix[d].text), 0) AS saved,
+         sha256(coalesce(string_agg(CASE WHEN ends THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM member GROUP BY d, prefix),
+child AS (SELECT d - 1 AS d, prefix[1:d - 1] AS prefix, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+below AS (
+  SELECT m.d, m.prefix, sum(n.saved) AS saved_tokens, count(*) FILTER (WHERE c.n IS NULL) AS n_leaves
+  FROM node n JOIN member m ON m.conv_id = n.conv_id AND m.d <= n.d
+  LEFT JOIN child c ON c.d = n.d AND c.prefix = n.prefix
+  GROUP BY m.d, m.prefix)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, b.n_leaves,
+       CAST(b.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM node n JOIN below b ON b.d = n.d AND b.prefix = n.prefix
+LEFT JOIN child c ON c.d = n.d AND c.prefix = n.prefix
+LEFT JOIN node p ON p.d = n.d - 1 AND p.prefix = n.prefix[1:n.d - 1]
+"""
