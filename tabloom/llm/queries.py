@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tabloom.llm import sql
 from tabloom.llm.compression_bands import compression_bands
+from tabloom.llm.conversation_repair import damage_and_repair
 from tabloom.llm.decontaminate import decontaminate
 from tabloom.llm.licences import scan_licences
 from tabloom.llm.mixing import assign
@@ -75,6 +76,11 @@ def _secrets(spark: SparkSession, folder: str) -> DataFrame:
     return find_secrets(table(spark, folder, "documents"))
 
 
+@query("op11_conversation_repair")
+def _repair(spark: SparkSession, folder: str) -> DataFrame:
+    return damage_and_repair(table(spark, folder, "conversations"))
+
+
 @query("op12_warc_store", sql.ARCHIVE_PAGES)
 def _warc(spark: SparkSession, folder: str) -> DataFrame:
     return read_records(archive_pages(table(spark, folder, "pages")))
