@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -35,6 +36,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, budget: int = SLICE_B
             start = stop
 
 
+def give_back() -> None:
+    """Hand freed memory back at the end of a task; a reused worker would keep it through later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def texts(batch: pa.RecordBatch, column: int) -> list[str]:
     """The texts; a null counts as empty."""
     return [t or "" for t in batch.column(column).to_pylist()]
@@ -92,6 +101,7 @@ def filter_texts(df: DataFrame, text: str, keep: Callable[[list[str]], list[bool
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, at):
             yield part.filter(pa.array(keep(texts(part, at)), pa.bool_()))
+        give_back()
 
     return inner.mapInArrow(run, inner.schema).toDF(*names)
 

@@ -34,14 +34,16 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from tabloom.llm.batches import named, numbered_words, slices
+from tabloom.llm.batches import give_back, named, numbered_words, slices
 from tabloom.session import durable, scratch_path
 
 VERSION = 1
-# Words that a worker remembers; the frequent ones come first, and a full memory takes no more.
-REMEMBERED = 800_000
+# Bytes of words, and of their parts, that a worker remembers; the frequent ones come first, and a full memory takes no more.
+REMEMBERED_BYTES = 32 << 20
+# What an entry takes besides its letters and ids.
+ENTRY_BYTES = 190
 # Bytes of text encoded at a time; a word is looked up once in each such part.
-ENCODED_BYTES = 8 << 20
+ENCODED_BYTES = 2 << 20
 # Documents that are read back at a time.
 READ_DOCUMENTS = 4096
 
@@ -50,6 +52,23 @@ READ_DOCUMENTS = 4096
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
+class Remembered(dict):
+    """Ids by text, within a bound of bytes."""
+
+    def __init__(self, room: int):
+        super().__init__()
+        self.room = room
+
+    def keep(self, learned: dict[str, bytes]) -> None:
+        if self.room <= 0:
+            return
+        for text, ids in learned.items():
+            self.room -= ENTRY_BYTES + len(text) + len(ids)
+            if self.room <= 0:
+                return
+            self[text] = ids
+
+
 class WordEncoder:
     """Ids of whole texts from ids of their words, each word encoded once.
 
@@ -67,8 +86,7 @@ class WordEncoder:
         self.ends = np.zeros(size, dtype=bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words, self.parts = Remembered(REMEMBERED_BYTES), Remembered(REMEMBERED_BYTES)
         self.by_words = self.same_by_words()
 
     def same_by_words(self) -> bool:
@@ -100,20 +118,10 @@ class WordEncoder:
 
     def _words(self, words: list[str]) -> list[bytes]:
         found = list(map(self.words.get, words))
-        new = [w for w, ids in zip(words, found) if ids is None]
-        learned = self._learn(new)
-        if len(self.words) < REMEMBERED:
-            self.words |= learned
+        learned = self._learn([w for w, ids in zip(words, found) if ids is None])
+        self.words.keep(learned)
         return [learned[w] if ids is None else ids for w, ids in zip(words, found)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        new = [w for w in words if w not in self.words]
-        learned = self._learn(new)
-        if len(self.words) < REMEMBERED:
-            self.words |= learned
-        known = self.words
-        return [known[w] if w in known else learned[w] for w in words]
-
     def _learn(self, new: list[str]) -> dict[str, bytes]:
         cores, signs, plain, odd, out = [], [], [], [], {}
         match = _PLAIN.fullmatch
@@ -125,12 +133,19 @@ class WordEncoder:
                 signs.append(sign)
             else:
                 odd.append(w)
-        parts = self.parts if len(self.parts) < REMEMBERED else dict(self.parts)
         cores = list(map(str.lower, cores))
-        self._learn_letters([c for c in set(cores) if c not in parts], parts)
+        # The parts that this slice needs: those remembered, and the others learned now.
+        parts: dict[str, bytes] = {}
+        fresh: dict[str, bytes] = {}
+        for part in {*cores, *signs}:
+            if (ids := self.parts.get(part)) is not None:
+                parts[part] = ids
+        self._learn_letters([c for c in set(cores) if c not in parts], fresh)
         for sign in set(signs):
             if sign not in parts:
-                parts[sign] = self._ids(sign).tobytes()
+                fresh[sign] = self._ids(sign).tobytes()
+        self.parts.keep(fresh)
+        parts |= fresh
         for w, core, sign in zip(plain, cores, signs):
             out[w] = parts[core] + parts[sign] if sign else parts[core]
         for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
@@ -190,6 +205,7 @@ def _writer(path: str, end_id: int, folder: str):
             sizes.append(counts.astype("<u8"))
             nulls += part.column(0).null_count
             ids.append(part.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
+        give_back()
         if out is None:
             return
         out.close()
@@ -218,8 +234,10 @@ def write_tokens(df: DataFrame, tokenizer: str, id_column: str = "doc_id", text:
     if target.startswith("/"):
         target = f"file://{target}"
     rows = df.select(named(id_column).cast("long").alias("id"), named(text).cast("string").alias("t"))
-    order = [F.col("id").asc_nulls_last(), F.xxhash64("t").asc()]
-    ordered = rows.repartitionByRange(F.col("id").asc_nulls_last()).sortWithinPartitions(*order)
+    # Rows of one id are spread by their texts, and equal rows by their number, whose order does not matter.
+    rows = rows.withColumns({"digest": F.xxhash64("t"), "row": F.monotonically_increasing_id()})
+    order = [F.col("id").asc_nulls_last(), F.col("digest").asc()]
+    ordered = rows.repartitionByRange(*order, "row").sortWithinPartitions(*order).select("id", "t")
     written = durable(ordered.mapInArrow(_writer(tokenizer, end_id, target), MANIFEST), "manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return written.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
