@@ -1,15 +1,21 @@
-"""Exact k-nearest-neighbour join, partitioned by pivots.
+"""Exact k-nearest-neighbour join, partitioned by pivots and filtered by quantised vectors.
 
 Both sides are assigned to their nearest of a few pivots (Lu et al., "Efficient
 Processing of k Nearest Neighbor Joins using MapReduce", VLDB 2012). A query
 first meets its own cell, which bounds its k-th distance; by the triangle
 inequality only cells that can hold something nearer are visited after that.
 Training rows lie in blocks of bounded size, a block being part of a large cell
-or several small ones. A query is sent once to each block it has to visit, a
-block pair is one numpy distance matrix, and only k rows per query leave it.
-Nothing is capped: every cell the bound cannot rule out is visited. In many
-dimensions that is most cells, and the work comes near that of comparing all;
-``knn_join`` can report the share.
+or several small ones. A query is sent once to each block it has to visit.
+
+In many dimensions most cells have to be visited, so what is sent and compared
+there is a code of one byte per coordinate (the vector approximation file of
+Weber, Schek and Blott, VLDB 1998). The distance of two codes is a whole number
+of steps, found by one matrix product; it differs from that of the vectors by
+at most the two rows' own rounding errors. So every pair has a least and a
+greatest possible distance, and only rows whose least distance is within the
+k-th of the greatest ones are candidates. Vectors are fetched, and exact
+distances computed, for those alone. Nothing is capped: what the bounds cannot
+rule out is compared. ``knn_join`` can report the shares.
 """
 
 from __future__ import annotations
@@ -86,19 +92,107 @@ def _nearest(q: np.ndarray, t: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
     return tuple(np.concatenate(columns) for columns in zip(*parts))
 
 
-def _assign(df: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Add the nearest pivot and the distance to it."""
+@dataclass(frozen=True)
+class Grid:
+    """Equal steps in all dimensions, so the distance of two codes is a whole number of squared steps."""
+
+    low: np.ndarray
+    step: float
+    slack: float
+
+    @property
+    def kind(self) -> type:
+        """Few dimensions have two bytes each, as their codes would else stand for too many rows."""
+        return np.uint8 if len(self.low) > 16 else np.uint16
+
+    def codes(self, vectors: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """Codes, and how far each vector lies from what its code stands for; rows beyond the grid just lie far."""
+        at = (vectors - self.low) / self.step
+        code = np.clip(np.rint(at), 0, np.iinfo(self.kind).max)
+        gap = vectors - (self.low + code * self.step)
+        return [row.tobytes() for row in code.astype(self.kind)], np.sqrt((gap * gap).sum(axis=1)) + self.slack
+
+    def decoded(self, codes: pd.Series) -> np.ndarray:
+        """Codes as floating numbers that hold all their sums of squares exactly."""
+        whole = np.frombuffer(b"".join(codes), dtype=self.kind).reshape(len(codes), len(self.low))
+        fits = len(self.low) * 4 * float(np.iinfo(self.kind).max) ** 2 < 1 << 24
+        return whole.astype(np.float32 if fits else np.float64)
+
+
+def _grid(train: DataFrame, width: int) -> Grid:
+    """From one row per task and dimension: the range of the values, without what lies five deviations off."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, least, most = 0, np.full(width, np.inf), np.full(width, -np.inf)
+        total, squares = np.zeros(width), np.zeros(width)
+        for batch in batches:
+            if len(batch):
+                vectors = _stack(batch["vec"])
+                n += len(vectors)
+                least, most = np.minimum(least, vectors.min(axis=0)), np.maximum(most, vectors.max(axis=0))
+                total, squares = total + vectors.sum(axis=0), squares + (vectors * vectors).sum(axis=0)
+        if n:
+            yield pd.DataFrame({"at": np.arange(width), "n": n, "low": least, "high": most, "total": total, "squares": squares})
+
+    parts = train.select("vec").mapInPandas(run, "at long, n long, low double, high double, total double, squares double")
+    found = parts.groupBy("at").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"),
+                                    F.sum("total").alias("total"), F.sum("squares").alias("squares")).orderBy("at").toPandas()
+    mean = (found["total"] / found["n"]).to_numpy()
+    spread = np.sqrt(np.maximum((found["squares"] / found["n"]).to_numpy() - mean * mean, 0.0))
+    low = np.maximum(found["low"].to_numpy(), mean - 5 * spread)
+    high = np.minimum(found["high"].to_numpy(), mean + 5 * spread)
+    scale = float(np.maximum(found["low"].abs(), found["high"].abs()).max())
+    steps = np.iinfo(Grid(low, 1.0, 0.0).kind).max
+    return Grid(low, float((high - low).max()) / steps or 1.0, 1e-12 * (scale + 1) * math.sqrt(width))
+
+
+def _assign(df: DataFrame, pivots: np.ndarray, grid: Grid) -> DataFrame:
+    """Add the nearest pivot and the distance to it, the code and its rounding error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for start in range(0, len(batch), QUERY_TILE):
                 part = batch.iloc[start:start + QUERY_TILE]
-                far = _squared(_stack(part["vec"]), pivots)
+                vectors = _stack(part["vec"])
+                far = _squared(vectors, pivots)
                 cell = far.argmin(axis=1)
-                yield part.assign(cell=cell.astype("int64"), radius=np.sqrt(far[np.arange(len(part)), cell]))
+                code, off = grid.codes(vectors)
+                yield part.assign(cell=cell.astype("int64"), radius=np.sqrt(far[np.arange(len(part)), cell]), code=code, off=off)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInPandas(run, f"{schema}, cell long, radius double")
+    return df.mapInPandas(run, f"{schema}, cell long, radius double, code binary, off double")
+
+
+def _candidates(q: np.ndarray, q_off: np.ndarray, bound: np.ndarray, t: np.ndarray, t_off: np.ndarray, step: float,
+                k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column, least and greatest distance of all pairs that the bounds leave.
+
+    ``bound`` is a distance within which k rows are known already (infinite if
+    there are none).
+    """
+    parts = []
+    t_square = (t * t).sum(axis=1)
+    for at in range(0, len(q), QUERY_TILE):
+        tile, off = q[at:at + QUERY_TILE], q_off[at:at + QUERY_TILE, None]
+        square = (tile * tile).sum(axis=1)
+        within = bound[at:at + QUERY_TILE].copy()
+        nearest = np.full((len(tile), k), np.inf)
+        found = []
+        for start in range(0, len(t), TRAIN_TILE):
+            some = slice(start, start + TRAIN_TILE)
+            steps = square[:, None] + t_square[None, some] - 2 * (tile @ t[some].T)
+            far = step * np.sqrt(steps.astype(np.float64))
+            error = off + t_off[None, some]
+            most = (far + error) * (1 + 1e-9)
+            nearest = np.partition(np.concatenate([nearest, most], axis=1), k - 1, axis=1)[:, :k]
+            within = np.minimum(within, nearest.max(axis=1))
+            least = (far - error) * (1 - 1e-9)
+            r, c = np.nonzero(least <= within[:, None])
+            found.append((r, c + start, least[r, c], most[r, c]))
+        r, c, least, most = (np.concatenate(v) for v in zip(*found))
+        keep = least <= within[r]
+        parts.append((r[keep] + at, c[keep], least[keep], most[keep]))
+    return tuple(np.concatenate(v) for v in zip(*parts))
 
 
 def _cells_to_visit(queries: DataFrame, pivots: np.ndarray, cells: pd.DataFrame, k: int) -> DataFrame:
@@ -162,6 +256,45 @@ def _blocks_of(visits: DataFrame, packing: DataFrame) -> DataFrame:
         "qid", F.explode(F.sequence("first", last)).alias("block")).distinct()
 
 
+def _pairs(visits: DataFrame, queries: DataFrame, train: DataFrame, width: int):
+    """Both sides grouped by block and part, to be cogrouped; ``queries`` and ``train`` keep their other columns."""
+    most = min(QUERY_BLOCK, max(256, BLOCK_BYTES // (8 * max(1, width))))
+    counted = visits.groupBy("block").agg(F.ceil(F.count("*") / most).alias("q_parts"))
+    parts = broadcast_if_small(durable(counted, "knn-parts"))
+    q = visits.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("qid"), "q_parts"))
+    q = q.select("block", "part", "qid").join(queries, "qid")
+    t = train.join(parts, "block").withColumn(
+        "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_parts") - 1))).drop("q_parts")
+    return q.groupBy("block", "part"), t.groupBy("block", "part")
+
+
+def _meet_codes(visits: DataFrame, queries: DataFrame, blocks: DataFrame, grid: Grid, k: int) -> DataFrame:
+    """``(qid, row, least, most)`` of what may be among the k nearest, by the codes of the blocks visited.
+
+    ``queries`` has ``(qid, code, off, bound)``, ``blocks`` ``(block, row, code, off)``.
+    """
+    qtype = {f.name: f.dataType.simpleString() for f in queries.schema}["qid"]
+
+    def meet(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or t.empty:
+            return pd.DataFrame({"qid": q["qid"][:0], "row": t["row"][:0], "least": pd.Series(dtype="float64"),
+                                 "most": pd.Series(dtype="float64")})
+        rows, cols, least, most = _candidates(
+            grid.decoded(q["code"]), q["off"].to_numpy(), q["bound"].to_numpy(), grid.decoded(t["code"]), t["off"].to_numpy(),
+            grid.step, k)
+        return pd.DataFrame({"qid": q["qid"].to_numpy()[rows], "row": t["row"].to_numpy()[cols], "least": least, "most": most})
+
+    q, t = _pairs(visits, queries, blocks, -(-len(grid.low) * np.dtype(grid.kind).itemsize // 8))
+    return q.cogroup(t).applyInPandas(meet, f"qid {qtype}, row long, least double, most double")
+
+
+def _kth(found: DataFrame, k: int) -> DataFrame:
+    """``(qid, bound)``: within this distance of the query there are k rows."""
+    order = Window.partitionBy("qid").orderBy("most", "row")
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).groupBy("qid").agg(
+        F.when(F.count("*") == k, F.max("most")).otherwise(F.lit(float("inf"))).alias("bound"))
+
+
 def _meet(visits: DataFrame, queries: DataFrame, train: DataFrame, width: int, k: int,
           repeated: bool = False) -> DataFrame:
     """k nearest per query among the blocks it visits; ``repeated`` if a training row may lie in several of them.
@@ -187,19 +320,8 @@ def _meet(visits: DataFrame, queries: DataFrame, train: DataFrame, width: int, k
             "distance2": far,
         })
 
-    most = min(QUERY_BLOCK, max(256, BLOCK_BYTES // (8 * max(1, width))))
-    counted = visits.groupBy("block").agg(F.ceil(F.count("*") / most).alias("q_parts"))
-    parts = broadcast_if_small(durable(counted, "knn-parts"))
-    q = visits.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("qid"), "q_parts"))
-    q = q.select("block", "part", "qid").join(queries.select("qid", "vec"), "qid")
-    t = train.join(parts, "block").withColumn(
-        "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_parts") - 1)))
-    by = ["block", "part"]
-    found = (
-        q.select(*by, "qid", "vec").groupBy(*by)
-        .cogroup(t.select(*by, "nid", "label", "vec").groupBy(*by))
-        .applyInPandas(nearest, f"qid {qtype}, nid {types['nid']}, label {types['label']}, distance2 double")
-    )
+    q, t = _pairs(visits, queries.select("qid", "vec"), train, width)
+    found = q.cogroup(t).applyInPandas(nearest, f"qid {qtype}, nid {types['nid']}, label {types['label']}, distance2 double")
     if repeated:
         found = found.groupBy("qid", "nid").agg(F.first("label").alias("label"), F.min("distance2").alias("distance2"))
     return _best(found, k)
@@ -224,8 +346,9 @@ def knn_join(train: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, report:
     ``train`` has ``(nid, label, vec)``, ``queries`` ``(qid, vec)``. Equal
     distances go to the smaller ``nid``. Identical training vectors count up to
     k times each, identical query vectors are answered once and joined back.
-    ``report`` is told how many cells there are and which share of them the
-    queries had to visit.
+    ``report`` is told how many cells there are, which share of them the
+    queries had to visit (by codes), and which share of all pairs was compared
+    by full vectors.
     """
     same = Window.partitionBy("vec").orderBy("nid")
     train = durable(
@@ -235,29 +358,38 @@ def knn_join(train: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, report:
     if n_train == 0:
         raise ValueError("there is no training row")
     pivots = _pivots(train, n_train)
-    train = durable(_assign(train, pivots), "knn-cells")
+    grid = _grid(train, pivots.shape[1])
+    train = durable(_assign(train, pivots, grid).withColumn("row", F.monotonically_increasing_id()), "knn-cells")
     asked = queries.select("qid", "vec")
     distinct = durable(
-        _assign(asked.groupBy("vec").agg(F.min("qid").alias("qid")).select("qid", "vec"), pivots), "knn-queries")
+        _assign(asked.groupBy("vec").agg(F.min("qid").alias("qid")).select("qid", "vec"), pivots, grid), "knn-queries")
     # One row per pivot.
     cells = train.groupBy("cell").agg(F.count("*").alias("n"), F.max("radius").alias("radius")).orderBy("cell").toPandas()
     packing = train.sparkSession.createDataFrame(_pack(cells, pivots.shape[1]), "cell long, first long, parts long")
     blocks = train.join(F.broadcast(packing), "cell").withColumn(
-        "block", F.col("first") + F.pmod(F.xxhash64("nid"), "parts")).select("block", "nid", "label", "vec")
+        "block", F.col("first") + F.pmod(F.xxhash64("nid"), "parts")).select("block", "row", "code", "off")
 
+    coded = distinct.select("qid", "code", "off")
     met = durable(_blocks_of(distinct.select("qid", "cell"), packing), "knn-own-blocks")
-    own = durable(_meet(met, distinct, blocks, pivots.shape[1], k), "knn-own")
-    reached = own.groupBy("qid").agg(F.count("*").alias("found"), F.max("distance2").alias("kth"))
-    bounded = distinct.join(reached, "qid", "left").withColumn(
-        "bound", F.when(F.col("found") >= k, F.sqrt("kth")).otherwise(F.lit(float("inf")))).drop("found", "kth")
+    own = durable(_meet_codes(met, coded.withColumn("bound", F.lit(float("inf"))), blocks, grid, k), "knn-own")
+    bounded = durable(distinct.join(_kth(own, k), "qid", "left").withColumn(
+        "bound", F.coalesce("bound", F.lit(float("inf")))), "knn-bounds")
     others = durable(_cells_to_visit(bounded, pivots, cells, k), "knn-visits")
+    left = durable(_blocks_of(others, packing).join(met, ["qid", "block"], "left_anti"), "knn-other-blocks")
+    rest = _meet_codes(left, bounded.select("qid", "code", "off", "bound"), blocks, grid, k)
+    found = durable(own.unionByName(rest), "knn-candidates")
+    wanted = durable(found.join(_kth(found, k), "qid").where("least <= bound").select("qid", "row"), "knn-compared")
     if report is not None:
-        n_queries = distinct.count()
+        n_queries = max(1, distinct.count())
         report.update(queries=n_queries, cells=len(cells),
-                      visited_share=1 / len(cells) + others.count() / (max(1, n_queries) * len(cells)))
-    left = durable(_blocks_of(others, packing).join(met, ["qid", "block"], "left_anti"), "knn-other-blocks")
-    rest = _meet(left, distinct, blocks, pivots.shape[1], k)
-    answers = _best(own.drop("rank").unionByName(rest.drop("rank")), k)
+                      visited_share=1 / len(cells) + others.count() / (n_queries * len(cells)),
+                      compared_share=wanted.count() / (n_queries * n_train))
+    # Summed in the order of the dimensions, as a loop would.
+    gap = F.zip_with("asked", "vec", lambda a, b: (a - b) * (a - b))
+    near = wanted.join(train.select("row", "nid", "label", "vec"), "row").join(
+        distinct.select("qid", F.col("vec").alias("asked")), "qid")
+    near = near.select("qid", "nid", "label", F.aggregate(gap, F.lit(0.0), lambda total, x: total + x).alias("distance2"))
+    answers = _best(near, k)
     rep = distinct.select("vec", F.col("qid").alias("rep"))
     return (
         asked.join(rep, "vec").select("qid", "rep")

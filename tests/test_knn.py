@@ -97,3 +97,44 @@ def test_report_of_the_visited_share(spark):
     t = spark.createDataFrame(rows, "nid long, label long, vec array<double>")
     knn.knn_join(t, t.select(F.col("nid").alias("qid"), "vec").limit(50), 3, report=report).count()
     assert report["queries"] == 50 and 0 < report["visited_share"] < 0.7
+
+
+def test_few_vectors_are_compared_in_many_dimensions(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(
+        F.col("vec_id").alias("nid"), "label", F.col("embedding").cast("array<double>").alias("vec"))
+    queries = rows.where("nid % 5 = 0").select(F.col("nid").alias("qid"), "vec")
+    train = rows.where("nid % 5 <> 0")
+    report = {}
+    got = {}
+    for r in knn.knn_join(train, queries, 3, report=report).orderBy("qid", "rank").collect():
+        got.setdefault(r["qid"], []).append(r["nid"])
+    want = brute([tuple(r) for r in train.collect()], [tuple(r) for r in queries.collect()], 3)
+    assert got == want
+    assert 0 < report["compared_share"] < 0.2
+
+
+@pytest.mark.parametrize("width, scale, shift", [(3, 1.0, 0.0), (40, 1e-6, 1e6), (20, 1e9, -1e9)])
+def test_bounds_hold_for_far_rows_and_odd_scales(spark, monkeypatch, width, scale, shift):
+    """A few rows lie far off the grid, and many are equal or nearly so."""
+    rng = np.random.default_rng(width)
+    points = np.concatenate([rng.normal(0, 1, (150, width)), rng.normal(0, 1, (5, width)) * 1e4, np.zeros((30, width)),
+                             rng.integers(0, 2, (60, width)).astype(float)]) * scale + shift
+    train = [(i, 0, v.tolist()) for i, v in enumerate(points[::2])]
+    queries = [(i, v.tolist()) for i, v in enumerate(points[1::2])]
+    got = run(spark, train, queries, 3, monkeypatch, 16)
+    for qid, q in queries:
+        exact = sorted((float(sum((a - b) * (a - b) for a, b in zip(q, v))), nid) for nid, _, v in train)
+        assert got[qid] == [nid for _, nid in exact[:3]]
+
+
+def test_codes_bound_distances():
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(0, 1, (50, 30)) * np.linspace(0.001, 5, 30)
+    vectors[7] *= 100
+    low = vectors.min(axis=0).clip(-10)
+    grid = knn.Grid(low, 20 / 255, 1e-12)
+    codes, off = grid.codes(vectors)
+    plain = grid.decoded(pd.Series(codes))
+    rows, cols, least, most = knn._candidates(plain, off, np.full(50, np.inf), plain, off, grid.step, 50)
+    far = np.sqrt(knn._squared(vectors, vectors))
+    assert len(rows) == 2500 and (least <= far[rows, cols]).all() and (far[rows, cols] <= most).all()
