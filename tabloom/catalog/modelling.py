@@ -90,6 +90,21 @@ for _model in ("logistic_regression", "decision_tree", "random_forest"):
     _register_levels(_model, _LATE, _MAJORITIES, 2)
 
 
+# All levels of a column and of a coarser one: the coarser adds nothing, and each column's indicators sum to one.
+@query("levels_linear_collinear", _LEVELS_SQL.format(
+    target="o_totalprice", best="round(avg(label), 2)", key="o_orderkey", table="orders", level="o_orderpriority"))
+def levels_linear_collinear(t: Tables):
+    rows = t.orders.select("o_orderkey", F.col("o_orderpriority").alias("level"), F.expr(_TYPE).alias("coarse"),
+                           F.col("o_totalprice").alias("label"))
+    rows = split_exact(rows, F.col("o_orderkey").cast("string"))
+    levels = [(column, r[0]) for column in ("level", "coarse") for r in rows.select(column).distinct().orderBy(column).collect()]
+    rows = rows.withColumns({f"is_{column}_{value}": (F.col(column) == value).cast("double") for column, value in levels})
+    rows = models.assemble(rows, [f"is_{column}_{value}" for column, value in levels])
+    fitted = models.fit_model("linear_regression", rows.where(F.col("split") == TRAIN), rows.count(), len(levels))
+    return fitted.transform(rows.where(F.col("split") == TEST)).groupBy("level").agg(
+        F.round(F.min("prediction"), 2).alias("least"), F.round(F.max("prediction"), 2).alias("most"), F.count("*").alias("n_rows"))
+
+
 @query("levels_svm", _LEVELS_SQL.format(
     target=_PART_GOOD, best="round(avg(label))", key="p_partkey", table="part", level=_PART_LEVEL))
 def levels_svm(t: Tables):

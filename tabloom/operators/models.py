@@ -1,27 +1,21 @@
-"""The model suite as distributed ``pyspark.ml`` jobs."""
+"""The model suite as distributed jobs: ``pyspark.ml``, and own ones where its solvers do not serve."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    LogisticRegression,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import (
-    DecisionTreeRegressor,
-    GBTRegressor,
-    LinearRegression,
-    RandomForestRegressor,
-)
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabloom.functions.columns import c
+from tabloom.operators.forest import ForestModel, fit_forest
 from tabloom.operators.knn import NEIGHBOURS, knn_join, knn_votes
+from tabloom.operators.linear import LinearModel, fit_linear
 from tabloom.operators.svm import KernelSvm, KernelSvmModel
 from tabloom.session import durable
 
@@ -31,12 +25,17 @@ TREES = 100
 LOGISTIC_ITERATIONS = 1000
 BOOST_DEPTH, BOOST_RATE = 3, 0.1
 
-# Default depth, the deepest that MLlib's trees can grow.
-TREE_DEPTH = 30
+# Trees grow until nothing can be split.
+TREE_DEPTH = None
 TREE_BINS = 128
-# More nodes per pass and remembered node ids mean fewer passes over the rows.
+# More nodes per pass mean fewer passes over the rows.
 TREE_MEMORY_MB = 1024
 
+# Trees by name: whether rows are drawn, and whether a split tries only some features.
+FORESTS = {"decision_tree_regressor": (False, False), "random_forest_regressor": (True, False),
+           "decision_tree": (False, False), "random_forest": (True, True)}
+OWN_MODELS = (ForestModel, LinearModel)
+
 REGRESSION_SUITE = ["linear_regression", "decision_tree_regressor", "random_forest_regressor",
                     "gradient_boosting_regressor"]
 CLASSIFICATION_SUITE = ["logistic_regression", "decision_tree", "random_forest", "knn", "svm"]
@@ -49,26 +48,16 @@ def assemble(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="features").transform(plain).drop(*names)
 
 
-def estimator(name: str, n_rows: int, depth: int = TREE_DEPTH, trees: int = TREES):
+def estimator(name: str, n_rows: int, trees: int = TREES):
+    """The models that MLlib trains."""
     common = {"featuresCol": "features", "labelCol": "label"}
-    grown = {"maxDepth": depth, "maxBins": TREE_BINS, "seed": SEED, "maxMemoryInMB": TREE_MEMORY_MB}
-    deep = {**grown, "cacheNodeIds": True}
-    if name == "linear_regression":
-        return LinearRegression(regParam=0.0, **common)
-    if name == "decision_tree_regressor":
-        return DecisionTreeRegressor(**deep, **common)
-    if name == "random_forest_regressor":
-        return RandomForestRegressor(numTrees=trees, featureSubsetStrategy="all", **deep, **common)
     if name == "gradient_boosting_regressor":
-        return GBTRegressor(maxIter=trees, stepSize=BOOST_RATE, **{**grown, "maxDepth": BOOST_DEPTH}, **common)
+        return GBTRegressor(maxIter=trees, stepSize=BOOST_RATE, maxDepth=BOOST_DEPTH, maxBins=TREE_BINS, seed=SEED,
+                            maxMemoryInMB=TREE_MEMORY_MB, **common)
     if name == "logistic_regression":
         # An L2 penalty of weight 1 on the summed loss is 1/n on the mean loss.
         return LogisticRegression(family="auto", maxIter=LOGISTIC_ITERATIONS, standardization=False,
                                   regParam=1.0 / n_rows, **common)
-    if name == "decision_tree":
-        return DecisionTreeClassifier(**deep, **common)
-    if name == "random_forest":
-        return RandomForestClassifier(numTrees=trees, featureSubsetStrategy="sqrt", **deep, **common)
     raise ValueError(f"no model named {name!r}")
 
 
@@ -103,10 +92,12 @@ class Fitted:
             "class_index", F.col("class_index").cast("long"))
 
     def gives_shares(self) -> bool:
+        if isinstance(self.model, ForestModel):
+            return self.model.growth.n_classes > 0
         return isinstance(self.model, KnnModel) or hasattr(self.model, "getProbabilityCol")
 
     def save(self, path: str) -> None:
-        if isinstance(self.model, (KnnModel, KernelSvmModel)):
+        if isinstance(self.model, (KnnModel, KernelSvmModel, *OWN_MODELS)):
             self.model.save(path)
         else:
             PipelineModel([self.model]).write().overwrite().save(path)
@@ -117,6 +108,10 @@ class Fitted:
             return cls(name, KnnModel.load(spark, path))
         if name == "svm":
             return cls(name, KernelSvmModel.load(spark, path))
+        if name in FORESTS:
+            return cls(name, ForestModel.load(spark, path))
+        if name == "linear_regression":
+            return cls(name, LinearModel.load(spark, path))
         return cls(name, PipelineModel.load(path).stages[0])
 
 
@@ -151,7 +146,7 @@ class KnnModel:
 
 
 def fit_model(name: str, train: DataFrame, n_rows: int, n_inputs: int, n_classes: int = 0,
-              key: str | None = None, depth: int = TREE_DEPTH, trees: int = TREES) -> Fitted:
+              key: str | None = None, depth: int | None = TREE_DEPTH, trees: int = TREES) -> Fitted:
     """Train one model on a table with ``features`` and ``label``."""
     if name == "knn":
         if key is None:
@@ -160,14 +155,20 @@ def fit_model(name: str, train: DataFrame, n_rows: int, n_inputs: int, n_classes
         return Fitted(name, KnnModel(rows, n_classes))
     if name == "svm":
         return Fitted(name, KernelSvm(seed=SEED).fit(train, n_classes, n_rows, n_inputs))
-    return Fitted(name, estimator(name, n_rows, depth, trees).fit(train))
+    if name == "linear_regression":
+        return Fitted(name, fit_linear(train, n_inputs))
+    if name in FORESTS:
+        drawn, some = FORESTS[name]
+        if name in CLASSIFICATION_SUITE and not n_classes:
+            n_classes = int(train.agg(F.max("label")).first()[0] or 0) + 1
+        tried = max(1, math.isqrt(n_inputs)) if some else n_inputs
+        return Fitted(name, fit_forest(train, n_inputs, n_classes, trees if drawn else 1, tried, drawn, depth, SEED))
+    return Fitted(name, estimator(name, n_rows, trees).fit(train))
 
 
-def reaches_depth(fitted: Fitted, depth: int) -> bool:
+def reaches_depth(fitted: Fitted, depth: int | None) -> bool:
     """Whether a tree grew to the depth it was given, and so may not be pure."""
-    m = fitted.model
-    grown = getattr(m, "trees", [m] if hasattr(m, "depth") else [])
-    return any(t.depth >= depth for t in grown)
+    return depth is not None and isinstance(fitted.model, ForestModel) and fitted.model.depth >= depth
 
 
 def importances(fitted: Fitted, features: list[str]) -> list[tuple[str, float]]:

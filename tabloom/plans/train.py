@@ -63,7 +63,7 @@ class TrainResult:
 
 def train_models(rows: DataFrame, features: list[str], problem_type: str, n_train: int, n_classes: int = 0,
                  test: DataFrame | None = None, names: list[str] | None = None, key: str = ROW_KEY,
-                 depth: int = TREE_DEPTH, trees: int = TREES) -> TrainResult:
+                 depth: int | None = TREE_DEPTH, trees: int = TREES) -> TrainResult:
     """Train on ``rows``, evaluate on ``test`` or, without one, on ``rows``.
 
     ``depth`` and ``trees`` hold for all tree models; the result names those
@@ -88,7 +88,7 @@ def train_models(rows: DataFrame, features: list[str], problem_type: str, n_trai
     return TrainResult(problem_type, fitted, metrics, best, features, [n for n in capped if reaches_depth(fitted[n], depth)])
 
 
-def train_suite(prep: PrepResult, names: list[str] | None = None, depth: int = TREE_DEPTH,
+def train_suite(prep: PrepResult, names: list[str] | None = None, depth: int | None = TREE_DEPTH,
                 trees: int = TREES) -> TrainResult:
     """The prepared rows are written once; every model reads them from there."""
     rows = prep.data.select(ROW_KEY, *[c(n) for n in prep.state.features], F.col("label").cast("double").alias("label"),
@@ -99,7 +99,7 @@ def train_suite(prep: PrepResult, names: list[str] | None = None, depth: int = T
     return trained
 
 
-def _train_written(prep: PrepResult, rows: DataFrame, names: list[str] | None, depth: int, trees: int) -> TrainResult:
+def _train_written(prep: PrepResult, rows: DataFrame, names: list[str] | None, depth: int | None, trees: int) -> TrainResult:
     if prep.class_labels is not None:
         n_classes = len(prep.class_labels)
     else:
