@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 from tabloom.catalog.registry import Tables, query
 from tabloom.operators.split import split_exact
 from tabloom.session import scratch_path
-from tabloom.sources.admission import admission_report, list_files
+from tabloom.sources.admission import admission_report, list_files, table_sizes
 from tabloom.sources.csv_scan import overlong_rows, read_csv, scan_text
 from tabloom.sources.store import (
+    MetadataStore,
     dataset_record,
     delete_children,
     delete_owned,
@@ -79,7 +80,14 @@ def file_admission(t: Tables):
     return admission_report(files, limit_mb=0.002, extensions=["en", "fr"])
 
 
-@query("file_admission_scan")
+# The files that the correctness tables are read from.
+_FILES = "/root/testdata/sf0.01"
+
+
+@query("file_admission_scan", f"""
+SELECT file_name, size AS file_size, 'parquet' AS extension, size <= 1048576 AS admitted,
+       CASE WHEN size > 1048576 THEN 'size' END AS reason
+FROM (SELECT parse_filename(filename) AS file_name, size FROM read_blob('{_FILES}/*'))""")
 def file_admission_scan(t: Tables):
     return admission_report(list_files(t.spark, t.folder), limit_mb=1, extensions=["csv", "parquet"])
 
@@ -94,20 +102,42 @@ def validate_dataset(t: Tables):
     return validation_rules(t.orders.withColumn("blank", F.expr("nullif(o_orderkey, o_orderkey)")))
 
 
+_REGISTERED = [(1, "lineitem", 11), (1, "orders", 6), (2, "events", 6), (3, "documents", 5)]
+
+
 @query("register_dataset", " UNION ALL ".join(f"""
 SELECT CAST({user} AS BIGINT) AS user_id, '{name}.parquet' AS filename, '{name}' AS original_name,
        'tables/{name}' AS file_path, count(*) AS num_rows, CAST({cols} AS BIGINT) AS num_cols,
-       CAST({size} AS BIGINT) AS file_size FROM {name}""" for user, name, cols, size in
-    [(1, "lineitem", 11, 1000), (1, "orders", 6, 2000), (2, "events", 6, 3000), (3, "documents", 5, 4000)]))
+       (SELECT size FROM read_blob('{_FILES}/{name}.parquet')) AS file_size FROM {name}""" for user, name, cols in _REGISTERED))
 def register_dataset(t: Tables):
-    rows = [dataset_record(getattr(t, name), user, f"{name}.parquet", name, f"tables/{name}", size)
-            for user, name, size in [(1, "lineitem", 1000), (1, "orders", 2000), (2, "events", 3000), (3, "documents", 4000)]]
+    """With the sizes that the listing gives, of one row per table."""
+    sizes = dict(table_sizes(t.spark, t.folder).where(
+        F.col("name").isin([f"{name}.parquet" for _, name, _ in _REGISTERED])).collect())
+    rows = [dataset_record(getattr(t, name), user, f"{name}.parquet", name, f"tables/{name}", sizes[f"{name}.parquet"])
+            for user, name, _ in _REGISTERED]
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
     return out
 
 
+@query("log_compacted", """
+SELECT user_id, event_id AS dataset_id, event_type AS selected_model, props AS prediction_result,
+       CASE WHEN event_type <> 'view' THEN value END AS confidence_score FROM events WHERE user_id % 50 = 7""")
+def log_compacted(t: Tables):
+    """Three appends, a compaction after two, and the log of some users."""
+    store = MetadataStore(t.spark, scratch_path(t.spark, "log-store"))
+    scored = t.events.withColumn("confidence", F.expr("CASE WHEN event_type <> 'view' THEN value END"))
+    for late in range(3):
+        store.log_predictions(prediction_rows(
+            scored.where(F.pmod("event_id", F.lit(3)) == late), F.col("user_id"), F.col("event_id"), F.lit("set"), F.lit("user"),
+            F.col("event_type"), "props"))
+        if late == 1:
+            store.compact("prediction_history")
+    return store.predictions().where("user_id % 50 = 7").select(
+        "user_id", "dataset_id", "selected_model", "prediction_result", "confidence_score")
+
+
 @query("upsert_latest", """
 SELECT o_custkey AS dataset_id, o_orderkey AS id, o_orderpriority AS target_column, o_totalprice
 FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tabloom.functions.columns import c, normalise, numeric_columns, text_columns
 from tabloom.operators import charts, detect, profile, rollup
 from tabloom.operators.clean import ROW_KEY
-from tabloom.operators.models import Fitted
+from tabloom.operators.models import TREE_DEPTH, TREES, Fitted
 from tabloom.plans.config import PrepConfig
 from tabloom.plans.prepare import prepare
 from tabloom.plans.state import PrepState
@@ -18,7 +18,7 @@ from tabloom.plans.train import TrainResult, score_table, summary_json, train_su
 from tabloom.session import durable
 from tabloom.sources.admission import admission_report, list_files
 from tabloom.sources.csv_scan import read_csv
-from tabloom.sources.store import MetadataStore, prediction_rows
+from tabloom.sources.store import SCHEMAS, MetadataStore, prediction_rows
 from tabloom.sources.validation import require_config, require_valid
 
 
@@ -97,7 +97,7 @@ class Workbench:
         return f"{self.root}/dataset_{dataset_id}"
 
     def preprocess(self, dataset_id: int, user_id: int, models: list[str] | None = None, key: tuple[str, ...] = (),
-                   detect_again: bool = True, **settings) -> TrainResult:
+                   detect_again: bool = True, depth: int | None = TREE_DEPTH, trees: int = TREES, **settings) -> TrainResult:
         """Prepare, train the suite, choose the best and store all of it.
 
         The type found at configuration saw the raw column; with
@@ -113,7 +113,7 @@ class Workbench:
         prep = prepare(df, PrepConfig(
             target=config["target_column"], excluded=tuple(json.loads(config["excluded_columns"])), key=key,
             problem_type=problem, **settings))
-        trained = train_suite(prep, models)
+        trained = train_suite(prep, models, depth, trees)
         folder = self._folder(dataset_id)
         prep.save(folder)
         trained.save(folder)
@@ -169,11 +169,17 @@ class Workbench:
         return rollup.newest_first(rows, "uploaded_at", "id", user_id=user_id)
 
     def history(self, user_id: int) -> DataFrame:
-        return rollup.newest_first(self.store.predictions(), "created_at", "id", user_id=user_id)
+        return rollup.newest_first(self.store.predictions(user_id), "created_at", "id", user_id=user_id)
 
     def report(self, user_id: int) -> DataFrame:
-        own = [t.where(c("user_id") == user_id) for t in (self.store.datasets(), self.store.results(), self.store.predictions())]
+        own = [t.where(c("user_id") == user_id)
+               for t in (self.store.datasets(), self.store.results(), self.store.predictions(user_id))]
         return rollup.report_records(*own)
 
+    def compact(self) -> None:
+        """Merge the many small appends of every metadata table."""
+        for name in SCHEMAS:
+            self.store.compact(name)
+
     def admin(self) -> dict:
         return rollup.admin_statistics(self.store.users(), self.store.datasets(), self.store.predictions())

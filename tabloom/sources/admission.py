@@ -15,6 +15,14 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def table_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """``(name, file_size)`` of every file or folder directly below ``folder``; a folder has the size of its files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
+    last = folder.rstrip("/").rsplit("/", 1)[-1]
+    name = F.substring_index(F.substring_index("path", f"/{last}/", -1), "/", 1)
+    return files.groupBy(name.alias("name")).agg(F.sum("length").alias("file_size"))
+
+
 def admission_report(
     files: DataFrame,
     name: str = "file_name",
@@ -33,4 +41,4 @@ def admission_report(
     )
 
 
-__all__ = ["DEFAULT_LIMIT_MB", "admission_report", "list_files"]
+__all__ = ["DEFAULT_LIMIT_MB", "admission_report", "list_files", "table_sizes"]

@@ -3,15 +3,23 @@
 Writes only ever append. A changed record is a newer row, a deletion a row in
 ``deletions``; readers keep the latest row per key. So no write reads and
 overwrites the same path, and a lost executor leaves nothing half written.
+
+A table's folder has ``batches`` (one folder per append), ``generations`` and
+``manifests``. ``compact`` writes all rows as a new generation, partitioned by a
+hash of the key that lookups ask for, and then one manifest that names the
+generation and the batches in it. Readers take the newest manifest whose
+generation is whole, and the batches that it does not name; a compaction lost on
+the way leaves a folder that no manifest names. Lookups by key read one of the
+generation's partitions. ``clean`` removes what the newest manifest replaces.
 """
 
 from __future__ import annotations
 
+import json
 import secrets
 import time
 from datetime import datetime, timezone
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tabloom.functions.records import list_to_json, login_key
@@ -31,6 +39,13 @@ SCHEMAS = {
     "deletions": "entity string, id long, user_id long, deleted_at timestamp",
 }
 
+# The column that a table's lookups ask for, and for tables with one valid row per key what makes a row newest.
+LOOKUPS = {"users": "email", "datasets": "id", "model_configs": "dataset_id", "preprocessing_results": "dataset_id",
+           "prediction_history": "user_id", "deletions": "entity"}
+NEWEST = {"model_configs": ["configured_at", "id"], "preprocessing_results": ["preprocessed_at", "id"]}
+# Partitions of a generation, and tasks that write a partition's rows, as one key may hold a third of them.
+PARTITIONS, WRITERS = 32, 4
+
 
 def latest_per_key(rows: DataFrame, key: list[str], newest: list[str]) -> DataFrame:
     """One row per key, the newest. The rank is limited before the shuffle."""
@@ -108,15 +123,89 @@ class MetadataStore:
 
     def _append(self, table: str, rows: DataFrame) -> None:
         names = [part.split()[0] for part in SCHEMAS[table].split(", ")]
-        rows.select(*names).write.mode("append").parquet(f"{self.root}/{table}")
-
-    def _raw(self, table: str) -> DataFrame:
+        rows.select(*names).write.parquet(f"{self.root}/{table}/batches/{new_id()}")
+
+    def _path(self, path: str):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
+    def _whole(self, folder: str) -> list[str]:
+        """Names of the folders below that were written to their end, oldest first."""
+        system, at = self._path(folder)
+        if not system.exists(at):
+            return []
+        names = [status.getPath().getName() for status in system.listStatus(at)]
+        return sorted((n for n in names if system.exists(self._path(f"{folder}/{n}/_SUCCESS")[1])), key=int)
+
+    def _manifest(self, table: str) -> dict:
+        """The newest manifest whose generation is there, else that of an empty one."""
+        system, at = self._path(f"{self.root}/{table}/manifests")
+        names = [s.getPath().getName() for s in system.listStatus(at)] if system.exists(at) else []
+        whole = set(self._whole(f"{self.root}/{table}/generations"))
+        for name in sorted((n.removesuffix(".json") for n in names if n.endswith(".json") and not n.startswith((".", "_"))), key=int, reverse=True):
+            if name in whole:
+                stream = system.open(self._path(f"{self.root}/{table}/manifests/{name}.json")[1])
+                try:
+                    return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+                finally:
+                    stream.close()
+        return {"generation": None, "batches": []}
+
+    def _raw(self, table: str, key=None) -> DataFrame:
+        """All rows, or with ``key`` at least all rows of that key: of the generation, only its partition."""
+        manifest, schema = self._manifest(table), SCHEMAS[table]
+        done = set(manifest["batches"])
+        fresh = [f"{self.root}/{table}/batches/{n}" for n in self._whole(f"{self.root}/{table}/batches") if n not in done]
+        rows = self.spark.read.schema(schema).parquet(*fresh) if fresh else self.spark.createDataFrame([], schema)
+        if manifest["generation"] is not None:
+            old = self.spark.read.schema(f"{schema}, partition int").parquet(
+                f"{self.root}/{table}/generations/{manifest['generation']}")
+            if key is not None:
+                old = old.where(F.col("partition") == self._partition(F.lit(key)))
+            rows = rows.unionByName(old.drop("partition"))
+        return rows
+
+    @staticmethod
+    def _partition(key):
+        """Texts by their characters, numbers by their value."""
+        return F.pmod(F.xxhash64(key.cast("string")), F.lit(PARTITIONS)).cast("int")
+
+    def compact(self, table: str) -> int:
+        """Write the table's rows as a new generation and make it valid; the generation's number."""
+        manifest = self._manifest(table)
+        batches = self._whole(f"{self.root}/{table}/batches")
+        rows = self._raw(table)
+        if table in NEWEST:
+            rows = latest_per_key(rows, [LOOKUPS[table]], NEWEST[table])
+        number = new_id()
+        rows = rows.withColumn("partition", self._partition(F.col(LOOKUPS[table])))
+        rows.repartition("partition", F.pmod(F.xxhash64(*rows.columns[:-1]), F.lit(WRITERS))).sortWithinPartitions(
+            "partition", LOOKUPS[table]).write.partitionBy("partition").parquet(f"{self.root}/{table}/generations/{number}")
+        text = json.dumps({"generation": str(number), "batches": sorted({*manifest["batches"], *batches}, key=int)})
+        self._publish(table, number, text)
+        return number
+
+    def _publish(self, table: str, number: int, text: str) -> None:
+        """A manifest appears whole or not at all: it is written beside its name and renamed."""
+        system, beside = self._path(f"{self.root}/{table}/manifests/.{number}")
+        out = system.create(beside, True)
         try:
-            return self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.root}/{table}")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], SCHEMAS[table])
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        if not system.rename(beside, self._path(f"{self.root}/{table}/manifests/{number}.json")[1]):
+            raise OSError(f"manifest {number} of {table} could not be published")
+
+    def clean(self, table: str) -> None:
+        """Remove batches and generations that the newest manifest replaces; no reader may be at work on older ones."""
+        manifest = self._manifest(table)
+        system, _ = self._path(self.root)
+        for name in manifest["batches"]:
+            system.delete(self._path(f"{self.root}/{table}/batches/{name}")[1], True)
+        for name in self._whole(f"{self.root}/{table}/generations"):
+            if manifest["generation"] is not None and int(name) < int(manifest["generation"]):
+                system.delete(self._path(f"{self.root}/{table}/generations/{name}")[1], True)
+                system.delete(self._path(f"{self.root}/{table}/manifests/{name}.json")[1], True)
 
     def _one(self, table: str, **values) -> int:
         stamp = {n: datetime.now(timezone.utc) for n in
@@ -126,37 +215,40 @@ class MetadataStore:
         self._append(table, self.spark.createDataFrame([tuple(row.get(n) for n in names)], SCHEMAS[table]))
         return row["id"]
 
-    def users(self) -> DataFrame:
-        return self._raw("users")
+    def users(self, email: str | None = None) -> DataFrame:
+        return self._raw("users", email)
 
-    def datasets(self) -> DataFrame:
-        gone = self._raw("deletions").where("entity = 'dataset'").select("id", "user_id")
-        return delete_owned(self._raw("datasets"), gone, ["id", "user_id"])
+    def datasets(self, dataset_id: int | None = None) -> DataFrame:
+        gone = self._raw("deletions", "dataset").where("entity = 'dataset'").select("id", "user_id")
+        return delete_owned(self._raw("datasets", dataset_id), gone, ["id", "user_id"])
 
-    def _of_live_datasets(self, rows: DataFrame) -> DataFrame:
-        gone = self._raw("deletions").where("entity = 'dataset'")
-        return delete_children(rows, self._raw("datasets"), gone, ["id", "user_id"], "dataset_id")
+    def _of_live_datasets(self, rows: DataFrame, dataset_id: int | None = None) -> DataFrame:
+        gone = self._raw("deletions", "dataset").where("entity = 'dataset'")
+        return delete_children(rows, self._raw("datasets", dataset_id), gone, ["id", "user_id"], "dataset_id")
 
-    def configs(self) -> DataFrame:
-        latest = latest_per_key(self._raw("model_configs"), ["dataset_id"], ["configured_at", "id"])
-        gone = self._raw("deletions").where("entity = 'config'").select(
+    def configs(self, dataset_id: int | None = None) -> DataFrame:
+        """Valid configurations; with ``dataset_id`` at least that dataset's."""
+        latest = latest_per_key(self._raw("model_configs", dataset_id), ["dataset_id"], NEWEST["model_configs"])
+        gone = self._raw("deletions", "config").where("entity = 'config'").select(
             F.col("id").alias("dataset_id"), "user_id", "deleted_at")
         kept = latest.join(
             gone, (latest.dataset_id == gone.dataset_id) & (latest.user_id == gone.user_id)
             & (gone.deleted_at >= latest.configured_at), "left_anti")
-        return self._of_live_datasets(kept)
+        return self._of_live_datasets(kept, dataset_id)
 
-    def results(self) -> DataFrame:
-        latest = latest_per_key(self._raw("preprocessing_results"), ["dataset_id"], ["preprocessed_at", "id"])
-        return self._of_live_datasets(latest)
+    def results(self, dataset_id: int | None = None) -> DataFrame:
+        latest = latest_per_key(
+            self._raw("preprocessing_results", dataset_id), ["dataset_id"], NEWEST["preprocessing_results"])
+        return self._of_live_datasets(latest, dataset_id)
 
-    def predictions(self) -> DataFrame:
-        return self._of_live_datasets(self._raw("prediction_history"))
+    def predictions(self, user_id: int | None = None) -> DataFrame:
+        """The prediction log; with ``user_id`` at least that user's rows."""
+        return self._of_live_datasets(self._raw("prediction_history", user_id))
 
     def create_user(self, email: str, password_hash: str, full_name: str) -> int | None:
         """New user id, or None when the address is taken (one writer at a time)."""
         key = email.lower().strip()
-        if self.users().where(F.col("email") == key).limit(1).count():
+        if self.users(key).where(F.col("email") == key).limit(1).count():
             return None
         return self._one("users", email=key, password_hash=password_hash, full_name=full_name.strip())
 
@@ -200,16 +292,17 @@ class MetadataStore:
         self._delete("config", dataset_id, user_id)
 
     def user_by_email(self, email: str) -> DataFrame:
-        return self.users().where(F.col("email") == email.lower().strip())
+        key = email.lower().strip()
+        return self.users(key).where(F.col("email") == key)
 
     def user_by_id(self, user_id: int) -> DataFrame:
         return self.users().where(F.col("id") == user_id)
 
     def dataset_by_id(self, dataset_id: int, user_id: int) -> DataFrame:
-        return self.datasets().where((F.col("id") == dataset_id) & (F.col("user_id") == user_id))
+        return self.datasets(dataset_id).where((F.col("id") == dataset_id) & (F.col("user_id") == user_id))
 
     def config_of(self, dataset_id: int) -> DataFrame:
-        return self.configs().where(F.col("dataset_id") == dataset_id)
+        return self.configs(dataset_id).where(F.col("dataset_id") == dataset_id)
 
     def result_of(self, dataset_id: int) -> DataFrame:
-        return self.results().where(F.col("dataset_id") == dataset_id)
+        return self.results(dataset_id).where(F.col("dataset_id") == dataset_id)

@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from tabloom.operators import rollup
-from tabloom.sources.store import MetadataStore, insert_if_absent, prediction_rows
+from tabloom.sources.store import SCHEMAS, MetadataStore, insert_if_absent, prediction_rows
 
 
 def log(store, spark, user, dataset, pairs):
@@ -77,3 +77,90 @@ def test_insert_batch_keeps_the_first_of_each_key(spark):
     batch = spark.createDataFrame([(1, " A@A"), (2, "b@b "), (3, "B@B"), (4, "c@c")], "n long, email string")
     got = sorted(tuple(r) for r in insert_if_absent(current, batch, "email", ["n"]).select("n", "email").collect())
     assert got == [(2, "b@b"), (4, "c@c")]
+
+
+def filled(store, spark, users=6, rounds=3):
+    for i in range(rounds):
+        for user in range(users):
+            log(store, spark, user, user, [(f"m{i}", str(i), i / 8)] * (1 + user))
+    return sorted(map(str, store.predictions().collect()))
+
+
+def test_compaction_changes_no_answer(spark, tmp_path):
+    store = MetadataStore(spark, str(tmp_path))
+    user = store.create_user("x@y.z", "h", "X")
+    kept, gone = (store.save_dataset(user, n, n, n, 1, 2, 3) for n in "ab")
+    for d in (kept, gone):
+        for target in ("first", "second"):
+            store.save_config(d, user, target)
+        store.save_result(d, user, "{}")
+    store.delete_dataset(gone, user)
+
+    def answers():
+        tables = (store.users(), store.datasets(), store.configs(), store.results(), store.predictions())
+        lookups = (store.user_by_email("X@y.z"), store.user_by_id(user), store.dataset_by_id(kept, user), store.config_of(kept),
+                   store.result_of(kept), store.dataset_by_id(gone, user), store.config_of(gone))
+        return [sorted(map(str, t.collect())) for t in (*tables, *lookups)]
+
+    filled(store, spark, 2, 1)
+    before = answers()
+    for name in SCHEMAS:
+        store.compact(name)
+    assert answers() == before
+    for name in SCHEMAS:
+        store.clean(name)
+    assert answers() == before and not list(tmp_path.glob("*/batches/*"))
+    assert store._raw("model_configs").count() == 2
+    store.save_config(kept, user, "third")
+    store.delete_config(gone, user)
+    assert store.config_of(kept).first()["target_column"] == "third"
+    store.compact("model_configs")
+    store.clean("model_configs")
+    assert store.config_of(kept).first()["target_column"] == "third" and len(list(tmp_path.glob("model_configs/generations/*"))) == 1
+
+
+def test_a_lost_compaction_leaves_the_table_as_it_was(spark, tmp_path, monkeypatch):
+    store = MetadataStore(spark, str(tmp_path))
+    before = filled(store, spark, 3, 1)
+    store.compact("prediction_history")
+    log(store, spark, 9, 9, [("late", "x", None)])
+    now = sorted(map(str, store.predictions().collect()))
+    assert len(now) == len(before) + 1
+
+    def lost(*args):
+        raise RuntimeError("the driver is gone")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(store, "_publish", lost)
+        try:
+            store.compact("prediction_history")
+        except RuntimeError:
+            pass
+    assert sorted(map(str, store.predictions().collect())) == now
+    # A generation that was not written to its end is passed over even if a manifest names it.
+    number = store.compact("prediction_history")
+    (tmp_path / f"prediction_history/generations/{number}/_SUCCESS").unlink()
+    assert sorted(map(str, store.predictions().collect())) == now
+    # An append that did not end is no batch.
+    half = tmp_path / "prediction_history/batches/99999999999999999"
+    half.mkdir()
+    (half / "part-0.parquet").write_bytes(b"PAR1")
+    assert sorted(map(str, store.predictions().collect())) == now
+    store.compact("prediction_history")
+    assert sorted(map(str, store.predictions().collect())) == now
+
+
+def test_lookups_read_one_partition(spark, tmp_path):
+    store = MetadataStore(spark, str(tmp_path))
+    filled(store, spark, 6, 1)
+    store.compact("prediction_history")
+    store.clean("prediction_history")
+    rows = store.predictions(3).where("user_id = 3")
+    assert rows.count() == 4
+    plan = store._raw("prediction_history", 3)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(partition" in plan
+
+    def files(rows):
+        return rows.select(F.input_file_name()).distinct().count()
+
+    assert files(store._raw("prediction_history", 3)) == 1 < files(store._raw("prediction_history"))
