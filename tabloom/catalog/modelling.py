@@ -171,6 +171,30 @@ def feature_importance_model(t: Tables):
     return train_suite(part_prices(t), ["decision_tree_regressor"]).importances(t.spark)
 
 
+_SIZES = """
+WITH r AS (SELECT CASE WHEN p_size > 25 THEN 1 ELSE 0 END AS label, p_size AS size, p_partkey * 7919 % 97 AS noise FROM part),
+f AS (SELECT 'size' AS feature, abs(corr(label, size)) AS strength FROM r UNION ALL SELECT 'noise', abs(corr(label, noise)) FROM r)
+SELECT feature, strength = max(strength) OVER () AS is_greatest, strength < 0.2 AS is_nothing FROM f"""
+
+
+def _register_exchange(name: str):
+    @query(f"importance_{name}", _SIZES)
+    def build(t: Tables):
+        """Models without importances of their own: the only column that decides, and one that does not."""
+        rows = t.part.select("p_partkey", (F.col("p_size") > 25).cast("double").alias("label"), (F.col("p_size") / 10).alias("size"),
+                             (F.col("p_partkey") * 7919 % 97 / 1000).alias("noise"))
+        rows = models.assemble(split_exact(rows, F.col("p_partkey").cast("string")), ["size", "noise"])
+        train = rows.where(F.col("split") == TRAIN)
+        fitted = models.fit_model(name, train, train.count(), 2, 2, "p_partkey")
+        found = models.permutation_importances(fitted, rows.where(F.col("split") == TEST), ["size", "noise"], "classification")
+        most = found[0][1]
+        return t.spark.createDataFrame([(f, v == most, v < 0.02) for f, v in found], "feature string, is_greatest boolean, is_nothing boolean")
+
+
+for _model in ("knn", "svm"):
+    _register_exchange(_model)
+
+
 NEIGHBOURS_SQL = """
 v AS (
   SELECT vec_id, label::BIGINT AS label, embedding::DOUBLE[] AS e,

@@ -374,12 +374,15 @@ def knn_join(train: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, report:
     own = durable(_meet_codes(met, coded.withColumn("bound", F.lit(float("inf"))), blocks, grid, k), "knn-own")
     bounded = durable(distinct.join(_kth(own, k), "qid", "left").withColumn(
         "bound", F.coalesce("bound", F.lit(float("inf")))), "knn-bounds")
-    others = durable(_cells_to_visit(bounded, pivots, cells, k), "knn-visits")
+    others = _cells_to_visit(bounded, pivots, cells, k)
+    if report is not None:
+        others = durable(others, "knn-visits")
     left = durable(_blocks_of(others, packing).join(met, ["qid", "block"], "left_anti"), "knn-other-blocks")
     rest = _meet_codes(left, bounded.select("qid", "code", "off", "bound"), blocks, grid, k)
     found = durable(own.unionByName(rest), "knn-candidates")
-    wanted = durable(found.join(_kth(found, k), "qid").where("least <= bound").select("qid", "row"), "knn-compared")
+    wanted = found.join(_kth(found, k), "qid").where("least <= bound").select("qid", "row")
     if report is not None:
+        wanted = durable(wanted, "knn-compared")
         n_queries = max(1, distinct.count())
         report.update(queries=n_queries, cells=len(cells),
                       visited_share=1 / len(cells) + others.count() / (n_queries * len(cells)),

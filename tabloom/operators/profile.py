@@ -121,35 +121,51 @@ def numeric_statistics(df: DataFrame, columns: list[str] | None = None, digits:
     return out.join(exact, "column", "left").withColumn("n_distinct", F.coalesce("__exact", F.lit(0))).drop("__exact")
 
 
-# Characters of a value that travel with its digest, to order ties.
+# Characters of a value that are counted as they are; of a longer one they travel with its digest, to order ties.
 PREFIX = 32
 
 
 def _text_cells(df: DataFrame, columns: list[str] | None) -> DataFrame:
-    """``(column, value, digest)`` of all filled text cells."""
+    """``(column, value, prefix, size)`` of all filled text cells."""
     names = columns if columns is not None else text_columns(df)
     cells = df.select([c(n).cast("string").alias(n) for n in names]).unpivot([], [c(n) for n in names], "column", "value")
-    return cells.where(F.col("value").isNotNull()).withColumn("digest", F.unhex(F.md5("value")))
+    return cells.where(F.col("value").isNotNull()).withColumns(
+        {"prefix": F.substring("value", 1, PREFIX), "size": F.char_length("value")})
+
+
+def _digest():
+    return F.unhex(F.md5("value"))
 
 
 def value_frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``(column, digest, prefix, n)`` for all text columns in one shuffle, which no whole value goes through."""
-    return _text_cells(df, columns).groupBy("column", "digest").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.substring("value", 1, PREFIX)).alias("prefix"))
+    """``(column, prefix, size, digest, n)`` for all text columns in one shuffle, which no long value goes through.
+
+    Only values longer than their prefix have a digest.
+    """
+    cells = _text_cells(df, columns).withColumn("digest", F.when(F.col("size") > PREFIX, _digest()))
+    return cells.groupBy("column", "prefix", "size", "digest").agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 3) -> DataFrame:
     """``(column, value, n, rank)``: most frequent values per column; ties by value.
 
-    Digests are counted and ranked; values that tie in count and prefix stay
-    together. Only then are the texts of those few looked up and put in order.
-    The rank test lets Spark keep k places per column in each task before the
-    exchange, so a column of unique texts does not meet in one task.
+    Short values are counted as they are, long ones by digest; values that tie
+    in count and prefix stay together. Only the few long winners are looked up,
+    among the cells that share their prefix and length, so no other text is
+    hashed again. The rank test lets Spark keep k places per column in each task
+    before the exchange, so a column of unique texts does not meet in one task.
     """
     order = Window.partitionBy("column").orderBy(F.desc("n"), "prefix")
     places = value_frequencies(df, columns).withColumn("place", F.rank().over(order)).where(F.col("place") <= k)
-    named = _text_cells(df, columns).join(broadcast_if_small(durable(places, "top-digests")), ["column", "digest"])
-    values = named.groupBy("column", "digest", "n").agg(F.first("value").alias("value"))
+    places = durable(places, "top-digests")
+    values = places.where("digest IS NULL").select("column", "n", F.col("prefix").alias("value"))
+    long = places.where("digest IS NOT NULL").select("column", "prefix", "size", "digest", "n")
+    names = [r["column"] for r in long.select("column").distinct().collect()]
+    if names:
+        cells = _text_cells(df, names).where(F.col("size") > PREFIX)
+        found = cells.join(broadcast_if_small(long), ["column", "prefix", "size"]).where(_digest() == F.col("digest"))
+        values = values.unionByName(
+            found.groupBy("column", "digest", "n").agg(F.first("value").alias("value")).select("column", "n", "value"))
     exact = Window.partitionBy("column").orderBy(F.desc("n"), "value")
     ranked = values.withColumn("rank", F.row_number().over(exact)).where(F.col("rank") <= k)
     return ranked.select("column", "value", "n", F.col("rank").cast("long").alias("rank"))

@@ -20,6 +20,7 @@ from tabloom.operators.models import (
     assemble,
     fit_model,
     importances,
+    permutation_importances,
     reaches_depth,
 )
 from tabloom.operators.score import MISSING, UNKNOWN_LEVEL, typed_inputs
@@ -40,6 +41,7 @@ class TrainResult:
     features: list[str]
     capped: list[str] = field(default_factory=list)
     tables: list[str] = field(default_factory=list)
+    held_out: DataFrame | None = None
 
     def release(self, spark: SparkSession) -> None:
         """Remove the intermediate tables; a neighbour model must have been saved before."""
@@ -53,7 +55,10 @@ class TrainResult:
         return evaluate.leaderboard(self.metrics, self.problem_type)
 
     def importances(self, spark: SparkSession) -> DataFrame:
+        """Of the best model: its own, or by exchanging values of the rows it was evaluated on (before ``release``)."""
         rows = importances(self.best, self.features)
+        if not rows and self.held_out is not None:
+            rows = permutation_importances(self.best, self.held_out, self.features, self.problem_type)
         return spark.createDataFrame(rows, "feature string, importance double")
 
     def save(self, folder: str) -> None:
@@ -85,7 +90,8 @@ def train_models(rows: DataFrame, features: list[str], problem_type: str, n_trai
     metrics = spark.createDataFrame(lines, schema)
     best = evaluate.select_best(metrics, problem_type).first()["model"]
     capped = [n for n in names if "tree" in n or "forest" in n]
-    return TrainResult(problem_type, fitted, metrics, best, features, [n for n in capped if reaches_depth(fitted[n], depth)])
+    return TrainResult(problem_type, fitted, metrics, best, features, [n for n in capped if reaches_depth(fitted[n], depth)],
+                       held_out=held_out.select("features", "label"))
 
 
 def train_suite(prep: PrepResult, names: list[str] | None = None, depth: int | None = TREE_DEPTH,

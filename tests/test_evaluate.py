@@ -87,3 +87,23 @@ def test_profile_of_an_all_missing_column(spark):
 def test_top_values_break_ties_by_value(spark):
     df = spark.createDataFrame([(v,) for v in "ddccbbaae"], "s string")
     assert [(r["value"], r["n"]) for r in profile.top_values(df).orderBy("rank").collect()] == [("a", 2), ("b", 2), ("c", 2)]
+
+
+def test_importance_by_exchange(spark, monkeypatch):
+    """A model that only reads the first column, over groups of a few rows: the others have no importance."""
+    from tabloom.operators import models
+
+    monkeypatch.setattr(models, "EXCHANGED", 16)
+    rows = spark.createDataFrame([(float(i % 2), float(i % 2), float(i), 1.0) for i in range(200)], "label double, a double, b double, c double")
+    rows = models.assemble(rows, ["a", "b", "c"])
+
+    class Reader:
+        def transform(self, df):
+            return df.withColumn("prediction", models.vector_to_array("features")[0])
+
+    fitted = models.Fitted("knn", Reader())
+    found = models.permutation_importances(fitted, rows, ["a", "b", "c"], "classification")
+    assert [f for f, _ in found] == ["a", "b", "c"] and 0.3 < found[0][1] < 0.7 and found[1][1] == found[2][1] == 0
+    assert models.permutation_importances(fitted, rows, ["a", "b", "c"], "classification") == found
+    errors = models.permutation_importances(fitted, rows.limit(0), ["a", "b", "c"], "regression")
+    assert errors == [("a", 0.0), ("b", 0.0), ("c", 0.0)]
