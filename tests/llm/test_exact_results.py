@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -260,3 +261,54 @@ def test_pipeline_against_plain_python(spark, sf, rows):
 
 def test_blanks_agree():
     assert bytes(b for b in range(256) if not bytes([b]).split()) == bytes(sorted(SPACE))
+
+
+def test_bands_reject_bad_documents_and_keep_good_ones(spark):
+    """On labelled documents that set no limit: at least half of the bad ones that pass the base rules, at most 1 % of the good."""
+    folder = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("crc32(CAST(doc_id AS STRING)) % 4 = 2")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    judged = bands.compression_bands(docs).where("NOT base_failed").join(labels, "doc_id")
+    share = {r.quality: (r.n, r.rejected) for r in judged.groupBy("quality").agg(
+        F.count("*").alias("n"), F.avg((~F.col("kept")).cast("int")).alias("rejected")).collect()}
+    assert share[0][0] > 50 and share[0][1] > 0.5
+    assert share[1][0] > 500 and share[1][1] < 0.01
+
+
+def test_verdicts_of_the_bands_against_a_loop(spark, sf, rows):
+    """Every text and every piece of it pressed one by one, with limits read off the table by hand."""
+    import math
+
+    import zstandard
+
+    b = bands.Bands()
+
+    def low_high(size):
+        low, high = [(x, y) for at, x, y in b.document if at <= size][-1]
+        if size >= b.lowest[-1][0]:
+            return b.lowest[-1][1], high
+        for (p, x), (q, y) in zip(b.lowest, b.lowest[1:]):
+            if p <= size < q:
+                low = x + (y - x) * (math.log2(size) - math.log2(p)) / (math.log2(q) - math.log2(p))
+        return low, high
+
+    def inside(raw, low, high):
+        return low <= len(zstandard.ZstdCompressor(level=b.level).compress(raw)) / len(raw) <= high
+
+    got = result(spark, sf, "op2_compression_bands")
+    for i, r in rows.items():
+        raw = r.text.encode()
+        keep = not got[i].base_failed and inside(raw, *low_high(len(raw)))
+        if keep and len(raw) > b.chunk_bytes:
+            outside = 0
+            pieces = [raw[k:k + b.chunk_bytes] for k in range(0, len(raw), b.chunk_bytes)]
+            for piece in pieces:
+                if len(piece) == b.chunk_bytes:
+                    outside += not inside(piece, b.chunk_low, b.chunk_high)
+                else:
+                    piece = piece if len(piece) >= b.tail_bytes else raw[-b.tail_bytes:]
+                    outside += not inside(piece, *low_high(len(piece)))
+            allowed = [s for n, s in b.chunk_share if n <= len(pieces)][-1]
+            keep = outside / len(pieces) <= allowed
+        assert got[i].kept == keep
+    assert any(not got[i].kept and not got[i].base_failed for i in rows)
