@@ -80,14 +80,17 @@ def file_admission(t: Tables):
     return admission_report(files, limit_mb=0.002, extensions=["en", "fr"])
 
 
-# The files that the correctness tables are read from.
-_FILES = "/root/testdata/sf0.01"
+# The folder whose lineitem file has as many rows as the table: the files that the tables are read from.
+_FILES = """(
+  SELECT parse_filename(filename) AS file_name, size FROM read_blob('/root/testdata/sf*/*.parquet')
+  WHERE parse_dirpath(filename) = (SELECT min(parse_dirpath(file_name)) FROM parquet_file_metadata('/root/testdata/sf*/lineitem.parquet')
+                                   WHERE num_rows = (SELECT count(*) FROM lineitem)))"""
 
 
 @query("file_admission_scan", f"""
 SELECT file_name, size AS file_size, 'parquet' AS extension, size <= 1048576 AS admitted,
        CASE WHEN size > 1048576 THEN 'size' END AS reason
-FROM (SELECT parse_filename(filename) AS file_name, size FROM read_blob('{_FILES}/*'))""")
+FROM {_FILES}""")
 def file_admission_scan(t: Tables):
     return admission_report(list_files(t.spark, t.folder), limit_mb=1, extensions=["csv", "parquet"])
 
@@ -108,7 +111,7 @@ _REGISTERED = [(1, "lineitem", 11), (1, "orders", 6), (2, "events", 6), (3, "doc
 @query("register_dataset", " UNION ALL ".join(f"""
 SELECT CAST({user} AS BIGINT) AS user_id, '{name}.parquet' AS filename, '{name}' AS original_name,
        'tables/{name}' AS file_path, count(*) AS num_rows, CAST({cols} AS BIGINT) AS num_cols,
-       (SELECT size FROM read_blob('{_FILES}/{name}.parquet')) AS file_size FROM {name}""" for user, name, cols in _REGISTERED))
+       (SELECT size FROM {_FILES} WHERE file_name = '{name}.parquet') AS file_size FROM {name}""" for user, name, cols in _REGISTERED))
 def register_dataset(t: Tables):
     """With the sizes that the listing gives, of one row per table."""
     sizes = dict(table_sizes(t.spark, t.folder).where(
