@@ -10,7 +10,8 @@ is half of ``(sum v_i)^2 - sum v_i^2``, factor by factor.
 
 The machine is fitted to a bounded sample of labelled texts (``Fit.sample``
 of each class, those with the smallest digests), which is all that the driver
-ever holds. A row of the sample weighs as many labelled ids of its class as it
+ever holds. Which terms are worth learning is decided on that sample, alone
+and two by two. A row of the sample weighs as many labelled ids of its class as it
 stands for, so scores mean the same whether or not the bound is reached. Every text is scored in its own partition, whole, without a
 shuffle.
 
@@ -49,7 +50,11 @@ class Fit:
 
     A term is learned if at least ``least_texts`` of them have it and its share
     differs between the classes by ``least_errors`` standard errors, or if a
-    share of ``frequent`` of all has it, as it may matter in pairs.
+    share of ``frequent`` of all has it. Terms that a share of ``paired`` has
+    are also tried two by two, whatever each tells alone: both are learned if,
+    among at least ``least_together`` texts with both, label 1 is more or less
+    often than among all texts with the first by ``pair_errors`` standard
+    errors.
     """
 
     sample: int = 6000
@@ -62,6 +67,9 @@ class Fit:
     least_texts: int = 5
     least_errors: float = 6.0
     frequent: float = 0.1
+    paired: float = 0.02
+    least_together: int = 20
+    pair_errors: float = 10.0
     seed: int = 7
 
 
@@ -178,6 +186,65 @@ def _kept_terms(kept: Broadcast):
     return run
 
 
+# Terms that one task pairs with all others, and texts that it looks at together.
+_STRIP, _ROWS = 256, 256
+
+
+def telling_pairs(first: int, flat: np.ndarray, ends: np.ndarray, labels: np.ndarray, terms: int, fit: Fit) -> np.ndarray:
+    """Which of ``terms`` numbered terms tell something together with one of the strip that starts at ``first``.
+
+    ``flat`` has the numbers of each text's terms in turn, up to ``ends``. The
+    texts with both terms are counted by products of 0-1 matrices, so that no
+    pair is ever listed.
+    """
+    strip = np.arange(first, min(first + _STRIP, terms))
+    ones, both = (np.zeros((len(strip), terms), dtype=np.float32) for _ in range(2))
+    for at in range(0, len(labels), _ROWS):
+        stop = min(at + _ROWS, len(labels))
+        there = np.zeros((stop - at, terms), dtype=np.float32)
+        low, high = ends[at], ends[stop]
+        there[np.repeat(np.arange(stop - at), np.diff(ends[at:stop + 1])), flat[low:high]] = 1
+        own = there[:, strip]
+        both += own.T @ there
+        ones += own[labels[at:stop] == 1].T @ there[labels[at:stop] == 1]
+    place = np.arange(len(strip))
+    alone = both[place, strip][:, None]
+    rate = ones[place, strip][:, None] / np.maximum(alone, 1)
+    # Half a text of either label keeps rates of 0 and 1 from being certain.
+    rate = (rate * alone + 0.5) / (alone + 1)
+    error = np.sqrt(rate * (1 - rate) * np.maximum(1 / np.maximum(both, 1) - 1 / np.maximum(alone, 1), 1e-12))
+    apart = np.abs(ones / np.maximum(both, 1) - rate) / error
+    told = (both >= fit.least_together) & (both < alone) & (apart >= fit.pair_errors)
+    out = told.any(axis=0)
+    out[strip] |= told.any(axis=1)
+    return out
+
+
+def _paired(rows: DataFrame, often: np.ndarray, fit: Fit) -> np.ndarray:
+    """The terms among ``often`` that tell something two by two; each task tries one strip of them."""
+    spark = rows.sparkSession
+    wanted = np.zeros(fit.features, dtype=bool)
+    wanted[often] = True
+    # At most 2 * fit.sample texts, as a machine is fitted to no more.
+    found = rows.mapInArrow(_kept_terms(spark.sparkContext.broadcast(wanted)), _SAMPLE).toPandas()
+    place = np.full(fit.features, -1, dtype=np.int32)
+    place[often] = np.arange(len(often))
+    texts = [place[np.asarray(t, dtype=np.int64)] for t in found["terms"]]
+    ends = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    shared = spark.sparkContext.broadcast((np.concatenate(texts), ends, found["label"].to_numpy(dtype=np.int64)))
+    terms = len(often)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in batch.column(0).to_pylist():
+                told = np.nonzero(telling_pairs(first, *shared.value, terms, fit))[0]
+                yield pa.RecordBatch.from_arrays([pa.array(told, pa.int64())], names=["at"])
+
+    strips = -(-terms // _STRIP)
+    told = spark.range(0, terms, _STRIP, strips).mapInArrow(run, "at long").distinct().toPandas()
+    return often[told["at"].to_numpy(dtype=np.int64)]
+
+
 _SAMPLE = "label int, order string, tie long, terms array<int>"
 
 
@@ -218,8 +285,14 @@ def training_sample(df: DataFrame, labels: DataFrame, label: str, id_column: str
         error = F.sqrt(share * (1 - share) * (1 / ones + 1 / (n - ones))) + 1e-12
         apart = F.abs(F.col("with_one") / ones - (F.col("seen") - F.col("with_one")) / (n - ones)) / error
         # At most one row per feature.
-        worth = counted.where((apart >= fit.least_errors) | (share >= fit.frequent)).select("term").toPandas()
-        kept[worth["term"].to_numpy(dtype=np.int64)] = True
+        alone = (apart >= fit.least_errors) | (share >= fit.frequent)
+        worth = counted.where(alone | (share >= fit.paired)).select(
+            "term", alone.alias("alone"), (share >= fit.paired).alias("often")).orderBy("term").toPandas()
+        names = worth["term"].to_numpy(dtype=np.int64)
+        kept[names[worth["alone"].to_numpy(dtype=bool)]] = True
+        often = names[worth["often"].to_numpy(dtype=bool)]
+        if len(often):
+            kept[_paired(rows, often, fit)] = True
     shared = df.sparkSession.sparkContext.broadcast(kept)
     narrow = rows.mapInArrow(_kept_terms(shared), _SAMPLE)
     found = narrow.orderBy("order", "tie").limit(2 * fit.sample).toPandas()

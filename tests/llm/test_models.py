@@ -8,7 +8,7 @@ import pytest
 from tabloom.llm import licences, queries
 from tabloom.llm.personal_data import disclosing_terms, sanitise
 from tabloom.llm.secrets_grammar import Formats, Grammar, infer, shape
-from tabloom.llm.toxicity import fit_machine
+from tabloom.llm.toxicity import fit_machine, score_toxicity
 
 
 def held_out_accuracy(spark, name, label, folder="/root/testdata/sf0.01"):
@@ -42,6 +42,22 @@ def test_machine_learns_pairs(rule):
     assert ((scores > 0.5) == np.array([y for _, y in test])).mean() > 0.95
 
 
+def test_pairs_of_rare_words_that_tell_nothing_alone(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(8000):
+        words, luck = [f"w{chr(97 + n // 26)}{chr(97 + n % 26)}" for n in rng.integers(0, 600, 15)], rng.random()
+        toxic = i % 2
+        words += ["zorb", "quim"] if toxic and luck < 0.06 else ["zorb"] if luck < 0.06 else ["quim"] if luck < 0.12 and not toxic else []
+        rows.append((i, " ".join(words), toxic))
+    rows += [(9000 + i, " ".join(rows[k][1].split()[:10] + extra), -1)
+             for i, (k, extra) in enumerate((k, e) for k in range(20) for e in (["zorb", "quim"], ["zorb"], ["quim"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {r.doc_id: r.score for r in score_toxicity(df, df.where("toxic >= 0")).collect()}
+    both, first, second = ([got[9000 + 3 * k + j] for k in range(20)] for j in range(3))
+    assert np.mean(both) > 0.6 and np.mean(first) < 0.4 and np.mean(second) < 0.4
+
+
 def test_machine_without_both_labels():
     assert fit_machine([]).scores(np.zeros(0, dtype=np.int64), np.array([0])).tolist() == [0.0]
     assert fit_machine([(np.array([1]), 1)]).scores(np.array([1]), np.array([1])).tolist() == [1.0]
