@@ -2,7 +2,8 @@
 
 The fixed kinds (assign, access, hex) label credentials. Per kind, a bounded
 sample of them (``Grammar.sample`` different shapes, those with the smallest
-digests) makes a prefix tree whose edges are character classes and whose
+digests; of one longer than ``Grammar.head`` classes the head, known to go on
+there) makes a prefix tree whose edges are character classes and whose
 nodes count how often they are passed and how often a credential ends there.
 States are merged in breadth-first order when their frequencies agree by the
 Hoeffding bound, and so do those of all states behind them (ALERGIA); the
@@ -50,9 +51,13 @@ _CANDIDATE = re.compile(r"(?<![dhlHU+/_.=-])[dhlHU+/_.=-]{5,}[dhlHU+/_=-]")
 
 @dataclass(frozen=True)
 class Grammar:
-    """``alpha``: of the Hoeffding bound; ``threshold``: nats per character above the background."""
+    """``alpha``: of the Hoeffding bound; ``threshold``: nats per character above the background.
+
+    ``sample`` shapes of ``head`` classes at most are what the driver sees of a kind, however long credentials are.
+    """
 
     sample: int = 400
+    head: int = 256
     alpha: float = 0.05
     threshold: float = 0.25
     floor: float = 1e-4
@@ -77,10 +82,18 @@ _TABLE = str.maketrans(_CLASSES)
 _SIZES = {"d": 10, "h": 6, "l": 20, "H": 6, "U": 20}
 
 
+# Behind the head of a shape that goes on; no credential has this character.
+_GOES_ON = ">"
+
+
 def shape(text: str) -> str:
     return text.translate(_TABLE)
 
 
+def learned_shape(credential: str, head: int) -> str:
+    return shape(credential) if len(credential) <= head else shape(credential[:head]) + _GOES_ON
+
+
 def candidates(shaped: str, taken: list[tuple[int, int]]) -> list[str]:
     """Shapes of all runs in a shape of a text that overlap nothing ``taken``."""
     if not taken:
@@ -111,12 +124,12 @@ class Automaton:
 
 
 def prefix_tree(shapes: list[str]) -> tuple[list[dict[str, int]], list[int], list[int]]:
-    """Children, passes and ends of every node."""
+    """Children, passes and ends of every node; a shape that goes on passes its last node without ending there."""
     children, passes, ends = [{}], [0], [0]
     for word in shapes:
         at = 0
         passes[0] += 1
-        for c in word:
+        for c in word.removesuffix(_GOES_ON):
             if c not in children[at]:
                 children[at][c] = len(children)
                 children.append({})
@@ -124,19 +137,15 @@ def prefix_tree(shapes: list[str]) -> tuple[list[dict[str, int]], list[int], lis
                 ends.append(0)
             at = children[at][c]
             passes[at] += 1
-        ends[at] += 1
+        ends[at] += not word.endswith(_GOES_ON)
     return children, passes, ends
 
 
 def infer(shapes: list[str], grammar: Grammar = Grammar()) -> Automaton:
     """Merge compatible states of the prefix tree, red states fixed and blue ones next, in breadth-first order."""
-    children, _, ends = prefix_tree(shapes)
+    children, passes, ends = prefix_tree(shapes)
     # Edge counts, kept apart from the targets as merging changes both.
-    edge: list[dict[str, list[int]]] = [{} for _ in children]
-    weight = [0] * len(children)
-    for node in range(len(children) - 1, -1, -1):
-        weight[node] = ends[node] + sum(weight[t] for t in children[node].values())
-        edge[node] = {c: [t, weight[t]] for c, t in children[node].items()}
+    edge: list[dict[str, list[int]]] = [{c: [t, passes[t]] for c, t in below.items()} for below in children]
     bound = math.sqrt(0.5 * math.log(2 / grammar.alpha))
 
     def differ(f1: int, n1: int, f2: int, n2: int) -> bool:
@@ -178,10 +187,12 @@ def infer(shapes: list[str], grammar: Grammar = Grammar()) -> Automaton:
                     edge[x][c] = [t, n]
 
     red, blue = [0], deque((0, c) for c in sorted(edge[0]))
+    fixed, queued = {0}, set(blue)
     while blue:
         parent, c = blue.popleft()
+        queued.discard((parent, c))
         node = edge[parent][c][0]
-        if node in red:
+        if node in fixed:
             continue
         for state in red:
             if compatible(state, node):
@@ -190,10 +201,12 @@ def infer(shapes: list[str], grammar: Grammar = Grammar()) -> Automaton:
                 break
         else:
             red.append(node)
+            fixed.add(node)
         for state in red:
             for d in sorted(edge[state]):
-                if edge[state][d][0] not in red and (state, d) not in blue:
+                if edge[state][d][0] not in fixed and (state, d) not in queued:
                     blue.append((state, d))
+                    queued.add((state, d))
     number = {s: i for i, s in enumerate(red)}
     return Automaton([{c: (number[t], n) for c, (t, n) in edge[s].items()} for s in red], [ends[s] for s in red])
 
@@ -219,7 +232,7 @@ class Formats:
 
 
 def labelled_shapes(df: DataFrame, text: str, grammar: Grammar) -> DataFrame:
-    """``(kind, word, n)``: shapes of credentials by kind, and pairs of classes in other candidates, for all texts."""
+    """``(kind, word, n)``: learned shapes of credentials by kind, and pairs of classes in other candidates, for all texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 0):
             found: Counter = Counter()
@@ -227,7 +240,7 @@ def labelled_shapes(df: DataFrame, text: str, grammar: Grammar) -> DataFrame:
             for t in texts(part, 0):
                 spans = base_spans(t)
                 for _, _, kind, credential in spans:
-                    found[KINDS[kind], shape(credential)] += 1
+                    found[KINDS[kind], learned_shape(credential, grammar.head)] += 1
                 words.update(candidates(shape(t), [(a, b) for a, b, _, _ in spans]))
             for word, n in words.items():
                 word = f"^{word}$"
