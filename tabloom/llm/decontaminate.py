@@ -14,10 +14,11 @@ words:
 
 A group of single words has no block and is a plain table of words.
 
-The benchmark is searched in blocks of at most ``block_windows`` patterns.
-One block's tables are broadcast at a time, so their size has a fixed bound;
-every document passes every block, and what the blocks find in a row is put
-together in that row, without a shuffle.
+The benchmark is searched in blocks of about ``block_windows`` patterns, so
+the size of the tables has a fixed bound. A single block needs no shuffle.
+Several are searched in jobs of their own, one after the other: each writes
+what it finds, its tables are given back, and the findings, never the texts,
+are put together by row at the end.
 
 Defined results: a null or empty text, or one without a word, has no words,
 no hits and is not contaminated; such an item is never found. Repeated items
@@ -134,8 +135,8 @@ def _merge(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _pattern_blocks(benchmark: DataFrame, item: str, text: str, size: int, block_windows: int) -> Iterator[tuple[bool, list[Tables]]]:
-    """Whether it is the last, and the tables, of one block of distinct patterns after the other."""
+def _patterns(benchmark: DataFrame, item: str, text: str, size: int) -> DataFrame:
+    """``(pattern, items)``, each different window once, with the ids of the items that have it."""
     k = max(1, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,11 +151,12 @@ def _pattern_blocks(benchmark: DataFrame, item: str, text: str, size: int, block
     rows = benchmark.select(named(item).cast("string").alias("item"), named(text).cast("string").alias("t"))
     patterns = rows.mapInArrow(run, "item string, pattern binary").groupBy("pattern").agg(
         F.collect_set("item").alias("items"))
-    patterns = durable(patterns, "patterns")
-    blocks = max(1, -(-patterns.count() // block_windows))
-    for b in range(blocks):
-        block = patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == b)
-        yield b == blocks - 1, build_tables((bytes(r.pattern).split(b" "), r["items"]) for r in block.collect())
+    return durable(patterns, "patterns")
+
+
+def _block_tables(patterns: DataFrame, block: int, blocks: int) -> list[Tables]:
+    some = patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == block)
+    return build_tables((bytes(r.pattern).split(b" "), r["items"]) for r in some.collect())
 
 
 FOUND = T.StructType([
@@ -164,16 +166,16 @@ FOUND = T.StructType([
 _ARROW_SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 
-def _search_block(shared: Broadcast, text: int, given: int, drop_text: bool):
-    """Add what one block finds to what a row has so far; the three columns of ``FOUND`` start at ``given``."""
+def _search_block(shared: Broadcast, text: int, drop_text: bool):
+    """The columns of ``FOUND`` added to every row, for one block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = shared.value
         for part in slices(batches, text):
             counts, all_spans, all_items = [], [], []
-            for t, old_spans, old_items in zip(*(part.column(i).to_pylist() for i in (text, given + 1, given + 2))):
+            for t in part.column(text).to_pylist():
                 words = words_of(t)
-                new, names = [(s["a"], s["b"]) for s in old_spans], set(old_items)
+                new, names = [], set()
                 for group in groups:
                     for at, k in search(words, group):
                         new.append((at, at + group.length))
@@ -181,16 +183,30 @@ def _search_block(shared: Broadcast, text: int, given: int, drop_text: bool):
                 counts.append(len(words))
                 all_spans.append([{"a": a, "b": b} for a, b in _merge(new)])
                 all_items.append(sorted(names))
-            columns = part.columns[:given] + [
-                pa.array(counts, pa.int64()), pa.array(all_spans, _ARROW_SPANS), pa.array(all_items, pa.list_(pa.string()))]
-            labels = list(part.schema.names)
+            columns, labels = list(part.columns), list(part.schema.names)
             if drop_text:
                 del columns[text], labels[text]
-            yield pa.RecordBatch.from_arrays(columns, names=labels)
+            yield pa.RecordBatch.from_arrays(
+                columns + [pa.array(counts, pa.int64()), pa.array(all_spans, _ARROW_SPANS), pa.array(all_items, pa.list_(pa.string()))],
+                names=labels + FOUND.names)
 
     return run
 
 
+def _merge_findings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of one row from several blocks become one list without overlaps."""
+    for batch in batches:
+        spans = [[{"a": a, "b": b} for a, b in _merge((s["a"], s["b"]) for s in row)] for row in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(spans, _ARROW_SPANS), batch.column(3)], names=["row", *FOUND.names])
+
+
+def _search(df: DataFrame, tables: list[Tables], at: int, drop_text: bool = False) -> tuple[DataFrame, Broadcast]:
+    shared = df.sparkSession.sparkContext.broadcast(tables)
+    kept = [f for i, f in enumerate(df.schema.fields) if not (drop_text and i == at)]
+    return df.mapInArrow(_search_block(shared, at, drop_text), T.StructType(kept + FOUND.fields)), shared
+
+
 def find_passages(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
                   item_text: str = "text", size: int = WINDOW, block_windows: int = BLOCK_WINDOWS,
                   drop_text: bool = False) -> DataFrame:
@@ -198,16 +214,28 @@ def find_passages(df: DataFrame, benchmark: DataFrame, text: str = "text", item_
 
     ``drop_text`` leaves the text column out, so that texts are not sent back.
     """
-    names = df.columns
-    k, at = len(names), names.index(text)
-    out = df.toDF(*[f"c{i}" for i in range(k)]).select(
-        "*", F.lit(0).cast("long").alias("n_words"), *[F.array().cast(f.dataType).alias(f.name) for f in FOUND.fields[1:]])
-    for last, tables in _pattern_blocks(benchmark, item_id, item_text, size, block_windows):
-        shared = df.sparkSession.sparkContext.broadcast(tables)
-        drop = drop_text and last
-        schema = T.StructType([f for i, f in enumerate(out.schema.fields[:k]) if not (drop and i == at)] + FOUND.fields)
-        out = out.mapInArrow(_search_block(shared, at, k, drop), schema)
-    return out
+    at = df.columns.index(text)
+    names = [f"c{i}" for i in range(len(df.columns))]
+    rows = df.toDF(*names)
+    patterns = _patterns(benchmark, item_id, item_text, size)
+    blocks = max(1, -(-patterns.count() // block_windows))
+    if blocks == 1:
+        return _search(rows, _block_tables(patterns, 0, 1), at, drop_text)[0]
+    # Numbers of rows in a written table stay the same in every job.
+    numbered = durable(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    findings = None
+    for block in range(blocks):
+        found, shared = _search(numbered.select("row", names[at]), _block_tables(patterns, block, blocks), 1, drop_text=True)
+        # The first block's rows carry the number of words, so all of them are kept.
+        found = durable(found if block == 0 else found.where(F.size("spans") > 0), "findings")
+        shared.destroy()
+        findings = found if findings is None else findings.unionByName(found)
+    merged = findings.groupBy("row").agg(
+        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = merged.mapInArrow(_merge_findings, T.StructType([numbered.schema["row"], *FOUND.fields]))
+    kept = [n for i, n in enumerate(names) if not (drop_text and i == at)]
+    return numbered.select("row", *kept).join(merged, "row").select(*kept, *FOUND.names)
 
 
 def _hit() -> Column:

@@ -132,6 +132,16 @@ def test_blocks_of_patterns_give_the_same(spark, sf, docs):
     assert sorted(one) == sorted(many) and any(r.contaminated for r in one)
 
 
+def test_blocks_are_searched_in_jobs_of_their_own(spark, sf, docs):
+    benchmark = spark.read.parquet(f"{sf}/benchmark.parquet")
+    found = search.decontaminate(docs.unionByName(docs.limit(5)), benchmark, block_windows=300)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # What is left is the merging of findings: the table of texts is read without its texts.
+    assert plan.count("MapInArrow") == 1
+    kept = search.drop_contaminated(docs, benchmark, block_windows=300)
+    assert sorted(kept.collect()) == sorted(search.drop_contaminated(docs, benchmark).collect()) and kept.columns == docs.columns
+
+
 def test_token_files_round_trip(spark, sf, rows):
     got = result(spark, sf, "op9_token_files")
     tool, at = Tokenizer.from_file(queries.TOKENIZER), 0
