@@ -8,7 +8,7 @@ import pytest
 from tabloom.llm import compression_bands as bands, licences
 from tabloom.llm.mixing import assign, mix
 from tabloom.llm.personal_data import disclosing_terms
-from tabloom.llm.secrets_grammar import Grammar, find_secrets, infer, shape
+from tabloom.llm.secrets_grammar import Grammar, find_secrets, infer, labelled_shapes, learned_shape, shape
 from tabloom.llm.toxicity import Fit, score_toxicity
 
 
@@ -107,3 +107,22 @@ def test_long_credentials_are_learned_whole():
     automaton = infer(words, Grammar())
     cut = words[0][:64]
     assert automaton.likelihood(words[0], 1e-4) / (len(words[0]) + 1) > automaton.likelihood(cut, 1e-4) / (len(cut) + 1)
+
+
+def test_shapes_seen_by_the_driver_are_bounded(spark):
+    rng = np.random.default_rng(8)
+    long = ["".join(rng.choice(list("ABCDEFGHJKLMNPQRSTUVWXYZ23456789"), 100_000)) for _ in range(6)]
+    rows = [(i, f"token = {t} end") for i, t in enumerate(long)] + [(10, f"the value {long[0][:5000]}.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = labelled_shapes(df, "text", Grammar()).where("kind = 'assign'").collect()
+    assert seen and all(len(r.word) == Grammar().head + 1 and r.word.endswith(">") for r in seen)
+    found = {r.doc_id: r.spans for r in find_secrets(df).collect()}
+    assert all(found[i] == f"assign:0:{8 + len(t)}" for i, t in enumerate(long))
+
+
+def test_heads_go_on_and_do_not_end():
+    words = [shape("A1" * 40), shape("7" * 30)] * 50
+    cut = [learned_shape("A1" * 40, 20)] * 50
+    assert cut[0] == shape("A1" * 10) + ">"
+    whole, heads = infer(words, Grammar()), infer(cut, Grammar())
+    assert sum(whole.ends) == len(words) and sum(heads.ends) == 0
