@@ -53,8 +53,8 @@ class Fit:
     share of ``frequent`` of all has it. Terms that a share of ``paired`` has
     are also tried two by two, whatever each tells alone: both are learned if,
     among at least ``least_together`` texts with both, label 1 is more or less
-    often than among all texts with the first by ``pair_errors`` standard
-    errors.
+    often than among all texts with the first, and among all with the second,
+    by ``pair_errors`` standard errors.
     """
 
     sample: int = 6000
@@ -207,14 +207,14 @@ def telling_pairs(first: int, flat: np.ndarray, ends: np.ndarray, labels: np.nda
         own = there[:, strip]
         both += own.T @ there
         ones += own[labels[at:stop] == 1].T @ there[labels[at:stop] == 1]
-    place = np.arange(len(strip))
-    alone = both[place, strip][:, None]
-    rate = ones[place, strip][:, None] / np.maximum(alone, 1)
     # Half a text of either label keeps rates of 0 and 1 from being certain.
-    rate = (rate * alone + 0.5) / (alone + 1)
-    error = np.sqrt(rate * (1 - rate) * np.maximum(1 / np.maximum(both, 1) - 1 / np.maximum(alone, 1), 1e-12))
-    apart = np.abs(ones / np.maximum(both, 1) - rate) / error
-    told = (both >= fit.least_together) & (both < alone) & (apart >= fit.pair_errors)
+    alone = np.bincount(flat, minlength=terms)
+    rates = (np.bincount(flat[np.repeat(labels == 1, np.diff(ends))], minlength=terms) + 0.5) / (alone + 1)
+    told = (both >= fit.least_together) & (both < alone[strip][:, None]) & (both < alone)
+    share, many = ones / np.maximum(both, 1), 1 / np.maximum(both, 1)
+    for rate, n in ((rates[strip][:, None], alone[strip][:, None]), (rates, alone)):
+        error = np.sqrt(rate * (1 - rate) * np.maximum(many - 1 / np.maximum(n, 1), 1e-12))
+        told &= np.abs(share - rate) >= fit.pair_errors * error
     out = told.any(axis=0)
     out[strip] |= told.any(axis=1)
     return out
