@@ -32,8 +32,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
                      .unionByName(least.select("child", F.col("m").alias("parent"))))
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.hash("child", "parent").cast("long"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether every child has one parent that is no child itself: each component is a star then."""
+    again = edges.groupBy("child").agg(F.count("*").alias("n")).where("n > 1")
+    chained = edges.select("parent").join(edges.select("child"), F.col("parent") == F.col("child"), "left_semi")
+    return again.isEmpty() and chained.isEmpty()
 
 
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
@@ -46,13 +49,7 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     """
     now = durable(_distinct(edges.select(
         F.greatest(left, right).alias("child"), F.least(left, right).alias("parent"))), "edges")
-    state = _state(now)
-    while state[0]:
-        after = durable(_small_star(durable(_large_star(now), "large-star")), "small-star")
-        changed = _state(after)
-        now = after
-        if changed == state:
-            break
-        state = changed
+    while not _settled(now):
+        now = durable(_small_star(durable(_large_star(now), "large-star")), "small-star")
     stars = now.select(F.col("child").alias("node"), F.col("parent").alias("root"))
     return stars.unionByName(now.select(F.col("parent").alias("node"), F.col("parent").alias("root")).distinct())
