@@ -41,6 +41,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 TASK_ROWS = 1 << 17
 # Nodes split by one round of jobs, rows that propose their thresholds, thresholds per feature.
 ROUND_NODES, PROPOSERS, THRESHOLDS = 1024, 256, 63
+# Most values of a feature whose rows are added up by value, and of all such features together.
+FEW, TOGETHER_FEW = 256, 1024
+# Rows times trees, and rows, of one task's share; rows looked at together.
+SHARE, SHARE_ROWS, TOGETHER = 1 << 20, 1 << 17, 1 << 16
 # Most bytes of finished nodes that are broadcast for scoring.
 MODEL_BYTES = 128 << 20
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -136,18 +140,61 @@ def _nearly(gain: np.ndarray) -> np.ndarray:
     return gain - 1e-9 * np.abs(gain)
 
 
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, dtype=np.int64)
+
+
+def _coded(x: np.ndarray) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], np.ndarray | None, dict[int, np.ndarray]]:
+    """Features of few values: ``{feature: (values, code of each row)}``.
+
+    If the codes of all of them together take few values too, each row's
+    number among those, and the codes by that number.
+    """
+    coded, joint = {}, None
+    for j in range(x.shape[1]):
+        values, code = np.unique(x[:, j], return_inverse=True)
+        if len(values) <= FEW:
+            coded[j] = values, code
+    for values, code in coded.values():
+        joint = np.unique(code if joint is None else joint * len(values) + code, return_inverse=True)[1]
+        if joint.max(initial=0) >= TOGETHER_FEW:
+            return coded, None, {}
+    if joint is None:
+        return coded, None, {}
+    first = np.unique(joint, return_index=True)[1]
+    return coded, joint, {j: code[first] for j, (_, code) in coded.items()}
+
+
+def _squares(sums: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", sums, sums)
+
+
+def _added(key: np.ndarray, size: int, w: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights and targets by key; keys without a row are left out."""
+    weight = np.bincount(key, weights=w, minlength=size)
+    there = np.flatnonzero(weight)
+    sums = [np.bincount(key, weights=targets[:, k], minlength=size)[there] for k in range(targets.shape[1])]
+    return there, weight[there], np.stack(sums, axis=1)
+
+
 def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, growth: Growth, root: int, depth: int | None) -> tuple[Nodes, np.ndarray]:
     """A whole tree, all nodes of a level at once, and each feature's total gain.
 
-    For every feature the rows are kept in order of node, then value; sums from
-    the left of each node are differences of one running sum.
+    The rows are kept in order of node, then value, for every feature of many
+    values; sums from the left of each node are differences of one running
+    sum. Of a feature of few values the rows of a node are added up by value
+    first, so that a level costs one pass over the rows for all such features.
     """
     order = np.lexsort((y, *x.T[::-1]))
     x, y, w = x[order], y[order], w[order].astype(float)
     shift = 0.0 if growth.n_classes else float((w * y).sum() / w.sum())
     targets = growth.targets(y - shift, w) if not growth.n_classes else growth.targets(y, w)
     n, width = x.shape
-    sorted_rows = [np.argsort(x[:, j], kind="stable") for j in range(width)]
+    columns = [np.ascontiguousarray(x[:, j]) for j in range(width)]
+    coded, joint, codes = _coded(x)
+    # The first feature's order is the one in which a node's rows are summed up.
+    sorted_rows = {j: np.argsort(columns[j], kind="stable") for j in range(width) if j == 0 or j not in coded}
     ids = np.array([root], dtype=np.uint64)
     counts = np.array([n])
     gains = np.zeros(width)
@@ -157,36 +204,64 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, growth: Growth, root: int,
         nodes = len(counts)
         starts = np.cumsum(counts) - counts
         node = np.repeat(np.arange(nodes), counts)
-        rows = sorted_rows[0] if width else np.arange(n)
-        weight = np.add.reduceat(w[rows], starts)
-        sums = np.add.reduceat(targets[rows], starts, axis=0)
+        base = sorted_rows[0] if width else np.arange(n)
+        w_base, t_base, y_base = w[base], targets[base], y[base]
+        weight = np.add.reduceat(w_base, starts)
+        sums = np.add.reduceat(t_base, starts, axis=0)
         value = sums / weight[:, None] + shift
         if growth.n_classes:
             pure = sums.max(axis=1) == weight
         else:
-            pure = np.maximum.reduceat(y[rows], starts) == np.minimum.reduceat(y[rows], starts)
-        here = (sums * sums).sum(axis=1) / weight
+            pure = np.maximum.reduceat(y_base, starts) == np.minimum.reduceat(y_base, starts)
+        here = _squares(sums) / weight
         score, threshold = np.full((nodes, width), -np.inf), np.zeros((nodes, width))
-        for j in range(width if not pure.all() else 0):
-            rows = sorted_rows[j]
-            at = x[rows, j]
-            left = np.cumsum(w[rows])
-            left -= (left - w[rows])[starts][node]
-            part = np.cumsum(targets[rows], axis=0)
-            part -= (part - targets[rows])[starts][node]
-            can = np.zeros(len(rows), dtype=bool)
-            can[:-1] = (node[1:] == node[:-1]) & (at[1:] > at[:-1])
-            cut = np.nonzero(can)[0]
+
+        def best_cut(j, owner, at, w_at, t_at):
+            """The best cut of every node between two of its values, from rows or sums in order of node, then value."""
+            cut = np.nonzero((owner[1:] == owner[:-1]) & (at[1:] > at[:-1]))[0]
             if not len(cut):
-                continue
-            rest = sums[node[cut]] - part[cut]
-            gain = (part[cut] ** 2).sum(axis=1) / left[cut] + (rest ** 2).sum(axis=1) / (weight[node[cut]] - left[cut])
-            owner, first = np.unique(node[cut], return_index=True)
-            score[owner, j] = np.maximum.reduceat(gain, first)
-            best = np.nonzero(gain >= _nearly(score[node[cut], j]))[0]
-            owner, first = np.unique(node[cut[best]], return_index=True)
-            at_cut = cut[best[first]]
-            threshold[owner, j] = _between(at[at_cut], at[at_cut + 1])
+                return
+            begin = _runs(owner)
+            length = np.diff(begin, append=len(owner))
+            left, part = np.cumsum(w_at), np.stack([np.cumsum(t) for t in t_at.T], axis=1)
+            left = (left - np.repeat(left[begin] - w_at[begin], length))[cut]
+            part = (part - np.repeat(part[begin] - t_at[begin], length, axis=0))[cut]
+            owner_cut = owner[cut]
+            rest = sums[owner_cut] - part
+            gain = _squares(part) / left + _squares(rest) / (weight[owner_cut] - left)
+            first = _runs(owner_cut)
+            most = np.maximum.reduceat(gain, first)
+            score[owner_cut[first], j] = most
+            best = np.nonzero(gain >= np.repeat(_nearly(most), np.diff(first, append=len(cut))))[0]
+            at_cut = cut[best[_runs(owner_cut[best])]]
+            threshold[owner[at_cut], j] = _between(at[at_cut], at[at_cut + 1])
+
+        if not pure.all():
+            # Of features with few values, sums by node and all their values together, if those are fewer than the rows.
+            cells = None
+            if coded:
+                size = joint.max() + 1 if joint is not None else 0
+                if joint is not None and nodes * size <= 2 * len(base):
+                    there, w_cell, t_cell = _added(node * size + joint[base], nodes * size, w_base, t_base)
+                    cells = there // size, w_cell, t_cell, there % size
+                else:
+                    cells = node, w_base, t_base, None
+            for j in range(width):
+                if j not in coded:
+                    rows = sorted_rows[j]
+                    best_cut(j, node, columns[j][rows], *((w_base, t_base) if j == 0 else (w[rows], targets[rows])))
+                    continue
+                values, code = coded[j]
+                if len(values) < 2:
+                    continue
+                owner, w_cell, t_cell, number = cells
+                key = owner * len(values) + (code[base] if number is None else codes[j][number])
+                if nodes * len(values) <= 4 * len(key):
+                    there, w_cell, t_cell = _added(key, nodes * len(values), w_cell, t_cell)
+                    best_cut(j, there // len(values), values[there % len(values)], w_cell, t_cell)
+                else:
+                    place = np.argsort(key, kind="stable")
+                    best_cut(j, owner[place], values[key[place] % len(values)], w_cell[place], t_cell[place])
         score[~_allowed(np.isfinite(score), ids, growth.tried)] = -np.inf
         chosen = (score >= _nearly(score.max(axis=1, keepdims=True))).argmax(axis=1) if width else np.zeros(nodes, dtype=int)
         lines = np.arange(nodes)
@@ -195,32 +270,30 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, growth: Growth, root: int,
             split[:] = False
         np.add.at(gains, chosen[split], np.maximum(score[lines, chosen] - here, 0.0)[split])
         child = np.cumsum(split) * 2 - 2
-        found.append((np.where(split, chosen, -1), np.where(split, threshold[lines, chosen], 0.0),
-                      np.where(split, total + child, -1), value))
+        limit = threshold[lines, chosen] if width else np.zeros(nodes)
+        found.append((np.where(split, chosen, -1), np.where(split, limit, 0.0), np.where(split, total + child, -1), value))
         # The rows of nodes that were split move to their children, in the same order.
         next_counts = np.zeros(2 * int(split.sum()), dtype=np.int64)
-        moved = []
-        for j in range(width):
-            rows = sorted_rows[j]
-            stay = split[node]
-            rows, owner = rows[stay], node[stay]
-            right = x[rows, chosen[owner]] > threshold[owner, chosen[owner]]
+        for j, rows in sorted_rows.items():
+            owner = node
+            if not split.all():
+                stay = split[node]
+                rows, owner = rows[stay], node[stay]
+            right = x.ravel()[rows * width + chosen[owner]] > limit[owner]
             to = child[owner] + right
             if j == 0:
                 next_counts = np.bincount(to, minlength=len(next_counts))
                 next_starts = np.cumsum(next_counts) - next_counts
-            place = np.empty(len(rows), dtype=np.int64)
+            out = np.empty_like(rows)
             for side in (False, True):
-                some = np.nonzero(right == side)[0]
                 # Rows of one child come in turn, so a running number starts where the child does.
+                some = np.nonzero(right == side)[0]
                 where = to[some]
-                run = np.arange(len(some))
-                begin = np.searchsorted(where, where, side="left")
-                place[some] = next_starts[where] + run - begin
-            out = np.empty_like(rows)
-            out[place] = rows
-            moved.append(out)
-        sorted_rows, counts = moved, next_counts
+                begin = _runs(where)
+                length = np.diff(begin, append=len(where))
+                out[np.arange(len(some)) + np.repeat(next_starts[where[begin]] - begin, length)] = rows[some]
+            sorted_rows[j] = out
+        counts = next_counts
         with np.errstate(over="ignore"):
             ids = _mixed(np.repeat(ids[split], 2) * np.uint64(2) + np.tile(np.array([0, 1], dtype=np.uint64), int(split.sum())))
         total += len(counts)
@@ -258,16 +331,33 @@ def _matrix(batch, column: str, width: int) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Small batches joined, so that fewer partial results are made."""
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= TOGETHER:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _shares(n_rows: int, trees: int) -> int:
+    """Tasks among which rows are dealt, by the work on them."""
+    return max(1, -(-n_rows // SHARE_ROWS), min(-(-n_rows * trees // SHARE), n_rows // 4096))
+
+
 def _per_leaf(rows: DataFrame, top: Top, growth: Growth, make, schema: str) -> DataFrame:
-    """``make(tree, leaf of each row, x, y, weight, check)`` for each batch and tree, on the rows that the tree's sample has."""
+    """``make(tree, leaf of each row, x, y, weight, check)`` for some rows and each tree, on those that the tree's sample has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walks = [top.nodes(t) for t in range(growth.trees)]
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _together(batches):
             x = _matrix(batch, "x", growth.width)
-            y, n, check = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "n", "h"))
+            y, n, check = (batch.column(c).to_numpy() for c in ("y", "n", "h"))
             for t in range(growth.trees):
                 w = growth.weights(check, n, t)
                 has = np.nonzero(w > 0)[0]
@@ -279,20 +369,34 @@ def _per_leaf(rows: DataFrame, top: Top, growth: Growth, make, schema: str) -> D
     return rows.mapInArrow(run, schema)
 
 
+def _by_leaf(leaf: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
+    """Each leaf with its part of every column."""
+    order = np.argsort(leaf, kind="stable")
+    begin = _runs(leaf[order])
+    for one, some in zip(leaf[order[begin]].tolist(), np.split(order, begin[1:])):
+        yield one, *(c[some] for c in columns)
+
+
 def _routed(rows: DataFrame, top: Top, growth: Growth, closed: set[tuple[int, int]]) -> DataFrame:
-    """The rows of the nodes that tasks finish."""
+    """The rows of the nodes that tasks finish, those of a node and batch packed into one record."""
     shut = [np.array(sorted(leaf for t, leaf in closed if t == tree)) for tree in range(growth.trees)]
 
     def make(t, leaf, x, y, w, check):
         if len(shut[t]):
             keep = ~np.isin(leaf, shut[t])
             leaf, x, y, w = leaf[keep], x[keep], y[keep], w[keep]
-        ends = np.arange(len(x) + 1, dtype=np.int32) * growth.width
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(x), t)), pa.array(leaf), pa.ListArray.from_arrays(pa.array(ends), pa.array(x.ravel())),
-             pa.array(y), pa.array(w)], names=["tree", "leaf", "x", "y", "w"])
+        if not len(leaf):
+            return None
+        leaves, xs, ys, ws = zip(*_by_leaf(leaf, x, y, w))
+        packed = [pa.array([v.tobytes() for v in values], pa.binary()) for values in (xs, ys, ws)]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(leaves), t)), pa.array(leaves, pa.int64()), *packed],
+                                          names=["tree", "leaf", "x", "y", "w"])
+
+    return _per_leaf(rows, top, growth, make, "tree long, leaf long, x binary, y binary, w binary")
 
-    return _per_leaf(rows, top, growth, make, "tree long, leaf long, x array<double>, y double, w long")
+
+def _unpack(column, dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=dtype)
 
 
 def _large(rows: DataFrame, top: Top, growth: Growth, most: int | None) -> list:
@@ -339,13 +443,19 @@ def _best_splits(rows: DataFrame, top: Top, growth: Growth, found: list) -> list
     large = [(r["tree"], r["leaf"]) for r in found]
     number = {key: i for i, key in enumerate(large)}
     width = growth.width
+    numbered = [np.full(len(tree), -1) for tree in top.trees]
+    for (t, leaf), i in number.items():
+        numbered[t][leaf] = i
 
     def numbers(t, leaf):
-        return np.array([number.get((t, int(v)), -1) for v in leaf])
+        return numbered[t][leaf]
+
+    # Twice as many rows of a node as are wanted are expected to have checksums below this.
+    ceiling = np.array([(min(1.0, 2 * (PROPOSERS + 64) / r["n"]) - 0.5) * 2.0 ** 64 for r in found])
 
-    def propose(t, leaf, x, y, w, check):
+    def propose(t, leaf, x, y, w, check, every=False):
         at = numbers(t, leaf)
-        keep = np.nonzero(at >= 0)[0]
+        keep = np.nonzero((at >= 0) & (every | (check < ceiling[at])))[0]
         # The least checksums of a batch hold those of the table.
         order = keep[np.lexsort((check[keep], at[keep]))]
         place = np.arange(len(order)) - np.searchsorted(at[order], at[order])
@@ -357,8 +467,14 @@ def _best_splits(rows: DataFrame, top: Top, growth: Growth, found: list) -> list
 
     # At most ``PROPOSERS`` rows of each of at most ``ROUND_NODES`` nodes.
     first = Window.partitionBy("node").orderBy("h", "x")
-    proposed = _per_leaf(rows, top, growth, propose, "node long, h long, x array<double>")
-    proposed = proposed.withColumn("place", F.row_number().over(first)).where(F.col("place") <= PROPOSERS).toPandas()
+
+    def proposals(make):
+        made = _per_leaf(rows, top, growth, make, "node long, h long, x array<double>")
+        return made.withColumn("place", F.row_number().over(first)).where(F.col("place") <= PROPOSERS).toPandas()
+
+    proposed = proposals(propose)
+    if (np.bincount(proposed["node"], minlength=len(large)) < [min(PROPOSERS, r["n"]) for r in found]).any():
+        proposed = proposals(lambda *some: propose(*some, every=True))
     edges = {(i, j): np.zeros(0) for i in range(len(large)) for j in range(width)}
     for node, part in proposed.groupby("node"):
         values = np.stack(part["x"].to_numpy())
@@ -425,7 +541,9 @@ def _best_splits(rows: DataFrame, top: Top, growth: Growth, found: list) -> list
             return pd.DataFrame({"node": [], "feature": [], "threshold": [], "gain": []})
         return pd.DataFrame({"node": [node], "feature": [j], "threshold": [edges[node, j][place[j]]], "gain": [score[j] - base]})
 
-    chosen = summed.groupBy("node").applyInPandas(choose, "node long, feature long, threshold double, gain double")
+    # A given number of partitions is not merged again.
+    spread = min(len(large), 4 * max(1, rows.sparkSession.sparkContext.defaultParallelism))
+    chosen = summed.repartition(spread, "node").groupBy("node").applyInPandas(choose, "node long, feature long, threshold double, gain double")
     return [(*large[r["node"]], int(r["feature"]), float(r["threshold"]), float(r["gain"])) for r in chosen.orderBy("node").collect()]
 
 
@@ -439,8 +557,8 @@ def _finish(routed: DataFrame, top: Top, growth: Growth) -> DataFrame:
     def run(key, table):
         t, leaf = key[0].as_py(), key[1].as_py()
         _, _, _, draw, depth = top.trees[t][leaf]
-        x = _matrix(table, "x", growth.width)
-        y, w = table.column("y").to_numpy(), table.column("w").to_numpy()
+        x = _unpack(table.column("x"), float).reshape(-1, growth.width)
+        y, w = _unpack(table.column("y"), float), _unpack(table.column("w"), np.int64)
         nodes, gains = grow(x, y, w, growth, draw, None if growth.depth is None else growth.depth - depth)
         size = sum(a.nbytes for a in (nodes.feature, nodes.threshold, nodes.left, nodes.value))
         return pa.table({
@@ -491,7 +609,10 @@ def fit_forest(train: DataFrame, n_inputs: int, n_classes: int = 0, trees: int =
         .withColumn("h", F.xxhash64("x", "y")), "forest-rows")
     # A table that one task may hold has no upper part.
     top, gains, closed = Top.roots(growth), np.zeros(n_inputs), set()
-    if rows.count() > growth.bound:
+    n_rows = rows.count()
+    if (shares := _shares(n_rows, trees)) > 1:
+        rows = durable(rows.repartition(shares, "h"), "forest-shares")
+    if n_rows > growth.bound:
         top, gains, closed = _grow_top(rows, growth)
     finished = _finish(_routed(rows, top, growth, closed), top, growth)
     if closed:
@@ -500,9 +621,10 @@ def fit_forest(train: DataFrame, n_inputs: int, n_classes: int = 0, trees: int =
     return ForestModel(growth, top, finished, gains)
 
 
-def _unpacked(row, k: int) -> Nodes:
-    return Nodes(np.asarray(row["feature"]), np.asarray(row["threshold"]), np.asarray(row["left"]),
-                 np.asarray(row["value"]).reshape(-1, max(1, k)))
+def _arrays(table: pa.Table, i: int, k: int) -> tuple[np.ndarray, ...]:
+    """The arrays of a finished node, by their row."""
+    feature, threshold, left, value = (table.column(n)[i].values.to_numpy() for n in _NODES[2:])
+    return feature, threshold, left, value.reshape(-1, max(1, k))
 
 
 class ForestModel:
@@ -539,9 +661,10 @@ class ForestModel:
         growth, top = self.growth, self.top
         if self.shared is None:
             # Of a checked size.
-            rows = self.finished.select("tree", "leaf", "feature", "threshold", "left", "value").collect()
+            table = self.finished.select(*_NODES).toArrow()
+            keys = zip(table.column("tree").to_pylist(), table.column("leaf").to_pylist())
             self.shared = df.sparkSession.sparkContext.broadcast(
-                {(r["tree"], r["leaf"]): _unpacked(r, growth.n_classes) for r in rows})
+                {key: _arrays(table, i, growth.n_classes) for i, key in enumerate(keys)})
         shared = self.shared
 
         @F.pandas_udf("array<double>")
@@ -555,7 +678,7 @@ class ForestModel:
                     leaf = walk.walk(x)
                     for one in np.unique(leaf):
                         some = np.nonzero(leaf == one)[0]
-                        nodes = finished[t, int(one)]
+                        nodes = Nodes(*finished[t, int(one)])
                         total[some] += nodes.value[nodes.walk(x[some])]
                 yield pd.Series(list(total / growth.trees))
 
@@ -565,31 +688,60 @@ class ForestModel:
         """Every row goes to its node of every tree, and the values come back as sums."""
         growth, top = self.growth, self.top
         rows = durable(df.withColumn("__row", F.monotonically_increasing_id()), "forest-asked")
+        asked = rows.select(F.col("__row").alias("row"), vector_to_array("features").alias("x"))
+        if (shares := _shares(rows.count(), growth.trees)) > 1:
+            asked = asked.repartition(shares, "row")
 
-        def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             walks = [top.nodes(t) for t in range(growth.trees)]
-            for batch in batches:
-                if len(batch):
-                    x = np.stack(batch["x"].to_numpy())
-                    for t, walk in enumerate(walks):
-                        yield pd.DataFrame({"tree": t, "leaf": walk.walk(x), "row": batch["row"], "x": batch["x"]})
-
-        def meet(asked: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
-            if asked.empty or nodes.empty:
-                return pd.DataFrame({"row": [], "k": [], "value": []})
-            one = _unpacked(nodes.iloc[0], growth.n_classes)
-            value = one.value[one.walk(np.stack(asked["x"].to_numpy()))]
-            r, k = np.nonzero(value)
-            return pd.DataFrame({"row": asked["row"].to_numpy()[r], "k": k, "value": value[r, k] / growth.trees})
-
-        routed = rows.select(F.col("__row").alias("row"), vector_to_array("features").alias("x")).mapInPandas(
-            route, "tree long, leaf long, row long, x array<double>")
-        # A node that many rows ask for is met in parts of its own.
-        routed = routed.withColumn("part", F.pmod("row", F.lit(PARTS)))
-        nodes = self.finished.select("tree", "leaf", "feature", "threshold", "left", "value").withColumn(
-            "part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+            for batch in _together(batches):
+                x, row = _matrix(batch, "x", growth.width), batch.column("row").to_numpy()
+                for t, walk in enumerate(walks):
+                    yield t, list(_by_leaf(walk.walk(x), x, row))
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t, parts in leaves(batches):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([t] * len(parts)), pa.array([p[0] for p in parts]), pa.array([len(p[2]) for p in parts])],
+                    names=["tree", "leaf", "n"])
+
+        # A node that many rows ask for is met in parts; at most one entry for each ``ASKED`` rows and tree.
+        counted = asked.mapInArrow(count, "tree long, leaf long, n long").groupBy("tree", "leaf").agg(F.sum("n").alias("n"))
+        busy = {(r["tree"], r["leaf"]): -(-r["n"] // ASKED) for r in counted.where(F.col("n") > ASKED).collect()}
+
+        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t, found in leaves(batches):
+                out = []
+                for leaf, x, row in found:
+                    parts = busy.get((t, leaf), 1)
+                    if parts == 1:
+                        out.append((leaf, 0, x.tobytes(), row.tobytes()))
+                    else:
+                        out += [(leaf, part, xs.tobytes(), some.tobytes()) for part, xs, some in _by_leaf(row % parts, x, row)]
+                leaf, part, x, row = zip(*out)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([t] * len(out)), pa.array(leaf), pa.array(part), pa.array(x, pa.binary()), pa.array(row, pa.binary())],
+                    names=["tree", "leaf", "part", "x", "row"])
+
+        def meet(asked: pa.Table, nodes: pa.Table) -> pa.Table:
+            r, k, value = (np.zeros(0, dtype=d) for d in (np.int64, np.int64, float))
+            if asked.num_rows and nodes.num_rows:
+                one = Nodes(*_arrays(nodes, 0, growth.n_classes))
+                found = one.value[one.walk(_unpack(asked.column("x"), float).reshape(-1, growth.width))]
+                at, k = np.nonzero(found)
+                r, value = _unpack(asked.column("row"), np.int64)[at], found[at, k] / growth.trees
+            return pa.table({"row": r, "k": k, "value": value})
+
+        routed = asked.mapInArrow(route, "tree long, leaf long, part long, x binary, row binary")
+        parts = df.sparkSession.createDataFrame([(*key, n) for key, n in busy.items()], "tree long, leaf long, parts long")
+        last = F.coalesce("parts", F.lit(1)).cast("long") - 1
+        nodes = self.finished.select(*_NODES).join(F.broadcast(parts), ["tree", "leaf"], "left").withColumn(
+            "part", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("parts")
         by = ["tree", "leaf", "part"]
-        met = routed.groupBy(*by).cogroup(nodes.groupBy(*by)).applyInPandas(meet, "row long, k long, value double")
+        # A given number of partitions is not merged again, so the nodes are met side by side.
+        spread = 4 * max(1, df.sparkSession.sparkContext.defaultParallelism)
+        met = routed.repartition(spread, *by).groupBy(*by).cogroup(nodes.repartition(spread, *by).groupBy(*by)).applyInArrow(
+            meet, "row long, k long, value double")
         sums = met.groupBy("row", "k").agg(F.sum("value").alias("value"))
         every = F.sequence(F.lit(0).cast("long"), F.lit(max(1, growth.n_classes) - 1).cast("long"))
         means = sums.groupBy(F.col("row").alias("__row")).agg(
@@ -619,7 +771,8 @@ class ForestModel:
         return cls(growth, top, spark.read.parquet(f"{path}/nodes"), np.array(facts["gains"]))
 
 
-# Parts in which a node's askers are met when the model is too large to be broadcast.
-PARTS = 8
+# Rows that ask for one node in one task when the model is too large to be broadcast.
+ASKED = 1 << 17
+_NODES = ("tree", "leaf", "feature", "threshold", "left", "value")
 _FACTS = ("trees long, n_classes long, width long, tried long, sampled boolean, depth long, seed long, bound long, "
           "gains array<double>")

@@ -129,6 +129,49 @@ def test_a_large_model_is_asked_by_routing(spark, monkeypatch, tmp_path, n_class
     assert np.abs(answers(loaded) - here).max() < 1e-9 and loaded.growth == model.growth
 
 
+@pytest.mark.parametrize("n_classes", [0, 3])
+@pytest.mark.parametrize("few", [(256, 1024), (256, 5), (256, 0), (3, 1024)])
+def test_values_added_up_first_give_the_same_tree(monkeypatch, n_classes, few):
+    """Columns of few values and of many, with weights, all of few values together or each alone."""
+    rng = np.random.default_rng(11)
+    n = 400
+    x = np.column_stack([rng.random(n), rng.integers(0, 2, n), rng.integers(0, 7, n), rng.integers(0, 300, n)]).astype(float)
+    y = rng.integers(0, 3, n).astype(float) if n_classes else (x[:, 0] * 50 % 7 + x[:, 2] * rng.random(n)).round(2)
+    w = rng.integers(1, 4, n)
+    monkeypatch.setattr(forest, "FEW", few[0])
+    monkeypatch.setattr(forest, "TOGETHER_FEW", few[1])
+    growth = forest.Growth(1, n_classes, 4, 4, False, None, 42, 1 << 17)
+    nodes, _ = forest.grow(x, y, w, growth, 7, None)
+    want = plain_tree(np.repeat(x, w, axis=0), np.repeat(y, w), n_classes)
+    got = nodes.value[nodes.walk(x)]
+    assert np.abs(got - np.array([want(v) for v in x])).max() < 1e-9
+
+
+def test_rows_of_one_file_are_dealt_among_tasks(spark, monkeypatch):
+    """Trees grow and are asked in as many tasks as the work needs, and a node is copied only if many rows ask for it."""
+    rng = np.random.default_rng(12)
+    x, y = rng.random((9000, 2)).round(3), rng.random(9000).round(2)
+    options = dict(n_inputs=2, trees=3, sampled=True, bound=2000)
+    one = forest.fit_forest(table(spark, x, y, 1), **options)
+    want = one.transform(table(spark, x, y, 1)).select("features", "prediction").collect()
+    written = {}
+
+    def counted(df, label, durable=forest.durable):
+        out = durable(df, label)
+        written[label] = out.select(F.spark_partition_id().alias("p")).distinct().count(), df.rdd.getNumPartitions()
+        return out
+
+    monkeypatch.setattr(forest, "durable", counted)
+    monkeypatch.setattr(forest, "SHARE_ROWS", 1500)
+    monkeypatch.setattr(forest, "MODEL_BYTES", 0)
+    monkeypatch.setattr(forest, "ASKED", 1000)
+    two = forest.fit_forest(table(spark, x, y, 1), **options)
+    assert written["forest-shares"][1] == 6
+    assert one.top.trees == two.top.trees and cells(one) == cells(two)
+    got = two.transform(table(spark, x, y, 1)).select("features", "prediction").collect()
+    assert np.abs(np.array(sorted((*r.features, r.prediction) for r in got)) - np.array(sorted((*r.features, r.prediction) for r in want))).max() < 1e-9
+
+
 def test_copies_are_drawn_one_by_one():
     checks = np.arange(20_000, dtype=np.int64) * 7919
     for copies in (1, 3, 200):
