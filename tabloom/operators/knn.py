@@ -41,7 +41,7 @@ NEIGHBOURS = 3
 # Most rows, and most bytes of training vectors, in one block. Large blocks are
 # copied to fewer partners; inside a block the distances are made tile by tile.
 TRAIN_BLOCK = 32_768
-QUERY_BLOCK = 8_192
+QUERY_BLOCK = 4_096
 BLOCK_BYTES = 16 * 1024 * 1024
 QUERY_TILE, TRAIN_TILE = 256, 4096
 MAX_PIVOTS = 2048
@@ -175,23 +175,24 @@ def _candidates(q: np.ndarray, q_off: np.ndarray, bound: np.ndarray, t: np.ndarr
     for at in range(0, len(q), QUERY_TILE):
         tile, off = q[at:at + QUERY_TILE], q_off[at:at + QUERY_TILE, None]
         square = (tile * tile).sum(axis=1)
-        within = bound[at:at + QUERY_TILE].copy()
-        nearest = np.full((len(tile), k), np.inf)
-        found = []
-        for start in range(0, len(t), TRAIN_TILE):
+
+        def distances(start):
             some = slice(start, start + TRAIN_TILE)
             steps = square[:, None] + t_square[None, some] - 2 * (tile @ t[some].T)
-            far = step * np.sqrt(steps.astype(np.float64))
-            error = off + t_off[None, some]
+            return step * np.sqrt(steps.astype(np.float64)), off + t_off[None, some]
+
+        # First the bounds from all rows, then the pairs within them, so that no pair is held that a later row rules out.
+        nearest = np.full((len(tile), k), np.inf)
+        for start in range(0, len(t), TRAIN_TILE):
+            far, error = distances(start)
             most = (far + error) * (1 + 1e-9)
             nearest = np.partition(np.concatenate([nearest, most], axis=1), k - 1, axis=1)[:, :k]
-            within = np.minimum(within, nearest.max(axis=1))
+        within = np.minimum(bound[at:at + QUERY_TILE], nearest.max(axis=1))
+        for start in range(0, len(t), TRAIN_TILE):
+            far, error = distances(start)
             least = (far - error) * (1 - 1e-9)
             r, c = np.nonzero(least <= within[:, None])
-            found.append((r, c + start, least[r, c], most[r, c]))
-        r, c, least, most = (np.concatenate(v) for v in zip(*found))
-        keep = least <= within[r]
-        parts.append((r[keep] + at, c[keep], least[keep], most[keep]))
+            parts.append((r + at, c + start, least[r, c], ((far[r, c] + error[r, c]) * (1 + 1e-9))))
     return tuple(np.concatenate(v) for v in zip(*parts))
 
 
