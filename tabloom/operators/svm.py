@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 # Fixed value: relative change at which training stops.
 TOLERANCE = 1e-5
+# Rows whose features, 2 KB each, one task keeps.
+TASK_ROWS = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -72,14 +74,16 @@ class KernelSvm:
         mapping = FourierMap(n_inputs, self.n_features, gamma, self.seed)
         svc = LinearSVC(featuresCol="fourier", labelCol="label", maxIter=self.max_iter, standardization=False,
                         tol=TOLERANCE, regParam=1.0 / (self.penalty * n_rows))
-        data = mapping.transform(df.select("features", "label")).select("fourier", "label").persist()
-        try:
-            if n_classes > 2:
-                many = OneVsRest(classifier=svc, featuresCol="fourier", labelCol="label", parallelism=min(n_classes, 4))
-                return KernelSvmModel(mapping, many.fit(data))
-            return KernelSvmModel(mapping, svc.fit(data))
-        finally:
-            data.unpersist()
+        rows = df.select("features", "label")
+        if n_rows > TASK_ROWS:
+            # A file of few row groups would else be one task's, with all its features.
+            rows = rows.repartition(-(-n_rows // TASK_ROWS))
+        # The solver itself keeps the features, in blocks.
+        data = mapping.transform(rows).select("fourier", "label")
+        if n_classes > 2:
+            many = OneVsRest(classifier=svc, featuresCol="fourier", labelCol="label", parallelism=min(n_classes, 4))
+            return KernelSvmModel(mapping, many.fit(data))
+        return KernelSvmModel(mapping, svc.fit(data))
 
 
 class KernelSvmModel:
