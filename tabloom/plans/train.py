@@ -29,6 +29,9 @@ from tabloom.plans.prepare import PrepResult
 from tabloom.plans.state import PrepState
 from tabloom.session import collecting, durable, ensure_checkpoint_dir, remove
 
+# Rows of one part of the prepared table.
+TASK_ROWS = 1 << 16
+
 SCORES = {"classification": ["accuracy", "precision", "recall", "f1"], "regression": ["mae", "mse", "rmse", "r2"]}
 
 
@@ -99,6 +102,9 @@ def train_suite(prep: PrepResult, names: list[str] | None = None, depth: int | N
     """The prepared rows are written once; every model reads them from there."""
     rows = prep.data.select(ROW_KEY, *[c(n) for n in prep.state.features], F.col("label").cast("double").alias("label"),
                             "split")
+    if prep.cut.n_rows > TASK_ROWS:
+        # Else every model's passes are the few tasks that the row groups of the input make.
+        rows = rows.repartition(-(-prep.cut.n_rows // TASK_ROWS), ROW_KEY)
     with collecting() as tables:
         trained = _train_written(prep, durable(rows, "prepared"), names, depth, trees)
     trained.tables = tables
