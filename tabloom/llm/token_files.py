@@ -23,6 +23,7 @@ empty table gives no files and no rows. Other columns play no part.
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
@@ -39,11 +40,11 @@ from tabloom.session import durable, scratch_path
 
 VERSION = 1
 # Bytes of words, and of their parts, that a worker remembers; the frequent ones come first, and a full memory takes no more.
-REMEMBERED_BYTES = 32 << 20
+REMEMBERED_BYTES = 16 << 20
 # What an entry takes besides its letters and ids.
 ENTRY_BYTES = 190
 # Bytes of text encoded at a time; a word is looked up once in each such part.
-ENCODED_BYTES = 2 << 20
+ENCODED_BYTES = 1 << 20
 # Documents that are read back at a time.
 READ_DOCUMENTS = 4096
 
@@ -77,6 +78,8 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
+        # A task has one core: more threads would each keep memory of their own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -279,6 +282,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.asarray(ids), mask=missing), pa.array(base + offsets[:-1]),
                      pa.array(np.diff(offsets)), pa.array(sums, pa.int64())], names=TOKENS.names)
+    give_back()
 
 
 def read_tokens(manifest: DataFrame, id_column: str = "doc_id") -> DataFrame:
