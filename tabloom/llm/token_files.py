@@ -24,13 +24,13 @@ empty table gives no files and no rows. Other columns play no part.
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
@@ -39,18 +39,20 @@ from tabloom.llm.batches import give_back, named, numbered_words, slices
 from tabloom.session import durable, scratch_path
 
 VERSION = 1
-# Bytes of words, and of their parts, that a worker remembers; the frequent ones come first, and a full memory takes no more.
-REMEMBERED_BYTES = 16 << 20
+# Bytes of odd words, and of plain words' parts, that a worker remembers; the frequent ones come first, and a full memory
+# takes no more.
+REMEMBERED_WORDS = 4 << 20
+REMEMBERED_PARTS = 28 << 20
 # What an entry takes besides its letters and ids.
 ENTRY_BYTES = 190
 # Bytes of text encoded at a time; a word is looked up once in each such part.
-ENCODED_BYTES = 1 << 20
+ENCODED_BYTES = 2 << 20
 # Documents that are read back at a time.
 READ_DOCUMENTS = 4096
 
 # Letters of one case pair each that no normalisation joins or splits, then ASCII signs without the apostrophe and digits:
 # such a word is split behind its letters, whatever stands around it.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_PLAIN = r"^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<sign>[!-&(-/:-@\[-`{-~]*)$"
 
 
 class Remembered(dict):
@@ -89,7 +91,7 @@ class WordEncoder:
         self.ends = np.zeros(size, dtype=bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
-        self.words, self.parts = Remembered(REMEMBERED_BYTES), Remembered(REMEMBERED_BYTES)
+        self.words, self.parts = Remembered(REMEMBERED_WORDS), Remembered(REMEMBERED_PARTS)
         self.by_words = self.same_by_words()
 
     def same_by_words(self) -> bool:
@@ -103,73 +105,60 @@ class WordEncoder:
         """All ids of a column of texts, ``end_id`` behind each text, and how many ids each text has."""
         if self.by_words:
             words, codes, sizes = numbered_words(column)
-            found = self._words(words.to_numpy(zero_copy_only=False).tolist())
+            found = self._words(words)
         else:
             whole = [t or "" for t in column.to_pylist()]
             codes, sizes = np.arange(len(whole)), np.ones(len(whole), dtype=np.int64)
-            found = [np.array(e.ids, dtype=self.dtype).tobytes()
-                     for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
-        found.append(np.array([end_id], dtype=self.dtype).tobytes())
+            found = pa.array(self._each(whole), pa.large_binary())
+        found = pa.concat_arrays([found, pa.array([np.array([end_id], dtype=self.dtype).tobytes()], pa.large_binary())])
         ends = np.cumsum(sizes)
         pieces = np.insert(codes, ends, len(found) - 1)
-        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // self.dtype.itemsize
+        lengths = pc.binary_length(found).to_numpy() // self.dtype.itemsize
         upto = np.concatenate((np.zeros(1, dtype=np.int64), np.cumsum(lengths[pieces])))
         stops = upto[ends + np.arange(1, len(sizes) + 1)]
-        whole = pa.array(found, pa.large_binary()).take(pa.array(pieces))
+        whole = found.take(pa.array(pieces))
         ids = np.frombuffer(whole.buffers()[2], dtype=self.dtype, count=int(upto[-1]))
         return ids, np.diff(stops, prepend=0)
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        found = list(map(self.words.get, words))
-        learned = self._learn([w for w, ids in zip(words, found) if ids is None])
-        self.words.keep(learned)
-        return [learned[w] if ids is None else ids for w, ids in zip(words, found)]
-
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        cores, signs, plain, odd, out = [], [], [], [], {}
-        match = _PLAIN.fullmatch
-        for w in new:
-            if m := match(w):
-                core, sign = m.groups()
-                plain.append(w)
-                cores.append(core)
-                signs.append(sign)
-            else:
-                odd.append(w)
-        cores = list(map(str.lower, cores))
-        # The parts that this slice needs: those remembered, and the others learned now.
-        parts: dict[str, bytes] = {}
-        fresh: dict[str, bytes] = {}
-        for part in {*cores, *signs}:
-            if (ids := self.parts.get(part)) is not None:
-                parts[part] = ids
-        self._learn_letters([c for c in set(cores) if c not in parts], fresh)
-        for sign in set(signs):
-            if sign not in parts:
-                fresh[sign] = self._ids(sign).tobytes()
-        self.parts.keep(fresh)
-        parts |= fresh
-        for w, core, sign in zip(plain, cores, signs):
-            out[w] = parts[core] + parts[sign] if sign else parts[core]
-        for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
-            out[w] = np.array(e.ids, dtype=self.dtype).tobytes()
-        return out
-
-    def _learn_letters(self, cores: list[str], parts: dict[str, bytes]) -> None:
+    def _words(self, words: pa.Array) -> pa.Array:
+        """Ids of distinct words, as bytes. Plain words are taken apart and put together as columns."""
+        split = pc.extract_regex(words, _PLAIN)
+        core, sign = pc.dictionary_encode(pc.utf8_lower(pc.struct_field(split, 0))), pc.dictionary_encode(pc.struct_field(split, 1))
+        found = pc.binary_join_element_wise(
+            self._remembered(core.dictionary, self.parts, self._letters).take(core.indices),
+            self._remembered(sign.dictionary, self.parts, self._each).take(sign.indices), pa.scalar(b"", pa.large_binary()))
+        odd = pc.is_null(split)
+        return pc.replace_with_mask(found, odd, self._remembered(words.filter(odd), self.words, self._each))
+
+    def _remembered(self, column: pa.Array, known: Remembered, learn: Callable[[list[str]], list[bytes]]) -> pa.Array:
+        """Ids of distinct texts, as bytes: those known, and the others learned now."""
+        some = column.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(known.get, some))
+        new = [t for t, ids in zip(some, found) if ids is None]
+        if new:
+            learned = learn(new)
+            known.keep(dict(zip(new, learned)))
+            rest = iter(learned)
+            found = [next(rest) if ids is None else ids for ids in found]
+        return pa.array(found, pa.large_binary())
+
+    def _each(self, new: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype=self.dtype).tobytes()
+                for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+
+    def _letters(self, cores: list[str]) -> list[bytes]:
         """Words of letters are one piece each, whose last id alone closes a word: many are encoded as one text."""
-        for i in range(0, len(cores), 1000):
-            some = cores[i:i + 1000]
+        out = []
+        for i in range(0, len(cores), 200):
+            some = cores[i:i + 200]
             ids = self._ids(" ".join(some))
             stops = np.nonzero(self.ends[ids])[0] + 1
             if len(stops) == len(some):
-                raw, width = ids.tobytes(), self.dtype.itemsize
-                at = 0
-                for core, stop in zip(some, (stops * width).tolist()):
-                    parts[core] = raw[at:stop]
-                    at = stop
+                raw, stops = ids.tobytes(), (stops * self.dtype.itemsize).tolist()
+                out += [raw[a:b] for a, b in zip([0, *stops], stops)]
             else:
-                for core in some:
-                    parts[core] = self._ids(core).tobytes()
+                out += self._each(some)
+        return out
 
 
 def _split(text: str) -> list[str]:

@@ -72,3 +72,45 @@ def test_an_encoder_keeps_little_and_has_one_thread():
     tool = token_files.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
     assert tool.words.room + tool.parts.room <= 32 << 20
     assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+
+
+def test_words_that_fit_the_encoder_are_learned_once():
+    import public_tokenizers
+    import pyarrow as pa
+
+    from tabloom.llm import token_files
+
+    class Counting:
+        def __init__(self, tool):
+            self.tool, self.words = tool, 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.words += sum(len(t.split()) for t in texts)
+            return self.tool.encode_batch_fast(texts, **options)
+
+    tool = token_files.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    letters = "aeiouklmnrst"
+    words = ["".join(letters[i // 12 ** k % 12] for k in range(5)) for i in range(110_000)]
+    # The same letters in another case or before other signs are no other word.
+    texts = [" ".join(words), " ".join(w.upper() for w in words), " ".join(f"{w.title()}," for w in words)]
+    plain = tool.tokenizer
+    tool.tokenizer = Counting(plain)
+    found = [tool.encode(pa.array([t]), 1) for t in (*texts, texts[0])]
+    assert tool.tokenizer.words == len(words) + 1
+    for t, (ids, counts) in zip(texts, found):
+        assert ids.tolist() == plain.encode(t, add_special_tokens=False).ids + [1] and counts.tolist() == [len(ids)]
+    assert found[3][0].tolist() == found[0][0].tolist()
+
+
+def test_an_encoder_takes_slices_of_one_kind_of_words():
+    import public_tokenizers
+    import pyarrow as pa
+
+    from tabloom.llm import token_files
+
+    tool = token_files.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    for texts in ([None, "", " \n"], ["12 3a <|endoftext|>", None], ["Word word", "WORD"], ["word, word!!", ""], ["'", "!!"]):
+        for kind in (pa.string(), pa.large_string()):
+            ids, counts = tool.encode(pa.array(texts, kind), 1)
+            want = [tool.tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+            assert counts.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
