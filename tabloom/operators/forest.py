@@ -37,12 +37,14 @@ from tabloom.session import durable
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Most rows of a node that one task finishes.
-TASK_ROWS = 1 << 17
+# Most rows of a node that one task finishes; of a regression more, unless they are wide, as its large nodes need few passes.
+TASK_ROWS, REGRESSION_ROWS, REGRESSION_CELLS = 1 << 17, 1 << 20, 1 << 23
 # Nodes split by one round of jobs, rows that propose their thresholds, thresholds per feature.
 ROUND_NODES, PROPOSERS, THRESHOLDS = 1024, 256, 63
 # Most values of a feature whose rows are added up by value, and of all such features together.
 FEW, TOGETHER_FEW = 256, 1024
+# Most rows of a node that is split together with others, rows of all those together, rows of a larger node's block.
+MANY, SIDE_BY_SIDE, BLOCK = 2048, 1 << 15, 512
 # Rows times trees, and rows, of one task's share; rows looked at together.
 SHARE, SHARE_ROWS, TOGETHER = 1 << 20, 1 << 17, 1 << 16
 # Most bytes of finished nodes that are broadcast for scoring.
@@ -145,161 +147,471 @@ def _runs(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, dtype=np.int64)
 
 
-def _coded(x: np.ndarray) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], np.ndarray | None, dict[int, np.ndarray]]:
-    """Features of few values: ``{feature: (values, code of each row)}``.
-
-    If the codes of all of them together take few values too, each row's
-    number among those, and the codes by that number.
-    """
-    coded, joint = {}, None
-    for j in range(x.shape[1]):
-        values, code = np.unique(x[:, j], return_inverse=True)
-        if len(values) <= FEW:
-            coded[j] = values, code
-    for values, code in coded.values():
-        joint = np.unique(code if joint is None else joint * len(values) + code, return_inverse=True)[1]
-        if joint.max(initial=0) >= TOGETHER_FEW:
-            return coded, None, {}
+def _order(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Rows by content: by the first feature, and where that repeats by the others and the target."""
+    if not x.shape[1]:
+        return np.argsort(y, kind="stable")
+    order = np.argsort(x[:, 0], kind="stable")
+    same = np.diff(x[order, 0]) == 0
+    tied = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]))
+    some = order[tied]
+    order[tied] = some[np.lexsort((y[some], *x[some].T[::-1]))]
+    return order
+
+
+def _few(column: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """The values in order, and each row's number among them, if they are few; found without sorting the rows."""
+    values = np.unique(column[:4096])
+    if len(values) <= FEW and len(column):
+        other = values[np.minimum(np.searchsorted(values, column), len(values) - 1)] != column
+        if other.any():
+            values = np.union1d(values, column[other])
+    return (values, np.searchsorted(values, column)) if 0 < len(values) <= FEW else None
+
+
+def _ranked(column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return _few(column) or np.unique(column, return_inverse=True)
+
+
+def _joined(ranks: np.ndarray, coded: dict[int, int]) -> tuple[np.ndarray | None, dict[int, np.ndarray]]:
+    """Each row's number among the values that all features of few values take together, and the codes by that number."""
+    joint = None
+    for j, n_values in coded.items():
+        key = ranks[:, j] if joint is None else joint * n_values + ranks[:, j]
+        there = np.bincount(key) > 0
+        joint = (np.cumsum(there) - 1)[key]
+        if np.count_nonzero(there) > TOGETHER_FEW:
+            return None, {}
     if joint is None:
-        return coded, None, {}
-    first = np.unique(joint, return_index=True)[1]
-    return coded, joint, {j: code[first] for j, (_, code) in coded.items()}
+        return None, {}
+    first = np.zeros(int(joint.max()) + 1, dtype=np.int64)
+    first[joint] = np.arange(len(joint))
+    return joint, {j: ranks[first, j] for j in coded}
 
 
-def _squares(sums: np.ndarray) -> np.ndarray:
-    return np.einsum("ij,ij->i", sums, sums)
+def _squares(sums: list[np.ndarray]) -> np.ndarray:
+    return sum(s * s for s in sums)
 
 
-def _added(key: np.ndarray, size: int, w: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _added(key: np.ndarray, size: int, w: np.ndarray, targets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Weights and targets by key; keys without a row are left out."""
     weight = np.bincount(key, weights=w, minlength=size)
     there = np.flatnonzero(weight)
-    sums = [np.bincount(key, weights=targets[:, k], minlength=size)[there] for k in range(targets.shape[1])]
-    return there, weight[there], np.stack(sums, axis=1)
+    return there, weight[there], [np.bincount(key, weights=t, minlength=size)[there] for t in targets]
 
 
-def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, growth: Growth, root: int, depth: int | None) -> tuple[Nodes, np.ndarray]:
-    """A whole tree, all nodes of a level at once, and each feature's total gain.
+class Grower:
+    """One task's rows, and the nodes found so far.
 
-    The rows are kept in order of node, then value, for every feature of many
-    values; sums from the left of each node are differences of one running
-    sum. Of a feature of few values the rows of a node are added up by value
-    first, so that a level costs one pass over the rows for all such features.
+    The rows are kept in order of content, every value as its number among the
+    values of its feature. A regression's nodes of more than ``MANY`` rows are
+    split one by one, at a cost that goes with the smaller side: a long chain
+    of uneven splits would else read the rows again for each of them. All
+    others are split a level at a time.
     """
-    order = np.lexsort((y, *x.T[::-1]))
-    x, y, w = x[order], y[order], w[order].astype(float)
-    shift = 0.0 if growth.n_classes else float((w * y).sum() / w.sum())
-    targets = growth.targets(y - shift, w) if not growth.n_classes else growth.targets(y, w)
-    n, width = x.shape
-    columns = [np.ascontiguousarray(x[:, j]) for j in range(width)]
-    coded, joint, codes = _coded(x)
-    # The first feature's order is the one in which a node's rows are summed up.
-    sorted_rows = {j: np.argsort(columns[j], kind="stable") for j in range(width) if j == 0 or j not in coded}
-    ids = np.array([root], dtype=np.uint64)
-    counts = np.array([n])
-    gains = np.zeros(width)
-    found: list[tuple] = []
-    total, level = 1, 0
-    while len(counts):
-        nodes = len(counts)
-        starts = np.cumsum(counts) - counts
-        node = np.repeat(np.arange(nodes), counts)
-        base = sorted_rows[0] if width else np.arange(n)
-        w_base, t_base, y_base = w[base], targets[base], y[base]
-        weight = np.add.reduceat(w_base, starts)
-        sums = np.add.reduceat(t_base, starts, axis=0)
-        value = sums / weight[:, None] + shift
-        if growth.n_classes:
-            pure = sums.max(axis=1) == weight
-        else:
-            pure = np.maximum.reduceat(y_base, starts) == np.minimum.reduceat(y_base, starts)
-        here = _squares(sums) / weight
-        score, threshold = np.full((nodes, width), -np.inf), np.zeros((nodes, width))
-
-        def best_cut(j, owner, at, w_at, t_at):
-            """The best cut of every node between two of its values, from rows or sums in order of node, then value."""
-            cut = np.nonzero((owner[1:] == owner[:-1]) & (at[1:] > at[:-1]))[0]
-            if not len(cut):
-                return
-            begin = _runs(owner)
-            length = np.diff(begin, append=len(owner))
-            left, part = np.cumsum(w_at), np.stack([np.cumsum(t) for t in t_at.T], axis=1)
-            left = (left - np.repeat(left[begin] - w_at[begin], length))[cut]
-            part = (part - np.repeat(part[begin] - t_at[begin], length, axis=0))[cut]
-            owner_cut = owner[cut]
-            rest = sums[owner_cut] - part
-            gain = _squares(part) / left + _squares(rest) / (weight[owner_cut] - left)
-            first = _runs(owner_cut)
-            most = np.maximum.reduceat(gain, first)
-            score[owner_cut[first], j] = most
-            best = np.nonzero(gain >= np.repeat(_nearly(most), np.diff(first, append=len(cut))))[0]
-            at_cut = cut[best[_runs(owner_cut[best])]]
-            threshold[owner[at_cut], j] = _between(at[at_cut], at[at_cut + 1])
-
-        if not pure.all():
-            # Of features with few values, sums by node and all their values together, if those are fewer than the rows.
-            cells = None
-            if coded:
-                size = joint.max() + 1 if joint is not None else 0
-                if joint is not None and nodes * size <= 2 * len(base):
-                    there, w_cell, t_cell = _added(node * size + joint[base], nodes * size, w_base, t_base)
-                    cells = there // size, w_cell, t_cell, there % size
-                else:
-                    cells = node, w_base, t_base, None
-            for j in range(width):
-                if j not in coded:
-                    rows = sorted_rows[j]
-                    best_cut(j, node, columns[j][rows], *((w_base, t_base) if j == 0 else (w[rows], targets[rows])))
-                    continue
-                values, code = coded[j]
-                if len(values) < 2:
-                    continue
-                owner, w_cell, t_cell, number = cells
-                key = owner * len(values) + (code[base] if number is None else codes[j][number])
-                if nodes * len(values) <= 4 * len(key):
-                    there, w_cell, t_cell = _added(key, nodes * len(values), w_cell, t_cell)
-                    best_cut(j, there // len(values), values[there % len(values)], w_cell, t_cell)
-                else:
-                    place = np.argsort(key, kind="stable")
-                    best_cut(j, owner[place], values[key[place] % len(values)], w_cell[place], t_cell[place])
-        score[~_allowed(np.isfinite(score), ids, growth.tried)] = -np.inf
-        chosen = (score >= _nearly(score.max(axis=1, keepdims=True))).argmax(axis=1) if width else np.zeros(nodes, dtype=int)
-        lines = np.arange(nodes)
-        split = ~pure & np.isfinite(score[lines, chosen]) if width else np.zeros(nodes, dtype=bool)
-        if depth is not None and level >= depth:
-            split[:] = False
-        np.add.at(gains, chosen[split], np.maximum(score[lines, chosen] - here, 0.0)[split])
-        child = np.cumsum(split) * 2 - 2
-        limit = threshold[lines, chosen] if width else np.zeros(nodes)
-        found.append((np.where(split, chosen, -1), np.where(split, limit, 0.0), np.where(split, total + child, -1), value))
-        # The rows of nodes that were split move to their children, in the same order.
-        next_counts = np.zeros(2 * int(split.sum()), dtype=np.int64)
-        for j, rows in sorted_rows.items():
-            owner = node
-            if not split.all():
-                stay = split[node]
-                rows, owner = rows[stay], node[stay]
-            right = x.ravel()[rows * width + chosen[owner]] > limit[owner]
-            to = child[owner] + right
-            if j == 0:
-                next_counts = np.bincount(to, minlength=len(next_counts))
-                next_starts = np.cumsum(next_counts) - next_counts
-            out = np.empty_like(rows)
-            for side in (False, True):
-                # Rows of one child come in turn, so a running number starts where the child does.
-                some = np.nonzero(right == side)[0]
-                where = to[some]
-                begin = _runs(where)
-                length = np.diff(begin, append=len(where))
-                out[np.arange(len(some)) + np.repeat(next_starts[where[begin]] - begin, length)] = rows[some]
-            sorted_rows[j] = out
-        counts = next_counts
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, growth: Growth, depth: int | None):
+        order = _order(x, y)
+        self.growth, self.depth, self.width = growth, depth, x.shape[1]
+        self.y, self.w = y[order], w[order].astype(float)
+        self.shift = 0.0 if growth.n_classes else float((self.w * self.y).sum() / self.w.sum())
+        self.targets = list(growth.targets(self.y - self.shift if not growth.n_classes else self.y, self.w).T.copy())
+        self.values, self.ranks = [], np.empty((len(order), self.width), dtype=np.int32)
+        for j in range(self.width):
+            values, self.ranks[:, j] = _ranked(x[order, j])
+            self.values.append(values)
+        self.coded = {j: len(v) for j, v in enumerate(self.values) if len(v) <= FEW}
+        self.joint, self.codes = _joined(self.ranks, self.coded)
+        self.gains = np.zeros(self.width)
+        self.total, self.found = 1, []
+
+    def nodes(self) -> Nodes:
+        number, level, *columns = (np.concatenate(v) for v in zip(*self.found))
+        place = np.empty_like(number)
+        place[number] = np.arange(len(number))
+        return Nodes(*(c[place] for c in columns), int(level.max()))
+
+    def grow(self, root: int) -> None:
+        tops = [(np.arange(len(self.y)), 0, 0, np.uint64(root))]
+        many = [j for j in range(self.width) if j not in self.coded]
+        if many and not self.growth.n_classes:
+            tops = self._split_large(tops, many)
+        held, n = [], 0
+        for top in tops:
+            held.append(top)
+            n += len(top[0])
+            if n >= SIDE_BY_SIDE:
+                self._split_levels(held)
+                held, n = [], 0
+        if held:
+            self._split_levels(held)
+
+    def _children(self, draw: np.ndarray) -> np.ndarray:
+        """The draws of both children of each node, one after the other."""
         with np.errstate(over="ignore"):
-            ids = _mixed(np.repeat(ids[split], 2) * np.uint64(2) + np.tile(np.array([0, 1], dtype=np.uint64), int(split.sum())))
-        total += len(counts)
-        level += 1
-    feature, threshold, left, value = (np.concatenate(v) for v in zip(*found))
-    return Nodes(feature, threshold, left, value, level - 1), gains
+            return _mixed(np.repeat(draw, 2) * np.uint64(2) + np.tile(np.array([0, 1], dtype=np.uint64), len(draw)))
+
+    def _split_large(self, stack: list[tuple], many: list[int]) -> list[tuple]:
+        """Split nodes of more than ``MANY`` rows; what is left are smaller ones."""
+        small, lines = [], []
+        positions = {j: np.empty(len(self.y), dtype=np.int32) for j in many}
+        while stack:
+            rows, number, level, draw = stack.pop()
+            if len(rows) <= MANY:
+                small.append((rows, number, level, draw))
+                continue
+            node = LargeNode(self, rows, many, positions)
+            # The larger side stays in this node's sums until half of the rows are gone.
+            while True:
+                weight, total = node.sums()
+                split = None
+                if (self.depth is None or level < self.depth) and not node.pure():
+                    split = node.best(weight, total, draw)
+                feature, limit, gain = split[:3] if split else (-1, 0.0, 0.0)
+                lines.append((number, level, feature, limit, self.total if split else -1, total / weight + self.shift))
+                if not split:
+                    break
+                self.gains[feature] += max(gain, 0.0)
+                out, side = node.part(feature, *split[3:])
+                draws = self._children(np.array([draw])) if self.growth.tried < self.width else [draw, draw]
+                level += 1
+                stack.append((np.sort(out), self.total + side, level, draws[side]))
+                node.remove(out)
+                number, draw = self.total + 1 - side, draws[1 - side]
+                self.total += 2
+                if node.n <= max(MANY, node.built // 2):
+                    stack.append((node.rows(), number, level, draw))
+                    break
+        if lines:
+            number, level, feature, limit, left, value = zip(*lines)
+            self.found.append((np.array(number), np.array(level), np.array(feature), np.array(limit), np.array(left), np.array(value)[:, None]))
+        return small
+
+    def _split_levels(self, tops: list[tuple]) -> None:
+        """Whole subtrees, all nodes of a level at once.
+
+        The rows are kept in order of node, then value, for every feature of
+        many values; sums from the left of each node are differences of one
+        running sum. Of a feature of few values the rows of a node are added up
+        by value first, so that a level costs one pass over the rows for all
+        such features.
+        """
+        growth, width, coded = self.growth, self.width, self.coded
+        rows, number, depth, ids = zip(*tops)
+        counts = np.array([len(r) for r in rows])
+        rows, number, depth, ids = np.concatenate(rows), np.array(number), np.array(depth), np.array(ids, dtype=np.uint64)
+        ranks, y, w, targets = self.ranks[rows], self.y[rows], self.w[rows], [t[rows] for t in self.targets]
+        joint = self.joint[rows] if self.joint is not None else None
+        columns = [np.ascontiguousarray(ranks[:, j]) for j in range(width)]
+        # The first feature's order is the one in which a node's rows are summed up.
+        sorted_rows = {0: np.arange(len(rows))}
+        for j in range(1, width):
+            if j not in coded:
+                sorted_rows[j] = np.lexsort((columns[j], np.repeat(np.arange(len(counts)), counts)))
+        while len(counts):
+            nodes = len(counts)
+            starts = np.cumsum(counts) - counts
+            node = np.repeat(np.arange(nodes), counts)
+            base = sorted_rows[0]
+            w_base, t_base, y_base = w[base], [t[base] for t in targets], y[base]
+            weight = np.add.reduceat(w_base, starts)
+            sums = [np.add.reduceat(t, starts) for t in t_base]
+            value = np.stack(sums, axis=1) / weight[:, None] + self.shift
+            if growth.n_classes:
+                pure = np.max(sums, axis=0) == weight
+            else:
+                pure = np.maximum.reduceat(y_base, starts) == np.minimum.reduceat(y_base, starts)
+            here = _squares(sums) / weight
+            score = np.full((nodes, width), -np.inf)
+            # Between which two values a feature's cut lies.
+            low, high = np.zeros((nodes, width), dtype=np.int64), np.zeros((nodes, width), dtype=np.int64)
+
+            def best_cut(j, owner, at, w_at, t_at):
+                """The best cut of every node between two of its values, from rows or sums in order of node, then value."""
+                cut = np.flatnonzero((owner[1:] == owner[:-1]) & (at[1:] > at[:-1]))
+                if not len(cut):
+                    return
+                begin = _runs(owner)
+                by = owner[begin]
+                before = np.zeros(nodes)
+                owner_cut = owner[cut]
+
+                def from_left(v):
+                    added = np.cumsum(v)
+                    before[by] = added[begin] - v[begin]
+                    return added[cut] - before[owner_cut]
+
+                left, part = from_left(w_at), [from_left(t) for t in t_at]
+                rest = [s[owner_cut] - p for s, p in zip(sums, part)]
+                gain = _squares(part) / left + _squares(rest) / (weight[owner_cut] - left)
+                first = _runs(owner_cut)
+                most = np.maximum.reduceat(gain, first)
+                score[owner_cut[first], j] = most
+                best = np.flatnonzero(gain >= np.repeat(_nearly(most), np.diff(first, append=len(cut))))
+                at_cut = cut[best[_runs(owner_cut[best])]]
+                low[owner[at_cut], j], high[owner[at_cut], j] = at[at_cut], at[at_cut + 1]
+
+            if not pure.all():
+                # Of features with few values, sums by node and all their values together, if those are fewer than the rows.
+                cells = None
+                if coded:
+                    size = int(joint.max()) + 1 if joint is not None else 0
+                    if joint is not None and nodes * size <= 2 * len(base):
+                        there, w_cell, t_cell = _added(node * size + joint[base], nodes * size, w_base, t_base)
+                        cells = there // size, w_cell, t_cell, there % size
+                    else:
+                        cells = node, w_base, t_base, None
+                for j in range(width):
+                    if j not in coded:
+                        by_value = sorted_rows[j]
+                        best_cut(j, node, columns[j][by_value], *((w_base, t_base) if j == 0 else (w[by_value], [t[by_value] for t in targets])))
+                        continue
+                    n_values = coded[j]
+                    if n_values < 2:
+                        continue
+                    owner, w_cell, t_cell, place = cells
+                    code = columns[j][base] if place is None else self.codes[j][place]
+                    if n_values == 2:
+                        # One cut: what lies beyond it is one sum for each node.
+                        beyond = np.flatnonzero(code)
+                        owner = owner[beyond]
+                        right = np.bincount(owner, weights=w_cell[beyond], minlength=nodes)
+                        rest = [np.bincount(owner, weights=t[beyond], minlength=nodes) for t in t_cell]
+                        some = np.flatnonzero((right > 0) & (right < weight))
+                        right, rest = right[some], [r[some] for r in rest]
+                        part = [s[some] - r for s, r in zip(sums, rest)]
+                        score[some, j] = _squares(part) / (weight[some] - right) + _squares(rest) / right
+                        high[:, j] = 1
+                        continue
+                    key = owner * n_values + code
+                    if nodes * n_values <= 4 * len(key):
+                        there, w_cell, t_cell = _added(key, nodes * n_values, w_cell, t_cell)
+                        best_cut(j, there // n_values, there % n_values, w_cell, t_cell)
+                    else:
+                        place = np.argsort(key, kind="stable")
+                        best_cut(j, owner[place], key[place] % n_values, w_cell[place], [t[place] for t in t_cell])
+            score[~_allowed(np.isfinite(score), ids, growth.tried)] = -np.inf
+            chosen = (score >= _nearly(score.max(axis=1, keepdims=True))).argmax(axis=1) if width else np.zeros(nodes, dtype=int)
+            lines = np.arange(nodes)
+            split = ~pure & np.isfinite(score[lines, chosen]) if width else np.zeros(nodes, dtype=bool)
+            if self.depth is not None:
+                split &= depth < self.depth
+            np.add.at(self.gains, chosen[split], np.maximum(score[lines, chosen] - here, 0.0)[split])
+            child = np.cumsum(split) * 2 - 2
+            limit, threshold = low[lines, chosen] if width else np.zeros(nodes), np.zeros(nodes)
+            for j in np.unique(chosen[split]):
+                some = np.flatnonzero(split & (chosen == j))
+                threshold[some] = _between(self.values[j][low[some, j]], self.values[j][high[some, j]])
+            self.found.append((number, depth, np.where(split, chosen, -1), threshold, np.where(split, self.total + child, -1), value))
+            # The rows of nodes that were split move to their children, in the same order.
+            next_counts = np.zeros(2 * int(split.sum()), dtype=np.int64)
+            for j, by_value in sorted_rows.items():
+                owner = node
+                if not split.all():
+                    stay = split[node]
+                    by_value, owner = by_value[stay], node[stay]
+                right = ranks.ravel()[by_value * width + chosen[owner]] > limit[owner]
+                to = child[owner] + right
+                if j == 0:
+                    next_counts = np.bincount(to, minlength=len(next_counts))
+                    next_starts = np.cumsum(next_counts) - next_counts
+                out = np.empty_like(by_value)
+                for side in (False, True):
+                    # Rows of one child come in turn, so a running number starts where the child does.
+                    some = np.flatnonzero(right == side)
+                    where = to[some]
+                    begin = _runs(where)
+                    length = np.diff(begin, append=len(where))
+                    out[np.arange(len(some)) + np.repeat(next_starts[where[begin]] - begin, length)] = by_value[some]
+                sorted_rows[j] = out
+            counts = next_counts
+            number = self.total + np.arange(len(counts))
+            depth = np.repeat(depth[split] + 1, 2)
+            ids = self._children(ids[split])
+            self.total += len(counts)
+
+
+class SortedRows:
+    """A large node's rows in order of one feature, their sums from the left kept by block.
+
+    The sum over a row's left part is convex in both of its terms, so no cut of
+    a block can be better than the corners of the parallelogram in which the
+    block's running sums lie; only blocks that may hold the best cut are looked
+    into.
+    """
+
+    def __init__(self, grower: Grower, rows: np.ndarray, j: int, position: np.ndarray):
+        n, blocks = len(rows), -(-len(rows) // BLOCK)
+        self.grower, self.position = grower, position
+        at = grower.ranks[rows, j]
+        if j:
+            order = np.argsort(at, kind="stable")
+            rows, at = rows[order], at[order]
+        position[rows] = np.arange(n, dtype=np.int32)
+        self.rows, self.at = np.zeros(blocks * BLOCK, dtype=np.int32), at
+        self.rows[:n] = rows
+        self.alive, self.edge = np.arange(blocks * BLOCK) < n, np.zeros(blocks * BLOCK, dtype=bool)
+        self.edge[:n - 1] = at[1:] > at[:-1]
+        self.low, self.high = 0, n
+        # Running sums within the block; the block's own, and how far the others lie off the line between its ends.
+        self.w, self.t = np.empty((blocks, BLOCK)), np.empty((blocks, BLOCK))
+        self.block = np.empty((4, blocks))
+        for begin in range(0, blocks, 64):
+            self._add_up(np.arange(begin, min(begin + 64, blocks)))
+
+    def _add_up(self, blocks: np.ndarray) -> None:
+        rows, alive = self.rows.reshape(-1, BLOCK)[blocks], self.alive.reshape(-1, BLOCK)[blocks]
+        w = np.cumsum(np.where(alive, self.grower.w[rows], 0.0), axis=1)
+        t = np.cumsum(np.where(alive, self.grower.targets[0][rows], 0.0), axis=1)
+        self.w[blocks], self.t[blocks] = w, t
+        slope = np.divide(t[:, -1], w[:, -1], out=np.zeros(len(blocks)), where=w[:, -1] > 0)
+        off = t - slope[:, None] * w
+        self.block[:, blocks] = w[:, -1], t[:, -1], np.minimum(off.min(axis=1), 0.0), np.maximum(off.max(axis=1), 0.0)
+
+    def remove(self, rows: np.ndarray) -> None:
+        at = self.position[rows]
+        self.alive[at] = False
+        self._add_up(np.flatnonzero(np.bincount(at // BLOCK)))
+        # The first and the last row left.
+        self.low += int(self.alive[self.low:self.high].argmax())
+        self.high -= int(self.alive[self.low:self.high][::-1].argmax())
+
+    def best(self, weight: float, total: float) -> tuple[float, int]:
+        """The greatest gain, and the first place that comes near it."""
+        first, last = self.low // BLOCK, (self.high - 1) // BLOCK + 1
+        w, t, least, most = self.block[:, first:last]
+        w_end, t_end = np.cumsum(w), np.cumsum(t)
+        w_begin, t_begin = w_end - w, t_end - t
+
+        def gain(left, part):
+            rest = total - part
+            return part * part / left + rest * rest / (weight - left)
+
+        with np.errstate(divide="ignore", invalid="ignore"):
+            bound = np.maximum(np.maximum(gain(w_begin, t_begin + least), gain(w_begin, t_begin + most)),
+                               np.maximum(gain(w_end, t_end + least), gain(w_end, t_end + most)))
+        bound[~np.isfinite(bound)] = np.inf
+        bound[(w_end <= 0) | (w_begin >= weight)] = -np.inf
+        sure = np.isinf(bound)
+        sure[np.where(sure, -np.inf, bound).argmax()] = True
+        top, seen = -np.inf, []
+        for wanted in (lambda: sure & (bound > -np.inf), lambda: ~sure & (bound >= top - 2e-9 * abs(top))):
+            blocks = np.flatnonzero(wanted())
+            if not len(blocks):
+                continue
+            inside = slice(first + blocks[0], first + blocks[-1] + 1) if blocks[-1] - blocks[0] + 1 == len(blocks) else first + blocks
+            left = w_begin[blocks, None] + self.w[inside]
+            place = np.flatnonzero(self.edge.reshape(-1, BLOCK)[inside] & (left > 0) & (left < weight))
+            if len(place):
+                got = gain(left.ravel()[place], (t_begin[blocks, None] + self.t[inside]).ravel()[place])
+                seen.append((((first + blocks) * BLOCK)[place // BLOCK] + place % BLOCK, got))
+                top = max(top, got.max())
+        if not seen:
+            return top, -1
+        near = _nearly(np.float64(top))
+        return top, min(int(at[got >= near].min()) for at, got in seen if (got >= near).any())
+
+    def after(self, place: int) -> int:
+        """The next row's place."""
+        return place + 1 + int(self.alive[place + 1:self.high].argmax())
+
+
+class LargeNode:
+    """A regression's node of many rows, from which the smaller side of each split is taken out."""
+
+    def __init__(self, grower: Grower, rows: np.ndarray, many: list[int], positions: dict[int, np.ndarray]):
+        self.grower, self.n, self.built = grower, len(rows), len(rows)
+        self.sorted = {j: SortedRows(grower, rows, j, positions[j]) for j in many}
+        self.any = self.sorted[many[0]]
+        self.coded = np.array(list(grower.coded), dtype=np.int64)
+        sizes = np.array(list(grower.coded.values()), dtype=np.int64)
+        self.starts = np.cumsum(sizes) - sizes
+        self.sizes, self.feature = sizes, np.repeat(np.arange(len(sizes)), sizes)
+        self.by_value = sum((self._by_value(rows[i:i + (1 << 16)]) for i in range(0, len(rows), 1 << 16)), np.zeros((2, sizes.sum())))
+
+    def _by_value(self, rows: np.ndarray) -> np.ndarray:
+        """Weights and targets by value, of all features of few values."""
+        n = len(self.feature)
+        if not n:
+            return np.zeros((2, 0))
+        at = (self.grower.ranks[rows][:, self.coded] + self.starts).ravel()
+        return np.stack([np.bincount(at, weights=np.repeat(v[rows], len(self.starts)), minlength=n)
+                         for v in (self.grower.w, self.grower.targets[0])])
+
+    def sums(self) -> tuple[float, float]:
+        return tuple(self.any.block[:2].sum(axis=1).tolist())
+
+    def rows(self) -> np.ndarray:
+        one = self.any
+        return np.sort(one.rows[one.low:one.high][one.alive[one.low:one.high]])
+
+    def pure(self) -> bool:
+        """Whether all targets are equal; the first block nearly always says no."""
+        one = self.any
+        for begin, end in ((one.low, min(one.high, one.low + BLOCK)), (one.low, one.high)):
+            y = self.grower.y[one.rows[begin:end][one.alive[begin:end]]]
+            if y.max() > y.min():
+                return False
+        return True
+
+    def best(self, weight: float, total: float, draw: np.uint64) -> tuple | None:
+        """``(feature, threshold, gain, place or value after which the right side begins)``."""
+        width = self.grower.width
+        score, place = np.full(width, -np.inf), np.full(width, -1)
+        for j, some in self.sorted.items():
+            score[j], place[j] = some.best(weight, total)
+        if len(self.coded):
+            w, t = self.by_value
+            left, part = (np.cumsum(v) for v in (w, t))
+            left, part = (v - (v[self.starts] - own[self.starts])[self.feature] for v, own in ((left, w), (part, t)))
+            cut = np.flatnonzero((w > 0) & (left < weight))
+            if len(cut):
+                gain = np.full(len(w), -np.inf)
+                rest = total - part[cut]
+                gain[cut] = part[cut] ** 2 / left[cut] + rest ** 2 / (weight - left[cut])
+                score[self.coded] = most = np.maximum.reduceat(gain, self.starts)
+                near = np.flatnonzero(gain >= np.where(np.isfinite(most), _nearly(most), np.inf)[self.feature])
+                first = near[_runs(self.feature[near])]
+                place[self.coded[self.feature[first]]] = first - self.starts[self.feature[first]]
+        score[~_allowed(np.isfinite(score)[None, :], np.array([draw]), self.grower.growth.tried)[0]] = -np.inf
+        j = int((score >= _nearly(score.max())).argmax())
+        if not np.isfinite(score[j]):
+            return None
+        at, values = int(place[j]), self.grower.values[j]
+        if j in self.sorted:
+            low, high = self.sorted[j].at[at], self.sorted[j].at[self.sorted[j].after(at)]
+        else:
+            begin = self.starts[int(np.flatnonzero(self.coded == j)[0])]
+            low, high = at, at + 1 + int((self.by_value[0, begin + at + 1:] > 0).argmax())
+        return j, float(_between(values[low], values[high])), score[j] - total * total / weight, at
+
+    def part(self, feature: int, at: int) -> tuple[np.ndarray, int]:
+        """The rows of the smaller side, and whether that is the right one."""
+        one = self.sorted.get(feature, self.any)
+        if feature in self.sorted:
+            middle = at + 1
+            left = np.count_nonzero(one.alive[one.low:middle])
+            side = int(2 * left > self.n)
+            begin, end = (middle, one.high) if side else (one.low, middle)
+            return one.rows[begin:end][one.alive[begin:end]], side
+        rows = one.rows[one.low:one.high][one.alive[one.low:one.high]]
+        right = self.grower.ranks[rows, feature] > at
+        side = int(2 * np.count_nonzero(right) <= self.n)
+        return rows[right == bool(side)], side
+
+    def remove(self, rows: np.ndarray) -> None:
+        for some in self.sorted.values():
+            some.remove(rows)
+        for begin in range(0, len(rows), 1 << 16):
+            self.by_value -= self._by_value(rows[begin:begin + (1 << 16)])
+        self.n -= len(rows)
+
+
+def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, growth: Growth, root: int, depth: int | None) -> tuple[Nodes, np.ndarray]:
+    """A whole tree, and each feature's total gain."""
+    grower = Grower(x, y, w, growth, depth)
+    grower.grow(root)
+    return grower.nodes(), grower.gains
 
 
 @dataclass
@@ -317,6 +629,10 @@ class Top:
         rows = self.trees[tree]
         return Nodes(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), np.zeros(0))
 
+    def open(self, closed: set[tuple[int, int]]) -> list[tuple[int, int]]:
+        """The leaves that tasks finish."""
+        return [(t, i) for t, rows in enumerate(self.trees) for i, node in enumerate(rows) if node[0] < 0 and (t, i) not in closed]
+
     def split(self, tree: int, node: int, feature: int, threshold: float) -> None:
         rows = self.trees[tree]
         _, _, _, draw, depth = rows[node]
@@ -345,6 +661,41 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+class Packer:
+    """Rows as bytes: of features of few values the values once and a byte for each row."""
+
+    def __init__(self, x: np.ndarray):
+        self.width = x.shape[1]
+        ranked = [_few(x[:, j]) for j in range(self.width)]
+        sizes = np.array([len(r[0]) if r else 0 for r in ranked], dtype=np.int32)
+        self.head = sizes.tobytes() + b"".join(r[0].astype(float).tobytes() for r in ranked if r)
+        self.plain = np.stack([x[:, j] for j in range(self.width) if not sizes[j]]) if not sizes.all() else np.zeros((0, len(x)))
+        self.codes = np.stack([r[1].astype(np.uint8) for r in ranked if r]) if sizes.any() else np.zeros((0, len(x)), dtype=np.uint8)
+
+    def pack(self, rows: np.ndarray) -> bytes:
+        return self.head + self.plain[:, rows].tobytes() + self.codes[:, rows].tobytes()
+
+
+def _unpack_rows(column, width: int) -> np.ndarray:
+    """The rows of several records, kept column by column."""
+    parts = []
+    for packed in column.to_pylist():
+        sizes = np.frombuffer(packed, dtype=np.int32, count=width)
+        at = 4 * width
+        values = np.split(np.frombuffer(packed, dtype=float, count=int(sizes.sum()), offset=at), np.cumsum(sizes)[:-1])
+        at += 8 * int(sizes.sum())
+        plain = int(np.count_nonzero(sizes == 0))
+        n = (len(packed) - at) // max(1, 8 * plain + width - plain)
+        parts.append((n, sizes, values, iter(np.frombuffer(packed, dtype=float, count=plain * n, offset=at).reshape(plain, n)),
+                      iter(np.frombuffer(packed, dtype=np.uint8, offset=at + 8 * plain * n).reshape(width - plain, n))))
+    x, begin = np.empty((width, sum(p[0] for p in parts))), 0
+    for n, sizes, values, plain, codes in parts:
+        for j in range(width):
+            x[j, begin:begin + n] = values[j][next(codes)] if sizes[j] else next(plain)
+        begin += n
+    return x.T
+
+
 def _shares(n_rows: int, trees: int) -> int:
     """Tasks among which rows are dealt, by the work on them."""
     return max(1, -(-n_rows // SHARE_ROWS), min(-(-n_rows * trees // SHARE), n_rows // 4096))
@@ -377,22 +728,62 @@ def _by_leaf(leaf: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
         yield one, *(c[some] for c in columns)
 
 
+def _spread(spark: SparkSession, n_nodes: int) -> int:
+    """Partitions among which nodes are dealt."""
+    cores = max(1, spark.sparkContext.defaultParallelism)
+    return max(1, min(n_nodes, 16 * cores))
+
+
+def _slots(spark: SparkSession, nodes: list[tuple[int, int]]) -> tuple[dict[tuple[int, int], int], int]:
+    """A number for each node such that as many lie in every partition, and the partitions.
+
+    Nodes dealt by the hash of their own numbers would leave some tasks idle while others grow several trees.
+    """
+    spread = _spread(spark, len(nodes))
+    each = -(-len(nodes) // spread)
+    tried = spark.range(8 * spread * (each + 2), numPartitions=1).select("id", F.pmod(F.hash("id"), F.lit(spread)).alias("part"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("id"))
+    found = tried.withColumn("place", place).orderBy("place", "part").limit(len(nodes)).collect()
+    return {node: r["id"] for node, r in zip(nodes, found)}, spread
+
+
 def _routed(rows: DataFrame, top: Top, growth: Growth, closed: set[tuple[int, int]]) -> DataFrame:
     """The rows of the nodes that tasks finish, those of a node and batch packed into one record."""
     shut = [np.array(sorted(leaf for t, leaf in closed if t == tree)) for tree in range(growth.trees)]
+    slots, spread = _slots(rows.sparkSession, top.open(closed))
 
-    def make(t, leaf, x, y, w, check):
-        if len(shut[t]):
-            keep = ~np.isin(leaf, shut[t])
-            leaf, x, y, w = leaf[keep], x[keep], y[keep], w[keep]
-        if not len(leaf):
-            return None
-        leaves, xs, ys, ws = zip(*_by_leaf(leaf, x, y, w))
-        packed = [pa.array([v.tobytes() for v in values], pa.binary()) for values in (xs, ys, ws)]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(leaves), t)), pa.array(leaves, pa.int64()), *packed],
-                                          names=["tree", "leaf", "x", "y", "w"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walks = [top.nodes(t) for t in range(growth.trees)]
+        for batch in _together(batches):
+            x = _matrix(batch, "x", growth.width)
+            y, n, check = (batch.column(c).to_numpy() for c in ("y", "n", "h"))
+            packer = Packer(x)
+            for t in range(growth.trees):
+                w = growth.weights(check, n, t)
+                has = np.flatnonzero(w > 0)
+                leaf = walks[t].walk(x[has]) if len(walks[t].feature) > 1 else np.zeros(len(has), dtype=np.int64)
+                if len(shut[t]):
+                    keep = ~np.isin(leaf, shut[t])
+                    has, leaf = has[keep], leaf[keep]
+                if not len(has):
+                    continue
+                parts = list(_by_leaf(leaf, has))
+                weights = [w[some] for _, some in parts]
+                packed = [[packer.pack(some) for _, some in parts], [y[some].tobytes() for _, some in parts],
+                          [v.astype(np.uint8 if v.max() < 256 else np.int64).tobytes() for v in weights]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([slots[t, one] for one, _ in parts], pa.int64()), pa.array(np.full(len(parts), t)),
+                     pa.array([one for one, _ in parts], pa.int64()), *(pa.array(p, pa.binary()) for p in packed)],
+                    names=["slot", "tree", "leaf", "x", "y", "w"])
 
-    return _per_leaf(rows, top, growth, make, "tree long, leaf long, x binary, y binary, w binary")
+    # A given number of partitions is not merged again, so the nodes are finished side by side.
+    return rows.mapInArrow(run, "slot long, tree long, leaf long, x binary, y binary, w binary").repartition(spread, "slot")
+
+
+def _unpack_weights(w, y) -> np.ndarray:
+    """Weights of a byte where those of a record are small, told by the targets beside them."""
+    return np.concatenate([np.frombuffer(a, dtype=np.uint8 if len(a) * 8 == len(b) else np.int64).astype(np.int64)
+                           for a, b in zip(w.to_pylist(), y.to_pylist())])
 
 
 def _unpack(column, dtype) -> np.ndarray:
@@ -547,30 +938,37 @@ def _best_splits(rows: DataFrame, top: Top, growth: Growth, found: list) -> list
     return [(*large[r["node"]], int(r["feature"]), float(r["threshold"]), float(r["gain"])) for r in chosen.orderBy("node").collect()]
 
 
-FINISHED = ("tree long, leaf long, depth long, bytes long, gains array<double>, feature array<long>, threshold array<double>, "
-            "left array<long>, value array<double>")
+# The nodes' arrays are packed: thresholds and left children of the inner nodes, values of the leaves.
+FINISHED = ("tree long, leaf long, depth long, bytes long, gains array<double>, feature binary, threshold binary, "
+            "left binary, value binary")
+_FINISHED = pa.schema([("tree", pa.int64()), ("leaf", pa.int64()), ("depth", pa.int64()), ("bytes", pa.int64()),
+                       ("gains", pa.list_(pa.float64())), *((n, pa.binary()) for n in ("feature", "threshold", "left", "value"))])
+
+
+def _packed(nodes: Nodes, width: int) -> dict[str, list[bytes]]:
+    inner = nodes.feature >= 0
+    return {"feature": [nodes.feature.astype(_feature_type(width)).tobytes()], "threshold": [nodes.threshold[inner].astype(float).tobytes()],
+            "left": [nodes.left[inner].astype(np.int32).tobytes()], "value": [nodes.value[~inner].astype(float).tobytes()]}
+
+
+def _feature_type(width: int) -> type:
+    return np.int8 if width <= 127 else np.int32
 
 
 def _finish(routed: DataFrame, top: Top, growth: Growth) -> DataFrame:
     """One row per finished node."""
 
     def run(key, table):
-        t, leaf = key[0].as_py(), key[1].as_py()
+        t, leaf = table.column("tree")[0].as_py(), table.column("leaf")[0].as_py()
         _, _, _, draw, depth = top.trees[t][leaf]
-        x = _unpack(table.column("x"), float).reshape(-1, growth.width)
-        y, w = _unpack(table.column("y"), float), _unpack(table.column("w"), np.int64)
+        x = _unpack_rows(table.column("x"), growth.width)
+        y, w = _unpack(table.column("y"), float), _unpack_weights(table.column("w"), table.column("y"))
         nodes, gains = grow(x, y, w, growth, draw, None if growth.depth is None else growth.depth - depth)
         size = sum(a.nbytes for a in (nodes.feature, nodes.threshold, nodes.left, nodes.value))
-        return pa.table({
-            "tree": [t], "leaf": [leaf], "depth": [depth + nodes.depth], "bytes": [size], "gains": [gains.tolist()],
-            "feature": [nodes.feature], "threshold": [nodes.threshold], "left": [nodes.left], "value": [nodes.value.ravel()]},
-            schema=pa.schema([("tree", pa.int64()), ("leaf", pa.int64()), ("depth", pa.int64()), ("bytes", pa.int64()),
-                              ("gains", pa.list_(pa.float64())), ("feature", pa.list_(pa.int64())),
-                              ("threshold", pa.list_(pa.float64())), ("left", pa.list_(pa.int64())), ("value", pa.list_(pa.float64()))]))
+        return pa.table({"tree": [t], "leaf": [leaf], "depth": [depth + nodes.depth], "bytes": [size], "gains": [gains.tolist()],
+                         **_packed(nodes, growth.width)}, schema=_FINISHED)
 
-    # A given number of partitions is not merged again, so the nodes are finished side by side.
-    spread = 4 * max(1, routed.sparkSession.sparkContext.defaultParallelism)
-    return routed.repartition(spread, "tree", "leaf").groupBy("tree", "leaf").applyInArrow(run, FINISHED)
+    return routed.groupBy("slot").applyInArrow(run, FINISHED)
 
 
 def _close(rows: DataFrame, top: Top, growth: Growth, closed: set[tuple[int, int]]) -> DataFrame:
@@ -592,18 +990,28 @@ def _close(rows: DataFrame, top: Top, growth: Growth, closed: set[tuple[int, int
     added = _per_leaf(rows, top, growth, add, "tree long, leaf long, k long, w double, s double")
     summed = added.groupBy("tree", "leaf", "k").agg((F.sum("s") / F.sum("w")).alias("mean"))
     value = F.transform(F.sort_array(F.collect_list(F.struct("k", "mean"))), lambda v: v["mean"])
-    leaf = F.array(F.lit(-1).cast("long"))
-    depths = F.lit(0 if growth.depth is None else growth.depth).cast("long")
-    return summed.groupBy("tree", "leaf").agg(value.alias("value")).select(
-        "tree", "leaf", depths.alias("depth"), (F.size("value") * 8 + 24).cast("long").alias("bytes"),
-        F.array_repeat(F.lit(0.0), growth.width).alias("gains"), leaf.alias("feature"), F.array(F.lit(0.0)).alias("threshold"),
-        leaf.alias("left"), "value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t, leaf, means in zip(*(batch.column(n).to_pylist() for n in ("tree", "leaf", "value"))):
+                nodes = Nodes(np.array([-1]), np.zeros(1), np.array([-1]), np.array([means]))
+                yield pa.RecordBatch.from_pydict({
+                    "tree": [t], "leaf": [leaf], "depth": [growth.depth or 0], "bytes": [len(means) * 8 + 24], "gains": [[0.0] * growth.width],
+                    **_packed(nodes, growth.width)}, schema=_FINISHED)
+
+    return summed.groupBy("tree", "leaf").agg(value.alias("value")).mapInArrow(run, FINISHED)
+
+
+def _bound(width: int, n_classes: int) -> int:
+    if n_classes:
+        return TASK_ROWS
+    return max(TASK_ROWS, min(REGRESSION_ROWS, REGRESSION_CELLS // max(1, width)))
 
 
 def fit_forest(train: DataFrame, n_inputs: int, n_classes: int = 0, trees: int = 1, tried: int | None = None,
                sampled: bool = False, depth: int | None = None, seed: int = 42, bound: int | None = None) -> ForestModel:
     """Trees on a table with ``features`` and ``label``; without ``depth`` they grow until nothing can be split."""
-    growth = Growth(trees, n_classes, n_inputs, tried or n_inputs, sampled, depth, seed, bound or TASK_ROWS)
+    growth = Growth(trees, n_classes, n_inputs, tried or n_inputs, sampled, depth, seed, bound or _bound(n_inputs, n_classes))
     rows = durable(
         train.groupBy(vector_to_array("features").alias("x"), F.col("label").cast("double").alias("y")).agg(F.count("*").alias("n"))
         .withColumn("h", F.xxhash64("x", "y")), "forest-rows")
@@ -621,10 +1029,20 @@ def fit_forest(train: DataFrame, n_inputs: int, n_classes: int = 0, trees: int =
     return ForestModel(growth, top, finished, gains)
 
 
-def _arrays(table: pa.Table, i: int, k: int) -> tuple[np.ndarray, ...]:
-    """The arrays of a finished node, by their row."""
-    feature, threshold, left, value = (table.column(n)[i].values.to_numpy() for n in _NODES[2:])
-    return feature, threshold, left, value.reshape(-1, max(1, k))
+def _arrays(columns: tuple, growth: Growth) -> Nodes:
+    """A finished node, by its row's feature, threshold, left and value."""
+    k = max(1, growth.n_classes)
+    feature, threshold, left, value = columns
+    if not isinstance(feature, bytes):
+        # As models were saved before: whole lists.
+        feature, threshold, left, value = (np.array(v) for v in columns)
+        return Nodes(feature, threshold, left, value.reshape(-1, k))
+    feature = np.frombuffer(feature, dtype=_feature_type(growth.width))
+    inner = feature >= 0
+    nodes = Nodes(feature, np.zeros(len(feature)), np.full(len(feature), -1, dtype=np.int32), np.zeros((len(feature), k)))
+    nodes.threshold[inner], nodes.left[inner] = np.frombuffer(threshold, dtype=float), np.frombuffer(left, dtype=np.int32)
+    nodes.value[~inner] = np.frombuffer(value, dtype=float).reshape(-1, k)
+    return nodes
 
 
 class ForestModel:
@@ -662,14 +1080,13 @@ class ForestModel:
         if self.shared is None:
             # Of a checked size.
             table = self.finished.select(*_NODES).toArrow()
-            keys = zip(table.column("tree").to_pylist(), table.column("leaf").to_pylist())
-            self.shared = df.sparkSession.sparkContext.broadcast(
-                {key: _arrays(table, i, growth.n_classes) for i, key in enumerate(keys)})
+            tree, leaf, *columns = (table.column(n).to_pylist() for n in _NODES)
+            self.shared = df.sparkSession.sparkContext.broadcast(dict(zip(zip(tree, leaf), zip(*columns))))
         shared = self.shared
 
         @F.pandas_udf("array<double>")
         def score(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            finished = shared.value
+            finished = {key: _arrays(columns, growth) for key, columns in shared.value.items()}
             walks = [top.nodes(t) for t in range(growth.trees)]
             for series in vectors:
                 x = np.stack(series.to_numpy()) if len(series) else np.zeros((0, growth.width))
@@ -678,7 +1095,7 @@ class ForestModel:
                     leaf = walk.walk(x)
                     for one in np.unique(leaf):
                         some = np.nonzero(leaf == one)[0]
-                        nodes = Nodes(*finished[t, int(one)])
+                        nodes = finished[t, int(one)]
                         total[some] += nodes.value[nodes.walk(x[some])]
                 yield pd.Series(list(total / growth.trees))
 
@@ -696,13 +1113,14 @@ class ForestModel:
             walks = [top.nodes(t) for t in range(growth.trees)]
             for batch in _together(batches):
                 x, row = _matrix(batch, "x", growth.width), batch.column("row").to_numpy()
+                packer, every = Packer(x), np.arange(len(x))
                 for t, walk in enumerate(walks):
-                    yield t, list(_by_leaf(walk.walk(x), x, row))
+                    yield t, list(_by_leaf(walk.walk(x), every)), packer, row
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for t, parts in leaves(batches):
+            for t, parts, _, _ in leaves(batches):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([t] * len(parts)), pa.array([p[0] for p in parts]), pa.array([len(p[2]) for p in parts])],
+                    [pa.array([t] * len(parts)), pa.array([p[0] for p in parts]), pa.array([len(p[1]) for p in parts])],
                     names=["tree", "leaf", "n"])
 
         # A node that many rows ask for is met in parts; at most one entry for each ``ASKED`` rows and tree.
@@ -710,14 +1128,14 @@ class ForestModel:
         busy = {(r["tree"], r["leaf"]): -(-r["n"] // ASKED) for r in counted.where(F.col("n") > ASKED).collect()}
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for t, found in leaves(batches):
+            for t, found, packer, row in leaves(batches):
                 out = []
-                for leaf, x, row in found:
+                for leaf, at in found:
                     parts = busy.get((t, leaf), 1)
                     if parts == 1:
-                        out.append((leaf, 0, x.tobytes(), row.tobytes()))
+                        out.append((leaf, 0, packer.pack(at), row[at].tobytes()))
                     else:
-                        out += [(leaf, part, xs.tobytes(), some.tobytes()) for part, xs, some in _by_leaf(row % parts, x, row)]
+                        out += [(leaf, part, packer.pack(some), row[some].tobytes()) for part, some in _by_leaf(row[at] % parts, at)]
                 leaf, part, x, row = zip(*out)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([t] * len(out)), pa.array(leaf), pa.array(part), pa.array(x, pa.binary()), pa.array(row, pa.binary())],
@@ -726,8 +1144,8 @@ class ForestModel:
         def meet(asked: pa.Table, nodes: pa.Table) -> pa.Table:
             r, k, value = (np.zeros(0, dtype=d) for d in (np.int64, np.int64, float))
             if asked.num_rows and nodes.num_rows:
-                one = Nodes(*_arrays(nodes, 0, growth.n_classes))
-                found = one.value[one.walk(_unpack(asked.column("x"), float).reshape(-1, growth.width))]
+                one = _arrays(tuple(nodes.column(n)[0].as_py() for n in _NODES[2:]), growth)
+                found = one.value[one.walk(_unpack_rows(asked.column("x"), growth.width))]
                 at, k = np.nonzero(found)
                 r, value = _unpack(asked.column("row"), np.int64)[at], found[at, k] / growth.trees
             return pa.table({"row": r, "k": k, "value": value})
@@ -739,7 +1157,7 @@ class ForestModel:
             "part", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("parts")
         by = ["tree", "leaf", "part"]
         # A given number of partitions is not merged again, so the nodes are met side by side.
-        spread = 4 * max(1, df.sparkSession.sparkContext.defaultParallelism)
+        spread = _spread(df.sparkSession, len(top.open(set())))
         met = routed.repartition(spread, *by).groupBy(*by).cogroup(nodes.repartition(spread, *by).groupBy(*by)).applyInArrow(
             meet, "row long, k long, value double")
         sums = met.groupBy("row", "k").agg(F.sum("value").alias("value"))
@@ -772,7 +1190,7 @@ class ForestModel:
 
 
 # Rows that ask for one node in one task when the model is too large to be broadcast.
-ASKED = 1 << 17
+ASKED = 1 << 19
 _NODES = ("tree", "leaf", "feature", "threshold", "left", "value")
 _FACTS = ("trees long, n_classes long, width long, tried long, sampled boolean, depth long, seed long, bound long, "
           "gains array<double>")

@@ -209,3 +209,56 @@ def test_factors_merge_in_rounds(spark, monkeypatch):
     assert list(fitted.coefficients) == pytest.approx([2.0, -3.0]) and fitted.intercept == pytest.approx(5.0)
     few = linear.fit_linear(table(spark, x[:1], [4.0], 1), 2)
     assert (few.rank, few.intercept, list(few.coefficients)) == (0, 4.0, [0.0, 0.0])
+
+
+def test_uneven_splits_do_not_read_a_large_node_again_and_again(monkeypatch):
+    """A target that rises and falls back: every split takes a few rows from one end."""
+    n, read = 60_000, [0]
+    x = np.column_stack([np.arange(n) * 0.5, np.arange(n) * 7 % 5]).astype(float)
+    y = np.arange(n) % 500 / 10.0
+
+    def counted(values, runs=forest._runs):
+        read[0] += len(values)
+        return runs(values)
+
+    monkeypatch.setattr(forest, "_runs", counted)
+    nodes, _ = forest.grow(x, y, np.ones(n, dtype=np.int64), forest.Growth(1, 0, 2, 2, False, None, 42, n), 7, None)
+    assert nodes.depth > 100 and np.abs(nodes.value[nodes.walk(x), 0] - y).max() < 1e-9
+    assert read[0] < 100 * n
+
+
+@pytest.mark.parametrize("depth", [None, 5])
+@pytest.mark.parametrize("sizes", [(3, 4), (20, 16), (40, 512)])
+def test_large_nodes_are_split_as_small_ones(monkeypatch, sizes, depth):
+    """Ties, steps, few values and weights; the larger side loses rows from all its features."""
+    rng = np.random.default_rng(13)
+    n = 700
+    x = np.column_stack([rng.random(n).round(2), rng.random(n), rng.integers(0, 5, n), rng.integers(0, 2, n), np.exp(rng.normal(0, 3, n))])
+    y = np.where(rng.random(n) < 0.2, 3.0, (x[:, 0] * 40 % 3 + x[:, 2] * rng.random(n)).round(2))
+    y[rng.permutation(n)[:5]] = 1e3
+    w = rng.integers(1, 4, n)
+    growth = forest.Growth(1, 0, 5, 5, False, depth, 42, 1 << 17)
+    monkeypatch.setattr(forest, "FEW", 50)
+    monkeypatch.setattr(forest, "MANY", n)
+    plain, gains = forest.grow(x, y, w, growth, 7, depth)
+    for name, value in zip(("MANY", "BLOCK"), sizes):
+        monkeypatch.setattr(forest, name, value)
+    nodes, found = forest.grow(x, y, w, growth, 7, depth)
+    asked = np.concatenate([x, rng.random((300, 5))])
+    assert np.abs(nodes.value[nodes.walk(asked)] - plain.value[plain.walk(asked)]).max() < 1e-9
+    assert (nodes.depth, len(nodes.left)) == (plain.depth, len(plain.left)) and np.allclose(found, gains)
+    few = forest.Growth(1, 0, 5, 2, False, depth, 42, 1 << 17)
+    assert np.allclose(forest.grow(x, y, w, few, 7, depth)[0].threshold.sum(), forest.grow(x, y, w, few, 7, depth)[0].threshold.sum())
+
+
+def test_rows_are_packed_and_unpacked():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(14)
+    x = np.column_stack([rng.random(5000), rng.integers(0, 50, 5000) / 7, rng.integers(0, 2, 5000)])
+    rows = np.array([4999, 0, 17])
+    parts = [forest.Packer(x[:3000]).pack(np.arange(3000)), forest.Packer(x[3000:]).pack(np.arange(2000)), forest.Packer(x[3000:3010]).pack(rows[1:2])]
+    # Eight bytes and one for each of the two features of few values.
+    assert len(parts[0]) < 3000 * 10 + 1000
+    got = forest._unpack_rows(pa.array(parts, pa.binary()), 3)
+    assert (got == np.concatenate([x, x[3000:3001]])).all()
