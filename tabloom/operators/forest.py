@@ -352,19 +352,24 @@ class Grower:
                 low[owner[at_cut], j], high[owner[at_cut], j] = at[at_cut], at[at_cut + 1]
 
             if not pure.all():
+                if pure.any():
+                    open_ = ~pure[node]
+                    open_node, base, w_base, t_base = node[open_], base[open_], w_base[open_], [t[open_] for t in t_base]
+                else:
+                    open_, open_node = slice(None), node
                 # Of features with few values, sums by node and all their values together, if those are fewer than the rows.
                 cells = None
                 if coded:
                     size = int(joint.max()) + 1 if joint is not None else 0
                     if joint is not None and nodes * size <= 2 * len(base):
-                        there, w_cell, t_cell = _added(node * size + joint[base], nodes * size, w_base, t_base)
+                        there, w_cell, t_cell = _added(open_node * size + joint[base], nodes * size, w_base, t_base)
                         cells = there // size, w_cell, t_cell, there % size
                     else:
-                        cells = node, w_base, t_base, None
+                        cells = open_node, w_base, t_base, None
                 for j in range(width):
                     if j not in coded:
-                        by_value = sorted_rows[j]
-                        best_cut(j, node, columns[j][by_value], *((w_base, t_base) if j == 0 else (w[by_value], [t[by_value] for t in targets])))
+                        by_value = sorted_rows[j][open_]
+                        best_cut(j, open_node, columns[j][by_value], *((w_base, t_base) if j == 0 else (w[by_value], [t[by_value] for t in targets])))
                         continue
                     n_values = coded[j]
                     if n_values < 2:
@@ -527,6 +532,8 @@ class LargeNode:
         sizes = np.array(list(grower.coded.values()), dtype=np.int64)
         self.starts = np.cumsum(sizes) - sizes
         self.sizes, self.feature = sizes, np.repeat(np.arange(len(sizes)), sizes)
+        codes = grower.codes
+        self.cells = np.stack([codes[j] for j in self.coded], axis=1) + self.starts if codes else None
         self.by_value = sum((self._by_value(rows[i:i + (1 << 16)]) for i in range(0, len(rows), 1 << 16)), np.zeros((2, sizes.sum())))
 
     def _by_value(self, rows: np.ndarray) -> np.ndarray:
@@ -534,9 +541,15 @@ class LargeNode:
         n = len(self.feature)
         if not n:
             return np.zeros((2, 0))
-        at = (self.grower.ranks[rows][:, self.coded] + self.starts).ravel()
-        return np.stack([np.bincount(at, weights=np.repeat(v[rows], len(self.starts)), minlength=n)
-                         for v in (self.grower.w, self.grower.targets[0])])
+        ranks, sums = self.grower.ranks, [v[rows] for v in (self.grower.w, self.grower.targets[0])]
+        if self.cells is not None and len(rows) > len(self.cells):
+            # First by all their values together.
+            joint = self.grower.joint[rows]
+            sums = [np.bincount(joint, weights=v, minlength=len(self.cells)) for v in sums]
+            at = self.cells
+        else:
+            at = (ranks[rows][:, self.coded] + self.starts).ravel()
+        return np.stack([np.bincount(at.ravel(), weights=np.repeat(v, len(self.starts)), minlength=n) for v in sums])
 
     def sums(self) -> tuple[float, float]:
         return tuple(self.any.block[:2].sum(axis=1).tolist())

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabloom.functions.columns import c, normalise
@@ -32,6 +34,9 @@ from tabloom.session import collecting, durable, ensure_checkpoint_dir, remove
 # Rows of one part of the prepared table.
 TASK_ROWS = 1 << 16
 
+# Models trained side by side: one with few or short tasks leaves the cores to the other.
+AT_ONCE = 2
+
 SCORES = {"classification": ["accuracy", "precision", "recall", "f1"], "regression": ["mae", "mse", "rmse", "r2"]}
 
 
@@ -82,13 +87,17 @@ def train_models(rows: DataFrame, features: list[str], problem_type: str, n_trai
     names = names or (REGRESSION_SUITE if problem_type == "regression" else CLASSIFICATION_SUITE)
     train = assemble(rows, features)
     held_out = train if test is None else assemble(test, features)
-    fitted, lines = {}, []
-    for order, name in enumerate(names):
-        fitted[name] = fit_model(name, train, n_train, len(features), n_classes, key, depth, trees)
-        predictions = fitted[name].transform(held_out).select("label", "prediction")
+
+    def fit_and_measure(name: str):
+        model = fit_model(name, train, n_train, len(features), n_classes, key, depth, trees)
+        predictions = model.transform(held_out).select("label", "prediction")
         measure = evaluate.regression_metrics if problem_type == "regression" else evaluate.classification_metrics
-        row = measure(predictions).first()
-        lines.append((name, order, *[row[s] for s in SCORES[problem_type]]))
+        return model, measure(predictions).first()
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        done = list(pool.map(inheritable_thread_target(spark)(fit_and_measure), names))
+    fitted = {name: model for name, (model, _) in zip(names, done)}
+    lines = [(name, order, *[row[s] for s in SCORES[problem_type]]) for order, (name, (_, row)) in enumerate(zip(names, done))]
     schema = "model string, model_order long, " + ", ".join(f"{s} double" for s in SCORES[problem_type])
     metrics = spark.createDataFrame(lines, schema)
     best = evaluate.select_best(metrics, problem_type).first()["model"]

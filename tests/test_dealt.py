@@ -1,6 +1,7 @@
 """Work that a table of one file would leave to one task, and what one task holds."""
 
 import os
+import threading
 import tracemalloc
 
 import numpy as np
@@ -45,6 +46,23 @@ def test_the_prepared_table_is_written_in_parts(spark, monkeypatch):
     assert trained.metrics.first()["r2"] > 0.9
 
 
+def test_models_are_trained_side_by_side(spark, monkeypatch):
+    rows = [(i, i * 0.5 + i % 7, i * 3.0 + 0.25) for i in range(200)]
+    prep = prepare(spark.createDataFrame(rows, "id long, a double, y double"), PrepConfig(target="y", key=("id",)))
+    names = ["linear_regression", "decision_tree_regressor"]
+    alone = [train_suite(prep, [n]).metrics.drop("model_order").first() for n in names]
+    meeting = threading.Barrier(2, timeout=60)
+
+    def fit_model(*some, fit_model=train.fit_model):
+        meeting.wait()
+        return fit_model(*some)
+
+    monkeypatch.setattr(train, "fit_model", fit_model)
+    trained = train_suite(prep, names)
+    assert list(trained.fitted) == names
+    assert trained.metrics.orderBy("model_order").drop("model_order").collect() == alone
+
+
 def test_pairs_ruled_out_later_are_not_held():
     """The first rows' errors rule nothing out, the last ones' do."""
     rng = np.random.default_rng(2)
